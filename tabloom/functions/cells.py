@@ -55,8 +55,10 @@ def number(df: DataFrame, name: str) -> Column:
     if is_numeric_type(kind) or isinstance(kind, T.BooleanType):
         return c.cast("double")
     if isinstance(kind, T.StringType):
+        # Only text with one of these letters can read differently from a plain cast.
         plain = F.regexp_replace(c, r"(?<=\d)_(?=\d)", "")
-        return F.when(~plain.rlike(r"[0-9.][dDfF]\s*$"), plain.try_cast("double"))
+        careful = F.when(~plain.rlike(r"[0-9.][dDfF]\s*$"), plain.try_cast("double"))
+        return F.when(c.rlike("[dDfF_]"), careful).otherwise(c.try_cast("double"))
     return F.lit(None).cast("double")
 
 
@@ -76,9 +78,15 @@ def looks_numeric(c: Column) -> Column:
     return c.cast("string").rlike(r"^[0-9]*\.?[0-9]+$")
 
 
+def bare_text(c: Column) -> Column:
+    """Trim, then drop one outer quote at each end; text without either is passed through."""
+    text = c.cast("string")
+    return F.when(text.rlike(r'^[^!#-~]|[^!#-~]$'), F.regexp_replace(strip(text), r'^"|"$', "")).otherwise(text)
+
+
 def clean_text(c: Column, null_tokens: Sequence[str] = NULL_TOKENS) -> Column:
-    """Trim, drop one outer quote at each end, and turn null tokens into NULL."""
-    bare = F.regexp_replace(strip(c.cast("string")), r'^"|"$', "")
+    """``bare_text`` with null tokens as NULL."""
+    bare = bare_text(c)
     return F.when(~bare.isin(list(null_tokens)), bare)
 
 

@@ -5,6 +5,8 @@ a comparison of code lists needs no shuffle beyond the keyed join.
 """
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,6 +19,11 @@ NO_MATCH = "No Match"
 NO_DATA = "NO DATA"
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once however often ``use`` mentions it; NULL for NULL."""
+    return F.get(F.transform(F.when(value.isNotNull(), F.array(value)), use), F.lit(0))
+
+
 def parse_codes(c: Column, *, distinct: bool = True, empty_marker: str | None = None) -> Column:
     """Sorted codes of a cell: a JSON array, or packed 4-character chunks.
 
@@ -24,13 +31,20 @@ def parse_codes(c: Column, *, distinct: bool = True, empty_marker: str | None =
     one-element list holding the marker.
     """
     text = strip(c.cast("string"))
-    listed = F.transform(F.from_json(F.regexp_replace(text, "'", '"'), "array<string>"), strip)
-    packed = F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{CODE_WIDTH}}}"), F.lit(0))
-    codes = F.when(text.isNull() | text.isin("nan", ""), F.array().cast("array<string>")).otherwise(
-        F.coalesce(F.when(text.startswith("[") & text.endswith("]"), listed), packed)
-    )
-    codes = F.filter(codes, lambda code: strip(code) != "")
-    codes = F.array_sort(F.array_distinct(codes) if distinct else codes)
+
+    def parse(text: Column) -> Column:
+        listed = F.transform(F.from_json(F.regexp_replace(text, "'", '"'), "array<string>"), strip)
+        packed = F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{CODE_WIDTH}}}"), F.lit(0))
+        filled = F.filter(packed, lambda code: strip(code) != "")
+        return F.when(text.isin("nan", ""), F.array().cast("array<string>")).otherwise(
+            F.coalesce(
+                F.when(text.startswith("[") & text.endswith("]"), F.array_remove(listed, "")),
+                F.when(text.rlike(r"\s"), filled).otherwise(packed),
+            )
+        )
+
+    codes = F.coalesce(once(text, parse), F.array().cast("array<string>"))
+    codes = F.sort_array(F.array_distinct(codes) if distinct else codes)
     if empty_marker is not None:
         codes = F.when(F.size(codes) == 0, F.array(F.lit(empty_marker))).otherwise(codes)
     return codes
@@ -43,7 +57,7 @@ def to_json_list(codes: Column) -> Column:
 def only_in(first: Column, second: Column) -> Column:
     """Codes of ``first`` absent from ``second``, sorted; NULL counts as empty."""
     empty = F.array().cast("array<string>")
-    return F.array_sort(F.array_except(F.coalesce(first, empty), F.coalesce(second, empty)))
+    return F.sort_array(F.array_except(F.coalesce(first, empty), F.coalesce(second, empty)))
 
 
 def joined(codes: Column) -> Column:
@@ -68,7 +82,7 @@ def aligned_pairs(left_only: Column, right_only: Column) -> Column:
     The shorter side is padded with ``No Match``.  Returns
     ``array<struct<left:string,right:string>>``.
     """
-    prefixes = F.array_sort(F.array_distinct(F.transform(F.concat(left_only, right_only), _prefix)))
+    prefixes = F.sort_array(F.array_distinct(F.transform(F.concat(left_only, right_only), _prefix)))
 
     def pairs(prefix: Column) -> Column:
         ours = F.filter(left_only, lambda code: _prefix(code) == prefix)
@@ -86,17 +100,14 @@ def aligned_pairs(left_only: Column, right_only: Column) -> Column:
 
 
 def prefix_conflicts(codes: Column) -> Column:
-    """Codes sharing an upper-cased prefix, as ``["P(a/b), Q(c/d)"]``; an empty array if there are none.
-
-    An array, so that ``explode`` keeps the rows with conflicts: a filter would be
-    pushed below the projection and evaluate the expression twice.
-    """
+    """Codes sharing an upper-cased prefix, as ``P(a/b), Q(c/d)``; NULL if there are none."""
     upper = F.array_distinct(F.transform(codes, lambda code: F.upper(_prefix(code))))
 
     def described(prefix: Column) -> Column:
         members = F.filter(codes, lambda code: F.upper(_prefix(code)) == prefix)
-        text = F.concat(prefix, F.lit("("), F.array_join(members, "/"), F.lit(")"))
-        return F.when(F.size(members) > 1, text)
+        return once(
+            members,
+            lambda m: F.when(F.size(m) > 1, F.concat(prefix, F.lit("("), F.array_join(m, "/"), F.lit(")"))),
+        )
 
-    found = F.array_compact(F.transform(upper, described))
-    return F.filter(F.array(F.array_join(found, ", ")), lambda text: text != "")
+    return F.nullif(F.array_join(F.transform(upper, described), ", "), F.lit(""))

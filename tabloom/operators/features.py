@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from ..functions.cells import business_columns, col, is_numeric_type, number
 from .joins import with_constants
 from .pivot import levels
-from .quantiles import exact_quantiles
+from .quantiles import exact_quantiles_of
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -51,9 +51,9 @@ def impute(
     numeric = numeric_columns(df) if numeric is None else list(numeric)
     text = text_columns(df) if text is None else list(text)
     fills: dict[str, Column] = {}
+    medians = exact_quantiles_of(df, {c: number(df, c) for c in numeric}, (0.5,)) if numeric else {}
     for c in numeric:
-        median = exact_quantiles(df, number(df, c), (0.5,))[0]
-        fills[c] = F.coalesce(number(df, c), F.lit(median).cast("double"))
+        fills[c] = F.coalesce(number(df, c), F.lit(medians[c][0]).cast("double"))
     common = modes(df, text)
     for c in text:
         fills[c] = F.coalesce(col(c), F.lit(common.get(c, "Unknown")))

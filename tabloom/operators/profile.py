@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.cells import ROW, business_columns, col, is_numeric_type, looks_numeric, number, present
-from .quantiles import exact_quantiles
+from .quantiles import exact_quantiles_of
 
 # Columns per aggregate; wider tables are profiled in several aggregates.
 COLUMNS_PER_PASS = 200
@@ -127,10 +127,8 @@ def summarize(df: DataFrame, *, exact_percentiles: bool = False, accuracy: int =
     }
     result = _per_column(df, list(df.columns), measures)
     if exact_percentiles:
-        rows = [
-            (c, *exact_quantiles(df, number(df, c), (0.25, 0.5, 0.75))) if c in numeric else (c, None, None, None)
-            for c in df.columns
-        ]
+        found = exact_quantiles_of(df, {c: number(df, c) for c in df.columns if c in numeric}, (0.25, 0.5, 0.75))
+        rows = [(c, *found.get(c, (None, None, None))) for c in df.columns]
         quartiles = df.sparkSession.createDataFrame(rows, "column string, q25 double, q50 double, q75 double")
         result = result.join(F.broadcast(quartiles), "column").withColumns(
             {q: F.round(col(q), 2) for q in ("q25", "q50", "q75")}

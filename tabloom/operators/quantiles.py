@@ -11,15 +11,35 @@ per-bracket counts.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-EXACT_ROWS = 1_000_000
+EXACT_ROWS = 200_000
 _ACCURACY = 10_000
 
 
+def exact_quantiles_of(
+    df: DataFrame, values: Mapping[str, Column], probabilities: Sequence[float], *, exact_rows: int = EXACT_ROWS
+) -> dict[str, list[float | None]]:
+    """Percentiles of several expressions; those with few rows share one pass."""
+    names = list(values)
+    cells = df.select(*[values[n].cast("double").alias(f"v{i}") for i, n in enumerate(names)])
+    rows = cells.agg(*[F.count(f"v{i}").alias(f"v{i}") for i, _ in enumerate(names)]).first()
+    few = [i for i, _ in enumerate(names) if rows[f"v{i}"] <= exact_rows]
+    shared = (
+        cells.agg(*[F.percentile(f"v{i}", list(probabilities)).alias(f"v{i}") for i in few]).first() if few else {}
+    )
+    out: dict[str, list[float | None]] = {}
+    for i, n in enumerate(names):
+        if i in few:
+            out[n] = list(shared[f"v{i}"] or [None] * len(probabilities))
+        else:
+            out[n] = exact_quantiles(df, values[n], probabilities, exact_rows=exact_rows)
+    return out
+
+
 def exact_quantiles(
     df: DataFrame, value: Column, probabilities: Sequence[float], *, exact_rows: int = EXACT_ROWS
 ) -> list[float | None]:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import codes
-from ..functions.cells import ROW, NULL_TOKENS, clean_names, clean_text, col
+from ..functions.cells import NULL_TOKENS, ROW, bare_text, clean_names, col
 from ..staging import stage
 from . import pivot as pivots
 from .ordered import Key
@@ -68,10 +68,14 @@ def clean(df: DataFrame, null_tokens: Sequence[str] = NULL_TOKENS) -> DataFrame:
     The row-lineage column stays as it is.
     """
     names = clean_names(df.columns)
-    return df.select(
+    bare = df.select(
+        *[col(old) if old == ROW else bare_text(col(old)).alias(new) for old, new in zip(df.columns, names)]
+    )
+    # A second projection, so that the cleaned text is computed once and tested by name.
+    return bare.select(
         *[
-            col(old) if old == ROW else clean_text(col(old), null_tokens).alias(new)
-            for old, new in zip(df.columns, names)
+            col(c) if c == ROW else F.when(~col(c).isin(list(null_tokens)), col(c)).alias(c)
+            for c in names
         ]
     )
 
@@ -191,10 +195,17 @@ def compare(
         in_left.cast("int").alias("in_left"),
         in_right.cast("int").alias("in_right"),
     ]
+    # One projection for the tests, so that lists are compared once per row.
+    joined = joined.select(
+        "*",
+        *[
+            (in_left & in_right & col(f"__left_{c}").eqNullSafe(col(f"__right_{c}"))).alias(f"__same_{c}")
+            for c in plan.columns
+        ],
+    )
     differs_any: Column = F.lit(False)
     for c in plan.columns:
-        ours, theirs = col(f"__left_{c}"), col(f"__right_{c}")
-        same = in_left & in_right & ours.eqNullSafe(theirs)
+        ours, theirs, same = col(f"__left_{c}"), col(f"__right_{c}"), col(f"__same_{c}")
         differs_any = differs_any | ~same
         verdict = F.when(same, MATCH).otherwise(MISMATCH).alias(f"{c}_match")
         if c in plan.list_columns:
@@ -280,10 +291,12 @@ def code_tally(compared: DataFrame, column: str, various: str = VARIOUS) -> Data
     the only shuffle is the final count per pair.
     """
     ours, theirs = col(f"left_list_{column}"), col(f"right_list_{column}")
-    rows = mismatches(compared, column).select(
-        codes.aligned_pairs(codes.only_in(ours, theirs), codes.only_in(theirs, ours)).alias("pairs")
+    differing = mismatches(compared, column).select(
+        codes.only_in(ours, theirs).alias("ours"), codes.only_in(theirs, ours).alias("theirs")
     )
-    exploded = rows.select(F.explode("pairs").alias("p")).select("p.left", "p.right")
+    rows = differing.select(codes.aligned_pairs(col("ours"), col("theirs")).alias("pairs"))
+    # The outer form keeps the size filter of a plain explode from aligning every list twice.
+    exploded = rows.select(F.explode_outer("pairs").alias("p")).select("p.left", "p.right")
     pairs = (
         exploded.where((col("left") != codes.NO_MATCH) & (col("right") != codes.NO_MATCH))
         .groupBy("left", "right")
@@ -325,8 +338,11 @@ def audit_extra_rows(prepared: DataFrame, plan: Plan) -> DataFrame:
 
 def audit_prefix_conflicts(prepared: DataFrame, plan: Plan, column: str) -> DataFrame:
     """Rows whose list holds several codes with one prefix."""
-    described = prepared.select(col(plan.key), codes.prefix_conflicts(col(column)).alias("found"))
-    return described.select(col(plan.key), F.explode("found").alias("conflicts"))
+    described = prepared.select(col(plan.key), codes.prefix_conflicts(col(column)).alias("conflicts"))
+    # Through an outer explode, because a filter on the text itself (or the size filter of a
+    # plain explode) would be pushed below the projections and parse every list twice.
+    exploded = described.select(col(plan.key), F.explode_outer(F.array("conflicts")).alias("conflicts"))
+    return exploded.where("conflicts is not null")
 
 
 def audit_empty_columns(prepared: DataFrame, plan: Plan) -> DataFrame:

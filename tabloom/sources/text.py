@@ -61,21 +61,18 @@ def parse_flat(lines: DataFrame, names: Sequence[str], line: str = "value", sep:
 
 
 def _kv_entries(cells: Column) -> Column:
-    """Entries of a key:value row in order: id, timestamp, then the ``key:value`` cells."""
-    trimmed = F.transform(cells, strip)
-    width = F.size(trimmed)
+    """Entries of a key:value row, from trimmed cells: id, timestamp, then the ``key:value`` cells."""
+    width = F.size(cells)
 
     def entry(key: Column, value: Column) -> Column:
         return F.struct(key.alias("key"), value.alias("value"))
 
-    middle = F.filter(F.slice(trimmed, F.lit(2), F.greatest(width - 2, F.lit(0))), lambda c: c.contains(":"))
+    middle = F.filter(F.slice(cells, F.lit(2), F.greatest(width - 2, F.lit(0))), lambda c: c.contains(":"))
     pairs = F.transform(
         middle,
         lambda c: entry(strip(F.substring_index(c, ":", 1)), strip(F.substr(c, F.instr(c, ":") + 1))),
     )
-    ends = F.array(
-        entry(F.lit("id"), F.get(trimmed, F.lit(0))), entry(F.lit("timestamp"), F.get(trimmed, width - 1))
-    )
+    ends = F.array(entry(F.lit("id"), F.get(cells, F.lit(0))), entry(F.lit("timestamp"), F.get(cells, width - 1)))
     return F.when(width >= 2, F.concat(ends, pairs))
 
 
@@ -84,7 +81,9 @@ def kv_entries(lines: DataFrame, line: str = "value", sep: str = ",") -> DataFra
     kept = [c for c in lines.columns if c != line]
     cells = lines.withColumn("__cells", split_cells(col(line), sep))
     cells = cells.where(not_blank(col(line), col("__cells"), sep))
-    return cells.select(_kv_entries(col("__cells")).alias("entries"), *[col(c) for c in kept])
+    # Separate projections: the trimmed cells are used several times per row.
+    trimmed = cells.select(F.transform("__cells", strip).alias("__cells"), *[col(c) for c in kept])
+    return trimmed.select(_kv_entries(col("__cells")).alias("entries"), *[col(c) for c in kept])
 
 
 def discover_keys(entries: DataFrame, row: str = ROW, max_keys: int = MAX_KEYS) -> list[str]:
