@@ -296,24 +296,23 @@ def _summary(df: DataFrame, keys: Sequence[Key], peers: int, cuts: _Cuts, output
 
     back = W.partitionBy("hi_run").orderBy(_B)
     ahead = W.partitionBy("lo_run").orderBy(F.desc(_B))
-    dense = dense.withColumn("run_tail", F.sum("tail_n").over(back)).withColumn(
-        "run_head", F.sum("head_n").over(ahead)
-    )
+    runs = {"run_tail": F.sum("tail_n").over(back), "run_head": F.sum("head_n").over(ahead)}
+    peer_sums = range(len(sums)) if "running_sum_peers" in kinds else ()
+    runs |= {f"run_head_s{i}": F.sum(f"head_s{i}").over(ahead) for i in peer_sums}
+    dense = dense.withColumns(runs)
     offsets += [
         F.coalesce(F.lag("run_tail").over(by_bucket), F.lit(0)).alias("carry_n"),
         F.coalesce(F.lead("run_head").over(by_bucket), F.lit(0)).alias("fwd_n"),
+        *[F.lead(f"run_head_s{i}").over(by_bucket).alias(f"fwd_s{i}") for i in peer_sums],
     ]
     if "dense_rank" in kinds:
-        dense = dense.withColumn("prev_tail", F.coalesce(F.lag("run_tail").over(by_bucket), F.lit(0)))
-        dense = dense.withColumn("span", ((col("prev_tail") > 0) & (col("head_n") > 0)).cast("long"))
+        # 1 where the bucket's first key began in an earlier bucket, so it is counted once.
+        carried = F.coalesce(F.lag("run_tail").over(by_bucket), F.lit(0)) > 0
+        dense = dense.withColumn("span", (carried & (col("head_n") > 0)).cast("long"))
         offsets += [
             col("span"),
             F.coalesce(F.sum(col("d") - col("span")).over(earlier), F.lit(0)).alias("off_d"),
         ]
-    if "running_sum_peers" in kinds:
-        for i, _ in enumerate(sums):
-            dense = dense.withColumn(f"run_head_s{i}", F.sum(f"head_s{i}").over(ahead))
-            offsets.append(F.lead(f"run_head_s{i}").over(by_bucket).alias(f"fwd_s{i}"))
     return dense.select(*offsets)
 
 
@@ -349,14 +348,13 @@ def _positions(
     if "running_sum_peers" in kinds:
         for i, c in enumerate(sums):
             local[f"__range{i}"] = F.sum(col(c)).over(by_peer.rangeBetween(W.unboundedPreceding, 0))
-    for name, window in local.items():
-        rows = rows.withColumn(name, window)
-    rows = rows.join(summary, _B)
+    rows = rows.withColumns(local).join(summary, _B)
 
     head = cuts.row_matches_cut(col(_B) - 1, peers)
     tail = cuts.row_matches_cut(col(_B), peers)
     number = col("off_n") + col("__rn")
     rank_value = F.when(head, col("off_n") - col("carry_n") + 1).otherwise(col("off_n") + col("__rank"))
+    values: dict[str, Column] = {}
     for name, out in outputs.items():
         if out.kind == "row_number":
             value = number
@@ -385,8 +383,8 @@ def _positions(
             value = _plus(col(f"off_s{i}"), col(f"__range{i}"), F.when(tail, col(f"fwd_s{i}")))
         else:
             raise ValueError(f"unknown window output: {out.kind}")
-        rows = rows.withColumn(name, value)
-    return rows
+        values[name] = value
+    return rows.withColumns(values)
 
 
 def tile_of(number: Column, total: Column, tiles: int) -> Column:
@@ -412,14 +410,15 @@ def _neighbours(
     else:
         rows = rows.withColumn("__halo", F.lit(False))
     window = W.partitionBy(_B).orderBy(*order)
+    values: dict[str, Column] = {}
     for name, out in outputs.items():
         if out.kind == "lag":
             value = F.lag(col(out.column), out.size).over(window)
         else:
             frame = window.rowsBetween(1 - out.size, 0)
             value = (F.avg if out.kind == "moving_avg" else F.sum)(col(out.column)).over(frame)
-        rows = rows.withColumn(name, value)
-    return rows.where(~col("__halo"))
+        values[name] = value
+    return rows.withColumns(values).where(~col("__halo"))
 
 
 def _halo(df: DataFrame, keys: Sequence[Key], cuts: _Cuts, outputs: dict[str, Out], reach: int) -> DataFrame:

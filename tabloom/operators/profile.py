@@ -83,7 +83,7 @@ def _as_text(df: DataFrame, name: str) -> Column:
     return col(name).cast("string")
 
 
-def summarize(df: DataFrame, *, exact_percentiles: bool = False, accuracy: int = 10_000) -> DataFrame:
+def summarize(df: DataFrame, *, exact_percentiles: bool = False, accuracy: int = 1000) -> DataFrame:
     """Type, count, min, max, mean, deviation, quartiles, NULL share and distinct estimate per column.
 
     Statistics of text columns are shown only where min or max parse as a number.
@@ -106,8 +106,10 @@ def summarize(df: DataFrame, *, exact_percentiles: bool = False, accuracy: int =
     def stat(c: str, pick) -> Column:
         return rounded(pick(number(df, c))) if c in numeric else F.lit(None).cast("double")
 
-    def quartile(p: float):
-        return lambda c: stat(c, lambda v: F.percentile_approx(v, p, accuracy))
+    def quartiles(c: str) -> Column:
+        if c in numeric:
+            return F.percentile_approx(number(df, c), [0.25, 0.5, 0.75], accuracy)
+        return F.lit(None).cast("array<double>")
 
     measures = {
         "type": lambda c: F.lit(df.schema[c].dataType.simpleString()),
@@ -118,7 +120,8 @@ def summarize(df: DataFrame, *, exact_percentiles: bool = False, accuracy: int =
         "std": lambda c: stat(c, F.stddev_samp),
     }
     if not exact_percentiles:
-        measures |= {"q25": quartile(0.25), "q50": quartile(0.5), "q75": quartile(0.75)}
+        # One sketch per column serves all three.
+        measures["quartiles"] = quartiles
     measures |= {
         "null_percentage": lambda c: F.round(
             F.coalesce(F.try_divide(F.count_if(col(c).isNull()).cast("double"), F.count(F.lit(1))) * 100, F.lit(0.0)), 2
@@ -133,6 +136,10 @@ def summarize(df: DataFrame, *, exact_percentiles: bool = False, accuracy: int =
         result = result.join(F.broadcast(quartiles), "column").withColumns(
             {q: F.round(col(q), 2) for q in ("q25", "q50", "q75")}
         )
+    else:
+        result = result.withColumns(
+            {q: F.round(F.get("quartiles", F.lit(i)), 2) for i, q in enumerate(("q25", "q50", "q75"))}
+        )
     return result.select(
         "column", "type", "count", "min", "max", "avg", "std", "q25", "q50", "q75", "null_percentage", "distinct_count"
     )

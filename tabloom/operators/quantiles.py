@@ -1,66 +1,79 @@
-"""Exact ungrouped percentiles (linear interpolation) of a numeric expression.
+"""Exact ungrouped percentiles (linear interpolation) of numeric expressions.
 
 The built-in exact percentile keeps one map entry per distinct value in a single
-buffer.  That is fine up to ``EXACT_ROWS`` rows; beyond it the value range is
-narrowed first: a mergeable sketch brackets each wanted rank, one aggregate
-counts the rows below and inside each bracket, and the step repeats inside the
-bracket until it holds few rows or a single value.  Every pass is a map-side
-combined aggregate over one column; nothing is shuffled or collected except the
+buffer.  That is fine up to ``EXACT_ROWS`` rows; beyond it the value range around
+each wanted rank is narrowed first:
+
+1. a sample of bounded size proposes a value bracket around each rank,
+2. one aggregate counts the rows below and inside each bracket,
+3. the steps repeat inside the bracket until it holds few rows or a single value.
+
+Sampling only chooses where to count; the counts make the result exact.  Several
+expressions share every pass.  Nothing is shuffled or collected but the
 per-bracket counts.
 """
 from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EXACT_ROWS = 200_000
-_ACCURACY = 10_000
+SAMPLE_ROWS = 50_000
+
+
+@dataclass(frozen=True)
+class _Bracket:
+    """A closed value range of column ``v<i>``, the rows below it and the rows inside it."""
+
+    i: int
+    lo: float
+    hi: float
+    below: int
+    inside: int
+
+    def test(self) -> Column:
+        return F.col(f"v{self.i}").between(self.lo, self.hi)
+
+    def cells(self) -> Column:
+        return F.when(self.test(), F.col(f"v{self.i}"))
 
 
 def exact_quantiles_of(
     df: DataFrame, values: Mapping[str, Column], probabilities: Sequence[float], *, exact_rows: int = EXACT_ROWS
 ) -> dict[str, list[float | None]]:
-    """Percentiles of several expressions; those with few rows share one pass."""
+    """Percentiles of the non-NULL values of each expression, as Python floats (a constant-size result)."""
     names = list(values)
     cells = df.select(*[values[n].cast("double").alias(f"v{i}") for i, n in enumerate(names)])
-    rows = cells.agg(*[F.count(f"v{i}").alias(f"v{i}") for i, _ in enumerate(names)]).first()
-    few = [i for i, _ in enumerate(names) if rows[f"v{i}"] <= exact_rows]
-    shared = (
-        cells.agg(*[F.percentile(f"v{i}", list(probabilities)).alias(f"v{i}") for i in few]).first() if few else {}
-    )
+    counted = cells.agg(
+        *[F.count(f"v{i}").alias(f"n{i}") for i, _ in enumerate(names)],
+        *[F.min(f"v{i}").alias(f"lo{i}") for i, _ in enumerate(names)],
+        *[F.max(f"v{i}").alias(f"hi{i}") for i, _ in enumerate(names)],
+    ).first()
+    rows = [counted[f"n{i}"] for i, _ in enumerate(names)]
+    targets = {
+        (i, rank): _Bracket(i, counted[f"lo{i}"], counted[f"hi{i}"], 0, rows[i])
+        for i, _ in enumerate(names)
+        if rows[i]
+        for p in probabilities
+        for rank in _ranks(p, rows[i])
+    }
+    targets = _narrow_all(cells, targets, exact_rows)
+    at = _pick(cells, targets)
     out: dict[str, list[float | None]] = {}
-    for i, n in enumerate(names):
-        if i in few:
-            out[n] = list(shared[f"v{i}"] or [None] * len(probabilities))
-        else:
-            out[n] = exact_quantiles(df, values[n], probabilities, exact_rows=exact_rows)
+    for i, name in enumerate(names):
+        out[name] = [_interpolate(p, rows[i], i, at) for p in probabilities]
     return out
 
 
 def exact_quantiles(
     df: DataFrame, value: Column, probabilities: Sequence[float], *, exact_rows: int = EXACT_ROWS
 ) -> list[float | None]:
-    """Percentiles of the non-NULL values, as Python floats (a constant-size result)."""
-    values = df.select(value.cast("double").alias("v")).where("v is not null")
-    rows = values.count()
-    if rows == 0:
-        return [None] * len(probabilities)
-    if rows <= exact_rows:
-        found = values.agg(F.percentile("v", list(probabilities)).alias("p")).first()["p"]
-        return list(found)
-    ranks = sorted({r for p in probabilities for r in _ranks(p, rows)})
-    at = dict(zip(ranks, _select(values, rows, ranks, exact_rows)))
-    out = []
-    for p in probabilities:
-        position = p * (rows - 1)
-        low, high = _ranks(p, rows)
-        out.append(
-            at[low] if low == high else (high - position) * at[low] + (position - low) * at[high]
-        )
-    return out
+    """Percentiles of one expression."""
+    return exact_quantiles_of(df, {"value": value}, probabilities, exact_rows=exact_rows)["value"]
 
 
 def _ranks(p: float, rows: int) -> tuple[int, int]:
@@ -68,63 +81,90 @@ def _ranks(p: float, rows: int) -> tuple[int, int]:
     return math.floor(position), math.ceil(position)
 
 
-def _select(values: DataFrame, rows: int, ranks: Sequence[int], exact_rows: int) -> list[float]:
-    """The values at 0-based ``ranks`` of the sorted column."""
-    # Per rank: the closed value bracket, the rows below it, the rows inside it.
-    span = values.agg(F.min("v").alias("lo"), F.max("v").alias("hi")).first()
-    brackets = [(span["lo"], span["hi"], 0, rows)] * len(ranks)
+def _interpolate(p: float, rows: int, i: int, at: Mapping[tuple[int, int], float]) -> float | None:
+    if not rows:
+        return None
+    position = p * (rows - 1)
+    low, high = _ranks(p, rows)
+    if low == high:
+        return at[i, low]
+    return (high - position) * at[i, low] + (position - low) * at[i, high]
+
+
+def _narrow_all(cells: DataFrame, targets: dict, exact_rows: int) -> dict:
+    """Shrink every bracket to few rows or one value; each round is two passes for all of them."""
     while True:
-        wide = [i for i, (lo, hi, _, inside) in enumerate(brackets) if lo != hi and inside > exact_rows]
+        wide = {t: b for t, b in targets.items() if b.lo != b.hi and b.inside > exact_rows}
         if not wide:
-            break
-        proposals = _propose(values, ranks, brackets, wide)
-        counts = values.agg(
-            *[F.count_if(F.col("v") < lo).alias(f"b{i}") for i, (lo, _) in proposals.items()],
-            *[F.count_if(F.col("v").between(lo, hi)).alias(f"n{i}") for i, (lo, hi) in proposals.items()],
+            return targets
+        proposals = _propose(cells, wide)
+        ranges = list(dict.fromkeys(proposals.values()))
+        counts = cells.agg(
+            *[F.count_if(F.col(f"v{i}") < lo).alias(f"b{j}") for j, (i, lo, _) in enumerate(ranges)],
+            *[F.count_if(F.col(f"v{i}").between(lo, hi)).alias(f"n{j}") for j, (i, lo, hi) in enumerate(ranges)],
         ).first()
-        for i, (lo, hi) in proposals.items():
-            brackets[i] = _narrow(brackets[i], ranks[i], lo, hi, counts[f"b{i}"], counts[f"n{i}"])
-    left = [i for i, (lo, hi, _, _) in enumerate(brackets) if lo != hi]
-    picked: dict = {}
-    if left:
-        inner = values.select(
-            *[F.when(F.col("v").between(*brackets[i][:2]), F.col("v")).alias(f"q{i}") for i in left]
-        )
-        # Half a row past the rank, so the discrete percentile cannot fall one short.
-        share = {i: (ranks[i] - brackets[i][2] + 0.5) / brackets[i][3] for i in left}
-        picked = inner.agg(
-            *[F.expr(f"percentile_disc({share[i]!r}D) within group (order by q{i})").alias(f"q{i}") for i in left]
-        ).first().asDict()
-    return [picked[f"q{i}"] if i in left else brackets[i][0] for i in range(len(ranks))]
-
-
-def _propose(
-    values: DataFrame, ranks: Sequence[int], brackets: Sequence[tuple], wide: Sequence[int]
-) -> dict[int, tuple[float, float]]:
-    """Sketch a tighter value range around each wanted rank."""
-    aggs = []
-    for i in wide:
-        lo, hi, below, inside = brackets[i]
-        target = (ranks[i] - below) / max(inside - 1, 1)
-        margin = 3.0 / _ACCURACY
-        around = [max(0.0, target - margin), target, min(1.0, target + margin)]
-        inner = F.when(F.col("v").between(lo, hi), F.col("v"))
-        aggs.append(F.percentile_approx(inner, around, _ACCURACY).alias(f"q{i}"))
-    sketch = values.agg(*aggs).first()
+        for target, bracket in wide.items():
+            j = ranges.index(proposals[target])
+            _, lo, hi = ranges[j]
+            targets[target] = _shrink(bracket, target[1], lo, hi, counts[f"b{j}"], counts[f"n{j}"])
+
+
+def _propose(cells: DataFrame, wide: Mapping) -> dict:
+    """A tighter value range around each wanted rank, from a sample."""
+    fraction = min(1.0, SAMPLE_ROWS / max(b.inside for b in wide.values()))
+    # Neighbouring ranks round to one share, so that they keep one bracket.
+    shares = {t: round((t[1] - b.below) / max(b.inside - 1, 1), 5) for t, b in wide.items()}
+    groups: dict[_Bracket, list[float]] = {}
+    for t, b in wide.items():
+        groups.setdefault(b, []).append(shares[t])
+    aggs, places = [], {}
+    for g, (b, wanted) in enumerate(groups.items()):
+        points: list[float] = []
+        for share in dict.fromkeys(wanted):
+            margin = 4 * math.sqrt(share * (1 - share) / (b.inside * fraction)) + 2 / (b.inside * fraction) + 2e-5
+            places[b, share] = (g, len(points))
+            points += [max(0.0, share - margin), share, min(1.0, share + margin)]
+        aggs.append(F.percentile(b.cells(), points).alias(f"g{g}"))
+    sample = cells if fraction >= 1.0 else cells.sample(fraction, seed=29)
+    found = sample.agg(*aggs).first()
     proposals = {}
-    for i in wide:
-        lo, middle, hi = sketch[f"q{i}"]
+    for t, b in wide.items():
+        g, at = places[b, shares[t]]
+        if found[f"g{g}"] is None:
+            lo, middle, hi = b.lo, b.lo + (b.hi - b.lo) / 2, b.hi
+        else:
+            lo, middle, hi = found[f"g{g}"][at : at + 3]
         # A bracket of few heavy values may not shrink: test one value, which settles or drops it.
-        proposals[i] = (middle, middle) if (lo, hi) == brackets[i][:2] else (lo, hi)
+        proposals[t] = (b.i, middle, middle) if (lo, hi) == (b.lo, b.hi) else (b.i, lo, hi)
     return proposals
 
 
-def _narrow(bracket: tuple, rank: int, lo: float, hi: float, below: int, inside: int) -> tuple:
-    """Keep the part of the bracket, relative to [lo, hi], that holds ``rank``."""
-    old_lo, old_hi, old_below, old_inside = bracket
+def _shrink(old: _Bracket, rank: int, lo: float, hi: float, below: int, inside: int) -> _Bracket:
+    """The part of the bracket, relative to [lo, hi], that holds ``rank``."""
     if below <= rank < below + inside:
-        return lo, hi, below, inside
+        return _Bracket(old.i, lo, hi, below, inside)
     if rank < below:
-        return old_lo, math.nextafter(lo, -math.inf), old_below, below - old_below
+        return _Bracket(old.i, old.lo, math.nextafter(lo, -math.inf), old.below, below - old.below)
     above = below + inside
-    return math.nextafter(hi, math.inf), old_hi, above, old_below + old_inside - above
+    return _Bracket(old.i, math.nextafter(hi, math.inf), old.hi, above, old.below + old.inside - above)
+
+
+def _pick(cells: DataFrame, targets: Mapping) -> dict:
+    """The value at each rank, from brackets that hold few rows, in one pass."""
+    at = {t: b.lo for t, b in targets.items() if b.lo == b.hi}
+    groups: dict[_Bracket, list[tuple]] = {}
+    for t, b in targets.items():
+        if b.lo != b.hi:
+            groups.setdefault(b, []).append(t)
+    if not groups:
+        return at
+    inner = cells.select(*[b.cells().alias(f"g{g}") for g, b in enumerate(groups)])
+    aggs = []
+    for g, (b, wanted) in enumerate(groups.items()):
+        # Half a row past the rank, so that the discrete percentile cannot fall one short.
+        shares = ", ".join(f"{(rank - b.below + 0.5) / b.inside!r}D" for _, rank in wanted)
+        aggs.append(F.expr(f"percentile_disc(array({shares})) within group (order by g{g})").alias(f"g{g}"))
+    found = inner.agg(*aggs).first()
+    for g, wanted in enumerate(groups.values()):
+        at.update(zip(wanted, found[f"g{g}"]))
+    return at

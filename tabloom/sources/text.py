@@ -88,8 +88,10 @@ def kv_entries(lines: DataFrame, line: str = "value", sep: str = ",") -> DataFra
 
 def discover_keys(entries: DataFrame, row: str = ROW, max_keys: int = MAX_KEYS) -> list[str]:
     """Keys in first-seen order.  Only the distinct keys reach the driver."""
+    # The outer form: the size filter of a plain explode would parse every line twice.
     seen = (
-        entries.select(col(row), F.posexplode("entries.key").alias("pos", "key"))
+        entries.select(col(row), F.posexplode_outer("entries.key").alias("pos", "key"))
+        .where("key is not null")
         .groupBy("key")
         .agg(F.min(F.struct(col(row), "pos")).alias("first"))
         .orderBy("first")
@@ -105,8 +107,8 @@ def project_keys(entries: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One column per key; the last entry of a key wins; blank values are NULL."""
 
     def value_of(key: str) -> Column:
-        hits = F.filter(F.coalesce(col("entries"), F.array()), lambda e: e["key"] == F.lit(key))
-        return F.nullif(F.get(hits, F.size(hits) - 1)["value"], F.lit("")).alias(key)
+        hits = F.filter(col("entries"), lambda e: e["key"] == F.lit(key))
+        return F.nullif(F.try_element_at(hits, F.lit(-1))["value"], F.lit("")).alias(key)
 
     kept = [c for c in entries.columns if c != "entries"]
     return entries.select(*[value_of(k) for k in keys], *[col(c) for c in kept])
