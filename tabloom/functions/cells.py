@@ -34,6 +34,12 @@ def business_columns(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c != ROW]
 
 
+def sort_rows(df: DataFrame, *order: Column) -> DataFrame:
+    """Sort rows with a tie-breaker, so that equal values can be spread over several tasks."""
+    tie = F.col(ROW) if ROW in df.columns else F.xxhash64(*[col(c) for c in df.columns])
+    return df.orderBy(*order, tie)
+
+
 def is_numeric_type(kind: T.DataType) -> bool:
     return isinstance(kind, T.NumericType)
 

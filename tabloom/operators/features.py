@@ -10,7 +10,6 @@ from pyspark.sql import types as T
 
 from ..functions.cells import business_columns, col, is_numeric_type, number
 from .joins import with_constants
-from .pivot import levels
 from .quantiles import exact_quantiles_of
 
 
@@ -22,6 +21,12 @@ def text_columns(df: DataFrame) -> list[str]:
     return [c for c in business_columns(df) if isinstance(df.schema[c].dataType, T.StringType)]
 
 
+def _cells(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The non-NULL cells of several text columns as (column, value) rows."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), col(c).alias("value")) for c in columns])
+    return df.select(F.explode(pairs).alias("p")).select("p.column", "p.value").where("value is not null")
+
+
 def modes(df: DataFrame, columns: Sequence[str]) -> dict[str, str]:
     """Most frequent value per text column, the smallest on ties.
 
@@ -30,12 +35,7 @@ def modes(df: DataFrame, columns: Sequence[str]) -> dict[str, str]:
     """
     if not columns:
         return {}
-    pairs = df.select(
-        F.explode(
-            F.array(*[F.struct(F.lit(c).alias("column"), col(c).alias("value")) for c in columns])
-        ).alias("p")
-    ).select("p.column", "p.value")
-    counted = pairs.where("value is not null").groupBy("column", "value").count()
+    counted = _cells(df, columns).groupBy("column", "value").count()
     best = counted.groupBy("column").agg(
         F.min_by("value", F.struct((-col("count")).alias("n"), col("value").alias("v"))).alias("mode")
     )
@@ -60,31 +60,32 @@ def impute(
     return df.withColumns(fills) if fills else df
 
 
-def low_cardinality(df: DataFrame, columns: Sequence[str], max_levels: int = 10) -> list[str]:
-    """Columns with fewer than ``max_levels`` distinct values, from one aggregate of sketches.
+def low_cardinality(df: DataFrame, columns: Sequence[str], max_levels: int = 10) -> dict[str, list[str]]:
+    """Sorted values of the text columns with fewer than ``max_levels`` of them.
 
-    The sketch only rules out columns far above the limit; the rest are counted exactly.
+    A pass of sketches rules out columns far above the limit, so the exact distinct
+    values collected next are few.
     """
     if not columns:
-        return []
+        return {}
     rough = df.agg(*[F.approx_count_distinct(col(c)).alias(f"c{i}") for i, c in enumerate(columns)]).first()
     near = [c for i, c in enumerate(columns) if rough[f"c{i}"] < 4 * max_levels]
-    if not near:
-        return []
-    exact = df.agg(*[F.count_distinct(col(c)).alias(f"c{i}") for i, c in enumerate(near)]).first()
-    return [c for i, c in enumerate(near) if exact[f"c{i}"] < max_levels]
+    found: dict[str, list[str]] = {c: [] for c in near}
+    if near:
+        for r in _cells(df, near).distinct().collect():
+            found[r["column"]].append(r["value"])
+    return {c: sorted(values) for c, values in found.items() if len(values) < max_levels}
 
 
 def one_hot(df: DataFrame, columns: Sequence[str] | None = None, max_levels: int = 10) -> DataFrame:
     """0/1 columns per category value except the first; wide columns pass through unchanged."""
     chosen = low_cardinality(df, text_columns(df) if columns is None else list(columns), max_levels)
-    flags = {
-        f"{c}_{level}": F.coalesce((col(c) == F.lit(level)).cast("int"), F.lit(0))
-        for c in chosen
-        for level in levels(df, c)[1:]
-    }
-    kept = [col(c) for c in df.columns if c not in chosen]
-    return df.select(*kept, *[value.alias(name) for name, value in flags.items()])
+    flags = [
+        F.coalesce((col(c) == F.lit(level)).cast("int"), F.lit(0)).alias(f"{c}_{level}")
+        for c, values in chosen.items()
+        for level in values[1:]
+    ]
+    return df.select(*[col(c) for c in df.columns if c not in chosen], *flags)
 
 
 def scale(df: DataFrame, column: str) -> DataFrame:

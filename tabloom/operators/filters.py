@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.cells import col, number, text_features, tier, value_band
+from ..functions.cells import col, number, sort_rows, text_features, tier, value_band
 from ..functions.dates import date_features, moment
 from .quantiles import exact_quantiles
 
@@ -61,7 +61,7 @@ def status_and_amount(df: DataFrame, status: str | None, field: str, wanted: str
 
 
 def high_values(df: DataFrame, field: str, above: float = 10_000) -> DataFrame:
-    return df.where(number(df, field) > above).orderBy(col(field).desc_nulls_last())
+    return sort_rows(df.where(number(df, field) > above), col(field).desc_nulls_last())
 
 
 def with_date_features(df: DataFrame, date_column: str) -> DataFrame:

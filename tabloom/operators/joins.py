@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.cells import col, number
+from ..functions.cells import col, number, sort_rows
 from ..staging import stage
 
 # A lookup side up to this many rows is broadcast; a larger one is joined by key.
@@ -75,7 +75,7 @@ def above_average(df: DataFrame, value: str, columns: Sequence[str] | None = Non
     """Rows whose value exceeds the overall mean, largest first."""
     mean = df.agg(F.avg(number(df, value)).alias("__mean"))
     kept = with_constants(df, mean).where(number(df, value) > col("__mean")).drop("__mean")
-    return kept.select(*[col(c) for c in columns or df.columns]).orderBy(col(value).desc_nulls_last())
+    return sort_rows(kept.select(*[col(c) for c in columns or df.columns]), col(value).desc_nulls_last())
 
 
 def first_seen(df: DataFrame, entity: str, when: str, name: str = "first_seen") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.cells import col, number
+from ..staging import stage
 from .aggregate import aggregate_function
 
 MAX_LEVELS = 1000
@@ -51,11 +52,14 @@ def pivot_long(df: DataFrame, row_key: str, col_key: str, value: str, func: str
 def crosstab_percent(df: DataFrame, rows: str, columns: str, *, max_levels: int = MAX_LEVELS) -> DataFrame:
     """Share of each column value within a row value, in percent."""
     kept = df.where(col(rows).isNotNull() & col(columns).isNotNull())
+    counts = stage(
+        kept.groupBy(col(rows), col(columns).alias("__c")).agg(F.count(F.lit(1)).alias("__n")), "crosstab"
+    )
     cells = [
-        (F.count_if(col(columns) == F.lit(level)) / F.count(F.lit(1)) * 100).alias(str(level))
-        for level in levels(kept, columns, max_levels)
+        (F.sum(F.when(col("__c") == F.lit(level), col("__n")).otherwise(0)) / F.sum("__n") * 100).alias(str(level))
+        for level in levels(counts, "__c", max_levels)
     ]
-    return kept.groupBy(col(rows)).agg(*cells).orderBy(col(rows))
+    return counts.groupBy(col(rows)).agg(*cells).orderBy(col(rows))
 
 
 def crosstab_margins(
@@ -63,10 +67,12 @@ def crosstab_margins(
 ) -> DataFrame:
     """Counts per pair of values with a total column and a total row (last)."""
     kept = df.where(col(rows).isNotNull() & col(columns).isNotNull())
-    found = levels(kept, columns, max_levels)
-    counts = kept.groupBy(col(rows).cast("string").alias(rows), col(columns).alias("__c")).agg(
-        F.count(F.lit(1)).alias("__n")
+    # Staged: the counts give both the levels and the cells, so the input is read once.
+    counts = stage(
+        kept.groupBy(col(rows).cast("string").alias(rows), col(columns).alias("__c")).agg(F.count(F.lit(1)).alias("__n")),
+        "crosstab",
     )
+    found = levels(counts, "__c", max_levels)
     cells = [
         F.coalesce(F.sum(F.when(col("__c") == F.lit(level), col("__n"))), F.lit(0)).alias(str(level))
         for level in found

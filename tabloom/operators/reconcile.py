@@ -295,26 +295,30 @@ def code_tally(compared: DataFrame, column: str, various: str = VARIOUS) -> Data
         codes.only_in(ours, theirs).alias("ours"), codes.only_in(theirs, ours).alias("theirs")
     )
     rows = differing.select(codes.aligned_pairs(col("ours"), col("theirs")).alias("pairs"))
-    # The outer form keeps the size filter of a plain explode from aligning every list twice.
-    exploded = rows.select(F.explode_outer("pairs").alias("p")).select("p.left", "p.right")
-    pairs = (
-        exploded.where((col("left") != codes.NO_MATCH) & (col("right") != codes.NO_MATCH))
-        .groupBy("left", "right")
-        .agg(F.count(F.lit(1)).alias("count"))
-    )
 
-    def unmatched(side: str) -> Column:
-        return F.count_if(F.exists("pairs", lambda p: p[side] == codes.NO_MATCH))
+    def pair(left: Column, right: Column) -> Column:
+        return F.struct(left.alias("left"), right.alias("right"))
 
-    rollup = rows.agg(unmatched("left").alias("l"), unmatched("right").alias("r")).select(
-        F.inline(
-            F.array(
-                F.struct(F.lit(codes.NO_MATCH).alias("left"), F.lit(various).alias("right"), col("l").alias("count")),
-                F.struct(F.lit(various).alias("left"), F.lit(codes.NO_MATCH).alias("right"), col("r").alias("count")),
-            )
+    def unmatched(side: str, total: Column) -> Column:
+        """One roll-up entry for the row if any of its codes lacks a partner on this side."""
+        return F.when(F.exists("pairs", lambda p: p[side] == codes.NO_MATCH), F.array(total)).otherwise(
+            F.filter("pairs", lambda p: F.lit(False))
         )
+
+    none, any_code = F.lit(codes.NO_MATCH), F.lit(various)
+    entries = F.concat(
+        F.filter("pairs", lambda p: (p["left"] != codes.NO_MATCH) & (p["right"] != codes.NO_MATCH)),
+        unmatched("left", pair(none, any_code)),
+        unmatched("right", pair(any_code, none)),
+    )
+    # The outer form keeps the size filter of a plain explode from aligning every list twice.
+    exploded = rows.select(F.explode_outer(entries).alias("p")).where("p is not null")
+    rank = F.when(col("left") == codes.NO_MATCH, 0).when(col("right") == codes.NO_MATCH, 1).otherwise(2)
+    return (
+        exploded.groupBy(col("p.left").alias("left"), col("p.right").alias("right"))
+        .agg(F.count(F.lit(1)).alias("count"))
+        .orderBy(rank, F.desc("count"), "left", "right")
     )
-    return rollup.where(col("count") > 0).unionByName(pairs.orderBy(F.desc("count"), "left", "right"))
 
 
 def audit_duplicates(prepared: DataFrame, plan: Plan) -> DataFrame:

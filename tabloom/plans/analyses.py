@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.cells import business_columns, col, is_numeric_type, number
+from ..functions.cells import business_columns, col, is_numeric_type, number, sort_rows
 from ..operators import aggregate as agg
 from ..operators import entities, features, filters, ordered, pivot, profile, quality, timeline
 from ..operators.joins import LOOKUP_ROWS, above_average, join_group_average, lookup
@@ -140,16 +140,16 @@ def advanced_sql_patterns(
         tie=ties,
     )
     out = {
-        "running_total": timed.orderBy(col(timestamp)),
-        "moving_average": near.drop("prev_amount", "growth").orderBy(col(timestamp)),
-        "row_over_row": near.drop("moving_avg_3_period").orderBy(col(timestamp)),
+        "running_total": sort_rows(timed, col(timestamp)),
+        "moving_average": sort_rows(near.drop("prev_amount", "growth"), col(timestamp)),
+        "row_over_row": sort_rows(near.drop("moving_avg_3_period"), col(timestamp)),
         "ranks": ranks.orderBy(col("row_num")),
     }
     if status in df.columns:
         means = join_group_average(
             df, status, amount, how="inner", mean_name="category_avg", diff_name="diff_from_avg"
         )
-        out["difference_from_average"] = means.orderBy(F.desc_nulls_last("diff_from_avg"))
+        out["difference_from_average"] = sort_rows(means, F.desc_nulls_last("diff_from_avg"))
     return out
 
 
@@ -298,7 +298,7 @@ def sample_sql(df: DataFrame, **roles: str) -> Results:
         return {}
     out = {
         "preview": profile.preview(df, 5),
-        "value_tiers": filters.value_tiers(df, amount).orderBy(col(amount).desc_nulls_last()),
+        "value_tiers": sort_rows(filters.value_tiers(df, amount), col(amount).desc_nulls_last()),
         "high_values": filters.high_values(df, amount),
         "above_average": above_average(df, amount),
     }

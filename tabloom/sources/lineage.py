@@ -28,8 +28,9 @@ def tag_splits(scan: DataFrame) -> DataFrame:
     )
 
 
-def number_rows(tagged: DataFrame, start: int = 1, *, skip_per_file: int = 0, name: str = ROW) -> DataFrame:
+def number_rows(tagged: DataFrame, start: int = 1, *, skip_per_file: int = 0, name_of_row: str = ROW) -> DataFrame:
     """Replace the split columns by a row number; optionally drop the first rows of each file."""
+    _pin_splits(tagged)
     rows = tagged.withColumn(_ID, F.monotonically_increasing_id())
     splits = rows.groupBy(_FILE, _START).agg(F.min(_ID).alias("__first"), F.count(F.lit(1)).alias("__n"))
     # Staged, so that its size is known and it is counted once: one row per split.
@@ -41,12 +42,26 @@ def number_rows(tagged: DataFrame, start: int = 1, *, skip_per_file: int = 0, na
     splits = (
         splits.withColumn("__drop", F.least(F.greatest(F.lit(skip_per_file) - above, F.lit(0)), F.col("__n")))
         .withColumn("__before", F.coalesce(F.sum(F.col("__n") - F.col("__drop")).over(before), F.lit(0)))
-        .drop("__n")
     )
-    joined = rows.join(F.broadcast(splits) if few else splits, [_FILE, _START])
+    joined = rows.join(F.broadcast(splits) if few else splits, [_FILE, _START], "left")
     place = F.col(_ID) - F.col("__first") - F.col("__drop")
-    return (
-        joined.where(place >= 0)
-        .withColumn(name, (F.col("__before") + place + F.lit(start)).cast("long"))
-        .drop(_FILE, _START, _ID, "__first", "__drop", "__before")
+    wanted = F.coalesce(place >= 0, F.lit(True))
+    names = [c for c in tagged.columns if c not in (_FILE, _START)]
+    cells = [F.col(c) for c in names]
+    if skip_per_file:
+        # A caller's filter may be evaluated together with the one that drops the skipped
+        # rows, so those rows must not show it their cells.
+        cells = [F.when(wanted, c).alias(name) for c, name in zip(cells, names)]
+    # Splits that changed after they were counted are an error, never a wrong number.
+    known = F.coalesce(F.col(_ID).between(F.col("__first"), F.col("__first") + F.col("__n") - 1), F.lit(False))
+    number = F.when(known, F.col("__before") + place + F.lit(start)).otherwise(
+        F.raise_error(F.lit("input splits changed after the rows were counted; load the table again")).cast("long")
     )
+    return joined.where(wanted).select(*cells, number.cast("long").alias(name_of_row))
+
+
+def _pin_splits(df: DataFrame) -> None:
+    """Keep the split size from following the number of executors between two scans of one input."""
+    spark = df.sparkSession
+    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
+        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))

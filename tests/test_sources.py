@@ -147,3 +147,15 @@ def test_sinks(spark, tmp_path, format):
 def test_unknown_format(spark, tmp_path):
     with pytest.raises(ValueError, match="unsupported"):
         files.export(spark.range(1), str(tmp_path / "x"), "xlsx")
+
+
+def test_changed_splits_are_an_error(spark, tmp_path):
+    path = write(tmp_path, "t.csv", "n,pad\n" + "".join(f"{i},{'x' * 50}\n" for i in range(2000)))
+    df = tables.read_table(spark, path, header=True, typed=False).df
+    assert df.agg(F.max("_row")).first()[0] == 2000
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        with pytest.raises(Exception, match="splits changed"):
+            df.select("_row", "n").where("n >= '0'").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
