@@ -315,7 +315,7 @@ def code_tally(compared: DataFrame, column: str, various: str = VARIOUS) -> Data
     exploded = rows.select(F.explode_outer(entries).alias("p")).where("p is not null")
     rank = F.when(col("left") == codes.NO_MATCH, 0).when(col("right") == codes.NO_MATCH, 1).otherwise(2)
     return (
-        exploded.groupBy(col("p.left").alias("left"), col("p.right").alias("right"))
+        exploded.groupBy(F.col("p.left").alias("left"), F.col("p.right").alias("right"))
         .agg(F.count(F.lit(1)).alias("count"))
         .orderBy(rank, F.desc("count"), "left", "right")
     )
