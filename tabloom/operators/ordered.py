@@ -160,7 +160,9 @@ class _Cuts:
             reached = ~self._row_before_cut(at - 1, 0)
             return F.when((at <= self.count) & reached, at).otherwise(position)
 
-        return F.aggregate(F.array(*[F.lit(j) for j in jumps]), F.lit(0), advance)
+        found = F.aggregate(F.array(*[F.lit(j) for j in jumps]), F.lit(0), advance)
+        # Never NULL, and known not to be: a join on it then adds no filter that searches again.
+        return F.coalesce(found, F.lit(0))
 
     def _row_before_cut(self, index: Column, level: int) -> Column:
         key = self.keys[level]
@@ -425,9 +427,9 @@ def _halo(df: DataFrame, keys: Sequence[Key], cuts: _Cuts, outputs: dict[str, Ou
     """The ``reach`` rows preceding each bucket, relabelled to that bucket.
 
     The row-number filter becomes a group limit before the shuffle, so each task
-    sends at most ``reach`` rows per bucket.
+    sends at most ``reach`` rows per bucket.  A row precedes every following bucket
+    up to the one that holds the row ``reach`` places after it.
     """
-    spark = df.sparkSession
     used = list(dict.fromkeys([k.name for k in keys] + [o.column for o in outputs.values()]))
     last = (
         df.select(*[col(c) for c in used])
@@ -435,17 +437,12 @@ def _halo(df: DataFrame, keys: Sequence[Key], cuts: _Cuts, outputs: dict[str, Ou
         .withColumn("__back", F.row_number().over(W.partitionBy(_B).orderBy(*[k.reverse_order() for k in keys])))
         .where(col("__back") <= reach)
     )
-    # At most (cuts + 1) * reach rows from here on.
-    last = last.withColumn("__seq", F.row_number().over(W.orderBy(col(_B), F.desc("__back"))))
-    reached = (
-        spark.range(cuts.count + 1)
-        .select(col("id").cast("int").alias(_B))
-        .join(last.groupBy(_B).agg(F.max("__seq").alias("__top")), _B, "left")
-        .select(
-            (col(_B) + 1).alias(_B),
-            F.max("__top").over(W.orderBy(_B).rowsBetween(W.unboundedPreceding, 0)).alias("__top"),
-        )
-        .where((col(_B) <= cuts.count) & col("__top").isNotNull())
-        .select(_B, F.explode(F.sequence(F.greatest(col("__top") - reach + 1, F.lit(1)), col("__top"))).alias("__seq"))
+    # At most (cuts + 1) * reach rows in this window.
+    end = F.lead(_B, reach).over(W.orderBy(col(_B), F.desc("__back")))
+    return (
+        last.withColumn("__to", F.coalesce(end, F.lit(cuts.count)))
+        .where(col("__to") > col(_B))
+        .withColumn(_B, F.explode(F.sequence(col(_B) + 1, col("__to"))))
+        .drop("__back", "__to")
+        .withColumn("__halo", F.lit(True))
     )
-    return reached.join(last.drop(_B, "__back"), "__seq").drop("__seq").withColumn("__halo", F.lit(True))

@@ -34,8 +34,10 @@ def duplicate_groups(df: DataFrame, columns: Sequence[str] | None = None, limit:
     return groups.orderBy(F.desc("occurrence_count"), *[col(c).asc_nulls_last() for c in names]).limit(limit)
 
 
-def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Key] | None = None) -> DataFrame:
-    """The first row of each key.
+def first_per_key(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Key] | None = None, columns: Sequence[str] | None = None
+) -> DataFrame:
+    """The first row of each key, or only some of its ``columns`` (less to shuffle).
 
     The minimum is combined on the map side, so a key that holds a large part of
     the rows is reduced before the shuffle.  The order must be total within a key;
@@ -45,15 +47,18 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Key] | Non
         if ROW not in df.columns:
             raise ValueError("name an order: the table has no row-lineage column")
         order = [Key(ROW)]
-    rest = [c for c in df.columns if c not in keys]
+    kept = list(df.columns if columns is None else columns)
+    rest = [c for c in kept if c not in keys]
     directions = {k.desc for k in order}
     if len(directions) != 1:
         raise ValueError("all order columns must share a direction")
     rank = F.struct(*[_sort_value(k, i) for k in order for i in (0, 1)])
     pick = F.max_by if directions.pop() else F.min_by
+    if not rest:
+        return df.select(*[col(c) for c in keys]).distinct()
     best = df.groupBy(*[col(c) for c in keys]).agg(pick(F.struct(*[col(c) for c in rest]), rank).alias("__row"))
     picked = best.select(*[col(c) for c in keys], *[F.col("__row").getField(c).alias(c) for c in rest])
-    return picked.select(*[col(c) for c in df.columns])
+    return picked.select(*[col(c) for c in kept])
 
 
 def _sort_value(key: Key, part: int) -> Column:

@@ -153,22 +153,35 @@ def skipped_no_data(prepared: DataFrame, plan: Plan) -> DataFrame:
 
 
 def _has_key(plan: Plan) -> Column:
-    return col(plan.key).isNotNull() & (col(plan.key) != "nan")
+    # NULL keys fail the test too.
+    return col(plan.key) != "nan"
 
 
-def keep_first(prepared: DataFrame, plan: Plan, order: Sequence[Key] | None = None) -> DataFrame:
+def keep_first(
+    prepared: DataFrame, plan: Plan, order: Sequence[Key] | None = None, columns: Sequence[str] | None = None
+) -> DataFrame:
     """Rows with a key, reduced to the first row per key."""
-    return first_per_key(prepared.where(_has_key(plan)), [plan.key], order)
+    return first_per_key(prepared.where(_has_key(plan)), [plan.key], order, columns)
+
+
+def _compared_names(plan: Plan, column: str) -> tuple[str, str]:
+    """The columns that are compared and shown for a plan column."""
+    if column in plan.aliases and column not in plan.list_columns:
+        return f"{column}_NORM", f"{column}_DISPLAY"
+    return column, column
 
 
-def _side(df: DataFrame, plan: Plan, tag: str) -> DataFrame:
+def _side(prepared: DataFrame, plan: Plan, order: Sequence[Key] | None, tag: str) -> DataFrame:
+    """One row per key with the compared columns only."""
+    names = dict.fromkeys(n for c in plan.columns for n in _compared_names(plan, c))
+    first = keep_first(prepared, plan, order, [plan.key, *names])
     chosen = [col(plan.key).alias("__key_" + tag)]
     for c in plan.columns:
-        aliased = c in plan.aliases and c not in plan.list_columns
-        chosen.append(col(f"{c}_NORM" if aliased else c).alias(f"__{tag}_{c}"))
+        value, shown = _compared_names(plan, c)
+        chosen.append(col(value).alias(f"__{tag}_{c}"))
         if c not in plan.list_columns:
-            chosen.append(col(f"{c}_DISPLAY" if aliased else c).alias(f"__{tag}_{c}_shown"))
-    return df.select(*chosen)
+            chosen.append(col(shown).alias(f"__{tag}_{c}_shown"))
+    return first.select(*chosen)
 
 
 def compare(
@@ -186,9 +199,8 @@ def compare(
     ``right_<c>``, ``<c>_match``; per list column ``<c>_match``, ``only_left_<c>``,
     ``only_right_<c>``; and ``result``.  ``keep_lists`` adds the parsed lists.
     """
-    l = _side(keep_first(left, plan, left_order), plan, "left")
-    r = _side(keep_first(right, plan, right_order), plan, "right")
-    joined = l.join(r, col("__key_left") == col("__key_right"), "full_outer")
+    ours, theirs = _side(left, plan, left_order, "left"), _side(right, plan, right_order, "right")
+    joined = ours.join(theirs, col("__key_left") == col("__key_right"), "full_outer")
     in_left, in_right = col("__key_left").isNotNull(), col("__key_right").isNotNull()
     out = [
         F.coalesce(col("__key_left"), col("__key_right")).alias(plan.key),
