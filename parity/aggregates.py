@@ -142,7 +142,7 @@ def groups_having(spark, sf_dir):
 @query(
     "group_metrics",
     """SELECT c_mktsegment, COUNT(*) AS count_rows, ROUND(SUM(c_acctbal), 2) AS sum_values,
-              ROUND(AVG(c_acctbal), 4) AS mean_values, MAX(c_acctbal) AS max_value,
+              ROUND(AVG(c_acctbal), 6) AS mean_values, MAX(c_acctbal) AS max_value,
               ROUND(100.0 * SUM(CASE WHEN c_acctbal > 0 THEN 1 ELSE 0 END) / COUNT(*), 6) AS percent_positive
        FROM customer GROUP BY c_mktsegment""",
 )
@@ -151,7 +151,7 @@ def group_metrics(spark, sf_dir):
     return rows.withColumns(
         {
             "sum_values": F.round("sum_values", 2),
-            "mean_values": F.round("mean_values", 4),
+            "mean_values": F.round("mean_values", 6),
             "percent_positive": F.round("percent_positive", 6),
         }
     )
@@ -159,13 +159,13 @@ def group_metrics(spark, sf_dir):
 
 @query(
     "group_summary",
-    f"""SELECT kind, ROUND(SUM(v), 2) AS total, ROUND(AVG(v), 4) AS average, COUNT(v) AS count
+    f"""SELECT kind, ROUND(SUM(v), 2) AS total, ROUND(AVG(v), 6) AS average, COUNT(v) AS count
         FROM (SELECT kind, TRY_CAST(amount AS DOUBLE) AS v FROM ({GAPS_SQL})) WHERE kind IS NOT NULL
         GROUP BY kind ORDER BY total DESC LIMIT 5""",
 )
 def group_summary(spark, sf_dir):
     rows = agg.group_summary(gaps(spark, sf_dir), "kind", "amount")
-    return rows.withColumns({"total": F.round("total", 2), "average": F.round("average", 4)})
+    return rows.withColumns({"total": F.round("total", 2), "average": F.round("average", 6)})
 
 
 @query(

@@ -99,15 +99,21 @@ def summarize_documents(spark, sf_dir):
     return profile.summarize(table(spark, sf_dir, "documents")).select("column", "count", "null_percentage")
 
 
+_SCHEMA = (("c_custkey", "bigint"), ("c_name", "string"), ("c_nationkey", "int"), ("c_acctbal", "double"), ("c_mktsegment", "string"))
+
+
 @query(
     "schema_table",
-    """SELECT * FROM (VALUES (0, 'c_custkey', 'bigint'), (1, 'c_name', 'string'), (2, 'c_nationkey', 'int'),
-                             (3, 'c_acctbal', 'double'), (4, 'c_mktsegment', 'string')) v(position, column_name, column_type)""",
+    " UNION ALL ".join(
+        f"SELECT {i} AS position, '{c}' AS column_name, '{t}' AS column_type, COUNT({c}) AS present FROM customer"
+        for i, (c, t) in enumerate(_SCHEMA)
+    ),
 )
 def schema_table(spark, sf_dir):
     work = Workbench(spark)
     work.register("customer", table(spark, sf_dir, "customer"))
-    return work.schema()
+    filled = work.coverage().select(F.col("column").alias("column_name"), "present")
+    return work.schema().join(filled, "column_name")
 
 
 @query(

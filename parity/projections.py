@@ -279,7 +279,7 @@ def join_loaded(spark, sf_dir):
 @query(
     "join_group_average",
     """WITH m AS (SELECT o_orderstatus, AVG(o_totalprice) AS a FROM orders GROUP BY o_orderstatus)
-       SELECT o_orderkey, ROUND(a, 4) AS category_avg, ROUND(o_totalprice - a, 4) AS diff_from_avg
+       SELECT o_orderkey, ROUND(a, 6) AS category_avg, ROUND(o_totalprice - a, 6) AS diff_from_avg
        FROM orders JOIN m USING (o_orderstatus)""",
 )
 def join_group_average(spark, sf_dir):
@@ -291,18 +291,18 @@ def join_group_average(spark, sf_dir):
         mean_name="category_avg",
         diff_name="diff_from_avg",
     )
-    return rows.select("o_orderkey", F.round("category_avg", 4).alias("category_avg"), F.round("diff_from_avg", 4).alias("diff_from_avg"))
+    return rows.select("o_orderkey", F.round("category_avg", 6).alias("category_avg"), F.round("diff_from_avg", 6).alias("diff_from_avg"))
 
 
 @query(
     "left_join_group_mean",
     f"""WITH g AS (SELECT event_id, kind, TRY_CAST(amount AS DOUBLE) AS v FROM ({GAPS_SQL})),
              m AS (SELECT kind, AVG(v) AS a FROM g WHERE kind IS NOT NULL GROUP BY kind)
-        SELECT event_id, g.kind, ROUND(a, 4) AS avg_value FROM g LEFT JOIN m ON g.kind = m.kind""",
+        SELECT event_id, g.kind, ROUND(a, 6) AS avg_value FROM g LEFT JOIN m ON g.kind = m.kind""",
 )
 def left_join_group_mean(spark, sf_dir):
     rows = joins.join_group_average(gaps(spark, sf_dir), "kind", "amount", mean_name="avg_value", diff_name=None)
-    return rows.select("event_id", "kind", F.round("avg_value", 4).alias("avg_value"))
+    return rows.select("event_id", "kind", F.round("avg_value", 6).alias("avg_value"))
 
 
 @query(

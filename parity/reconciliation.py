@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tabloom import Workbench
 from tabloom.functions import codes
 from tabloom.operators import reconcile as rc
 from tabloom.operators.ordered import asc
@@ -292,6 +293,46 @@ def code_lists(spark, sf_dir):
     return rows.select("order", F.array_join("codes", "|").alias("codes"), F.size("codes").alias("n"))
 
 
+@query(
+    "code_lists_with_repeats",
+    f"""SELECT "order", CASE WHEN codes = '' THEN 'NO DATA'
+               ELSE ARRAY_TO_STRING(LIST_SORT(REGEXP_EXTRACT_ALL(codes, '[A-Z0-9]{{4}}')), '|') END AS codes
+        FROM ({_side_sql('O', 'VARCHAR')})""",
+)
+def code_lists_with_repeats(spark, sf_dir):
+    parsed = codes.parse_codes(F.col("codes"), distinct=False, empty_marker="NO DATA")
+    return side(spark, sf_dir, "O").select("order", F.array_join(parsed, "|").alias("codes"))
+
+
+@query(
+    "code_lists_by_prefix",
+    f"""SELECT p AS prefix, COUNT(*) AS codes, COUNT(DISTINCT v) AS different
+        FROM (SELECT v, LEFT(v, 2) AS p FROM (SELECT UNNEST(codes) AS v FROM ({_RIGHT}))) GROUP BY 1""",
+)
+def code_lists_by_prefix(spark, sf_dir):
+    rows = prepared(spark, sf_dir)[1].select(F.explode_outer("codes").alias("code")).where("code is not null")
+    return rows.groupBy(F.substring("code", 1, 2).alias("prefix")).agg(
+        F.count("*").alias("codes"), F.count_distinct("code").alias("different")
+    )
+
+
+@query(
+    "recon_loaded_tables",
+    """WITH l AS (SELECT c_custkey AS k, c_nationkey AS n FROM customer), r AS (SELECT s_suppkey AS k, s_nationkey AS n FROM supplier)
+       SELECT COUNT(*) AS total_keys, COUNT(l.k) AS left_keys, COUNT(r.k) AS right_keys,
+              COUNT(*) FILTER (r.k IS NULL) AS only_left, COUNT(*) FILTER (l.k IS NULL) AS only_right,
+              COUNT(*) FILTER (l.n <> r.n) AS nation_mismatches, COUNT(*) FILTER (l.n = r.n) AS nation_matches,
+              COUNT(*) FILTER (l.n IS DISTINCT FROM r.n) AS nok
+       FROM l FULL OUTER JOIN r ON l.k = r.k""",
+)
+def recon_loaded_tables(spark, sf_dir):
+    work = Workbench(spark)
+    work.register("customer", rc.rename(table(spark, sf_dir, "customer"), {"c_custkey": "key", "c_nationkey": "nation"}))
+    work.register("supplier", rc.rename(table(spark, sf_dir, "supplier"), {"s_suppkey": "key", "s_nationkey": "nation"}))
+    order = [asc("nation")]
+    return work.reconcile(rc.Plan("key", ("nation", "phone")), left_order=order, right_order=order)["summary"]
+
+
 @query(
     "recon_written",
     f"WITH {_COMPARED} SELECT \"order\", in_left, in_right, flag_match, year_match, codes_match, result FROM c WHERE result = 'NOK'",

@@ -127,16 +127,16 @@ def rank_in_group(spark, sf_dir):
 
 @query(
     "group_mean_difference",
-    """SELECT c_custkey, ROUND(AVG(c_acctbal) OVER (PARTITION BY c_mktsegment), 4) AS group_mean,
-              ROUND(c_acctbal - AVG(c_acctbal) OVER (PARTITION BY c_mktsegment), 4) AS diff_from_group_mean
+    """SELECT c_custkey, ROUND(AVG(c_acctbal) OVER (PARTITION BY c_mktsegment), 6) AS group_mean,
+              ROUND(c_acctbal - AVG(c_acctbal) OVER (PARTITION BY c_mktsegment), 6) AS diff_from_group_mean
        FROM customer""",
 )
 def group_mean_difference(spark, sf_dir):
     rows = joins.join_group_average(table(spark, sf_dir, "customer"), "c_mktsegment", "c_acctbal")
     return rows.select(
         "c_custkey",
-        F.round("group_mean", 4).alias("group_mean"),
-        F.round("diff_from_group_mean", 4).alias("diff_from_group_mean"),
+        F.round("group_mean", 6).alias("group_mean"),
+        F.round("diff_from_group_mean", 6).alias("diff_from_group_mean"),
     )
 
 

@@ -11,6 +11,7 @@ from . import staging
 from .functions.cells import sql_name
 from .operators import aggregate as agg
 from .operators import filters, pivot, profile
+from .operators.reconcile import Plan, reconcile
 from .plans import analyses
 from .sinks import files
 from .sources.tables import Table, read_tables
@@ -177,6 +178,19 @@ class Workbench:
         base = self.tables.get(name) or Table(name, df, source="view", format="parquet")
         self._add(Table(name, df, base.source, base.header, base.format))
 
+    def reconcile(self, plan: Plan, left: str | None = None, right: str | None = None, **orders) -> dict[str, DataFrame]:
+        """Compare two tables by key: the named ones, else ``source_db`` and ``target_db``, else the first two loaded."""
+        if left is None or right is None:
+            pair = ["source_db", "target_db"]
+            if not all(name in self.tables for name in pair):
+                pair = self.get_tables()[:2]
+            if len(pair) < 2:
+                raise ValueError("two tables are needed; load both sides first")
+            left, right = left or pair[0], right or pair[1]
+        results = reconcile(self.frame(left), self.frame(right), plan, **orders)
+        self._keep(results["results"], "reconcile")
+        return results
+
     # Export
 
     def export(self, path: str, format: str = "csv", query: str | None = None, mode: str = "error") -> None:

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tabloom import Workbench
+from tabloom import Plan, Workbench
 from tabloom.operators import aggregate as agg
 from tabloom.operators import features, filters, joins, pivot, profile, quality
 from tabloom.plans import analyses
@@ -197,3 +197,15 @@ def test_charts(work):
 def test_date_features_drop_bad_dates(spark):
     df = spark.createDataFrame([("2024-01-06",), ("nope",), (None,)], "d string")
     assert [tuple(r) for r in filters.with_date_features(df, "d").collect()] == [("2024-01-06", 2024, 1, "Saturday", True)]
+
+
+def test_reconcile_picks_tables(spark):
+    rows = spark.createDataFrame([("1", "a", 1)], "key string, v string, _row int")
+    work = Workbench(spark)
+    work.register("target_db", rows)
+    with pytest.raises(ValueError, match="two tables"):
+        work.reconcile(Plan("key", ("v",)))
+    work.register("zzz", rows.withColumn("v", F.lit("other")))
+    assert work.reconcile(Plan("key", ("v",)))["summary"].first()["nok"] == 1
+    work.register("source_db", rows)
+    assert work.reconcile(Plan("key", ("v",)))["summary"].first()["nok"] == 0
