@@ -131,12 +131,12 @@ def value_counts_languages(spark, sf_dir):
 
 @query(
     "groups_having",
-    """SELECT o_custkey, COUNT(*) AS count, ROUND(AVG(o_totalprice), 8) AS average FROM orders
+    """SELECT o_custkey, COUNT(*) AS count, ROUND(AVG(o_totalprice), 6) AS average FROM orders
        GROUP BY o_custkey HAVING COUNT(*) >= 12""",
 )
 def groups_having(spark, sf_dir):
     rows = agg.groups_having(table(spark, sf_dir, "orders"), "o_custkey", "o_totalprice", 12)
-    return rows.withColumn("average", F.round("average", 8))
+    return rows.withColumn("average", F.round("average", 6))
 
 
 @query(

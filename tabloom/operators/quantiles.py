@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 
 EXACT_ROWS = 200_000
 SAMPLE_ROWS = 50_000
+# A round shrinks a bracket about fifty-fold; what is left after the last one is picked as it is.
+MAX_ROUNDS = 64
 
 
 @dataclass(frozen=True)
@@ -93,10 +95,10 @@ def _interpolate(p: float, rows: int, i: int, at: Mapping[tuple[int, int], float
 
 def _narrow_all(cells: DataFrame, targets: dict, exact_rows: int) -> dict:
     """Shrink every bracket to few rows or one value; each round is two passes for all of them."""
-    while True:
+    for _ in range(MAX_ROUNDS):
         wide = {t: b for t, b in targets.items() if b.lo != b.hi and b.inside > exact_rows}
         if not wide:
-            return targets
+            break
         proposals = _propose(cells, wide)
         ranges = list(dict.fromkeys(proposals.values()))
         counts = cells.agg(
@@ -107,6 +109,7 @@ def _narrow_all(cells: DataFrame, targets: dict, exact_rows: int) -> dict:
             j = ranges.index(proposals[target])
             _, lo, hi = ranges[j]
             targets[target] = _shrink(bracket, target[1], lo, hi, counts[f"b{j}"], counts[f"n{j}"])
+    return targets
 
 
 def _propose(cells: DataFrame, wide: Mapping) -> dict:

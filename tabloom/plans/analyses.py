@@ -337,7 +337,7 @@ def register(name: str, analysis: Callable[..., Results]) -> None:
     ANALYSES[name] = analysis
 
 
-# Saved query library; names in braces are filled in by the caller.
+# The saved query library; names in braces are filled in by the caller.
 SAVED_QUERIES = {
     "Select Top 10": "SELECT * FROM {table} LIMIT 10",
     "Count by Category": "SELECT {category}, COUNT(*) AS count FROM {table} GROUP BY {category} ORDER BY count DESC NULLS LAST",

@@ -35,7 +35,7 @@ def number_rows(tagged: DataFrame, start: int = 1, *, skip_per_file: int = 0, na
     splits = rows.groupBy(_FILE, _START).agg(F.min(_ID).alias("__first"), F.count(F.lit(1)).alias("__n"))
     # Staged, so that its size is known and it is counted once: one row per split.
     splits = stage(splits, "splits")
-    few = splits.limit(BROADCAST_SPLITS + 1).count() <= BROADCAST_SPLITS
+    few = splits.count() <= BROADCAST_SPLITS
     in_file = W.partitionBy(_FILE).orderBy(_START).rowsBetween(W.unboundedPreceding, -1)
     before = W.orderBy(_FILE, _START).rowsBetween(W.unboundedPreceding, -1)
     above = F.coalesce(F.sum("__n").over(in_file), F.lit(0))
