@@ -133,15 +133,19 @@ def _empty(plan: Plan, column: str) -> Column:
     return c.isNull() | (F.size(c) == 0) if column in plan.list_columns else c.isNull()
 
 
+def _list_text(column: str) -> str:
+    return f"{column}_TEXT"
+
+
 def prepare(df: DataFrame, plan: Plan) -> DataFrame:
-    """Clean one side: texts, skipped rows, aliases, parsed lists."""
+    """Clean one side: texts, skipped rows, aliases, parsed lists (their text is kept as ``<c>_TEXT``)."""
     df = skip_values(clean(df, plan.null_tokens), plan.skip)
     for c, groups in plan.aliases.items():
         if c in df.columns and c not in plan.list_columns:
             df = normalise_aliases(df, c, groups)
     for c in plan.list_columns:
         if c in df.columns:
-            df = df.withColumn(c, codes.parse_codes(col(c)))
+            df = df.withColumns({_list_text(c): col(c), c: codes.parse_codes(col(c))})
     if plan.skip_no_data:
         df = df.where(~no_data(df, plan))
     return df
@@ -166,21 +170,30 @@ def keep_first(
 
 def _compared_names(plan: Plan, column: str) -> tuple[str, str]:
     """The columns that are compared and shown for a plan column."""
-    if column in plan.aliases and column not in plan.list_columns:
+    if column in plan.aliases:
         return f"{column}_NORM", f"{column}_DISPLAY"
     return column, column
 
 
 def _side(prepared: DataFrame, plan: Plan, order: Sequence[Key] | None, tag: str) -> DataFrame:
-    """One row per key with the compared columns only."""
-    names = dict.fromkeys(n for c in plan.columns for n in _compared_names(plan, c))
+    """One row per key with the compared columns only.
+
+    Lists travel as text and are parsed for the kept rows, after the shuffle.
+    """
+    names: dict[str, None] = {}
+    for c in plan.columns:
+        if c in plan.list_columns:
+            names[_list_text(c)] = None
+        else:
+            names.update(dict.fromkeys(_compared_names(plan, c)))
     first = keep_first(prepared, plan, order, [plan.key, *names])
     chosen = [col(plan.key).alias("__key_" + tag)]
     for c in plan.columns:
+        if c in plan.list_columns:
+            chosen.append(codes.parse_codes(col(_list_text(c))).alias(f"__{tag}_{c}"))
+            continue
         value, shown = _compared_names(plan, c)
-        chosen.append(col(value).alias(f"__{tag}_{c}"))
-        if c not in plan.list_columns:
-            chosen.append(col(shown).alias(f"__{tag}_{c}_shown"))
+        chosen += [col(value).alias(f"__{tag}_{c}"), col(shown).alias(f"__{tag}_{c}_shown")]
     return first.select(*chosen)
 
 
