@@ -1,10 +1,12 @@
 """Helpers shared by the operators: bounded joins, running totals, and texts as byte arrays."""
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import io
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +37,25 @@ def attach(rows: DataFrame, staged: DataFrame, on: str, how: str, row_bytes: int
     return rows.join(F.broadcast(staged) if small else staged, on, how)
 
 
+def sample_ids(rows: DataFrame, group: Column, key: str, most: int, order: Column) -> DataFrame:
+    """Staged ids of at most ``most`` rows of each group, the first in ``order``; each task passes on no more than that."""
+    rank = F.row_number().over(W.partitionBy("__g").orderBy("__o", key))
+    picked = rows.select(key, group.alias("__g"), order.alias("__o")).where(F.col("__g").isNotNull())
+    return stage(picked.withColumn("__r", rank).where(F.col("__r") <= most).select(key, F.col("__g").alias("__label")), "sample")
+
+
+def fitted(sample: DataFrame, fit: Callable[[pd.DataFrame], bytes]) -> bytes | None:
+    """What ``fit`` makes of a bounded sample, in one task; only the model reaches the driver."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = [p for p in parts if len(p)]
+        if rows:
+            yield pd.DataFrame({"model": [fit(pd.concat(rows, ignore_index=True))]})
+
+    found = sample.coalesce(1).sortWithinPartitions(*sample.columns).mapInPandas(run, "model binary").collect()
+    return bytes(found[0][0]) if found else None
+
+
 def running_total(rows: DataFrame, group: str | None, order: Sequence[str], value: str, out: str) -> DataFrame:
     """Add ``out``: the sum of ``value`` over the rows before, within ``group`` (or overall), in the order given.
 
@@ -130,8 +151,8 @@ class Block:
         return np.repeat(np.arange(len(self.bounds) - 1), np.diff(self.bounds))
 
 
-def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[Block]:
-    """The texts of a column in runs of at most ``limit`` bytes; a null text is empty."""
+def blocks(column: pa.Array, limit: int = BLOCK_BYTES, most: int | None = None) -> Iterator[Block]:
+    """The texts of a column in runs of at most ``limit`` bytes and ``most`` rows; a null text is empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     texts = column.fill_null("").cast(pa.large_binary())
@@ -144,6 +165,7 @@ def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[Block]:
     first = 0
     while first < n:
         last = max(first + 1, int(np.searchsorted(at, at[first] + limit, "right")) - 1)
+        last = min(last, first + (most or n), n)
         yield Block(slice(first, last), data[at[first] : at[last]], at[first : last + 1] - at[first])
         first = last
 
@@ -177,3 +199,15 @@ def grams_hash(data: np.ndarray, size: int) -> np.ndarray:
         return np.zeros(0, np.uint64)
     begins = np.arange(len(data) - size + 1)
     return spans_hash(data, begins, begins + size)
+
+
+def pack(**arrays: np.ndarray) -> bytes:
+    """Arrays as one binary value."""
+    out = io.BytesIO()
+    np.savez_compressed(out, **arrays)
+    return out.getvalue()
+
+
+def unpack(data: bytes) -> dict[str, np.ndarray]:
+    with np.load(io.BytesIO(data), allow_pickle=False) as arrays:
+        return {k: arrays[k] for k in arrays.files}
