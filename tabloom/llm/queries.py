@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .common import held_out
 from .language import identify
 from .mixing import mix_sources
+from .ngram_join import jaccard_components
 from .registry import ORACLES, QUERIES, query, table
 from .sharding import shard
 from .topk import top_k
@@ -15,6 +16,29 @@ from .toxicity import toxicity
 __all__ = ["ORACLES", "QUERIES"]
 
 
+OP1_SQL = r"""
+WITH RECURSIVE d AS (
+    SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+    FROM documents),
+s AS (
+    SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE [array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)] END) AS g
+    FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY u, v),
+l AS (SELECT u, v FROM p JOIN n x ON u = x.doc_id JOIN n y ON v = y.doc_id WHERE 100 * c >= 80 * (x.n + y.n - c)),
+e AS (SELECT u, v FROM l UNION SELECT v, u FROM l),
+r AS (SELECT doc_id, doc_id AS c FROM d UNION SELECT e.v, r.c FROM r JOIN e ON r.doc_id = e.u)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(r.c) AS component_id
+FROM d LEFT JOIN n USING (doc_id) JOIN r USING (doc_id) GROUP BY d.doc_id, n.n
+"""
+
+
+@query("op1_ngram_jaccard", OP1_SQL)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 OP2_SQL = """
 WITH v AS (
     SELECT vec_id, [floor(256 * x)::BIGINT FOR x IN min(embedding::DOUBLE[])] AS w
