@@ -174,23 +174,48 @@ def words(block: Block, lower: bool = True, inside: np.ndarray | None = None) ->
     """Begin, end, owner and 64-bit hash of every word; ``inside`` marks the byte values of words (default: no white space)."""
     data = LOWER[block.data] if lower else block.data
     n = len(data)
-    kind = ~SPACE if inside is None else inside
-    within = kind[data]
+    within = np.zeros(n + 2, bool)
+    within[1:-1] = (~SPACE if inside is None else inside)[data]
+    here = within[1:-1]
     edge = np.zeros(n + 1, bool)
     edge[block.bounds] = True
-    begins = np.flatnonzero(within & np.concatenate(([True], ~within[:-1]))[:n] | within & edge[:n])
-    ends = np.flatnonzero(within & (np.concatenate((~within[1:], [True]))[:n] | edge[1:])) + 1
-    owner = np.searchsorted(block.bounds, begins, "right") - 1
+    begins = np.flatnonzero(here & (~within[:-2] | edge[:-1]))
+    ends = np.flatnonzero(here & (~within[2:] | edge[1:])) + 1
+    owner = np.repeat(np.arange(len(block.bounds) - 1), np.diff(np.searchsorted(begins, block.bounds)))
     return begins, ends, owner, spans_hash(data, begins, ends)
 
 
+_PIECES = 8
+_low = np.array([(1 << 8 * i) - 1 for i in range(8)] + [2**64 - 1], np.uint64)
+
+
 def spans_hash(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans, from one running polynomial sum."""
-    n = len(data)
-    up, down = _power(n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_table[data] * up[:n], out=total[1:])
-    return mix((total[ends] - total[begins]) * down[begins] + (ends - begins).astype(np.uint64) * _MIX)
+    """64-bit hashes of byte spans: eight bytes at a time, or for the very long from one running polynomial sum."""
+    size = ends - begins
+    out = size.astype(np.uint64) * _MIX
+    if not len(size):
+        return out
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    longest = min(int(size.max()), 8 * _PIECES)
+    at, start, left = None, begins, size
+    for i in range(-(-longest // 8)):
+        if i:
+            more = np.flatnonzero(left > 8)
+            at = more if at is None else at[more]
+            start, left = start[more] + 8, left[more] - 8
+        piece = eight[start] & _low[np.minimum(left, 8)]
+        if at is None:
+            out = mix(out ^ piece * _ODD)
+        else:
+            out[at] = mix(out[at] ^ piece * _ODD)
+    long = np.flatnonzero(size > 8 * _PIECES)
+    if len(long):
+        up, down = _power(len(data) + 1)
+        total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_table[data] * up[: len(data)], out=total[1:])
+        out[long] = mix((total[ends[long]] - total[begins[long]]) * down[begins[long]] + size[long].astype(np.uint64) * _MIX)
+    return out
 
 
 def grams_hash(data: np.ndarray, size: int) -> np.ndarray:

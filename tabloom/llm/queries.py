@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import held_out
+from .decontaminate import decontaminate
 from .language import identify
 from .mixing import mix_sources
 from .ngram_join import jaccard_components
@@ -133,3 +134,9 @@ FROM p LEFT JOIN n USING (r, upto)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_sources(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op8_decontamination")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=("doc_id",))
+    return found.select("doc_id", "contaminated", F.col("leaked_item").alias("item_id"), F.col("leaked_share").alias("share"))
