@@ -9,7 +9,9 @@ from .decontaminate import decontaminate
 from .language import identify
 from .mixing import mix_sources
 from .ngram_join import jaccard_components
+from .pii import KINDS, personal_data
 from .registry import ORACLES, QUERIES, query, table
+from .secrets import secrets
 from .sharding import shard
 from .topk import top_k
 from .toxicity import toxicity
@@ -80,6 +82,20 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 
+@query("op5_personal_data")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data(table(spark, sf_dir, "documents"), keep=("doc_id",))
+    base = F.filter("pii", lambda s: s["pattern"])
+
+    def listed(spans):
+        return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
+
+    def count(kind: str):
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(count, KINDS), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("pii")).alias("spans"))
+
+
 @query("op6_histogram_shards")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -140,3 +156,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=("doc_id",))
     return found.select("doc_id", "contaminated", F.col("leaked_item").alias("item_id"), F.col("leaked_share").alias("share"))
+
+
+@query("op9_secret_scan")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets(table(spark, sf_dir, "documents"), path="source")
