@@ -28,7 +28,7 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % HELD_OUT_OF == 0
 
 
-def attach(rows: DataFrame, staged: DataFrame, on: str, how: str, row_bytes: int) -> DataFrame:
+def attach(rows: DataFrame, staged: DataFrame, on: str | list[str], how: str, row_bytes: int) -> DataFrame:
     """Join ``staged`` to ``rows``; it is broadcast if its rows, counted from file footers, are small enough.
 
     Beyond ``BROADCAST_BYTES`` both sides are shuffled on the key instead.
@@ -218,12 +218,11 @@ def spans_hash(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.nda
     return out
 
 
-def grams_hash(data: np.ndarray, size: int) -> np.ndarray:
-    """64-bit hashes of all byte strings of a length, by start."""
-    if len(data) < size:
-        return np.zeros(0, np.uint64)
-    begins = np.arange(len(data) - size + 1)
-    return spans_hash(data, begins, begins + size)
+def grams16(data: np.ndarray) -> np.ndarray:
+    """64-bit hashes of all 16-byte strings, by start."""
+    n = max(0, len(data) - 15)
+    eight = np.ndarray((max(0, len(data) - 7),), "<u8", np.ascontiguousarray(data), strides=(1,)) if n else np.zeros(0, "<u8")
+    return mix(eight[:n] * _ODD ^ mix(eight[8 : n + 8] * _MIX))
 
 
 def pack(**arrays: np.ndarray) -> bytes:

@@ -13,6 +13,7 @@ from .pii import KINDS, personal_data
 from .registry import ORACLES, QUERIES, query, table
 from .secrets import secrets
 from .sharding import shard
+from .suffix_dedup import suffix_dedup
 from .topk import top_k
 from .toxicity import toxicity
 
@@ -161,3 +162,9 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_secret_scan")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets(table(spark, sf_dir, "documents"), path="source")
+
+
+@query("op10_suffix_dedup")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
