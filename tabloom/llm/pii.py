@@ -199,7 +199,7 @@ def _beliefs(g: Graph, unary: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarr
     ends = []
     for k, (edges, potential) in enumerate(pairs):
         both = (now[edges[:, 0]] - back[k])[:, :, None] + (now[edges[:, 1]] - there[k])[:, None, :] + potential[None]
-        flat = both.reshape(len(edges), -1)
+        flat = both.reshape(len(edges), LABELS * LABELS)
         ends.append(np.exp(flat - _log_sum(flat, 1)[:, None]).reshape(both.shape) if len(edges) else both)
     return np.exp(now - _log_sum(now, 1)[:, None]) if len(now) else now, ends
 
