@@ -39,6 +39,7 @@ class Settings:
     decay: float = 2e-3
     rounds: int = 6
     sure: float = 0.5
+    alike: float = 2.0
 
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -220,26 +221,35 @@ def _labels(g: Graph, texts: list[str]) -> np.ndarray:
 
 
 def fit(sample: pd.DataFrame, settings: Settings) -> bytes:
-    """Unary, chain and skip weights by gradient steps; the expectation comes from message passing."""
+    """Unary, chain and skip weights by gradient steps; the expectation comes from message passing.
+
+    A token that no pattern matches but that resembles a matched one counts as unlabelled, not as none.
+    """
     texts = sample["text"].tolist()
     g = graph(texts, settings)
-    truth = np.eye(LABELS)[_labels(g, texts)]
+    labels = _labels(g, texts)
+    truth = np.eye(LABELS)[labels]
+    open_ = np.zeros(len(labels), bool)
+    for a, b in (g.skip.T, g.skip.T[::-1]):
+        open_[b[labels[a] > 0]] = True
+    sure = ~(open_ & (labels == 0))
     w = np.zeros((settings.buckets, LABELS))
-    chain, skip = np.zeros((LABELS, LABELS)), np.eye(LABELS)
+    chain, skip = np.zeros((LABELS, LABELS)), settings.alike * np.eye(LABELS)
     parts = [w, chain, skip]
+    prior = [p.copy() for p in parts]
     squares = [np.zeros_like(p) for p in parts]
     n = max(len(g.spans), 1)
     for _ in range(settings.steps if len(g.spans) else 0):
         p, (chain_p, skip_p) = _beliefs(g, w[g.features].sum(axis=1), [(g.chain, chain), (g.skip, skip)], settings.rounds)
         slope = np.zeros_like(w)
         for f in range(g.features.shape[1]):
-            np.add.at(slope, g.features[:, f], truth - p)
+            np.add.at(slope, g.features[sure, f], (truth - p)[sure])
         steps = [slope]
         for edges, q in ((g.chain, chain_p), (g.skip, skip_p)):
-            seen = truth[edges[:, 0]].T @ truth[edges[:, 1]] if len(edges) else np.zeros((LABELS, LABELS))
-            steps.append(seen - q.sum(axis=0))
-        for part, s, square in zip(parts, steps, squares):
-            s = s / n - settings.decay * part
+            use = sure[edges].all(axis=1)
+            steps.append(truth[edges[use, 0]].T @ truth[edges[use, 1]] - q[use].sum(axis=0))
+        for part, s, square, start in zip(parts, steps, squares, prior):
+            s = s / n - settings.decay * (part - start)
             square += s * s
             part += settings.rate * s / (np.sqrt(square) + 1e-8)
     return pack(w=w, chain=chain, skip=skip)
