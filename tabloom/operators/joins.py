@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from ..functions.cells import col, number, sort_rows
 from ..staging import stage
 
-# A lookup side up to this many rows is broadcast; a larger one is joined by key.
-LOOKUP_ROWS = 200_000
-SALTS = 32
+#: Estimated bytes up to which a lookup side is broadcast; a larger one is joined by key.
+LOOKUP_BYTES = 32 << 20
+#: A key counts as heavy from this multiple of the rows that a task has on average.
+HEAVY = 2.0
 
 
 def with_constants(df: DataFrame, one_row: DataFrame) -> DataFrame:
@@ -19,26 +20,37 @@ def with_constants(df: DataFrame, one_row: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(one_row))
 
 
-def lookup(
-    df: DataFrame, table: DataFrame, on: Sequence[str], how: str = "left", *, broadcast_rows: int = LOOKUP_ROWS
-) -> DataFrame:
+def row_bytes(df: DataFrame) -> int:
+    """Estimated bytes of a row of fixed-width columns; text counts 64."""
+    return sum(64 if f.dataType.simpleString() in ("string", "binary") else 16 for f in df.schema)
+
+
+def lookup(df: DataFrame, table: DataFrame, on: Sequence[str], how: str = "left", *, broadcast_bytes: int = LOOKUP_BYTES) -> DataFrame:
     """Join ``df`` to a table that is unique on ``on``.
 
-    The table is staged, so its size is known before the join is planned.  A small
-    one is broadcast and ``df`` is not shuffled.  A large one is joined by key with
-    a salt: rows of a heavy key are spread over ``SALTS`` tasks and the (unique)
-    table rows are repeated that many times.  NULL keys match nothing.
+    The table is staged, so its size is known before the join is planned.  A small one is broadcast and ``df`` is not
+    shuffled.  A large one is joined by key, except for the keys that hold more than ``HEAVY`` times an average task's
+    rows of ``df``: there are at most as many of those as tasks, and their table rows are broadcast.  NULL keys match
+    nothing.
     """
     if how not in ("left", "inner"):
         raise ValueError("lookup joins are left or inner")
     staged = stage(table, "lookup")
     keys = list(on)
     # The count comes from the file footers.
-    if staged.count() <= broadcast_rows:
+    if staged.count() * row_bytes(staged) <= broadcast_bytes:
         return df.join(F.broadcast(staged), keys, how)
-    salted = df.withColumn("__salt", F.pmod(F.xxhash64(*[col(c) for c in df.columns]), F.lit(SALTS)).cast("int"))
-    spread = staged.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(spread, [*keys, "__salt"], how).drop("__salt")
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = stage(df.groupBy(*[col(k) for k in keys]).agg(F.count(F.lit(1)).alias("__n")), "key-sizes")
+    limit = HEAVY * (counts.agg(F.sum("__n")).first()[0] or 0) / tasks
+    heavy = stage(counts.where(col("__n") > limit).drop("__n"), "heavy-keys")
+    if heavy.isEmpty():
+        return df.join(staged, keys, how)
+    # Fewer than tasks / HEAVY keys can exceed the limit.
+    marked = df.join(F.broadcast(heavy.withColumn("__heavy", F.lit(True))), keys, "left")
+    few = staged.join(F.broadcast(heavy), keys)
+    light = marked.where("__heavy IS NULL").drop("__heavy").join(staged, keys, how)
+    return light.unionByName(marked.where("__heavy").drop("__heavy").join(F.broadcast(few), keys, how))
 
 
 def inner_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str) -> DataFrame:

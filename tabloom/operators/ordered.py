@@ -1,22 +1,20 @@
 """Global window functions without a single-partition window.
 
-A window with no PARTITION BY sends every row to one task.  Here the rows are
-cut into contiguous buckets of the full sort order instead:
-
-1. A bounded sample of the sort key gives the cut points (the only driver work).
-2. A binary search over the cut points, evaluated in the JVM, is the bucket of a row.
-3. A map-side-combined aggregate over the narrow columns yields one summary row
-   per bucket; prefix sums over that table (at most ``MAX_BUCKETS`` rows) are the
-   offsets.
-4. Rows are shuffled once, by bucket, windowed locally, and shifted by the offset.
-
-Cut points use the whole sort key including its tie-breaker, so a key value that
-holds a third of all rows is spread over many buckets.  Peer functions (rank,
-RANGE sums, average rank) stay exact: only a key that equals a cut point can
-span buckets, and the summary carries the counts needed to stitch those keys.
+A window with no PARTITION BY sends every row to one task.  Here the rows are range-partitioned by the whole
+sort key instead, sorted, and written once with the partition's number as their bucket and their place in it:
+
+1. The tie-breaker is part of the key, so one value that holds a third of all rows spans many buckets.  A scan
+   without one breaks ties by a hash of the row.
+2. A map-side-combined aggregate over the narrow columns yields one summary row per bucket; prefix sums over
+   that table, which has a row per partition, are the offsets.
+3. Places are offsets plus the place in the bucket; other functions are windows within the bucket.
+
+Peer functions (rank, RANGE sums, average rank) stay exact: only the first and the last key of a bucket can span
+buckets, and the summary carries the counts needed to stitch those keys.
 """
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -26,12 +24,9 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from ..functions.cells import col
+from ..staging import stage
 
-MAX_BUCKETS = 16_384
-ROWS_PER_BUCKET = 1_000_000
-SAMPLE_PER_BUCKET = 30
-
-_B = "__bucket"
+_B, _AT = "__bucket", "__place"
 
 
 @dataclass(frozen=True)
@@ -45,10 +40,6 @@ class Key:
         c = col(self.name)
         return c.desc_nulls_last() if self.desc else c.asc_nulls_last()
 
-    def reverse_order(self) -> Column:
-        c = col(self.name)
-        return c.asc_nulls_first() if self.desc else c.desc_nulls_first()
-
 
 def asc(name: str) -> Key:
     return Key(name)
@@ -124,100 +115,21 @@ _NEIGHBOUR = {"lag", "moving_avg", "moving_sum"}
 _PEER = {"rank", "dense_rank", "percent_rank", "average_rank", "running_sum_peers"}
 
 
-def _strictly_before(a: Column, b: Column, descending: bool) -> Column:
-    ahead = a > b if descending else a < b
-    return F.coalesce(ahead, a.isNotNull() & b.isNull())
-
-
-class _Cuts:
-    """Sorted cut points of the composite key and the bucket expression over them."""
-
-    def __init__(self, keys: Sequence[Key], types: Sequence[T.DataType], rows: list[tuple], peers: int):
-        self.keys = list(keys)
-        self.count = len(rows)
-        # Literals are given as text and cast: exact for every orderable type.
-        self.arrays = [
-            F.array(*[F.lit(r[i]).cast(t) for r in rows]) if rows else F.array().cast(T.ArrayType(t))
-            for i, t in enumerate(types)
-        ]
-        self.runs: list[int] = []
-        for i, r in enumerate(rows):
-            same = i > 0 and rows[i - 1][:peers] == r[:peers]
-            self.runs.append(self.runs[-1] if same else i)
-
-    def bucket(self) -> Column:
-        """How many cut points are at or before the row (binary search)."""
-        if not self.count:
-            return F.lit(0)
-        jumps = []
-        step = 1 << (self.count.bit_length() - 1)
-        while step:
-            jumps.append(step)
-            step >>= 1
-
-        def advance(position: Column, jump: Column) -> Column:
-            at = position + jump
-            reached = ~self._row_before_cut(at - 1, 0)
-            return F.when((at <= self.count) & reached, at).otherwise(position)
-
-        found = F.aggregate(F.array(*[F.lit(j) for j in jumps]), F.lit(0), advance)
-        # Never NULL, and known not to be: a join on it then adds no filter that searches again.
-        return F.coalesce(found, F.lit(0))
-
-    def _row_before_cut(self, index: Column, level: int) -> Column:
-        key = self.keys[level]
-        row, cut = col(key.name), F.get(self.arrays[level], index)
-        before = _strictly_before(row, cut, key.desc)
-        if level + 1 == len(self.keys):
-            return before
-        return before | (row.eqNullSafe(cut) & self._row_before_cut(index, level + 1))
-
-    def row_matches_cut(self, index: Column, peers: int) -> Column:
-        inside = (index >= 0) & (index < self.count)
-        for key, values in zip(self.keys[:peers], self.arrays[:peers]):
-            inside = inside & col(key.name).eqNullSafe(F.get(values, index))
-        return inside
-
-
-def _bucket_count(df: DataFrame, rows: int, rows_per_bucket: int) -> int:
-    floor = df.sparkSession.sparkContext.defaultParallelism
-    return max(1, min(MAX_BUCKETS, max(floor, -(-rows // rows_per_bucket))))
-
-
-def _find_cuts(df: DataFrame, keys: Sequence[Key], peers: int, buckets: int | None, rows_per_bucket: int) -> _Cuts:
-    types = [df.schema[k.name].dataType for k in keys]
-    narrow = df.select(*[col(k.name) for k in keys])
-    rows = narrow.count()
-    wanted = buckets or _bucket_count(df, rows, rows_per_bucket)
-    if wanted <= 1 or rows <= 1:
-        return _Cuts(keys, types, [], peers)
-    # The sample only places the cuts; every row is still processed.
-    fraction = min(1.0, SAMPLE_PER_BUCKET * wanted * 1.2 / rows)
-    sample = narrow if fraction >= 1.0 else narrow.sample(fraction, seed=17)
-    picked = (
-        sample.orderBy(*[k.order() for k in keys])
-        .select(*[col(k.name).cast("string").alias(f"k{i}") for i, k in enumerate(keys)])
-        .collect()
-    )
-    cuts: list[tuple] = []
-    for i in range(1, wanted):
-        at = i * len(picked) // wanted
-        if 0 < at < len(picked) and (not cuts or cuts[-1] != tuple(picked[at])):
-            cuts.append(tuple(picked[at]))
-    return _Cuts(keys, types, cuts, peers)
-
-
-def _local_time_keys(df: DataFrame, keys: Sequence[Key]) -> tuple[DataFrame, list[Key], list[str]]:
-    """Replace zoned timestamps by epoch micros: their text form is not monotone around DST."""
-    extra, mapped = [], []
-    for i, k in enumerate(keys):
-        if isinstance(df.schema[k.name].dataType, T.TimestampType):
-            df = df.withColumn(f"__micros{i}", F.unix_micros(col(k.name)))
-            extra.append(f"__micros{i}")
-            mapped.append(Key(f"__micros{i}", k.desc))
-        else:
-            mapped.append(k)
-    return df, mapped, extra
+def arrange(df: DataFrame, keys: Sequence[Key], buckets: int | None = None) -> DataFrame:
+    """``df`` written in the order of ``keys``, with the number of each row's bucket and its place in it from 0.
+
+    Spark samples the key to place the boundaries; their number follows ``buckets`` or the session's shuffle
+    partitions, which adaptive execution lowers for small inputs.
+    """
+    order = [k.order() for k in keys]
+    ranged = df.repartitionByRange(buckets, *order) if buckets else df.repartitionByRange(*order)
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return stage(ranged.sortWithinPartitions(*order).withColumns({_B: F.spark_partition_id(), _AT: place}), "ordered")
+
+
+def _row_hash(df: DataFrame) -> Column:
+    """A tie-breaker that depends on the row alone."""
+    return F.xxhash64(*[col(f.name) for f in df.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))])
 
 
 def scan(
@@ -227,95 +139,86 @@ def scan(
     *,
     tie: Sequence[Key] = (),
     buckets: int | None = None,
-    rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """Add global window columns to ``df``.
 
-    ``order`` defines peers; ``tie`` makes the order total (needed for a
-    reproducible ROW_NUMBER, running sum, lag or moving window when peers exist).
-    ``df`` is read several times, so pass a table scan or a staged result.
+    ``order`` defines peers; ``tie`` makes the order total (needed for a reproducible ROW_NUMBER, running sum, lag
+    or moving window when peers exist).  Without it a hash of the row breaks ties.  ``df`` is read twice: for the
+    sample and for the write.
     """
     names = list(df.columns)
-    df, keys, extra = _local_time_keys(df, [*order, *tie])
-    peers = len(order)
-    cuts = _find_cuts(df, keys, peers, buckets, rows_per_bucket)
+    if not tie:
+        df = df.withColumn("__tie", _row_hash(df))
+        tie = [Key("__tie")]
+    peers = [k.name for k in order]
+    rows = arrange(df, [*order, *tie], buckets)
     placed = {n: o for n, o in outputs.items() if o.kind not in _NEIGHBOUR}
     near = {n: o for n, o in outputs.items() if o.kind in _NEIGHBOUR}
-    rows = df.withColumn(_B, cuts.bucket())
+    out = rows
     if placed:
-        rows = _positions(df, rows, keys, peers, cuts, placed)
+        out = _positions(rows, order, peers, placed)
     if near:
-        rows = _neighbours(df, rows, keys, cuts, near)
-    return rows.select(*[col(n) for n in names], *[col(n) for n in outputs])
+        out = _neighbours(rows, out, near)
+    return out.select(*[col(n) for n in names], *[col(n) for n in outputs])
 
 
-def _summary(df: DataFrame, keys: Sequence[Key], peers: int, cuts: _Cuts, outputs: dict[str, Out]) -> DataFrame:
-    """Offsets per bucket: a table of at most ``MAX_BUCKETS`` rows."""
-    spark = df.sparkSession
+def _summary(rows: DataFrame, peers: Sequence[str], outputs: dict[str, Out]) -> DataFrame:
+    """Offsets per bucket: a table with one row per written partition."""
     kinds = {o.kind for o in outputs.values()}
     sums = sorted({o.column for o in outputs.values() if o.kind.startswith("running_sum")})
     stitched = bool(kinds & _PEER)
-    peer_columns = [col(k.name) for k in keys[:peers]]
-
-    used = list(dict.fromkeys([k.name for k in keys] + sums))
-    bucketed = df.select(*[col(c) for c in used]).withColumn(_B, cuts.bucket())
-    head = cuts.row_matches_cut(col(_B) - 1, peers)
-    tail = cuts.row_matches_cut(col(_B), peers)
-    aggs = [F.count(F.lit(1)).alias("n")]
+    # A struct keeps NULL keys comparable.
+    key = F.struct(*[col(c) for c in peers])
+    aggs = [F.count(F.lit(1)).alias("n"), *[F.sum(col(c)).alias(f"s{i}") for i, c in enumerate(sums)]]
     if stitched:
-        aggs += [F.count_if(head).alias("head_n"), F.count_if(tail).alias("tail_n")]
-    if "dense_rank" in kinds:
-        # A struct keeps NULL keys countable.
-        aggs.append(F.count_distinct(F.struct(*peer_columns)).alias("d"))
-    for i, c in enumerate(sums):
-        aggs.append(F.sum(col(c)).alias(f"s{i}"))
-        if "running_sum_peers" in kinds:
-            aggs.append(F.sum(F.when(head, col(c))).alias(f"head_s{i}"))
-    found = bucketed.groupBy(_B).agg(*aggs)
-
-    skeleton = spark.createDataFrame(
-        [
-            (b, cuts.runs[b - 1] if b else -1, cuts.runs[b] if b < cuts.count else -2)
-            for b in range(cuts.count + 1)
-        ],
-        f"{_B} int, lo_run int, hi_run int",
-    )
-    dense = skeleton.join(found, _B, "left")
-    filled = {c: 0 for c in found.columns if c in {"n", "d", "head_n", "tail_n"}}
-    dense = dense.fillna(filled)
-
+        aggs += [F.min_by(key, col(_AT)).alias("lo"), F.max_by(key, col(_AT)).alias("hi")]
+    found = rows.groupBy(_B).agg(*aggs)
     by_bucket = W.orderBy(_B)
     earlier = by_bucket.rowsBetween(W.unboundedPreceding, -1)
     offsets = [
         col(_B),
+        col("n"),
         F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("off_n"),
         F.sum("n").over(W.orderBy(F.lit(1)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("all_n"),
+        *[F.sum(f"s{i}").over(earlier).alias(f"off_s{i}") for i in range(len(sums))],
     ]
-    for i, _ in enumerate(sums):
-        offsets.append(F.sum(f"s{i}").over(earlier).alias(f"off_s{i}"))
     if not stitched:
-        return dense.select(*offsets)
+        return stage(found.select(*offsets), "offsets")
 
-    back = W.partitionBy("hi_run").orderBy(_B)
-    ahead = W.partitionBy("lo_run").orderBy(F.desc(_B))
-    runs = {"run_tail": F.sum("tail_n").over(back), "run_head": F.sum("head_n").over(ahead)}
+    ends = stage(found, "bucket-ends")
+    edge = rows.join(F.broadcast(ends.select(_B, "lo", "hi")), _B)
+    head, tail = key.eqNullSafe(col("lo")), key.eqNullSafe(col("hi"))
+    counts = [F.count_if(head).alias("head_n"), F.count_if(tail).alias("tail_n")]
+    if "dense_rank" in kinds:
+        counts.append(F.count_distinct(key).alias("d"))
     peer_sums = range(len(sums)) if "running_sum_peers" in kinds else ()
+    counts += [F.sum(F.when(head, col(sums[i]))).alias(f"head_s{i}") for i in peer_sums]
+    dense = ends.join(edge.groupBy(_B).agg(*counts), _B)
+
+    # A key that begins in one bucket goes on in the next if that one begins with it.
+    joint = F.coalesce(col("lo").eqNullSafe(F.lag("hi").over(by_bucket)) & F.lag("n").over(by_bucket).isNotNull(), F.lit(False))
+    one_key = col("lo").eqNullSafe(col("hi"))
+    dense = dense.withColumns({"joint": joint, "fresh": (~(joint & one_key)).cast("int")})
+    dense = dense.withColumn("tail_run", F.sum("fresh").over(by_bucket))
+    dense = dense.withColumn("head_run", F.when(col("joint"), F.lag("tail_run").over(by_bucket)).otherwise(-col(_B) - 1))
+    back = W.partitionBy("tail_run").orderBy(_B)
+    ahead = W.partitionBy("head_run").orderBy(F.desc(_B))
+    runs = {"run_tail": F.sum("tail_n").over(back), "run_head": F.sum("head_n").over(ahead)}
     runs |= {f"run_head_s{i}": F.sum(f"head_s{i}").over(ahead) for i in peer_sums}
     dense = dense.withColumns(runs)
+    goes_on = F.lead("joint").over(by_bucket)
     offsets += [
-        F.coalesce(F.lag("run_tail").over(by_bucket), F.lit(0)).alias("carry_n"),
-        F.coalesce(F.lead("run_head").over(by_bucket), F.lit(0)).alias("fwd_n"),
-        *[F.lead(f"run_head_s{i}").over(by_bucket).alias(f"fwd_s{i}") for i in peer_sums],
+        col("lo"),
+        col("hi"),
+        F.when(col("joint"), F.lag("run_tail").over(by_bucket)).otherwise(0).alias("carry_n"),
+        F.when(goes_on, F.lead("run_head").over(by_bucket)).otherwise(0).alias("fwd_n"),
+        *[F.when(goes_on, F.lead(f"run_head_s{i}").over(by_bucket)).alias(f"fwd_s{i}") for i in peer_sums],
     ]
     if "dense_rank" in kinds:
         # 1 where the bucket's first key began in an earlier bucket, so it is counted once.
-        carried = F.coalesce(F.lag("run_tail").over(by_bucket), F.lit(0)) > 0
-        dense = dense.withColumn("span", (carried & (col("head_n") > 0)).cast("long"))
-        offsets += [
-            col("span"),
-            F.coalesce(F.sum(col("d") - col("span")).over(earlier), F.lit(0)).alias("off_d"),
-        ]
-    return dense.select(*offsets)
+        dense = dense.withColumn("span", col("joint").cast("long"))
+        offsets += [col("span"), F.coalesce(F.sum(col("d") - col("span")).over(earlier), F.lit(0)).alias("off_d")]
+    return stage(dense.select(*offsets), "offsets")
 
 
 def _plus(*parts: Column) -> Column:
@@ -326,21 +229,18 @@ def _plus(*parts: Column) -> Column:
     return total
 
 
-def _positions(
-    df: DataFrame, rows: DataFrame, keys: Sequence[Key], peers: int, cuts: _Cuts, outputs: dict[str, Out]
-) -> DataFrame:
-    # At most MAX_BUCKETS rows, so the broadcast size is bounded.
-    summary = F.broadcast(_summary(df, keys, peers, cuts, outputs))
+def _positions(rows: DataFrame, order: Sequence[Key], peers: Sequence[str], outputs: dict[str, Out]) -> DataFrame:
+    # One row per written partition, so the broadcast is bounded by the number of tasks.
+    summary = F.broadcast(_summary(rows, peers, outputs).drop("n"))
     sums = sorted({o.column for o in outputs.values() if o.kind.startswith("running_sum")})
-    full = W.partitionBy(_B).orderBy(*[k.order() for k in keys])
-    by_peer = W.partitionBy(_B).orderBy(*[k.order() for k in keys[:peers]])
+    full = W.partitionBy(_B).orderBy(_AT)
+    by_peer = W.partitionBy(_B).orderBy(*[k.order() for k in order])
     kinds = {o.kind for o in outputs.values()}
 
     local: dict[str, Column] = {}
-    if kinds & {"row_number", "ntile"}:
-        local["__rn"] = F.row_number().over(full)
-    for i, c in enumerate(sums):
-        local[f"__run{i}"] = F.sum(col(c)).over(full.rowsBetween(W.unboundedPreceding, 0))
+    if "running_sum" in kinds:
+        for i, c in enumerate(sums):
+            local[f"__run{i}"] = F.sum(col(c)).over(full.rowsBetween(W.unboundedPreceding, 0))
     if kinds & {"rank", "percent_rank", "average_rank"}:
         local["__rank"] = F.rank().over(by_peer)
     if "dense_rank" in kinds:
@@ -352,10 +252,15 @@ def _positions(
             local[f"__range{i}"] = F.sum(col(c)).over(by_peer.rangeBetween(W.unboundedPreceding, 0))
     rows = rows.withColumns(local).join(summary, _B)
 
-    head = cuts.row_matches_cut(col(_B) - 1, peers)
-    tail = cuts.row_matches_cut(col(_B), peers)
-    number = col("off_n") + col("__rn")
-    rank_value = F.when(head, col("off_n") - col("carry_n") + 1).otherwise(col("off_n") + col("__rank"))
+    if kinds & _PEER:
+        key = F.struct(*[col(c) for c in peers])
+        head, tail = key.eqNullSafe(col("lo")), key.eqNullSafe(col("hi"))
+        rank_value = (
+            F.when(head, col("off_n") - col("carry_n") + 1).otherwise(col("off_n") + col("__rank"))
+            if "__rank" in local
+            else F.lit(None)
+        )
+    number = col("off_n") + col(_AT) + 1
     values: dict[str, Column] = {}
     for name, out in outputs.items():
         if out.kind == "row_number":
@@ -399,50 +304,43 @@ def tile_of(number: Column, total: Column, tiles: int) -> Column:
     ).otherwise(longer + F.floor((number - 1 - longer * (size + 1)) / F.greatest(size, F.lit(1))) + 1)
 
 
-def _neighbours(
-    df: DataFrame, rows: DataFrame, keys: Sequence[Key], cuts: _Cuts, outputs: dict[str, Out]
-) -> DataFrame:
+def _neighbours(rows: DataFrame, out: DataFrame, outputs: dict[str, Out]) -> DataFrame:
     """Lag and moving windows: each bucket also sees the last rows before it."""
     reach = max(o.size if o.kind == "lag" else o.size - 1 for o in outputs.values())
-    order = [k.order() for k in keys]
-    if cuts.count and reach:
-        rows = rows.withColumn("__halo", F.lit(False)).unionByName(
-            _halo(df, keys, cuts, outputs, reach), allowMissingColumns=True
-        )
-    else:
-        rows = rows.withColumn("__halo", F.lit(False))
-    window = W.partitionBy(_B).orderBy(*order)
+    own = out.withColumn("__halo", F.lit(False))
+    if reach:
+        own = own.unionByName(_halo(rows, outputs, reach), allowMissingColumns=True)
+    window = W.partitionBy(_B).orderBy(_AT)
     values: dict[str, Column] = {}
-    for name, out in outputs.items():
-        if out.kind == "lag":
-            value = F.lag(col(out.column), out.size).over(window)
+    for name, o in outputs.items():
+        if o.kind == "lag":
+            value = F.lag(col(o.column), o.size).over(window)
         else:
-            frame = window.rowsBetween(1 - out.size, 0)
-            value = (F.avg if out.kind == "moving_avg" else F.sum)(col(out.column)).over(frame)
+            frame = window.rowsBetween(1 - o.size, 0)
+            value = (F.avg if o.kind == "moving_avg" else F.sum)(col(o.column)).over(frame)
         values[name] = value
-    return rows.withColumns(values).where(~col("__halo"))
+    return own.withColumns(values).where(~col("__halo"))
 
 
-def _halo(df: DataFrame, keys: Sequence[Key], cuts: _Cuts, outputs: dict[str, Out], reach: int) -> DataFrame:
-    """The ``reach`` rows preceding each bucket, relabelled to that bucket.
+def _halo(rows: DataFrame, outputs: dict[str, Out], reach: int) -> DataFrame:
+    """The ``reach`` rows preceding each bucket, relabelled to that bucket, at negative places.
 
-    The row-number filter becomes a group limit before the shuffle, so each task
-    sends at most ``reach`` rows per bucket.  A row precedes every following bucket
-    up to the one that holds the row ``reach`` places after it.
+    A row precedes every following bucket that begins at most ``reach`` places after it.  How far that is, is read
+    off the bucket sizes, of which the driver holds one number per written partition.
     """
-    used = list(dict.fromkeys([k.name for k in keys] + [o.column for o in outputs.values()]))
-    last = (
-        df.select(*[col(c) for c in used])
-        .withColumn(_B, cuts.bucket())
-        .withColumn("__back", F.row_number().over(W.partitionBy(_B).orderBy(*[k.reverse_order() for k in keys])))
-        .where(col("__back") <= reach)
-    )
-    # At most (cuts + 1) * reach rows in this window.
-    end = F.lead(_B, reach).over(W.orderBy(col(_B), F.desc("__back")))
+    used = list(dict.fromkeys(o.column for o in outputs.values()))
+    sizes = sorted((r[0], r[1]) for r in rows.groupBy(_B).count().collect())
+    starts = list(itertools.accumulate([n for _, n in sizes], initial=0))
+    reached = [
+        (b, starts[i], starts[i + 1], other, starts[j])
+        for i, (b, _) in enumerate(sizes)
+        for j, (other, _) in itertools.takewhile(lambda x: starts[x[0]] < starts[i + 1] + reach, enumerate(sizes[i + 1 :], i + 1))
+    ]
+    table = rows.sparkSession.createDataFrame(reached, f"{_B} int, __start long, __end long, __to int, __to_start long")
+    number = col("__start") + col(_AT)
     return (
-        last.withColumn("__to", F.coalesce(end, F.lit(cuts.count)))
-        .where(col("__to") > col(_B))
-        .withColumn(_B, F.explode(F.sequence(col(_B) + 1, col("__to"))))
-        .drop("__back", "__to")
-        .withColumn("__halo", F.lit(True))
+        rows.select(_B, _AT, *[col(c) for c in used])
+        .join(F.broadcast(table), _B)
+        .where(number >= col("__to_start") - reach)
+        .select(col("__to").alias(_B), (number - col("__to_start")).alias(_AT), *[col(c) for c in used], F.lit(True).alias("__halo"))
     )

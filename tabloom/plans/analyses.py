@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.cells import business_columns, col, is_numeric_type, number, sort_rows
 from ..operators import aggregate as agg
 from ..operators import entities, features, filters, ordered, pivot, profile, quality, timeline
-from ..operators.joins import LOOKUP_ROWS, above_average, join_group_average, lookup
+from ..operators.joins import above_average, join_group_average, lookup
 from ..staging import stage
 
 Results = dict[str, DataFrame]
@@ -318,17 +318,13 @@ def rank_in_group(df: DataFrame, group: str, value: str, name: str | None = None
     earlier groups.
     """
     name = name or f"rank_in_{group}"
-    ranked = ordered.scan(
-        df,
-        [ordered.asc(group), ordered.desc(value)],
-        {"__rank": ordered.rank()},
-    )
+    ranked = ordered.scan(df, [ordered.asc(group), ordered.desc(value)], {"__rank": ordered.rank()})
     sizes = stage(df.groupBy(col(group).alias("__g")).agg(F.count(F.lit(1)).alias("__n")), "groups")
-    starts = ordered.scan(sizes, [ordered.asc("__g")], {"__upto": ordered.running_sum("__n")}).select(
-        "__g", (col("__upto") - col("__n")).alias("__before")
-    )
-    few = sizes.count() <= LOOKUP_ROWS
-    joined = ranked.join(F.broadcast(starts) if few else starts, col(group).eqNullSafe(col("__g")))
+    starts = ordered.scan(sizes, [ordered.asc("__g")], {"__upto": ordered.running_sum("__n")})
+    # NULL is a group of its own; a marker lets it match.
+    starts = starts.select(col("__g").isNull().alias("__none"), F.coalesce(col("__g").cast("string"), F.lit("")).alias("__key"), (col("__upto") - col("__n")).alias("__before"))
+    keyed = ranked.withColumns({"__none": col(group).isNull(), "__key": F.coalesce(col(group).cast("string"), F.lit(""))})
+    joined = lookup(keyed, starts, ["__none", "__key"])
     return joined.select(*[col(c) for c in df.columns], (col("__rank") - col("__before")).alias(name))
 
 

@@ -1,4 +1,6 @@
 """The bucketed scan equals the plain window for any number of buckets, with ties, NULLs and a hot value."""
+import time
+
 import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -81,8 +83,7 @@ def test_all_rows_one_key(spark):
 def test_hot_key_is_spread(spark):
     """A key holding all rows still fills many buckets."""
     df = spark.range(10_000).selectExpr("id", "1 AS k")
-    cuts = o._find_cuts(df, [o.asc("k"), o.asc("id")], 1, 16, 1)
-    sizes = [r["n"] for r in df.withColumn("b", cuts.bucket()).groupBy("b").agg(F.count("*").alias("n")).collect()]
+    sizes = [r["n"] for r in o.arrange(df, [o.asc("k"), o.asc("id")], 16).groupBy("__bucket").agg(F.count("*").alias("n")).collect()]
     assert len(sizes) == 16 and max(sizes) < 2000
 
 
@@ -94,6 +95,19 @@ def test_few_rows(spark, rows):
     assert all(r["pct"] == (0.0 if rows == 1 else (r["rn"] - 1) / (rows - 1)) for r in got)
 
 
+def test_many_buckets_plan_quickly(spark):
+    """The plan does not grow with the buckets, and a scan without a tie-breaker brings its own."""
+    df = spark.range(20_000).selectExpr("id", "id % 50 AS k")
+    o.arrange(df.limit(1), [o.asc("k")], 4096)  # the files of the write are not what is timed
+    rows = o.arrange(df, [o.asc("k"), o.asc("id")], 4096)
+    began = time.perf_counter()
+    plan = rows.groupBy("__bucket").count()._jdf.queryExecution().optimizedPlan().toString()
+    assert time.perf_counter() - began < 2 and len(plan) < 20_000
+    got = o.scan(df, [o.asc("k")], {"rn": o.row_number(), "rank": o.rank()}, buckets=32)
+    assert got.select("rn").distinct().count() == 20_000
+    assert got.where("rank <> k * 400 + 1").isEmpty()
+
+
 def test_order_types(spark):
     """Dates, zoned times and text are valid sort keys; their order is kept."""
     df = spark.range(500).selectExpr(

@@ -130,7 +130,7 @@ def test_lookup_salted_equals_broadcast(spark):
     side = spark.createDataFrame([(1, 10), (2, 20)], "k int, w int")
     for how in ("left", "inner"):
         small = joins.lookup(df, side, ["k"], how)
-        large = joins.lookup(df, side, ["k"], how, broadcast_rows=0)
+        large = joins.lookup(df, side, ["k"], how, broadcast_bytes=0)
         assert sorted(map(tuple, small.collect()), key=repr) == sorted(map(tuple, large.collect()), key=repr)
 
 

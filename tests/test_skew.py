@@ -27,14 +27,24 @@ def test_rank_in_hot_group(skewed):
 
 
 def test_hot_group_fills_several_buckets(skewed):
-    cuts = ordered._find_cuts(skewed, [asc("g"), ordered.desc("v"), asc("id")], 2, 24, 1)
-    sizes = skewed.withColumn("b", cuts.bucket()).groupBy("b").count().agg(F.max("count")).first()[0]
-    assert sizes < ROWS / 8
+    rows = ordered.arrange(skewed, [asc("g"), ordered.desc("v"), asc("id")], 24)
+    sizes = rows.groupBy("__bucket").count().agg(F.max("count")).first()[0]
+    assert sizes < 2 * ROWS / 24
 
 
-def test_salted_lookup_spreads_the_hot_key(skewed):
+def test_one_value_of_one_group_fills_several_buckets(skewed):
+    """A scan without a tie-breaker splits the peers of one (group, value) too."""
+    same = skewed.withColumn("v", F.when(F.col("g") == "hot", 1.0).otherwise(F.col("v")))
+    got = rank_in_group(same, "g", "v", "r").select("id", "r")
+    want = same.select("id", F.rank().over(W.partitionBy("g").orderBy(F.desc("v"))).cast("long").alias("r"))
+    assert got.exceptAll(want).isEmpty()
+    rows = ordered.arrange(same.withColumn("t", ordered._row_hash(same)), [asc("g"), ordered.desc("v"), asc("t")], 24)
+    assert rows.groupBy("__bucket").count().agg(F.max("count")).first()[0] < 2 * ROWS / 24
+
+
+def test_keyed_lookup_treats_the_hot_key_apart(skewed):
     means = joins.group_average(skewed, "g", "v", "m")
-    got = joins.lookup(skewed, means, ["g"], broadcast_rows=0)
+    got = joins.lookup(skewed, means, ["g"], broadcast_bytes=0)
     want = joins.lookup(skewed, means, ["g"])
     assert got.select("id", F.round("m", 9)).exceptAll(want.select("id", F.round("m", 9))).isEmpty()
     assert got.count() == ROWS
