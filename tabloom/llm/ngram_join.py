@@ -6,11 +6,11 @@ The similarity bounds d by the sizes: with more than d blocks filled, a linked p
 and documents meet in a join on the blocks.  Sizes are banded, so that a document needs blocks for its own band
 and, near its end, the next.
 
-A block that more than ``LIGHT`` documents share is heavy.  A document with more than d light blocks is found
-through those alone and leaves the heavy ones; only documents that consist of common text stay.  First every
-document is compared with the one that it shares most blocks with, which joins groups of near copies without
-all their pairs; then only pairs of different components are candidates, and those whose block distance
-allows it are verified on their n-gram sets.
+A document with more than d blocks that no other has is done.  The others keep their d + 1 rarest blocks: of
+the blocks that a linked pair shares, the rarest is among those of both.  First every document is verified
+against two leaders it shares most blocks with, which joins groups of near copies without all their pairs.
+Then only pairs of different components are left, and a pair passes the join only if the Hamming distance of
+the documents' parity bits, again at most d, allows it; those are verified on their n-gram sets.
 """
 from __future__ import annotations
 
@@ -20,13 +20,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..staging import stage
 from .common import Block, attach, blocks, mix, words
 from .components import components
 
-#: A block value shared by more documents is heavy.
-LIGHT = 32
+#: Words of parity bits that candidates are compared by.
+PARITY = 8
 #: Blocks are this much more than the differences they must outnumber.
 SLACK = 1.1
 _STEP = np.uint64(0xA24BAED4963EE407)
@@ -87,12 +88,14 @@ def _slots(owner: np.ndarray, value: np.ndarray, there: np.ndarray, band: int) -
 
 
 def _sizes(docs: DataFrame, size: int, bounds: Bounds) -> DataFrame:
-    """Per row: doc_id, number of n-grams, a 128-bit hash of the set, differences allowed, and its bands with their filled blocks."""
+    """Per row: doc_id, number of n-grams, a 128-bit hash of the set, differences allowed, its bands with their filled blocks, parity bits."""
     names = ["doc_id", "n", "a", "b", "allowed", "own", "own_filled", "far", "far_filled"]
+    width = 64 * PARITY
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, a, b, *more = (np.zeros(batch.num_rows, t) for t in (np.int64, np.uint64, np.uint64, *[np.int64] * 5))
+            parity = np.zeros((batch.num_rows, PARITY), np.int64)
             for block in blocks(batch.column(1)):
                 owner, value = shingle_sets(block, size)
                 count = np.bincount(owner, minlength=len(block.bounds) - 1)
@@ -101,6 +104,8 @@ def _sizes(docs: DataFrame, size: int, bounds: Bounds) -> DataFrame:
                     at = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
                     a[block.rows.start + owner[at]] = np.add.reduceat(mix(value, 5), at)
                     b[block.rows.start + owner[at]] = np.add.reduceat(mix(value, 6), at)
+                bits = np.bincount(owner * width + (mix(value, 12) & np.uint64(width - 1)).astype(np.int64), minlength=len(count) * width)
+                parity[block.rows] = np.packbits((bits & 1).astype(np.uint8).reshape(len(count), width), axis=1).view(np.int64)
                 bands = bounds.band(count), bounds.band(bounds.largest(count))
                 more[0][block.rows] = bounds.differences(count)
                 for band, to, filled in zip(bands, more[1::2], more[2::2]):
@@ -110,8 +115,10 @@ def _sizes(docs: DataFrame, size: int, bounds: Bounds) -> DataFrame:
                         slot = slot[np.concatenate(([True], slot[1:] != slot[:-1]))[: len(slot)]]
                         filled[block.rows] += np.bincount(slot >> int(one), minlength=len(count))
             columns = [batch.column(0), pa.array(n), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), *map(pa.array, more)]
+            columns += [pa.array(np.ascontiguousarray(parity[:, i])) for i in range(PARITY)]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
+    names += [f"p{i}" for i in range(PARITY)]
     return docs.mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
@@ -233,48 +240,51 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
     )
     met = stage(met.withColumn("band", F.col("key").bitwiseAND(F.lit(31))), "shared-blocks")
 
-    # How many blocks a document fills in a band, and how many of its blocks are heavy.  An id with several texts
-    # counts as filling none, so that nothing is concluded from its blocks.
-    banded = named.select(
-        "doc_id", "n", "allowed", F.inline(F.array(F.struct(F.col("own").alias("band"), F.col("own_filled").alias("filled")), F.struct(F.col("far").alias("band"), F.col("far_filled").alias("filled"))))
-    ).distinct()
-    filled = banded.groupBy("doc_id", "band").agg(
-        F.max("n").alias("n"), F.max("allowed").alias("allowed"), F.when(F.count(F.lit(1)) > 1, 0).otherwise(F.max("filled")).alias("filled")
+    # How many blocks a document fills in a band, and how many of them it shares.  A document that shows its
+    # empty blocks too, or an id with several texts, keeps all its blocks.
+    parity = [f"p{i}" for i in range(PARITY)]
+    bands = F.array(*[F.struct(F.col(c).cast("long").alias("band"), F.col(f"{c}_filled").alias("filled")) for c in ("own", "far")])
+    banded = named.select("doc_id", "n", "allowed", *parity, F.inline(bands)).distinct()
+    about = banded.groupBy("doc_id", "band").agg(
+        F.max("n").alias("n"),
+        F.max("allowed").alias("allowed"),
+        F.max("filled").alias("filled"),
+        ((F.count(F.lit(1)) > 1) | (F.max("filled") <= F.max("allowed"))).alias("all"),
+        # Without one set, no parity says anything.
+        *[F.when(F.count(F.lit(1)) == 1, F.max(c)).alias(c) for c in parity],
     )
-    heavy = stage(met.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("doc_id").alias("least")), "block-sizes")
-    marked = stage(met.join(heavy, "key").select("key", "doc_id", "band", "least", (F.col("c") > LIGHT).alias("heavy")), "blocks")
-    counts = marked.groupBy("doc_id", "band").agg(F.count_if("heavy").alias("heavies"))
-    light = F.col("filled") - F.col("heavies")
-    stats = filled.join(counts, ["doc_id", "band"]).select("doc_id", "band", "n", "filled", light.alias("light"), (light <= F.col("allowed")).alias("open"))
-    stats = stage(stats, "block-stats")
-
-    # Each document with the one it shares most blocks with.
-    most = F.max(F.struct("c", (-F.col("least")).alias("least"))).alias("m")
-    star = marked.where("doc_id <> least").groupBy("doc_id", "least").agg(F.count(F.lit(1)).alias("c")).groupBy("doc_id").agg(most)
-    star = stage(star.select(F.col("doc_id").alias("u"), (-F.col("m.least")).alias("v")), "star")
+    sizes = stage(met.groupBy("key").agg(F.count(F.lit(1)).alias("c")), "block-sizes")
+    mine = W.partitionBy("doc_id", "band")
+    ranked = (
+        met.join(sizes, "key")
+        .withColumns({"shared": F.count(F.lit(1)).over(mine), "r": F.row_number().over(mine.orderBy("c", "key"))})
+        .join(about, ["doc_id", "band"])
+    )
+    blocks_of = ranked.where(F.col("all") | (F.col("r") + F.greatest(F.col("filled") - F.col("shared"), F.lit(0)) <= F.col("allowed") + 1))
+    kept = stage(blocks_of.select("key", "doc_id", "n", *parity, "shared"), "blocks")
+
+    # Each document with two leaders of its blocks: the smallest id, and the one that shares most blocks at all.
+    leaders = kept.groupBy("key").agg(F.min("doc_id").alias("least"), F.max(F.struct("shared", (-F.col("doc_id")).alias("i"))).alias("top"))
+    led = kept.select("key", "doc_id").join(leaders.select("key", "least", (-F.col("top.i")).alias("top")), "key")
+    star = led.select("doc_id", F.col("least").alias("v"), F.lit(0).alias("kind")).union(led.select("doc_id", "top", F.lit(1)))
+    star = star.where("doc_id <> v").groupBy("doc_id", "kind", "v").agg(F.count(F.lit(1)).alias("c"))
+    star = star.groupBy("doc_id", "kind").agg(F.max(F.struct("c", (-F.col("v")).alias("i"))).alias("m"))
+    star = stage(star.select(F.col("doc_id").alias("u"), (-F.col("m.i")).alias("v")).distinct(), "star")
     links = stage(_verified(docs, star, size, percent), "links").union(same_id.where("u <> v").select("u", "v"))
     grouped = components(links)
 
-    # Pairs of different components that share blocks; a settled document meets others in light blocks only.
-    labelled = (
-        marked.join(grouped.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-        .withColumn("component", F.coalesce("component", "doc_id"))
-        .join(stats.select("doc_id", "band", "n", "filled", "light", "open"), ["doc_id", "band"])
-        .where(F.col("open") | ~F.col("heavy"))
-    )
-    labelled = stage(labelled.drop("least"), "blocks-labelled")
+    # Pairs of different components that share blocks, as far as their parity bits allow.
+    labelled = kept.drop("shared").join(grouped.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    labelled = stage(labelled.withColumn("component", F.coalesce("component", "doc_id")), "blocks-labelled")
     mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
     left = stage(labelled.join(mixed, "key"), "blocks-mixed")
-    x = left.select("key", "band", "heavy", *[F.col(c).alias(f"{c}_u") for c in ("doc_id", "component", "n", "filled", "light", "open")])
-    y = left.select("key", *[F.col(c).alias(f"{c}_v") for c in ("doc_id", "component", "n", "filled", "light", "open")])
-    met_twice = x.join(y, "key").where((F.col("doc_id_u") < F.col("doc_id_v")) & (F.col("component_u") != F.col("component_v")))
-    of_pair = ["doc_id_u", "doc_id_v", "band"]
-    about = [F.first(c).alias(c) for c in ("n_u", "n_v", "filled_u", "filled_v", "light_u", "light_v", "open_u", "open_v")]
-    pairs = met_twice.groupBy(*of_pair).agg(F.count(F.lit(1)).alias("c"), *about)
-    both = F.col("open_u") & F.col("open_v")
-    differ = F.greatest(*[F.when(both, F.col(f"filled_{s}")).otherwise(F.col(f"light_{s}")) for s in "uv"]) - F.col("c")
-    allowed = F.floor(F.lit(100 - percent) * (F.col("n_u") + F.col("n_v")) / F.lit(100 + percent))
-    pairs = pairs.where(differ <= allowed).select(F.col("doc_id_u").alias("u"), F.col("doc_id_v").alias("v")).distinct()
+    x, y = (left.select("key", *[F.col(c).alias(f"{c}_{s}") for c in left.columns if c != "key"]) for s in "uv")
+    apart = sum((F.coalesce(F.bit_count(F.col(f"{p}_u").bitwiseXOR(F.col(f"{p}_v"))), F.lit(0)) for p in parity), F.lit(0))
+    near = F.lit(100 + percent) * apart <= F.lit(100 - percent) * (F.col("n_u") + F.col("n_v"))
+    fits = (F.lit(percent) * F.col("n_u") <= 100 * F.col("n_v")) & (F.lit(percent) * F.col("n_v") <= 100 * F.col("n_u"))
+    meet = (x["key"] == y["key"]) & (F.col("doc_id_u") < F.col("doc_id_v")) & (F.col("component_u") != F.col("component_v"))
+    pairs = x.join(y, meet & (fits | F.col("p0_u").isNull() | F.col("p0_v").isNull()) & near)
+    pairs = pairs.select(F.col("doc_id_u").alias("u"), F.col("doc_id_v").alias("v")).distinct()
     links = links.union(_verified(docs, stage(pairs, "candidates"), size, percent))
     final = components(links.union(grouped.select("node", "component")))
 
