@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from ..staging import stage
 
 #: Size up to which the small side of a join is broadcast; a larger one is shuffled.
-BROADCAST_BYTES = 32 << 20
+BROADCAST_BYTES = 64 << 20
 #: Bytes of text that one block of array work holds (a longer text is a block of its own).
 BLOCK_BYTES = 1 << 20
 #: Learners never see rows of this remainder.
@@ -28,12 +28,13 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % HELD_OUT_OF == 0
 
 
-def attach(rows: DataFrame, staged: DataFrame, on: str | list[str], how: str, row_bytes: int) -> DataFrame:
+def attach(rows: DataFrame, staged: DataFrame, on: str | list[str], how: str, row_bytes: int, more: int = 0) -> DataFrame:
     """Join ``staged`` to ``rows``; it is broadcast if its rows, counted from file footers, are small enough.
 
-    Beyond ``BROADCAST_BYTES`` both sides are shuffled on the key instead.
+    ``row_bytes`` is the size of a row without what varies, ``more`` the size of all that varies.  Beyond
+    ``BROADCAST_BYTES`` both sides are shuffled on the key instead.
     """
-    small = staged.count() * row_bytes <= BROADCAST_BYTES
+    small = staged.count() * row_bytes + more <= BROADCAST_BYTES
     return rows.join(F.broadcast(staged) if small else staged, on, how)
 
 
@@ -218,11 +219,15 @@ def spans_hash(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.nda
     return out
 
 
-def grams16(data: np.ndarray) -> np.ndarray:
-    """64-bit hashes of all 16-byte strings, by start."""
-    n = max(0, len(data) - 15)
-    eight = np.ndarray((max(0, len(data) - 7),), "<u8", np.ascontiguousarray(data), strides=(1,)) if n else np.zeros(0, "<u8")
-    return mix(eight[:n] * _ODD ^ mix(eight[8 : n + 8] * _MIX))
+def grams(data: np.ndarray, size: int) -> np.ndarray:
+    """64-bit hashes of all byte strings of ``size``, a multiple of 8, by start."""
+    n = max(0, len(data) - size + 1)
+    out = np.full(n, size, np.uint64)
+    if n:
+        eight = np.ndarray((len(data) - 7,), "<u8", np.ascontiguousarray(data), strides=(1,))
+        for at in range(0, size, 8):
+            out = mix(out * _MIX ^ eight[at : at + n] * _ODD)
+    return out
 
 
 def pack(**arrays: np.ndarray) -> bytes:

@@ -5,9 +5,9 @@ A byte goes if it lies in a string of ``least`` bytes that also starts in a docu
 1. Texts are cut where their content says so.  A chunk, with the bytes that strings starting in it reach,
    which an earlier document has too settles all strings that start in it; copies end here.  The first
    document that has a string never has it settled, so what is left still holds every string's first place.
-2. Equal strings share their minimizer, the least hash of their 16-byte pieces.  Pieces that only one
+2. Equal strings share their minimizer, the least hash of their short pieces.  Pieces that only one
    document has are dropped; the others' surroundings, the segments, are grouped by minimizer.
-3. For the distinct segments of a group of minimizers, a suffix array bounded in depth gives the transform,
+3. For the distinct segments of some minimizers together, a suffix array bounded in depth gives the transform,
    and breadth-first backward extension of its intervals derives the common prefixes by increasing length,
    stopping at ``least``.  What is still joined then are equal strings, and the smallest id keeps them.
 """
@@ -17,62 +17,58 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..staging import stage
-from .common import Block, attach, blocks, grams16
+from .common import attach, blocks, grams
 from .ngram_join import _shared
 
 GRAM = 16
 #: One place in so many begins a chunk.
 CHUNK = 128
-#: Bytes of segments that one transform holds, and segments of one minimizer beyond which strings are compared by a plain aggregate.
+#: Bytes of segments that one transform holds, and distinct segments of one minimizer beyond which its strings are aggregated one by one.
 GROUP_BYTES, GROUP_SEGMENTS = 1 << 19, 1 << 14
 
 
 # ---- one text -----------------------------------------------------------------------------------------------------
 
 
-def chunks(grams: np.ndarray, size: int, least: int) -> np.ndarray:
+def chunks(hashes: np.ndarray, size: int, least: int) -> np.ndarray:
     """Starts of the chunks of a text's string starts (0 to size - least)."""
     n = size - least + 1
     if n <= 0:
         return np.zeros(0, np.int64)
-    cut = (grams[:n] & np.uint64(CHUNK - 1)) == 0
+    cut = (hashes[:n] & np.uint64(CHUNK - 1)) == 0
     cut[1:] &= ~cut[:-1].copy()
     cut[0] = True
     return np.flatnonzero(cut)
 
 
-def chunk_hashes(data: bytes, starts: np.ndarray, least: int) -> list[bytes]:
-    """128-bit hashes of the chunks with the bytes that their strings reach."""
+def chunk_hashes(data: bytes, starts: np.ndarray, least: int) -> np.ndarray:
+    """128-bit hashes, as two numbers, of the chunks with the bytes that their strings reach."""
     ends = np.append(starts[1:], len(data) - least + 1) + least - 1
-    return [hashlib.blake2b(data[s:e], digest_size=16).digest() for s, e in zip(starts.tolist(), ends.tolist())]
+    found = [hashlib.blake2b(data[s:e], digest_size=16).digest() for s, e in zip(starts.tolist(), ends.tolist())]
+    return np.frombuffer(b"".join(found), np.int64).reshape(-1, 2)
 
 
-def minimizers(grams: np.ndarray, size: int, least: int) -> np.ndarray:
-    """Per string start, the least hash of the 16-byte pieces of the string."""
+def minimizers(hashes: np.ndarray, size: int, least: int) -> np.ndarray:
+    """Per string start, the least hash of the short pieces of the string."""
     n, width = size - least + 1, least - GRAM + 1
-    now, reach = grams[: n + width - 1], 1
+    now, reach = hashes[: n + width - 1], 1
     while reach * 2 <= width:
         now = np.minimum(now[:-reach], now[reach:])
         reach *= 2
     return np.minimum(now[:n], now[width - reach : width - reach + n])
 
 
-def _short(hashes: list[bytes]) -> np.ndarray:
-    return np.array([int.from_bytes(h[:8], "little", signed=True) for h in hashes], np.int64)
-
-
-def open_starts(data: bytes, grams: np.ndarray, settled: np.ndarray, least: int) -> np.ndarray:
+def open_starts(data: bytes, hashes: np.ndarray, settled: np.ndarray, least: int) -> np.ndarray:
     """Which string starts lie in no settled chunk."""
     out = np.ones(max(0, len(data) - least + 1), bool)
     if len(settled) and len(out):
-        starts = chunks(grams, len(data), least)
-        done = np.isin(_short(chunk_hashes(data, starts, least)), settled)
+        starts = chunks(hashes, len(data), least)
+        done = np.isin(chunk_hashes(data, starts, least)[:, 0], settled)
         out = ~np.repeat(done, np.diff(np.append(starts, len(out))))
     return out
 
@@ -80,49 +76,52 @@ def open_starts(data: bytes, grams: np.ndarray, settled: np.ndarray, least: int)
 def _each(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, bytes, np.ndarray]]:
     """Row, bytes and piece hashes of every text."""
     for block in blocks(batch.column(column)):
-        grams = grams16(block.data)
+        hashes = grams(block.data, GRAM)
         whole = block.data.tobytes()
         for i in range(len(block.bounds) - 1):
             lo, hi = int(block.bounds[i]), int(block.bounds[i + 1])
-            yield block.rows.start + i, whole[lo:hi], grams[lo : max(lo, hi - GRAM + 1)]
+            yield block.rows.start + i, whole[lo:hi], hashes[lo : max(lo, hi - GRAM + 1)]
 
 
 # ---- one group of segments ----------------------------------------------------------------------------------------
 
 
 def suffix_array(symbols: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes in the order of their first ``depth`` symbols at least, by doubling; symbols must order the text's ends apart."""
-    _, rank = np.unique(symbols, return_inverse=True)
-    n, reach = len(symbols), 1
-    order = np.argsort(rank, kind="stable")
-    while reach < depth:
-        key = rank.astype(np.int64) * (n + 1)
-        key[: n - reach] += rank[reach:] + 1
-        order = np.argsort(key, kind="stable")
-        new = np.concatenate(([0], np.cumsum(key[order][1:] != key[order][:-1])))
+    """Suffixes in the order of their first ``depth`` symbols at least, by doubling; symbols are below 512."""
+    n, reach = len(symbols), 7
+    padded = np.concatenate([symbols.astype(np.int64), np.zeros(reach, np.int64)])
+    key = np.zeros(n, np.int64)
+    for i in range(reach):
+        key = key << 9 | padded[i : n + i]
+    while True:
+        order = np.argsort(key)
+        ranked = key[order]
+        new = np.concatenate(([0], np.cumsum(ranked[1:] != ranked[:-1])))
+        if reach >= depth or new[-1] == n - 1:
+            return order
         rank = np.empty(n, np.int64)
         rank[order] = new
+        key = rank * (n + 1)
+        key[: max(0, n - reach)] += rank[reach:] + 1
         reach *= 2
-        if new[-1] == n - 1:
-            break
-    return order
 
 
 def common_prefixes(transform: np.ndarray, least: int) -> np.ndarray:
     """Common prefix length of each suffix with the one before it, where below ``least``; else -1.
 
-    ``transform`` holds the symbol before each suffix in suffix order (negative: the end marks, all different,
-    which sort first).  The intervals of all strings of one length are extended backward by one symbol at a
-    time; an interval's end that is seen for the first time has the current length as its common prefix.
+    ``transform`` holds the symbol before each suffix in suffix order.  Symbol 0 is an end mark: marks are all
+    different, so no prefix reaches over one.  The intervals of all strings of one length are extended backward
+    by one symbol at a time; an interval's end that is seen for the first time has the current length as its
+    common prefix.
     """
     n = len(transform)
     back = np.empty(n, np.int64)
-    back[np.argsort(transform, kind="stable")] = np.arange(n)
+    back[np.argsort(transform.astype(np.int16), kind="stable")] = np.arange(n)
     found = np.full(n + 1, -1, np.int64)
-    # Strings of one symbol: the runs of the first symbols, end marks each by itself.
-    first = np.sort(transform)
-    starts = np.flatnonzero(np.concatenate(([True], first[1:] != first[:-1])))
-    lo, hi = starts, np.append(starts[1:], n)
+    # Strings of one symbol, end marks each by itself.
+    counts = np.bincount(transform)
+    lo = np.concatenate([np.arange(counts[0]), np.cumsum(counts)[:-1][counts[1:] > 0]])
+    hi = np.append(lo[1:], n)
     found[lo] = 0
     found[n] = 0
     for length in range(1, least):
@@ -130,16 +129,17 @@ def common_prefixes(transform: np.ndarray, least: int) -> np.ndarray:
             break
         single = hi - lo == 1
         at = lo[single]
-        at = at[transform[at] >= 0]
-        new_lo, new_hi = [back[at]], [back[at] + 1]
+        at = back[at[transform[at] > 0]]
+        new_lo, new_hi = [at], [at + 1]
         lo, hi = lo[~single], hi[~single]
         if len(lo):
             size = hi - lo
             which = np.repeat(np.arange(len(lo)), size)
             places = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(lo, size)
             symbol = transform[places]
-            inner = symbol >= 0
-            key, places = which[inner] * 257 + symbol[inner], places[inner]
+            inner = symbol > 0
+            key, places = which[inner] * 512 + symbol[inner], places[inner]
+            # Rows of one symbol keep their order, so the first leads to the begin of the new interval.
             order = np.argsort(key, kind="stable")
             key, places = key[order], places[order]
             begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))[: len(key)])
@@ -158,12 +158,10 @@ def repeated(segments: list[bytes], ids: np.ndarray, least: int) -> Iterator[tup
     sizes = np.array([len(s) for s in segments], np.int64)
     ends = np.cumsum(sizes + 1) - 1
     n = int(ends[-1]) + 1
-    # End marks are negative and all different, so that no common prefix reaches over one.
-    symbols = np.empty(n, np.int64)
+    symbols = np.zeros(n, np.int64)
     inner = np.ones(n, bool)
     inner[ends] = False
-    symbols[inner] = np.frombuffer(b"".join(segments), np.uint8)
-    symbols[ends] = np.arange(-len(ends), 0)
+    symbols[inner] = np.frombuffer(b"".join(segments), np.uint8).astype(np.int64) + 1
     order = suffix_array(symbols, least)
     same = common_prefixes(symbols[order - 1], least) < 0
     group = np.cumsum(~same) - 1
@@ -175,14 +173,14 @@ def repeated(segments: list[bytes], ids: np.ndarray, least: int) -> Iterator[tup
         yield int(owner[i]), int(order[i] - begin[owner[i]])
 
 
-def _runs(starts: list[int], least: int) -> list[tuple[int, int]]:
-    """Byte ranges that strings at ``starts`` cover."""
+def _joined(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Ranges that overlap or touch, as one."""
     out: list[tuple[int, int]] = []
-    for s in sorted(starts):
-        if out and s <= out[-1][1]:
-            out[-1] = (out[-1][0], s + least)
+    for lo, hi in sorted(ranges):
+        if out and lo <= out[-1][1]:
+            out[-1] = (out[-1][0], max(hi, out[-1][1]))
         else:
-            out.append((s, s + least))
+            out.append((lo, hi))
     return out
 
 
@@ -190,27 +188,39 @@ def _runs(starts: list[int], least: int) -> list[tuple[int, int]]:
 
 
 def _settled(docs: DataFrame, least: int) -> DataFrame:
-    """Per text, the short hashes of its chunks that an earlier document has."""
+    """Per text, the chunks (first half of the hash) that an earlier document has."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, hashes = [], []
-            for i, data, grams in _each(batch, "text"):
+            rows, found = [], [np.zeros((0, 2), np.int64)]
+            for i, data, hashes in _each(batch, "text"):
                 if len(data) >= least:
-                    mine = chunk_hashes(data, chunks(grams, len(data), least), least)
-                    hashes += mine
-                    rows += [i] * len(mine)
-            at = pa.array(rows, pa.int64())
+                    found.append(chunk_hashes(data, chunks(hashes, len(data), least), least))
+                    rows.append(np.full(len(found[-1]), i))
+            at, both = pa.array(np.concatenate([np.zeros(0, np.int64), *rows])), np.concatenate(found)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(at), batch.column("mark").take(at), pa.array(hashes, pa.binary())], names=["doc_id", "mark", "chunk"]
+                [pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), batch.column("doc_id").take(at), batch.column("mark").take(at)],
+                names=["a", "b", "doc_id", "mark"],
             )
 
-    found = docs.mapInArrow(run, "doc_id long, mark long, chunk binary")
-    found = stage(found, "chunks")
-    first = found.groupBy("chunk").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
-    done = found.join(first, "chunk").where("doc_id > first")
-    low = F.conv(F.hex(F.reverse(F.substring("chunk", 1, 8))), 16, -10).cast("long")
-    return stage(done.groupBy("doc_id", "mark").agg(F.collect_set(low).alias("settled")), "settled")
+    def later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of rows sorted by chunk and document, those that come after the chunk's first document."""
+        last = np.zeros(3, np.int64)
+        begun = False
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            a, b, doc = (batch.column(i).to_numpy() for i in range(3))
+            new = np.concatenate(([not begun or a[0] != last[0] or b[0] != last[1]], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+            at = np.maximum.accumulate(np.where(new, np.arange(len(a)), -1))
+            first = np.where(at >= 0, doc[np.maximum(at, 0)], last[2])
+            last, begun = np.array([a[-1], b[-1], first[-1]]), True
+            keep = pa.array(doc > first)
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(keep) for i in (0, 2, 3)], names=["a", "doc_id", "mark"])
+
+    found = docs.mapInArrow(cut, "a long, b long, doc_id long, mark long")
+    done = found.repartition("a").sortWithinPartitions("a", "b", "doc_id").mapInArrow(later, "a long, doc_id long, mark long")
+    return stage(done.groupBy("doc_id", "mark").agg(F.collect_set("a").alias("settled")), "settled")
 
 
 def _pieces(docs: DataFrame, least: int) -> DataFrame:
@@ -220,12 +230,12 @@ def _pieces(docs: DataFrame, least: int) -> DataFrame:
         for batch in batches:
             ids, settled = batch.column("doc_id").to_numpy(zero_copy_only=False), batch.column("settled")
             rows, keys = [], []
-            for i, data, grams in _each(batch, "text"):
+            for i, data, hashes in _each(batch, "text"):
                 if len(data) < least:
                     continue
-                free = open_starts(data, grams, np.array(settled[i].as_py() or (), np.int64), least)
+                free = open_starts(data, hashes, np.array(settled[i].as_py() or (), np.int64), least)
                 if free.any():
-                    some = minimizers(grams, len(data), least)[free]
+                    some = minimizers(hashes, len(data), least)[free]
                     # Neighbouring strings mostly share their minimizer.
                     some = np.unique(some[np.concatenate(([True], some[1:] != some[:-1]))])
                     keys.append(some.view(np.int64))
@@ -237,17 +247,21 @@ def _pieces(docs: DataFrame, least: int) -> DataFrame:
 
 
 def _segments(docs: DataFrame, least: int) -> DataFrame:
-    """Per run of open strings with one shared minimizer: the bytes they cover and where they start."""
+    """Per run of open strings with one minimizer that seems shared: the bytes they cover and where they start.
+
+    The shared minimizers of a document come as the low 16 bits; a minimizer that is taken for shared by mistake
+    meets no other document later.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, keys, starts, bytes_ = [], [], [], []
-            for i, data, grams in _each(batch, "text"):
+            for i, data, hashes in _each(batch, "text"):
                 if len(data) < least:
                     continue
-                free = open_starts(data, grams, np.array(batch.column("settled")[i].as_py() or (), np.int64), least)
-                mine = minimizers(grams, len(data), least).view(np.int64)
-                use = free & np.isin(mine, np.array(batch.column("keys")[i].as_py() or (), np.int64))
+                free = open_starts(data, hashes, np.array(batch.column("settled")[i].as_py() or (), np.int64), least)
+                mine = minimizers(hashes, len(data), least).view(np.int64)
+                use = free & np.isin(mine.astype(np.int16), np.array(batch.column("keys")[i].as_py() or (), np.int16))
                 at = np.flatnonzero(use)
                 if not len(at):
                     continue
@@ -267,42 +281,96 @@ def _segments(docs: DataFrame, least: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, mark long, key long, start int, segment binary")
 
 
-def _repeats(distinct: DataFrame, least: int) -> DataFrame:
-    """For distinct segments with the smallest document that has each: the ranges that smaller documents have too."""
-    sizes = distinct.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.sum(F.octet_length("segment")).alias("n"))
-    sizes = stage(sizes.where("c > 1"), "segment-sizes")
-    total = sizes.agg(F.sum("n")).first()[0] or 0
-    groups = max(1, -(-total // GROUP_BYTES))
-    whole = stage(distinct.join(sizes, "key"), "segments-shared")
-
-    def expand(rows: pd.DataFrame) -> pd.DataFrame:
-        found: dict[int, list[int]] = {}
-        for segment, start in repeated([bytes(s) for s in rows["segment"]], rows["first"].to_numpy(), least):
-            found.setdefault(segment, []).append(start)
-        at = sorted(found)
-        return pd.DataFrame(
-            {
-                "key": rows["key"].iloc[at],
-                "segment": rows["segment"].iloc[at],
-                "ranges": [[{"lo": lo, "hi": hi} for lo, hi in _runs(found[i], least)] for i in at],
-            }
-        )
-
-    shape = "key long, segment binary, ranges array<struct<lo: int, hi: int>>"
-    small = whole.where(F.col("c") <= GROUP_SEGMENTS).select("key", "segment", "first", F.pmod(F.xxhash64("key"), F.lit(groups)).alias("group"))
-    expanded = small.groupBy("group").applyInPandas(expand, shape)
-    # A minimizer with very many different surroundings: its strings are aggregated one by one.
-    each = (
-        whole.where(F.col("c") > GROUP_SEGMENTS)
-        .withColumn("lo", F.explode(F.sequence(F.lit(0), F.octet_length("segment") - least)))
-        .withColumn("string", F.substring(F.col("segment"), F.col("lo") + 1, F.lit(least)))
-    )
-    least_id = each.groupBy("string").agg(F.min("first").alias("smallest"))
-    single = each.join(least_id, "string").where("smallest < first")
-    listed = single.groupBy("key", "segment").agg(
-        F.collect_list(F.struct(F.col("lo").cast("int").alias("lo"), (F.col("lo") + least).cast("int").alias("hi"))).alias("ranges")
-    )
-    return expanded.union(listed.select("key", "segment", F.col("ranges").cast("array<struct<lo: int, hi: int>>")))
+def _expanded(segments: DataFrame, least: int) -> DataFrame:
+    """Ranges of texts that smaller documents have, from segments sorted by minimizer, bytes and document.
+
+    Each task reads its minimizers one after the other.  A segment that a smaller document has goes whole and is
+    not kept; the distinct segments of some minimizers together make one transform.  A minimizer with more
+    distinct segments than ``GROUP_SEGMENTS`` is passed on as it is (``segment`` not null).
+    """
+    names = ["doc_id", "mark", "lo", "hi", "segment"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[bytes, int, list[tuple[int, int]]]] = []
+        out: list[tuple] = []
+        key = segment = first = None
+        begin = size = 0
+        crowded = False
+
+        def expand() -> None:
+            places: dict[int, list[tuple[int, int]]] = {}
+            if held:
+                for i, start in repeated([h[0] for h in held], np.array([h[1] for h in held], np.int64), least):
+                    places.setdefault(i, []).append((start, start + least))
+            for i, ranges in places.items():
+                for lo, hi in _joined(ranges):
+                    out.extend((held[i][1], mark, start + lo, start + hi, None) for mark, start in held[i][2])
+
+        def written() -> pa.RecordBatch:
+            types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+            columns = zip(*out) if out else [()] * 5
+            made = pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], names=names)
+            out.clear()
+            return made
+
+        for batch in batches:
+            for this, data, doc, mark, start in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                if this != key:
+                    if len(held) == begin + 1:  # nothing to compare it with
+                        size -= len(held.pop()[0])
+                    if size >= GROUP_BYTES:
+                        expand()
+                        held, size = [], 0
+                    key, segment, begin, crowded = this, None, len(held), False
+                if data != segment:
+                    segment, first = data, doc
+                    if not crowded and len(held) - begin >= GROUP_SEGMENTS:
+                        crowded = True
+                        for one, owner, places in held[begin:]:
+                            out.extend((owner, m, s, s + len(one), one) for m, s in places)
+                            size -= len(one)
+                        del held[begin:]
+                    if crowded:
+                        out.append((doc, mark, start, start + len(data), data))
+                    else:
+                        held.append((data, doc, [(mark, start)]))
+                        size += len(data)
+                elif doc > first:
+                    out.append((doc, mark, start, start + len(data), None))
+                elif crowded:
+                    out.append((doc, mark, start, start + len(data), data))
+                else:
+                    held[-1][2].append((mark, start))
+            yield written()
+        if len(held) == begin + 1:
+            held.pop()
+        expand()
+        yield written()
+
+    order = ["key", "segment", "doc_id"]
+    arranged = segments.select("key", "segment", "doc_id", "mark", "start").repartition("key").sortWithinPartitions(*order)
+    return arranged.mapInArrow(run, "doc_id long, mark long, lo int, hi int, segment binary")
+
+
+def _string_by_string(crowded: DataFrame, least: int) -> DataFrame:
+    """The ranges of crowded minimizers: their strings are aggregated one by one."""
+    each = crowded.withColumn("at", F.explode(F.sequence(F.lit(0), F.octet_length("segment") - least)))
+    each = each.withColumn("string", F.substring(F.col("segment"), F.col("at") + 1, F.lit(least)))
+    smallest = each.groupBy("string").agg(F.min("doc_id").alias("smallest"))
+    later = each.join(smallest, "string").where("smallest < doc_id")
+    return later.select("doc_id", "mark", (F.col("lo") + F.col("at")).alias("lo"), (F.col("lo") + F.col("at") + least).alias("hi"))
+
+
+def _merged(ranges: DataFrame) -> DataFrame:
+    """Per text, the removed ranges without overlaps, as one list of begins and ends."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [[x for r in _joined([(r["lo"], r["hi"]) for r in row]) for x in r] for row in batch.column("ranges").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(lists, pa.list_(pa.int32()))], names=["doc_id", "mark", "ranges"])
+
+    listed = ranges.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+    return listed.mapInArrow(run, "doc_id long, mark long, ranges array<int>")
 
 
 def suffix_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", least: int = 50) -> DataFrame:
@@ -322,37 +390,35 @@ def suffix_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", least
     by = ["doc_id", "mark"]
 
     settled = _settled(narrow, least)
-    free = attach(narrow, settled, by, "left", 256)
+    many = settled.agg(F.sum(F.size("settled"))).first()[0] or 0
+    free = attach(narrow, settled, by, "left", 64, 8 * many)
     shared = _pieces(free, least).repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(_shared, "key long, doc_id long")
-    keys = stage(shared.groupBy("doc_id").agg(F.collect_set("key").alias("keys")), "shared-pieces")
-    where = stage(_segments(attach(free, keys, "doc_id", "inner", 128), least), "segments")
-    distinct = stage(where.groupBy("key", "segment").agg(F.min("doc_id").alias("first")), "segments-distinct")
-    later = where.join(distinct, ["key", "segment"])
-    whole = later.where("doc_id > first").select(*by, F.col("start").alias("lo"), (F.col("start") + F.octet_length("segment")).alias("hi"))
-    partly = (
-        later.where("doc_id = first")
-        .join(_repeats(distinct, least), ["key", "segment"])
-        .select(*by, "start", F.inline("ranges"))
-        .select(*by, (F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi")).alias("hi"))
-    )
-    ranges = whole.union(partly).groupBy(*by).agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
-    marks = stage(settled.join(ranges, by, "full").withColumnsRenamed({"doc_id": "__id", "mark": "__mark"}), "removals")
-    rows = attach(marked, marks, ["__id", "__mark"], "left", 384).select(*columns, "__text", "settled", "ranges")
+    # The low 16 bits, sign and all, of the key.
+    low = F.shiftright(F.shiftleft(F.col("key"), 48), 48).cast("short")
+    keys = stage(shared.groupBy("doc_id").agg(F.collect_set(low).alias("keys")), "shared-pieces")
+    found = keys.agg(F.sum(F.size("keys"))).first()[0] or 0
+    segments = _segments(attach(free, keys, "doc_id", "inner", 48, 2 * found), least)
+    ranges = stage(_expanded(segments, least), "ranges")
+    plain, crowded = ranges.where("segment IS NULL").drop("segment"), ranges.where("segment IS NOT NULL")
+    if not crowded.isEmpty():
+        plain = plain.union(_string_by_string(crowded, least))
+    marks = stage(settled.join(_merged(plain), by, "full").withColumnsRenamed({"doc_id": "__id", "mark": "__mark"}), "removals")
+    listed = marks.agg(F.sum(F.greatest(F.size("ranges"), F.lit(0)))).first()[0] or 0
+    rows = attach(marked, marks, ["__id", "__mark"], "left", 96, 8 * many + 4 * listed).select(*columns, "__text", "settled", "ranges")
     schema = rows.drop("__text", "settled", "ranges").schema.add("kept", "binary").add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept, size, gone, spans = [], [], [], []
-            for i, data, grams in _each(batch, "__text"):
-                done, listed = batch.column("settled")[i].as_py(), batch.column("ranges")[i].as_py() or ()
+            for i, data, hashes in _each(batch, "__text"):
+                done, listed = batch.column("settled")[i].as_py(), np.array(batch.column("ranges")[i].as_py() or (), np.int64)
                 edges = np.zeros(len(data) + 1, np.int64)
                 if done:
-                    starts = np.flatnonzero(np.diff(np.concatenate(([0], ~open_starts(data, grams, np.array(done, np.int64), least), [0])).astype(np.int8)))
+                    starts = np.flatnonzero(np.diff(np.concatenate(([0], ~open_starts(data, hashes, np.array(done, np.int64), least), [0])).astype(np.int8)))
                     np.add.at(edges, starts[::2], 1)
                     np.add.at(edges, starts[1::2] + least - 1, -1)
-                for r in listed:
-                    edges[r["lo"]] += 1
-                    edges[r["hi"]] -= 1
+                np.add.at(edges, listed[::2], 1)
+                np.add.at(edges, listed[1::2], -1)
                 removed = np.cumsum(edges[:-1]) > 0
                 stays = data if not removed.any() else np.frombuffer(data, np.uint8)[~removed].tobytes()
                 kept.append(stays)

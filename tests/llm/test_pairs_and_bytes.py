@@ -195,12 +195,12 @@ def test_suffix_dedup_repeated_and_null_ids(spark):
 def test_common_prefixes_by_interval_expansion():
     r = random.Random(4)
     segments = [bytes(r.choice(b"ab") for _ in range(r.randint(1, 40))) for _ in range(30)]
-    symbols = np.concatenate([np.append(np.frombuffer(s, np.uint8).astype(np.int64), i - len(segments)) for i, s in enumerate(segments)])
+    symbols = np.concatenate([np.append(np.frombuffer(s, np.uint8).astype(np.int64) + 1, 0) for s in segments])
     order = suffix_dedup.suffix_array(symbols, 12)
     found = suffix_dedup.common_prefixes(symbols[order - 1], 12)
     for k in range(1, len(order)):
         a, b, n = order[k - 1], order[k], 0
-        while n < 12 and a + n < len(symbols) and b + n < len(symbols) and symbols[a + n] == symbols[b + n]:
+        while n < 12 and symbols[a + n] and symbols[a + n] == symbols[b + n]:
             n += 1
         assert found[k] == (n if n < 12 else -1)
 
