@@ -108,7 +108,7 @@ def share_of_total(spark, sf_dir):
         ORDER BY count DESC, amount LIMIT 5""",
 )
 def top_values(spark, sf_dir):
-    return agg.top_values(gaps(spark, sf_dir), "amount")
+    return agg.top_values(gaps(spark, sf_dir), "amount", 5)
 
 
 @query("value_counts", "SELECT p_brand, COUNT(*) AS count FROM part GROUP BY p_brand")
@@ -280,7 +280,7 @@ def duplicate_summary_nulls(spark, sf_dir):
     """SELECT l_orderkey, l_linenumber, COUNT(*) AS occurrence_count FROM lineitem GROUP BY 1, 2 HAVING COUNT(*) > 1""",
 )
 def duplicate_groups(spark, sf_dir):
-    return quality.duplicate_groups(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"], None)
+    return quality.duplicate_groups(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])
 
 
 @query(
@@ -289,7 +289,7 @@ def duplicate_groups(spark, sf_dir):
        ORDER BY occurrence_count DESC, l_orderkey, l_linenumber LIMIT 5""",
 )
 def duplicate_groups_sample(spark, sf_dir):
-    return quality.duplicate_groups(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])
+    return quality.duplicate_groups(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"], 5)
 
 
 @query(
@@ -423,18 +423,16 @@ def approximate_distinct(spark, sf_dir):
 
 @query(
     "chart_bar",
-    """SELECT event_type, user_id, ROUND(SUM(value), 2) AS y FROM events GROUP BY event_type, user_id
-       ORDER BY SUM(value) DESC, event_type, user_id LIMIT 100""",
+    """SELECT event_type, user_id, ROUND(SUM(value), 2) AS y FROM events GROUP BY event_type, user_id""",
 )
 def chart_bar(spark, sf_dir):
-    rows = agg.chart_data(table(spark, sf_dir, "events"), "Bar", "event_type", "value", color_by="user_id", limit=100)
+    rows = agg.chart_data(table(spark, sf_dir, "events"), "Bar", "event_type", "value", color_by="user_id")
     return rows.withColumn("y", F.round("y", 2))
 
 
 @query(
     "chart_line",
-    """SELECT CAST(ts AS DATE) AS day, event_type, ROUND(SUM(value), 2) AS y FROM events GROUP BY ALL
-       ORDER BY day, event_type LIMIT 5000""",
+    """SELECT CAST(ts AS DATE) AS day, event_type, ROUND(SUM(value), 2) AS y FROM events GROUP BY ALL""",
 )
 def chart_line(spark, sf_dir):
     events = table(spark, sf_dir, "events").withColumn("day", F.col("ts").cast("date"))
@@ -448,16 +446,15 @@ def chart_count(spark, sf_dir):
 
 @query(
     "chart_scatter",
-    "SELECT user_id, value FROM events ORDER BY user_id, value, event_id LIMIT 5000",
+    "SELECT user_id, value FROM events",
 )
 def chart_scatter(spark, sf_dir):
-    events = table(spark, sf_dir, "events").orderBy("user_id", "value", "event_id")
-    return agg.chart_data(events, "Scatter").select("user_id", "value")
+    return agg.chart_data(table(spark, sf_dir, "events"), "Scatter").select("user_id", "value")
 
 
 @query(
     "auto_chart_bar",
-    """SELECT event_type AS x, SUM(CAST(user_id AS DOUBLE)) AS y FROM events GROUP BY event_type ORDER BY y DESC LIMIT 100""",
+    """SELECT event_type AS x, SUM(CAST(user_id AS DOUBLE)) AS y FROM events GROUP BY event_type""",
 )
 def auto_chart_bar(spark, sf_dir):
     work = Workbench(spark)
@@ -479,7 +476,7 @@ def auto_chart_line(spark, sf_dir):
 
 @query(
     "auto_chart_frequency",
-    "SELECT p_brand AS category, COUNT(*) AS count FROM part GROUP BY p_brand ORDER BY count DESC, p_brand LIMIT 100",
+    "SELECT p_brand AS category, COUNT(*) AS count FROM part GROUP BY p_brand",
 )
 def auto_chart_frequency(spark, sf_dir):
     return agg.auto_chart(table(spark, sf_dir, "part").select("p_brand", "p_type"))[1]

@@ -32,6 +32,18 @@ def one_hot(spark, sf_dir):
     return features.one_hot(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment"))
 
 
+_BRANDS = [f"Brand#{i}" for i in range(1, 26)]
+
+
+@query(
+    "one_hot_named",
+    "SELECT p_partkey, " + ", ".join(f"(p_brand = '{b}')::INT AS \"p_brand_{b}\"" for b in sorted(_BRANDS)[1:]) + " FROM part",
+)
+def one_hot_named(spark, sf_dir):
+    """A named column is encoded whatever its number of values."""
+    return features.one_hot(table(spark, sf_dir, "part").select("p_partkey", "p_brand"), ["p_brand"])
+
+
 @query(
     "min_max_scale",
     """SELECT o_orderkey, ROUND((o_totalprice - MIN(o_totalprice) OVER ()) /

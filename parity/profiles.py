@@ -61,7 +61,7 @@ def missing_counts(spark, sf_dir):
     ),
 )
 def numeric_patterns(spark, sf_dir):
-    return profile.numeric_patterns(gaps(spark, sf_dir), None)
+    return profile.numeric_patterns(gaps(spark, sf_dir))
 
 
 _NUMERIC = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")

@@ -176,3 +176,36 @@ def export_last_result(spark, sf_dir):
     work.aggregate("o_orderstatus", "o_totalprice")
     work.export_last(path, "parquet")
     return spark.read.parquet(path)
+
+
+@query(
+    "guessed_separator_load",
+    "SELECT n_nationkey::BIGINT AS n_nationkey, n_name, ROW_NUMBER() OVER (ORDER BY n_nationkey) AS _row FROM nation",
+)
+def guessed_separator_load(spark, sf_dir):
+    """The separator of a plain load is guessed."""
+    path = new_path(spark, "guessed")
+    rows = table(spark, sf_dir, "nation").select("n_nationkey", "n_name").orderBy("n_nationkey")
+    rows.write.options(header=True, sep=";").csv(path)
+    return tables.read_table(spark, path).df
+
+
+@query(
+    "quoted_breaks_load",
+    """SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name || chr(10) || 'second, line' AS note,
+              ROW_NUMBER() OVER (ORDER BY n_nationkey) AS _row FROM nation""",
+)
+def quoted_breaks_load(spark, sf_dir):
+    """Line breaks in quotes stay in their cell, also in all-text loads."""
+    path = new_path(spark, "breaks")
+    note = F.concat("n_name", F.lit("\nsecond, line")).alias("note")
+    table(spark, sf_dir, "nation").orderBy("n_nationkey").select("n_nationkey", note).coalesce(1).write.option("header", True).csv(path)
+    return tables.read_table(spark, path, header=True, typed=False, multi_line=True).df
+
+
+@query("parquet_folder_load", "SELECT r_regionkey, r_name FROM region")
+def parquet_folder_load(spark, sf_dir):
+    """A Parquet folder is known by its files."""
+    path = new_path(spark, "plain-folder")
+    Workbench(spark).load(f"{sf_dir}/region.parquet").export_parquet(path)
+    return tables.read_table(spark, path).df.select("r_regionkey", "r_name")

@@ -17,7 +17,7 @@ def orders(spark, sf_dir):
 @query(
     "daily_trend",
     f"""SELECT {_DAY} AS day, COUNT(*) AS records, ROUND(SUM(o_totalprice), 2) AS daily_total FROM orders
-        GROUP BY 1 ORDER BY 1 LIMIT 30""",
+        GROUP BY 1 ORDER BY 1""",
 )
 def daily_trend(spark, sf_dir):
     return timeline.daily_trend(orders(spark, sf_dir), "o_orderdate", "o_totalprice")
@@ -26,7 +26,7 @@ def daily_trend(spark, sf_dir):
 @query(
     "daily_trend_latest",
     f"""SELECT {_DAY} AS day, COUNT(*) AS records, ROUND(SUM(o_totalprice), 2) AS daily_total FROM orders
-        GROUP BY 1 ORDER BY 1 DESC LIMIT 30""",
+        GROUP BY 1 ORDER BY 1 DESC""",
 )
 def daily_trend_latest(spark, sf_dir):
     return timeline.daily_trend(orders(spark, sf_dir), "o_orderdate", "o_totalprice", latest=True)
@@ -35,7 +35,7 @@ def daily_trend_latest(spark, sf_dir):
 @query(
     "monthly_totals",
     """SELECT YEAR(o_orderdate) AS year, MONTH(o_orderdate) AS month, COUNT(*) AS records,
-              ROUND(SUM(o_totalprice), 2) AS monthly_total FROM orders GROUP BY 1, 2 ORDER BY 1 DESC, 2 DESC LIMIT 12""",
+              ROUND(SUM(o_totalprice), 2) AS monthly_total FROM orders GROUP BY 1, 2 ORDER BY 1 DESC, 2 DESC""",
 )
 def monthly_totals(spark, sf_dir):
     return timeline.monthly_totals(orders(spark, sf_dir), "o_orderdate", "o_totalprice")
@@ -62,7 +62,7 @@ def hourly(spark, sf_dir):
     "moving_average_7_days",
     f"""WITH d AS (SELECT {_DAY} AS day, SUM(o_totalprice) AS t FROM orders GROUP BY 1)
         SELECT day, ROUND(t, 2) AS daily_total, ROUND(AVG(t) OVER (ORDER BY day ROWS 6 PRECEDING), 2) AS moving_avg_7d
-        FROM d ORDER BY day DESC LIMIT 14""",
+        FROM d ORDER BY day DESC""",
 )
 def moving_average_7_days(spark, sf_dir):
     return timeline.moving_average(orders(spark, sf_dir), "o_orderdate", "o_totalprice")
@@ -74,7 +74,7 @@ def moving_average_7_days(spark, sf_dir):
                   FROM orders GROUP BY 1)
        SELECT month, ROUND(t, 2) AS current_month, ROUND(LAG(t) OVER (ORDER BY month), 2) AS previous_month,
               ROUND(100 * (t - LAG(t) OVER (ORDER BY month)) / NULLIF(LAG(t) OVER (ORDER BY month), 0), 2) AS growth_pct
-       FROM m ORDER BY month DESC LIMIT 6""",
+       FROM m ORDER BY month DESC""",
 )
 def month_over_month(spark, sf_dir):
     return timeline.month_over_month(orders(spark, sf_dir), "o_orderdate", "o_totalprice")
@@ -85,7 +85,7 @@ def month_over_month(spark, sf_dir):
     """WITH y AS (SELECT YEAR(o_orderdate) AS period, SUM(o_totalprice) AS t FROM orders GROUP BY 1)
        SELECT period, ROUND(t, 2) AS current_value, ROUND(LAG(t) OVER (ORDER BY period), 2) AS previous_value,
               ROUND(100 * (t - LAG(t) OVER (ORDER BY period)) / NULLIF(LAG(t) OVER (ORDER BY period), 0), 2)
-                  AS growth_pct FROM y ORDER BY period DESC LIMIT 5""",
+                  AS growth_pct FROM y ORDER BY period DESC""",
 )
 def year_over_year(spark, sf_dir):
     return timeline.year_over_year(orders(spark, sf_dir), "o_orderdate", "o_totalprice")

@@ -1,9 +1,10 @@
 """Grouped and ungrouped aggregates of the table API and the analyses."""
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.cells import business_columns, col, is_numeric_type, number, present
@@ -23,11 +24,16 @@ _FUNCTIONS = {
 
 
 def aggregate_function(name: str):
-    """The Spark aggregate for a function name; unknown names are rejected."""
-    try:
+    """The Spark aggregate for a function name; a name that Spark does not know is rejected.
+
+    Any aggregate of Spark may be named; one that is no aggregate fails when the query is analysed.
+    """
+    if name.upper() in _FUNCTIONS:
         return _FUNCTIONS[name.upper()]
-    except KeyError:
-        raise ValueError(f"unsupported aggregate {name!r}; use one of {sorted(_FUNCTIONS)}") from None
+    spark = SparkSession.getActiveSession()
+    if not re.fullmatch(r"\w+", name) or spark is None or not spark.catalog.functionExists(name.lower()):
+        raise ValueError(f"unsupported aggregate {name!r}: Spark has no such function")
+    return lambda value: F.call_function(name.lower(), value)
 
 
 def _names(columns: str | Sequence[str]) -> list[str]:
@@ -103,17 +109,17 @@ def value_counts(df: DataFrame, column: str, limit: int | None = None, *, value_
     return ordered if limit is None else ordered.limit(limit)
 
 
-def top_values(df: DataFrame, column: str, limit: int = 5) -> DataFrame:
+def top_values(df: DataFrame, column: str, limit: int | None = None) -> DataFrame:
     """Most frequent non-blank values with their share of all non-blank rows."""
     kept = df.where(present(df, column))
     counts = kept.groupBy(col(column).alias("value")).agg(F.count(F.lit(1)).alias("count"))
     whole = counts.agg(F.sum("count").alias("__whole"))
-    return (
+    result = (
         with_constants(counts, whole)
         .select("value", "count", share_of(col("count"), col("__whole")).alias("percentage"))
         .orderBy(F.desc("count"), F.asc_nulls_last("value"))
-        .limit(limit)
     )
+    return result if limit is None else result.limit(limit)
 
 
 def groups_having(df: DataFrame, group: str, field: str, min_rows: int) -> DataFrame:
@@ -144,7 +150,7 @@ def group_metrics(df: DataFrame, group: str, field: str) -> DataFrame:
     )
 
 
-def group_summary(df: DataFrame, group: str, field: str, limit: int | None = 5) -> DataFrame:
+def group_summary(df: DataFrame, group: str, field: str, limit: int | None = None) -> DataFrame:
     """Sum, mean and count of the numeric cells per non-NULL group, largest sum first."""
     value = number(df, field)
     result = (
@@ -205,12 +211,12 @@ def chart_data(
     *,
     color_by: str | None = None,
     facet_by: str | None = None,
-    limit: int = 5000,
+    limit: int | None = None,
 ) -> DataFrame:
-    """Aggregate for a Bar or Line chart, or the first rows for a Scatter."""
+    """Aggregate for a Bar or Line chart, or the rows for a Scatter, by ``x``; all of it unless a limit is given."""
     x = x or df.columns[0]
     if kind == "Scatter":
-        return df.limit(limit)
+        return df if limit is None else df.orderBy(*[col(c).asc_nulls_last() for c in [x, *df.columns]]).limit(limit)
     if kind not in ("Bar", "Line"):
         raise ValueError("chart kind is Bar, Line or Scatter")
     y = y or next(iter(_numeric_columns(df)), None)
@@ -219,10 +225,11 @@ def chart_data(
     grouped = df.groupBy(*[col(g) for g in groups]).agg(measure.alias("y"))
     ties = [col(g).asc_nulls_last() for g in groups]
     order = [F.desc_nulls_last("y"), *ties] if kind == "Bar" else ties
-    return grouped.orderBy(*order).limit(limit)
+    ordered = grouped.orderBy(*order)
+    return ordered if limit is None else ordered.limit(limit)
 
 
-def auto_chart(df: DataFrame, limit: int = 100) -> tuple[str, DataFrame]:
+def auto_chart(df: DataFrame, limit: int | None = None) -> tuple[str, DataFrame]:
     """Pick a chart kind from the column types and names, and aggregate for it."""
     names = business_columns(df)
     numeric = [c for c in _numeric_columns(df) if c in names]
@@ -232,7 +239,8 @@ def auto_chart(df: DataFrame, limit: int = 100) -> tuple[str, DataFrame]:
     grouped = df.groupBy(col(x).alias("x")).agg(F.sum(number(df, numeric[0])).alias("y"))
     if "date" in x.lower() or "time" in x.lower():
         return "Line", grouped.orderBy(F.asc_nulls_last("x"))
-    return "Bar", grouped.orderBy(F.desc_nulls_last("y"), F.asc_nulls_last("x")).limit(limit)
+    ordered = grouped.orderBy(F.desc_nulls_last("y"), F.asc_nulls_last("x"))
+    return "Bar", ordered if limit is None else ordered.limit(limit)
 
 
 def _numeric_columns(df: DataFrame) -> list[str]:

@@ -77,11 +77,24 @@ def low_cardinality(df: DataFrame, columns: Sequence[str], max_levels: int = 10)
     return {c: sorted(values) for c, values in found.items() if len(values) < max_levels}
 
 
+def all_levels(df: DataFrame, columns: Sequence[str]) -> dict[str, list[str]]:
+    """Sorted values of each column as text; they become column names, so they come to the driver."""
+    found: dict[str, list[str]] = {c: [] for c in columns}
+    if columns:
+        for r in _cells(df.select(*[col(c).cast("string").alias(c) for c in columns]), columns).distinct().collect():
+            found[r["column"]].append(r["value"])
+    return {c: sorted(values) for c, values in found.items()}
+
+
 def one_hot(df: DataFrame, columns: Sequence[str] | None = None, max_levels: int = 10) -> DataFrame:
-    """0/1 columns per category value except the first; wide columns pass through unchanged."""
-    chosen = low_cardinality(df, text_columns(df) if columns is None else list(columns), max_levels)
+    """0/1 columns per category value except the first.
+
+    Every named column is encoded.  Without names, the text columns with fewer than ``max_levels`` values are;
+    the others pass through unchanged.
+    """
+    chosen = low_cardinality(df, text_columns(df), max_levels) if columns is None else all_levels(df, list(columns))
     flags = [
-        F.coalesce((col(c) == F.lit(level)).cast("int"), F.lit(0)).alias(f"{c}_{level}")
+        F.coalesce((col(c).cast("string") == F.lit(level)).cast("int"), F.lit(0)).alias(f"{c}_{level}")
         for c, values in chosen.items()
         for level in values[1:]
     ]

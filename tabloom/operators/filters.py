@@ -26,9 +26,10 @@ def at_least_median(df: DataFrame, field: str, default: int = 1000) -> DataFrame
 
 
 def above_median(df: DataFrame, field: str, limit: int | None = None) -> DataFrame:
-    """Rows strictly above the median."""
-    kept = df.where(number(df, field) > F.lit(median_of(df, field)).cast("double"))
-    return kept if limit is None else kept.limit(limit)
+    """Rows strictly above the median; with a limit, those with the largest values."""
+    value = number(df, field)
+    kept = df.where(value > F.lit(median_of(df, field)).cast("double"))
+    return kept if limit is None else kept.orderBy(value.desc(), *[col(c) for c in df.columns]).limit(limit)
 
 
 def median_bands(df: DataFrame, field: str) -> DataFrame:

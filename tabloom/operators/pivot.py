@@ -1,8 +1,8 @@
 """Pivots and cross-tabulations.
 
 Wide results need one column per distinct value, so the values come to the
-driver; more than ``MAX_LEVELS`` of them is an error that names the long form,
-which has no limit.
+driver; a caller may bound them with ``max_levels``.  The long forms need no
+column per value.
 """
 from __future__ import annotations
 
@@ -13,21 +13,18 @@ from ..functions.cells import col, number
 from ..staging import stage
 from .aggregate import aggregate_function
 
-MAX_LEVELS = 1000
 
-
-def levels(df: DataFrame, column: str, max_levels: int = MAX_LEVELS) -> list:
-    """Sorted distinct non-NULL values of a column with few of them."""
-    found = (
-        df.select(col(column).alias("level")).where("level is not null").distinct().limit(max_levels + 1).collect()
-    )
-    if len(found) > max_levels:
+def levels(df: DataFrame, column: str, max_levels: int | None = None) -> list:
+    """Sorted distinct non-NULL values of a column; more than the caller's bound are an error."""
+    distinct = df.select(col(column).alias("level")).where("level is not null").distinct()
+    found = (distinct if max_levels is None else distinct.limit(max_levels + 1)).collect()
+    if max_levels is not None and len(found) > max_levels:
         raise ValueError(f"{column!r} has more than {max_levels} distinct values; use the long form")
     return sorted(r["level"] for r in found)
 
 
 def pivot(
-    df: DataFrame, row_key: str, col_key: str, value: str, func: str = "SUM", *, max_levels: int = MAX_LEVELS
+    df: DataFrame, row_key: str, col_key: str, value: str, func: str = "SUM", *, max_levels: int | None = None
 ) -> DataFrame:
     """One row per ``row_key``, one column per value of ``col_key``."""
     apply = aggregate_function(func)
@@ -49,7 +46,7 @@ def pivot_long(df: DataFrame, row_key: str, col_key: str, value: str, func: str
     )
 
 
-def crosstab_percent(df: DataFrame, rows: str, columns: str, *, max_levels: int = MAX_LEVELS) -> DataFrame:
+def crosstab_percent(df: DataFrame, rows: str, columns: str, *, max_levels: int | None = None) -> DataFrame:
     """Share of each column value within a row value, in percent."""
     kept = df.where(col(rows).isNotNull() & col(columns).isNotNull())
     counts = stage(
@@ -63,7 +60,7 @@ def crosstab_percent(df: DataFrame, rows: str, columns: str, *, max_levels: int
 
 
 def crosstab_margins(
-    df: DataFrame, rows: str, columns: str, *, total: str = "TOTAL", max_levels: int = MAX_LEVELS
+    df: DataFrame, rows: str, columns: str, *, total: str = "TOTAL", max_levels: int | None = None
 ) -> DataFrame:
     """Counts per pair of values with a total column and a total row (last)."""
     kept = df.where(col(rows).isNotNull() & col(columns).isNotNull())

@@ -62,8 +62,8 @@ def missing_counts(df: DataFrame) -> DataFrame:
     return result.where("missing_count > 0").select("column", "missing_count")
 
 
-def numeric_patterns(df: DataFrame, first: int | None = 5) -> DataFrame:
-    """Cells that look like plain numbers, and blank cells, per column."""
+def numeric_patterns(df: DataFrame, first: int | None = None) -> DataFrame:
+    """Cells that look like plain numbers, and blank cells, per column (or of the ``first`` columns)."""
     names = business_columns(df)[:first] if first else business_columns(df)
     result = _per_column(
         df,
@@ -158,6 +158,12 @@ ROLE_NAMES = {
     "status": ("status", "state", "active"),
     "region": ("region", "area", "location", "category"),
 }
+# The sample analyses' own names of an amount, and the names that their fallbacks pass over.
+SAMPLE_AMOUNTS = ("amount", "price", "value", "total", "revenue", "cost")
+NOT_A_SAMPLE_AMOUNT = {
+    "sample_data_demo": ("id", "name", "description", "category", "region", "date"),
+    "sample_data_sql_examples": ("id", "name", "description", "date", "created_at"),
+}
 # Names never taken as the fallback number of a time trend.
 NOT_A_METRIC = ("id", "name", "description", "category", "status")
 
@@ -176,6 +182,14 @@ def find_role(columns: Sequence[str], role: str, override: str | None = None) ->
     return next((c for c in columns if c.lower() in names), None)
 
 
+def sample_amount(columns: Sequence[str], analysis: str, override: str | None = None) -> str | None:
+    """The amount of a sample analysis: a listed name, else the first column that its fallback allows."""
+    if override is not None:
+        return override
+    found = next((c for c in columns if c.lower() in SAMPLE_AMOUNTS), None)
+    return found or next((c for c in columns if c.lower() not in NOT_A_SAMPLE_AMOUNT[analysis]), None)
+
+
 def trend_value_column(columns: Sequence[str], date_column: str) -> str | None:
     found = find_role(columns, "trend_value")
     if found:

@@ -23,7 +23,7 @@ def duplicate_summary(df: DataFrame, columns: Sequence[str] | None = None) -> Da
     )
 
 
-def duplicate_groups(df: DataFrame, columns: Sequence[str] | None = None, limit: int | None = 5) -> DataFrame:
+def duplicate_groups(df: DataFrame, columns: Sequence[str] | None = None, limit: int | None = None) -> DataFrame:
     """Row values that occur more than once, with their count."""
     names = list(columns or business_columns(df))
     groups = (

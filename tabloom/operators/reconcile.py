@@ -68,9 +68,9 @@ def clean(df: DataFrame, null_tokens: Sequence[str] = NULL_TOKENS) -> DataFrame:
     The row-lineage column stays as it is.
     """
     names = clean_names(df.columns)
-    bare = df.select(
-        *[col(old) if old == ROW else bare_text(col(old)).alias(new) for old, new in zip(df.columns, names)]
-    )
+    # Renamed by position first: headers may repeat.
+    named = df.toDF(*names)
+    bare = named.select(*[col(c) if c == ROW else bare_text(col(c)).alias(c) for c in names])
     # A second projection, so that the cleaned text is computed once and tested by name.
     return bare.select(
         *[

@@ -13,8 +13,8 @@ from ..functions.dates import day, day_name, month, months_between
 from .joins import first_seen, lookup, share_of
 
 
-def daily_trend(df: DataFrame, date_column: str, field: str, limit: int | None = 30, *, latest: bool = False) -> DataFrame:
-    """Rows and total per day: the earliest ``limit`` days, or the latest."""
+def daily_trend(df: DataFrame, date_column: str, field: str, limit: int | None = None, *, latest: bool = False) -> DataFrame:
+    """Rows and total per day: all days, or the earliest ``limit``, or the latest."""
     days = df.groupBy(day(col(date_column)).alias("day")).agg(
         F.count(F.lit(1)).alias("records"), F.round(F.sum(number(df, field)), 2).alias("daily_total")
     )
@@ -22,7 +22,7 @@ def daily_trend(df: DataFrame, date_column: str, field: str, limit: int | None =
     return ordered if limit is None else ordered.limit(limit)
 
 
-def monthly_totals(df: DataFrame, date_column: str, field: str, limit: int | None = 12) -> DataFrame:
+def monthly_totals(df: DataFrame, date_column: str, field: str, limit: int | None = None) -> DataFrame:
     """Rows and total per month, newest first."""
     at = day(col(date_column))
     months = (
@@ -58,7 +58,7 @@ def hourly(df: DataFrame, time_column: str, field: str) -> DataFrame:
     )
 
 
-def moving_average(df: DataFrame, date_column: str, field: str, rows: int = 7, limit: int | None = 14) -> DataFrame:
+def moving_average(df: DataFrame, date_column: str, field: str, rows: int = 7, limit: int | None = None) -> DataFrame:
     """Daily totals with the mean of the last ``rows`` days that have data, newest first."""
     days = df.groupBy(day(col(date_column)).alias("day")).agg(F.sum(number(df, field)).alias("__total"))
     frame = W.orderBy(F.asc_nulls_last("day")).rowsBetween(1 - rows, 0)
@@ -70,7 +70,7 @@ def moving_average(df: DataFrame, date_column: str, field: str, rows: int = 7, l
     return result if limit is None else result.limit(limit)
 
 
-def month_over_month(df: DataFrame, date_column: str, field: str, limit: int | None = 6) -> DataFrame:
+def month_over_month(df: DataFrame, date_column: str, field: str, limit: int | None = None) -> DataFrame:
     """Monthly totals against the previous month with data, newest first."""
     months = df.groupBy(month(col(date_column)).alias("month")).agg(F.sum(number(df, field)).alias("__total"))
     before = F.lag("__total").over(W.orderBy(F.asc_nulls_last("month")))
@@ -83,7 +83,7 @@ def month_over_month(df: DataFrame, date_column: str, field: str, limit: int | N
     return result if limit is None else result.limit(limit)
 
 
-def year_over_year(df: DataFrame, date_column: str, field: str, limit: int | None = 5) -> DataFrame:
+def year_over_year(df: DataFrame, date_column: str, field: str, limit: int | None = None) -> DataFrame:
     """Yearly totals against the previous year with data, newest first."""
     years = (
         df.where(present(df, date_column))

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.cells import business_columns, col, is_numeric_type, number, sort_rows
+from ..functions.cells import ROW, business_columns, col, is_numeric_type, number, sort_rows
 from ..operators import aggregate as agg
 from ..operators import entities, features, filters, ordered, pivot, profile, quality, timeline
 from ..operators.joins import above_average, join_group_average, lookup
@@ -22,6 +22,15 @@ Results = dict[str, DataFrame]
 NEW_TABLE = "table"
 
 
+#: Column roles that a caller may name; every analysis takes all of them and uses those it has a use for.
+ROLES = ("amount", "category", "second", "date", "timestamp", "status", "region", "entity", "tie", "hour", "as_of")
+
+
+def _named(df: DataFrame, roles: dict, *names: str) -> str | None:
+    """The first of the roles that the caller has named, else the first of the names that is a column."""
+    return next((roles[n] for n in names if roles.get(n)), None) or next((c for n in names for c in df.columns if c.lower() == n), None)
+
+
 def _role(df: DataFrame, role: str, roles: dict, key: str | None = None) -> str | None:
     return profile.find_role(business_columns(df), role, roles.get(key or role))
 
@@ -55,11 +64,11 @@ def time_analysis(df: DataFrame, **roles: str) -> Results:
     if value is None:
         return {}
     out = {
-        "daily": timeline.daily_trend(df, date, value),
-        "monthly": timeline.monthly_totals(df, date, value),
+        "daily": timeline.daily_trend(df, date, value, 30),
+        "monthly": timeline.monthly_totals(df, date, value, 12),
         "day_of_week": timeline.day_of_week(df, date, value),
-        "moving_average": timeline.moving_average(df, date, value),
-        "month_over_month": timeline.month_over_month(df, date, value),
+        "moving_average": timeline.moving_average(df, date, value, limit=14),
+        "month_over_month": timeline.month_over_month(df, date, value, 6),
     }
     if "timestamp" in date.lower() or "datetime" in date.lower() or "hour" in roles:
         out["hourly"] = timeline.hourly(df, date, value)
@@ -73,18 +82,18 @@ def data_quality(df: DataFrame, **roles: str) -> Results:
         "coverage": profile.coverage(df),
         "low_coverage": profile.low_coverage(df),
         "duplicates": quality.duplicate_summary(df),
-        "duplicate_groups": quality.duplicate_groups(df),
+        "duplicate_groups": quality.duplicate_groups(df, limit=5),
         "numeric_patterns": profile.numeric_patterns(df),
     }
     # Column names checked for outliers, and names not profiled by value.
     listed = ("amount", "price", "quantity", "value", "total", "cost")
     skipped = ("amount", "price", "quantity", "date", "timestamp")
-    metric = roles.get("amount") or next((c for c in names[:3] if c in listed), None)
-    if metric:
-        out["outliers"] = quality.outliers(df, metric)
-    for c in names[:3]:
+    metrics = [roles["amount"]] if roles.get("amount") else [c for c in names if c in listed]
+    for c in metrics:
+        out["outliers" if c == metrics[0] else f"outliers_{c}"] = quality.outliers(df, c)
+    for c in names:
         if c not in skipped:
-            out[f"top_values_{c}"] = agg.top_values(df, c)
+            out[f"top_values_{c}"] = agg.top_values(df, c, 5)
     date = _role(df, "fresh_date", roles, "date")
     if date:
         out["freshness"] = quality.freshness(df, date, roles.get("as_of"))
@@ -104,19 +113,49 @@ def business_metrics(df: DataFrame, **roles: str) -> Results:
     }
     date = _role(df, "growth_date", roles, "date")
     if date:
-        out["year_over_year"] = timeline.year_over_year(df, date, amount)
+        out["year_over_year"] = timeline.year_over_year(df, date, amount, 5)
     out["concentration"] = entities.concentration(df, entity, amount)
     out["central_tendency"] = entities.central_tendency(df, entity, amount)
     return out
 
 
-def advanced_sql_patterns(
-    df: DataFrame, *, amount: str = "amount", timestamp: str = "timestamp", status: str = "status", tie: str = "_row"
-) -> Results:
+def _ties(df: DataFrame, roles: dict) -> list[ordered.Key]:
+    """The tie-breaker: a named column, else the row number; without one the scan brings its own."""
+    name = roles.get("tie") or (ROW if ROW in df.columns else None)
+    return [ordered.asc(name)] if name else []
+
+
+def advanced_sql_patterns(df: DataFrame, **roles: str) -> Results:
     """Running totals, moving averages, ranks, row-over-row change, difference from the group mean."""
-    by_time = df.where(col(amount).isNotNull() & col(timestamp).isNotNull())
-    by_amount = df.where(col(amount).isNotNull())
-    ties = [ordered.asc(tie)]
+    amount = _named(df, roles, "amount") or _role(df, "amount", roles)
+    if amount is None:
+        return {}
+    timestamp = _named(df, roles, "timestamp", "date") or _role(df, "date", roles)
+    status = _named(df, roles, "status") or _role(df, "status", roles)
+    ties = _ties(df, roles)
+    out: Results = {}
+    if timestamp:
+        out |= _over_time(df.where(col(amount).isNotNull() & col(timestamp).isNotNull()), amount, timestamp, ties)
+    ranks = ordered.scan(
+        df.where(col(amount).isNotNull()),
+        [ordered.desc(amount)],
+        {
+            "row_num": ordered.row_number(),
+            "rank_amount": ordered.rank(),
+            "dense_rank_amount": ordered.dense_rank(),
+        },
+        tie=ties,
+    )
+    out["ranks"] = ranks.orderBy(col("row_num"))
+    if status:
+        means = join_group_average(
+            df, status, amount, how="inner", mean_name="category_avg", diff_name="diff_from_avg"
+        )
+        out["difference_from_average"] = sort_rows(means, F.desc_nulls_last("diff_from_avg"))
+    return out
+
+
+def _over_time(by_time: DataFrame, amount: str, timestamp: str, ties: list[ordered.Key]) -> Results:
     timed = ordered.scan(
         by_time,
         [ordered.asc(timestamp)],
@@ -129,52 +168,40 @@ def advanced_sql_patterns(
         {"moving_avg_3_period": ordered.moving_avg(amount, 3), "prev_amount": ordered.lag(amount)},
         tie=ties,
     ).withColumn("growth", col(amount) - col("prev_amount"))
-    ranks = ordered.scan(
-        by_amount,
-        [ordered.desc(amount)],
-        {
-            "row_num": ordered.row_number(),
-            "rank_amount": ordered.rank(),
-            "dense_rank_amount": ordered.dense_rank(),
-        },
-        tie=ties,
-    )
-    out = {
+    return {
         "running_total": sort_rows(timed, col(timestamp)),
         "moving_average": sort_rows(near.drop("prev_amount", "growth"), col(timestamp)),
         "row_over_row": sort_rows(near.drop("moving_avg_3_period"), col(timestamp)),
-        "ranks": ranks.orderBy(col("row_num")),
     }
-    if status in df.columns:
-        means = join_group_average(
-            df, status, amount, how="inner", mean_name="category_avg", diff_name="diff_from_avg"
-        )
-        out["difference_from_average"] = sort_rows(means, F.desc_nulls_last("diff_from_avg"))
-    return out
 
 
-def cohort_funnel(
-    df: DataFrame, *, entity: str = "id", timestamp: str = "timestamp", status: str = "status", amount: str = "amount"
-) -> Results:
+def cohort_funnel(df: DataFrame, **roles: str) -> Results:
     """Acquisition cohorts, conversion funnel, retention."""
-    return {
-        "cohorts": timeline.acquisition_cohorts(df, entity, timestamp),
-        "funnel": agg.funnel(
-            df, entity, [status, amount], col(status) == "active", number(df, amount) > 5000
-        ),
-        "retention": timeline.retention(df, entity, timestamp),
-    }
+    entity = _named(df, roles, "entity") or _named(df, {}, "id") or _role(df, "entity", roles)
+    timestamp = _named(df, roles, "timestamp", "date") or _role(df, "date", roles)
+    status = _named(df, roles, "status") or _role(df, "status", roles)
+    amount = _named(df, roles, "amount") or _role(df, "amount", roles)
+    if entity is None:
+        return {}
+    out: Results = {}
+    if timestamp:
+        out["cohorts"] = timeline.acquisition_cohorts(df, entity, timestamp)
+    if status and amount:
+        out["funnel"] = agg.funnel(df, entity, [status, amount], col(status) == "active", number(df, amount) > 5000)
+    if timestamp:
+        out["retention"] = timeline.retention(df, entity, timestamp)
+    return out
 
 
-def value_patterns(df: DataFrame, *, value: str | None = None, category: str | None = None) -> Results:
+def value_patterns(df: DataFrame, **roles: str) -> Results:
     """Above-median rows, group summary, value bands, text features, group mean, ranks, missing cells."""
     names = business_columns(df)
-    value = value or names[0]
+    value = roles.get("amount") or names[0]
     texts = [c for c in features.text_columns(df) if c != value]
-    category = category or (texts[0] if texts else None)
+    category = roles.get("category") or (texts[0] if texts else None)
     out = {
         "preview": profile.preview(df, 5),
-        "above_median": filters.above_median(df, value, 5),
+        "above_median": filters.above_median(df, value),
         "bands": filters.median_bands(df, value),
         "ranking": value_ranking(df, value),
         "missing": profile.missing_counts(df),
@@ -182,7 +209,7 @@ def value_patterns(df: DataFrame, *, value: str | None = None, category: str | N
     if texts:
         out["text"] = filters.with_text_features(df, texts[0])
     if category:
-        out["group_summary"] = agg.group_summary(df, category, value)
+        out["group_summary"] = agg.group_summary(df, category, value, 5)
         out["with_group_mean"] = join_group_average(df, category, value, mean_name="avg_value", diff_name=None)
         out["pivot_summary"] = agg.pivot_summary(df, category, value)
     return out
@@ -207,27 +234,25 @@ def value_ranking(df: DataFrame, value: str) -> DataFrame:
     return lookup(kept, places, ["__v"], "left").select(*[col(c) for c in df.columns], "rank", "percentile")
 
 
-def advanced_analytics(
-    df: DataFrame, *, date: str | None = None, value: str | None = None, category: str | None = None,
-    second: str | None = None, tie: str = "_row",
-) -> Results:
+def advanced_analytics(df: DataFrame, **roles: str) -> Results:
     """Date features, rolling metrics, group metrics, cross-tab, group mean per row."""
     numeric = features.numeric_columns(df)
-    if not numeric:
+    value = roles.get("amount") or (numeric[0] if numeric else None)
+    if value is None:
         return {}
-    value = value or numeric[0]
+    date = roles.get("date") or roles.get("timestamp")
     if date is None:
         kinds = {r["column"]: r for r in profile.column_kinds(df).collect()}
         date = next((c for c, k in kinds.items() if k["is_date"]), None)
         texts = [c for c, k in kinds.items() if k["is_category"]]
     else:
         texts = [c for c in features.text_columns(df) if c != date]
-    category = category or (texts[0] if texts else None)
-    second = second or next((c for c in texts if c != category), None)
+    category = roles.get("category") or (texts[0] if texts else None)
+    second = roles.get("second") or next((c for c in texts if c != category), None)
     out: Results = {}
     if date:
         out["date_features"] = filters.with_date_features(df, date)
-        out["rolling"] = rolling(df, date, value, tie)
+        out["rolling"] = rolling(df, date, value, _ties(df, roles))
     if category:
         out["group_metrics"] = agg.group_metrics(df, category, value)
         out["group_mean"] = join_group_average(df, category, value)
@@ -236,14 +261,14 @@ def advanced_analytics(
     return out
 
 
-def rolling(df: DataFrame, date: str, value: str, tie: str, rows: int = 3) -> DataFrame:
+def rolling(df: DataFrame, date: str, value: str, ties: str | list[ordered.Key] = (), rows: int = 3) -> DataFrame:
     """Mean and sum over the last rows by date; rows whose date does not parse are dropped."""
     dated = df.withColumn("__at", col(date).try_cast("timestamp_ntz")).where("__at is not null")
     return ordered.scan(
         dated.withColumn("__v", number(df, value)),
         [ordered.asc("__at")],
         {f"rolling_{rows}_avg": ordered.moving_avg("__v", rows), f"rolling_{rows}_sum": ordered.moving_sum("__v", rows)},
-        tie=[ordered.asc(tie)],
+        tie=[ordered.asc(ties)] if isinstance(ties, str) else ties,
     ).drop("__at", "__v")
 
 
@@ -266,7 +291,7 @@ def ml_prep(df: DataFrame, **roles: str) -> Results:
 
 def sample_demo(df: DataFrame, **roles: str) -> Results:
     """Coverage, preview, tiers, filtered rows and roll-ups by region and tier."""
-    amount = _role(df, "amount", roles)
+    amount = profile.sample_amount(business_columns(df), "sample_data_demo", roles.get("amount"))
     if amount is None:
         return {}
     status, region = _role(df, "status", roles), _role(df, "region", roles)
@@ -293,7 +318,8 @@ def sample_demo(df: DataFrame, **roles: str) -> Results:
 
 def sample_sql(df: DataFrame, **roles: str) -> Results:
     """Region statistics, rank within region, value tiers, high and above-average values."""
-    amount, region = _role(df, "amount", roles), _role(df, "region", roles)
+    amount = profile.sample_amount(business_columns(df), "sample_data_sql_examples", roles.get("amount"))
+    region = _role(df, "region", roles)
     if amount is None:
         return {}
     out = {
@@ -335,7 +361,7 @@ def register(name: str, analysis: Callable[..., Results]) -> None:
 
 # The saved query library; names in braces are filled in by the caller.
 SAVED_QUERIES = {
-    "Select Top 10": "SELECT * FROM {table} LIMIT 10",
+    "Select Top 10": "SELECT * FROM {table} ORDER BY ALL LIMIT 10",
     "Count by Category": "SELECT {category}, COUNT(*) AS count FROM {table} GROUP BY {category} ORDER BY count DESC NULLS LAST",
     "Sum by Category": "SELECT {category}, SUM(TRY_CAST({amount} AS DOUBLE)) AS total FROM {table} "
     "GROUP BY {category} ORDER BY total DESC NULLS LAST",

@@ -22,8 +22,8 @@ Parameters = Sequence | Mapping | None
 class Workbench:
     """Loaded tables as temp views, queried with Spark SQL or the methods below.
 
-    Every method returns a lazy DataFrame.  The last one is kept as
-    ``last_result`` with ``last_query`` and ``last_action``.
+    Methods return lazy DataFrames.  The last result of a query, aggregate, pivot, analysis or comparison is
+    kept as ``last_result`` with ``last_query`` and ``last_action``.
     """
 
     def __init__(self, spark: SparkSession | None = None):
@@ -160,8 +160,12 @@ class Workbench:
     def run(self, *names: str, **roles: str) -> dict[str, dict[str, DataFrame]]:
         """Run named analyses in order on the active table; unknown names are reported and skipped.
 
-        Columns and views made earlier are visible to later analyses.
+        ``roles`` (see ``analyses.ROLES``) name columns, and every analysis takes the same ones.  Columns and views
+        made earlier are visible to later analyses.
         """
+        unknown = roles.keys() - set(analyses.ROLES)
+        if unknown:
+            raise ValueError(f"unknown roles {sorted(unknown)}; use some of {analyses.ROLES}")
         results: dict[str, dict[str, DataFrame]] = {}
         for name in names:
             if name not in analyses.ANALYSES:

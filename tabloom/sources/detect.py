@@ -40,6 +40,23 @@ def is_key_value(rows: Sequence[Sequence[str]], header: bool = False) -> bool:
     return bool(middle) and sum(":" in cell for cell in middle) > len(middle) / 2
 
 
+SEPARATORS = (",", ";", "\t", "|")
+
+
+def sniff(lines: Sequence[str]) -> str:
+    """The separator that cuts the sample into the most cells per line, equally many in all lines if any does.
+
+    A separator inside quotes does not count.  Without any, it is the comma.
+    """
+
+    def score(sep: str) -> tuple[bool, int]:
+        widths = [len(row) for row in split_lines(lines, sep)]
+        return (len(set(widths)) == 1 and widths[0] > 1, min(widths)) if widths and min(widths) > 1 else (False, 1)
+
+    # The first of equals wins, so the comma is preferred.
+    return max(SEPARATORS, key=score)
+
+
 def delimiter(first_line: str) -> str:
     """Semicolon before tab before comma."""
     return next((sep for sep in (";", "\t") if sep in first_line), ",")

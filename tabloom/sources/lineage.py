@@ -15,8 +15,8 @@ from pyspark.sql import Window as W
 from ..functions.cells import ROW
 from ..staging import stage
 
-# Beyond this many splits the split table is joined by key instead of broadcast.
-BROADCAST_SPLITS = 1_000_000
+# Up to this size the split table is broadcast (about 300 bytes a split, mostly the path); beyond, it is joined by key.
+BROADCAST_BYTES, SPLIT_BYTES = 64 << 20, 300
 
 _FILE, _START, _ID = "__file", "__start", "__id"
 
@@ -30,12 +30,11 @@ def tag_splits(scan: DataFrame) -> DataFrame:
 
 def number_rows(tagged: DataFrame, start: int = 1, *, skip_per_file: int = 0, name_of_row: str = ROW) -> DataFrame:
     """Replace the split columns by a row number; optionally drop the first rows of each file."""
-    _pin_splits(tagged)
     rows = tagged.withColumn(_ID, F.monotonically_increasing_id())
     splits = rows.groupBy(_FILE, _START).agg(F.min(_ID).alias("__first"), F.count(F.lit(1)).alias("__n"))
     # Staged, so that its size is known and it is counted once: one row per split.
     splits = stage(splits, "splits")
-    few = splits.count() <= BROADCAST_SPLITS
+    few = splits.count() * SPLIT_BYTES <= BROADCAST_BYTES
     in_file = W.partitionBy(_FILE).orderBy(_START).rowsBetween(W.unboundedPreceding, -1)
     before = W.orderBy(_FILE, _START).rowsBetween(W.unboundedPreceding, -1)
     above = F.coalesce(F.sum("__n").over(in_file), F.lit(0))
@@ -58,10 +57,3 @@ def number_rows(tagged: DataFrame, start: int = 1, *, skip_per_file: int = 0, na
         F.raise_error(F.lit("input splits changed after the rows were counted; load the table again")).cast("long")
     )
     return joined.where(wanted).select(*cells, number.cast("long").alias(name_of_row))
-
-
-def _pin_splits(df: DataFrame) -> None:
-    """Keep the split size from following the number of executors between two scans of one input."""
-    spark = df.sparkSession
-    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
-        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))

@@ -55,6 +55,12 @@ def table_name(path: str) -> str:
     return re.sub(r"\W+", "_", stem)
 
 
+def _holds_parquet(spark: SparkSession, path: str) -> bool:
+    """Whether the files below a path without a suffix are Parquet files."""
+    files = spark.read.text(path).inputFiles()
+    return bool(files) and all(f.endswith((".parquet", ".pq")) for f in files)
+
+
 def read_table(
     spark: SparkSession,
     path: str,
@@ -67,23 +73,31 @@ def read_table(
     typed: bool = True,
     schema: str | T.StructType | None = None,
     multi_line: bool = False,
+    format: str | None = None,
 ) -> Table:
-    """Load one path: Parquet by its suffix, tab-separated for .tsv, otherwise delimited text.
+    """Load one path: Parquet by its suffix or its files', tab-separated for .tsv, otherwise delimited text.
 
-    Flat text is typed by default; ``typed=False`` keeps every column as text.
+    ``format`` ("parquet" or "text") decides instead of the names.  Flat text is typed by default; ``typed=False``
+    keeps every column as text.  Options that a layout cannot honour are errors.
     """
+    if format not in (None, "parquet", "text"):
+        raise ValueError("format is parquet or text")
     name = name or table_name(path)
     suffix = os.path.splitext(path.rstrip("/"))[1].lower()
-    if suffix in (".parquet", ".pq"):
+    if format == "parquet" or format is None and (suffix in (".parquet", ".pq") or not suffix and _holds_parquet(spark, path)):
         return Table(name, spark.read.parquet(path), path, True, "parquet")
     layout = text.Layout(header, kv, tuple(col_names) if col_names else None, sep or ("\t" if suffix == ".tsv" else None))
     layout, _ = text.resolve(spark, path, layout)
+    if schema is not None and (layout.kv or not typed):
+        raise ValueError("a schema needs flat typed rows")
     if layout.kv:
+        if multi_line:
+            raise ValueError("key:value rows cannot span lines")
         df = text.load_key_value(spark, path, layout)
     elif typed:
         df = text.load_csv(spark, path, layout, schema=schema, multi_line=multi_line)
     else:
-        df = text.load_flat(spark, path, layout)
+        df = text.load_flat(spark, path, layout, multi_line=multi_line)
     return Table(name, df, path, layout.header, "kv" if layout.kv else "flat")
 
 

@@ -13,12 +13,10 @@ from ..functions.cells import ROW, col, strip
 from . import detect
 from .lineage import number_rows, tag_splits
 
-MAX_KEYS = 10_000
-
 
 @dataclass(frozen=True)
 class Layout:
-    """How a text file is laid out; None means: detect."""
+    """How a text file is laid out; None means: detect (``sep="auto"``: by the first line alone)."""
 
     header: bool | None = None
     kv: bool | None = None
@@ -30,7 +28,7 @@ def split_cells(line: Column, sep: str = ",") -> Column:
     """Cells of one line with CSV quoting, as ``array<string>``.
 
     Lines without a quote take the plain split.  Quoted fields that span lines
-    are not supported here; read such files with ``read_csv(multi_line=True)``.
+    are not supported here; ``load_flat`` and ``load_csv`` read them with ``multi_line``.
     """
     s = re.escape(sep)
     # Every match starts at a separator, so one is put in front of the line.
@@ -86,8 +84,8 @@ def kv_entries(lines: DataFrame, line: str = "value", sep: str = ",") -> DataFra
     return trimmed.select(_kv_entries(col("__cells")).alias("entries"), *[col(c) for c in kept])
 
 
-def discover_keys(entries: DataFrame, row: str = ROW, max_keys: int = MAX_KEYS) -> list[str]:
-    """Keys in first-seen order.  Only the distinct keys reach the driver."""
+def discover_keys(entries: DataFrame, row: str = ROW, max_keys: int | None = None) -> list[str]:
+    """Keys in first-seen order.  Only the distinct keys reach the driver; a caller may bound them."""
     # The outer form: the size filter of a plain explode would parse every line twice.
     seen = (
         entries.select(col(row), F.posexplode_outer("entries.key").alias("pos", "key"))
@@ -95,23 +93,25 @@ def discover_keys(entries: DataFrame, row: str = ROW, max_keys: int = MAX_KEYS)
         .groupBy("key")
         .agg(F.min(F.struct(col(row), "pos")).alias("first"))
         .orderBy("first")
-        .limit(max_keys + 1)
-        .collect()
     )
-    if len(seen) > max_keys:
+    seen = (seen if max_keys is None else seen.limit(max_keys + 1)).collect()
+    if max_keys is not None and len(seen) > max_keys:
         raise ValueError(f"more than {max_keys} distinct keys; query kv_entries() in long form instead")
     return [r["key"] for r in seen if r["key"] not in (ROW, "_raw", "_error", "_unparsed")]
 
 
 def project_keys(entries: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One column per key; the last entry of a key wins; blank values are NULL."""
-
-    def value_of(key: str) -> Column:
-        hits = F.filter(col("entries"), lambda e: e["key"] == F.lit(key))
-        return F.nullif(F.try_element_at(hits, F.lit(-1))["value"], F.lit("")).alias(key)
+    """One column per key; the last entry of a key wins; blank values are NULL.
 
+    Each row's entries become one map first, so a key is a lookup and not a search of all entries.
+    """
     kept = [c for c in entries.columns if c != "entries"]
-    return entries.select(*[value_of(k) for k in keys], *[col(c) for c in kept])
+    names = F.transform("entries", lambda e: e["key"])
+    # The last of equal keys is the one that no later entry repeats.
+    last = F.filter("entries", lambda e, i: ~F.exists(F.slice(names, i + 2, F.size(names)), lambda k: k == e["key"]))
+    mapped = entries.select(F.map_from_entries(last).alias("__map"), *[col(c) for c in kept])
+    values = [F.nullif(F.try_element_at(col("__map"), F.lit(k)), F.lit("")).alias(k) for k in keys]
+    return mapped.select(*values, *[col(c) for c in kept])
 
 
 def _lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
@@ -131,7 +131,7 @@ def sample_lines(spark: SparkSession, path: str | Sequence[str], count: int = de
 def resolve(spark: SparkSession, path: str | Sequence[str], layout: Layout) -> tuple[Layout, list[list[str]]]:
     """Fill in the undetermined parts of a layout from a sample."""
     sample = sample_lines(spark, path)
-    sep = layout.sep or ","
+    sep = layout.sep or detect.sniff(sample)
     if layout.sep == "auto":
         sep = detect.delimiter(sample[0]) if sample else ","
     rows = detect.split_lines(sample, sep)
@@ -149,9 +149,16 @@ def numbered_lines(spark: SparkSession, path: str | Sequence[str], header: bool,
     return number_rows(kept, skip_per_file=1 if header else 0)
 
 
-def load_flat(spark: SparkSession, path: str | Sequence[str], layout: Layout = Layout()) -> DataFrame:
-    """All-text table from flat rows, with row lineage."""
+def load_flat(spark: SparkSession, path: str | Sequence[str], layout: Layout = Layout(), *, multi_line: bool = False) -> DataFrame:
+    """All-text table from flat rows, with row lineage; ``multi_line`` allows line breaks in quotes (no file is split)."""
     layout, rows = resolve(spark, path, replace(layout, kv=False))
+    if multi_line:
+        reader = spark.read.options(header=layout.header, sep=layout.sep, escape='"', multiLine=True)
+        scan = reader.csv([path] if isinstance(path, str) else list(path))
+        names = list(scan.columns) if layout.header else [f"col_{i}" for i in range(len(scan.columns))]
+        names = list(layout.col_names or names)[: len(scan.columns)]
+        cells = [F.nullif(strip(col(old)), F.lit("")).alias(new.strip()) for old, new in zip(scan.columns, names)]
+        return number_rows(tag_splits(scan)).select(*cells, ROW)
     lines = numbered_lines(spark, path, layout.header, layout.sep)
     if layout.col_names:
         names = list(layout.col_names)

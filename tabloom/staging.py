@@ -27,7 +27,11 @@ def session(app: str = "tabloom", master: str | None = None, **conf: str) -> Spa
         builder = builder.master(master)
     for key, value in {**SESSION_DEFAULTS, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    made = builder.getOrCreate()
+    # Two scans of one input then have the same splits, whatever executors come and go.
+    if made.conf.get("spark.sql.files.minPartitionNum", None) is None:
+        made.conf.set("spark.sql.files.minPartitionNum", str(made.sparkContext.defaultParallelism))
+    return made
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -50,8 +54,22 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/tabloom-{label}-{uuid.uuid4().hex}"
 
 
+#: Folders that ``stage`` of this process has written.
+_staged: list[str] = []
+
+
+def release(spark: SparkSession) -> int:
+    """Delete what ``stage`` has written so far, once no result that reads it is needed; returns the number of folders."""
+    jvm, count = spark._jvm, 0
+    while _staged:
+        path = jvm.org.apache.hadoop.fs.Path(_staged.pop())
+        count += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return count
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once and return a scan of the written table."""
     path = new_path(df.sparkSession, label)
+    _staged.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

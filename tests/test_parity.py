@@ -8,6 +8,7 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 import __spark_entry__ as entry  # noqa: E402
+import parity  # noqa: E402
 from tools.check_parity import difference, rows_of  # noqa: E402
 
 
@@ -27,10 +28,14 @@ def test_oracles_name_queries():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+def test_library_queries_are_registered():
+    assert set(parity.QUERIES) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name", list(parity.QUERIES))
 def test_query(spark, tiny, oracle, name):
-    got = rows_of(entry.queries()[name](spark, tiny).toArrow())
-    sql = entry.oracle_sql().get(name)
+    got = rows_of(parity.QUERIES[name](spark, tiny).toArrow())
+    sql = parity.ORACLES.get(name)
     if sql is None:
         assert got[2]
         return

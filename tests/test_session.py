@@ -209,3 +209,28 @@ def test_reconcile_picks_tables(spark):
     assert work.reconcile(Plan("key", ("v",)))["summary"].first()["nok"] == 1
     work.register("source_db", rows)
     assert work.reconcile(Plan("key", ("v",)))["summary"].first()["nok"] == 0
+
+
+def test_unknown_roles_are_reported(work):
+    with pytest.raises(ValueError, match="unknown roles"):
+        work.run("basic_patterns", colour="red")
+
+
+def test_analyses_without_their_columns_return_fewer_results(spark, tiny):
+    """A table with none of the usual names, straight from Parquet and so without row numbers."""
+    work = Workbench(spark)
+    work.register("supplier", spark.read.parquet(f"{tiny}/supplier.parquet"))
+    for name in analyses.ANALYSES:
+        for result in work.run(name)[name].values():
+            result.count()
+
+
+def test_any_aggregate_by_name(work):
+    assert work.aggregate("status", "amount", "skewness").count() > 0
+
+
+def test_repeated_headers_are_cleaned(spark):
+    from tabloom.operators.reconcile import clean
+
+    df = spark.createDataFrame([(" a ", "b")], "x string, y string").toDF("h", "h")
+    assert [tuple(r) for r in clean(df).collect()] == [("a", "b")] and len(set(clean(df).columns)) == 2

@@ -4,6 +4,7 @@ import io
 import pytest
 from pyspark.sql import functions as F
 
+from tabloom import staging
 from tabloom import Workbench
 from tabloom.sinks import files
 from tabloom.sources import detect, tables, text
@@ -159,3 +160,42 @@ def test_changed_splits_are_an_error(spark, tmp_path):
             df.select("_row", "n").where("n >= '0'").collect()
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+@pytest.mark.parametrize(
+    "lines, sep",
+    [
+        (["a;b;c", "1;2,5;3"], ";"),
+        (["a\tb", "1,5\t2"], "\t"),
+        (["a|b", "1|2"], "|"),
+        (['"x;y",b', '"1;2",3'], ","),
+        (["one", "two"], ","),
+        ([], ","),
+    ],
+)
+def test_separator_is_guessed(lines, sep):
+    assert detect.sniff(lines) == sep
+
+
+def test_options_that_cannot_be_honoured(spark, tmp_path):
+    path = write(tmp_path, "t.csv", "a,b\n1,2\n")
+    with pytest.raises(ValueError, match="schema"):
+        tables.read_table(spark, path, typed=False, schema="a int, b int")
+    with pytest.raises(ValueError, match="span"):
+        tables.read_table(spark, path, kv=True, multi_line=True)
+    with pytest.raises(ValueError, match="format"):
+        tables.read_table(spark, path, format="avro")
+    assert tables.read_table(spark, path, format="text", header=True).columns == ["a", "b"]
+
+
+def test_staged_folders_can_be_released(spark):
+    kept = staging.stage(spark.range(5), "released")
+    assert kept.count() == 5 and staging.release(spark) >= 1 and staging.release(spark) == 0
+    with pytest.raises(Exception):
+        spark.read.parquet(kept.inputFiles()[0]).count()
+
+
+def test_a_load_changes_no_setting(spark, tmp_path):
+    before = dict(spark.sparkContext.getConf().getAll()), spark.conf.get("spark.sql.files.minPartitionNum", None)
+    tables.read_table(spark, write(tmp_path, "t.csv", "a,b\n1,2\n")).df.count()
+    assert before == (dict(spark.sparkContext.getConf().getAll()), spark.conf.get("spark.sql.files.minPartitionNum", None))
