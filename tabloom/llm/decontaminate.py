@@ -76,10 +76,10 @@ def _bucket(hashes: np.ndarray, settings: Settings) -> np.ndarray:
     return (mix(hashes, 21) & np.uint64(settings.buckets - 1)).astype(np.int64)
 
 
-def _summed(weights: np.ndarray, live: np.ndarray, found: Steps, settings: Settings) -> np.ndarray:
-    """Sum of the weight rows of the words of each step; words without weight are passed over."""
-    ids = _bucket(found.hashes, settings)
-    used = np.flatnonzero(live[ids])
+def _summed(weights: np.ndarray, row: np.ndarray, found: Steps, settings: Settings) -> np.ndarray:
+    """Sum of the weight rows of the words of each step; words without a row are passed over."""
+    ids = row[_bucket(found.hashes, settings)]
+    used = np.flatnonzero(ids >= 0)
     out = np.zeros((len(found.first), weights.shape[1]), weights.dtype)
     if len(used):
         which = found.number()[used]
@@ -88,9 +88,9 @@ def _summed(weights: np.ndarray, live: np.ndarray, found: Steps, settings: Setti
     return out
 
 
-def passages(weights: np.ndarray, live: np.ndarray, found: Steps, settings: Settings) -> np.ndarray:
-    """One vector per step: the step and the one after it; ``live`` marks the buckets that have a weight."""
-    one = _summed(weights, live, found, settings)
+def passages(weights: np.ndarray, row: np.ndarray, found: Steps, settings: Settings) -> np.ndarray:
+    """One vector per step: the step and the one after it; ``row`` gives the row of weights of a bucket, or -1."""
+    one = _summed(weights, row, found, settings)
     after = found.after()
     return one + np.where((after != np.arange(len(after)))[:, None], one[after], 0)
 
@@ -121,27 +121,28 @@ def frequencies(docs: DataFrame, settings: Settings) -> tuple[np.ndarray, int]:
     return out, found.get(-1, 0)
 
 
-def latent_space(texts: DataFrame, idf: np.ndarray, settings: Settings) -> np.ndarray:
-    """Leading right singular vectors (buckets x rank) of the TF-IDF passages of ``texts`` (one column).
+def latent_space(texts: DataFrame, idf: np.ndarray, row: np.ndarray, settings: Settings) -> np.ndarray:
+    """Leading right singular vectors (rows x rank) of the TF-IDF passages of ``texts`` (one column).
 
-    A randomised range finder: each round multiplies by the transposed and the plain matrix, as a sum over
-    partitions whose size is buckets x (rank + extra), whatever the number of passages.
+    ``idf`` has a weight per row, ``row`` the row of a bucket or -1.  A randomised range finder: each round
+    multiplies by the plain and the transposed matrix, as a sum over partitions whose size does not grow with the
+    number of passages.
     """
-    width = settings.rank + settings.extra
-    basis = np.random.RandomState(7).standard_normal((settings.buckets, width))
+    width = min(settings.rank + settings.extra, len(idf))
+    basis = np.random.RandomState(7).standard_normal((len(idf), width))
 
     def product(now: np.ndarray, square: bool) -> np.ndarray:
         weighted = (idf[:, None] * now).astype(np.float32)
-        live = idf > 0
+        shape = (width, width) if square else now.shape
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
-            total = np.zeros((width, width) if square else now.shape)
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(shape)
             for batch in batches:
                 for block in blocks(batch.column(0), _BLOCK):
                     found = steps(block, settings.step)
                     if not len(found.first):
                         continue
-                    vectors = passages(weighted, live, found, settings)
+                    vectors = passages(weighted, row, found, settings)
                     if square:
                         total += vectors.T.astype(np.float64) @ vectors
                         continue
@@ -150,12 +151,8 @@ def latent_space(texts: DataFrame, idf: np.ndarray, settings: Settings) -> np.nd
                     after = found.after()
                     linked = after != np.arange(len(after))
                     before[after[linked]] = vectors[linked]
-                    each = vectors + before
-                    which = found.number()
-                    ids = _bucket(found.hashes, settings)
-                    order = np.argsort(ids, kind="stable")
-                    at = np.flatnonzero(np.concatenate(([True], ids[order][1:] != ids[order][:-1])))
-                    total[ids[order][at]] += np.add.reduceat(each[which[order]], at, axis=0)
+                    ids = row[_bucket(found.hashes, settings)]
+                    np.add.at(total, ids[ids >= 0], (vectors + before)[found.number()[ids >= 0]])
             for i in range(0, len(total), 1024):
                 part = total[i : i + 1024]
                 if part.any():
@@ -164,16 +161,17 @@ def latent_space(texts: DataFrame, idf: np.ndarray, settings: Settings) -> np.nd
         def add(rows: pd.DataFrame) -> pd.DataFrame:
             return pd.DataFrame({"at": rows["at"][:1], "part": [np.sum([np.frombuffer(p) for p in rows["part"]], axis=0).tobytes()]})
 
-        out = np.zeros((width, width) if square else now.shape)
+        out = np.zeros(shape)
         for at, part in texts.mapInArrow(run, "at long, part binary").groupBy("at").applyInPandas(add, "at long, part binary").collect():
-            rows = np.frombuffer(bytes(part)).reshape(-1, width)
-            out[at : at + len(rows)] = rows
+            found = np.frombuffer(bytes(part)).reshape(-1, width)
+            out[at : at + len(found)] = found
         return out if square else idf[:, None] * out
 
     for _ in range(settings.rounds):
         basis, _ = np.linalg.qr(product(basis, False))
     values, turn = np.linalg.eigh(product(basis, True))
-    return basis @ turn[:, np.argsort(-values)[: settings.rank]]
+    kept = np.argsort(-values)[: settings.rank]
+    return basis @ turn[:, kept[values[kept] > 1e-9 * values.max(initial=1e-300)]]
 
 
 def common_run(item: list[int], region: list[int]) -> int:
@@ -221,28 +219,32 @@ def decontaminate(
 
     seen, n = frequencies(docs.select(F.col(text)), settings)
     idf = np.log((n + 1.0) / (seen + 1.0)) + 1e-3
-    idf[seen > settings.common * n] = 0
-    space = latent_space(items.select("text"), idf, settings) if size else None
+    in_items, _ = frequencies(items.select("text"), settings)
+    used = np.flatnonzero((in_items > 0) & (seen <= settings.common * n))
+    row = np.full(settings.buckets, -1)
+    row[used] = np.arange(len(used))
+    weights = None
+    if len(used):
+        weights = (idf[used][:, None] * latent_space(items.select("text"), idf[used], row, settings)).astype(np.float32)
 
     found = rows.withColumns({"contaminated": F.lit(False), "leaked_item": F.lit(None).cast("long"), "leaked_share": F.lit(0.0)})
     parts = max(1, -(-size // settings.item_bytes))
-    for part in range(parts if size else 0):
+    for part in range(parts if len(used) else 0):
         of_part = items.where(F.pmod(F.xxhash64("item"), F.lit(parts)) == part).orderBy("item").collect()
         # Each part improves on what the parts before it found.
-        found = _searched(found, kept, [(r[0], r[1]) for r in of_part], idf, space, settings)
+        found = _searched(found, kept, [(r[0], r[1]) for r in of_part], weights, row, settings)
     return found.select(*kept, *names)
 
 
-def _searched(rows: DataFrame, kept: list[str], items: list[tuple[int, str]], idf: np.ndarray, space: np.ndarray, settings: Settings) -> DataFrame:
-    weights = (idf[:, None] * space).astype(np.float32)
-    live = np.abs(weights).max(axis=1) > 1e-6
+def _searched(rows: DataFrame, kept: list[str], items: list[tuple[int, str]], weights: np.ndarray, row: np.ndarray, settings: Settings) -> DataFrame:
     numbers, vectors, contents = [], [], []
     for number, words_of in items:
         for block in blocks(pa.array([words_of], pa.string())):
             found = steps(block, settings.step)
             if len(found.hashes):
                 numbers.append(number)
-                vectors.append(weights[_bucket(found.hashes, settings)].sum(axis=0))
+                ids = row[_bucket(found.hashes, settings)]
+                vectors.append(weights[ids[ids >= 0]].sum(axis=0))
                 contents.append(found.hashes.tolist())
     targets = np.array(vectors, np.float32).reshape(len(numbers), weights.shape[1])
     length = np.maximum(np.linalg.norm(targets, axis=1), 1e-9)
@@ -257,9 +259,9 @@ def _searched(rows: DataFrame, kept: list[str], items: list[tuple[int, str]], id
                 here = steps(block, settings.step)
                 if not len(here.first) or not numbers:
                     continue
-                latent = passages(weights, live, here, settings)
+                latent = passages(weights, row, here, settings)
                 shown = latent @ directions
-                alike = (shown >= settings.holds * length) & (shown >= settings.cosine * np.linalg.norm(latent, axis=1)[:, None])
+                alike = (length > 1e-6) & (shown >= settings.holds * length) & (shown >= settings.cosine * np.linalg.norm(latent, axis=1)[:, None])
                 ends = np.append(here.first, len(here.hashes))
                 text_ends = np.searchsorted(here.owner, np.arange(len(block.bounds)))
                 for s, i in zip(*np.nonzero(alike)):
