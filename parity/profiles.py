@@ -83,9 +83,29 @@ def summarize_numeric(spark, sf_dir):
     return rows.drop("type", "distinct_count")
 
 
-@query("summarize")
+@query(
+    "summarize",
+    _per_column(
+        _NUMERIC,
+        "COUNT(DISTINCT {c}) AS distinct_values, ROUND(MIN({c})::DOUBLE, 2) AS min, ROUND(MAX({c})::DOUBLE, 2) AS max, "
+        "TRUE AS quartiles_within, TRUE AS distinct_within FROM lineitem",
+    ),
+)
 def summarize(spark, sf_dir):
-    return profile.summarize(gaps(spark, sf_dir))
+    """The sketches of a summary lie within their stated errors of the exact values."""
+    rows = table(spark, sf_dir, "lineitem").select(*_NUMERIC)
+    sketched = profile.summarize(rows)
+    exact = profile.summarize(rows, exact_percentiles=True).select("column", *[F.col(q).alias(f"e{q}") for q in ("q25", "q50", "q75")])
+    counted = profile.column_kinds(rows).select("column", "distinct_values")
+    found = sketched.join(exact, "column").join(counted, "column")
+    # A quartile sketch may err by a thousandth of the ranks, a distinct sketch by three times 5 percent.
+    spread = (F.col("max") - F.col("min")) * 0.02 + 0.01
+    near = [F.abs(F.col(q) - F.col(f"e{q}")) <= spread for q in ("q25", "q50", "q75")]
+    return found.select(
+        "column", "distinct_values", "min", "max",
+        (near[0] & near[1] & near[2]).alias("quartiles_within"),
+        (F.abs(F.col("distinct_count") - F.col("distinct_values")) <= 0.15 * F.col("distinct_values") + 1).alias("distinct_within"),
+    )
 
 
 @query(

@@ -3,12 +3,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.cells import business_columns, col, is_numeric_type, number, present
 from .joins import share_of, with_constants
+from .quantiles import grouped_medians
 
 _FUNCTIONS = {
     "SUM": F.sum,
@@ -44,9 +46,19 @@ def aggregate(df: DataFrame, group_by: str | Sequence[str], field: str, func: st
     """Group, count and aggregate a field, skipping its NULL and blank cells; largest first."""
     groups = [col(c) for c in _names(group_by)]
     result = f"{func.lower()}_{field}"
+    kept = df.where(present(df, field))
+    if func.upper() == "MEDIAN":
+        # The built-in keeps all distinct values of a group in one buffer.
+        names = _names(group_by)
+        medians = grouped_medians(kept, names, number(df, field), "__median")
+        medians = medians.select(*[col(n).alias(f"__m{i}") for i, n in enumerate(names)], "__median")
+        counts = kept.groupBy(*groups).agg(F.count(F.lit(1)).alias("count"))
+        same = [col(n).eqNullSafe(col(f"__m{i}")) for i, n in enumerate(names)]
+        joined = counts.join(medians, reduce(lambda a, b: a & b, same), "left")
+        rows = joined.select(*groups, "count", F.round("__median", 2).alias(result))
+        return rows.orderBy(col(result).desc_nulls_last(), *[g.asc_nulls_last() for g in groups])
     return (
-        df.where(present(df, field))
-        .groupBy(*groups)
+        kept.groupBy(*groups)
         .agg(
             F.count(F.lit(1)).alias("count"),
             F.round(aggregate_function(func)(number(df, field)), 2).alias(result),

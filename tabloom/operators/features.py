@@ -1,9 +1,10 @@
 """Feature preparation: imputation, one-hot encoding, scaling, correlation."""
 from __future__ import annotations
 
-from collections.abc import Sequence
-from itertools import combinations
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -121,20 +122,44 @@ def scale(df: DataFrame, column: str) -> DataFrame:
 def correlation(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Pearson correlation of every pair, over rows where both are set; NULL for a constant column."""
     names = numeric_columns(df) if columns is None else list(columns)
-    both = [(a, b) for a, b in combinations(names, 2)] + [(a, a) for a in names]
-    aggs: list[Column] = []
-    for i, (a, b) in enumerate(both):
-        x = F.when(number(df, b).isNotNull(), number(df, a))
-        y = F.when(number(df, a).isNotNull(), number(df, b))
-        spread = F.stddev_samp(x) * F.stddev_samp(y)
-        aggs.append(F.try_divide(F.covar_samp(x, y), spread).alias(f"r{i}"))
-    entries = []
-    for i, (a, b) in enumerate(both):
-        for first, second in dict.fromkeys([(a, b), (b, a)]):
-            entries.append(
-                F.struct(F.lit(first).alias("column"), F.lit(second).alias("other"), col(f"r{i}").alias("correlation"))
-            )
-    return df.agg(*aggs).select(F.inline(F.array(*entries)))
+    if not names:
+        return df.sparkSession.createDataFrame([], "column string, other string, correlation double")
+    return _pair_sums(df, names).select("column", "other", _pearson().alias("correlation"))
+
+
+def _pearson() -> Column:
+    """Pearson's r from pairwise sums; NULL where a column is constant over the pair's rows."""
+    n = col("n")
+    one, two = col("xx") - col("x") * col("x") / n, col("yy") - col("y") * col("y") / n
+    # Sums around the means leave rounding noise of a constant column, far below any spread.
+    flat = (one <= 1e-12 * col("xx")) | (two <= 1e-12 * col("yy"))
+    return F.when(~flat, (col("xy") - col("x") * col("y") / n) / F.sqrt(one * two))
+
+
+def _pair_sums(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Rows and sums of every pair of columns over the rows where both are set, in one pass of matrix products.
+
+    The columns are shifted by their means first.  A task keeps one number per pair, whatever its rows.
+    """
+    means = df.agg(*[F.avg(number(df, c)).alias(f"m{i}") for i, c in enumerate(names)]).first()
+    shifted = [(number(df, c) - F.lit(float(means[i] or 0.0))).cast("double").alias(f"v{i}") for i, c in enumerate(names)]
+    measures = ("n", "x", "y", "xx", "yy", "xy")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((6, len(names), len(names)))
+        for batch in batches:
+            v = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False).astype(float) for i in range(len(names))])
+            there = ~np.isnan(v)
+            v, there = np.where(there, v, 0.0), there.astype(float)
+            sums, squares = v.T @ there, (v * v).T @ there
+            total += [there.T @ there, sums, sums.T, squares, squares.T, v.T @ v]
+        at = np.indices(total.shape[1:]).reshape(2, -1)
+        yield pa.RecordBatch.from_arrays([pa.array(at[0]), pa.array(at[1]), *[pa.array(t.ravel()) for t in total]], names=["i", "j", *measures])
+
+    parts = df.select(*shifted).mapInArrow(run, "i long, j long, " + ", ".join(f"{m} double" for m in measures))
+    sums = parts.groupBy("i", "j").agg(*[F.sum(m).alias(m) for m in measures])
+    labels = F.array(*[F.lit(n) for n in names])
+    return sums.select(F.get(labels, col("i").cast("int")).alias("column"), F.get(labels, col("j").cast("int")).alias("other"), *measures)
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

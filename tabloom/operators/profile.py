@@ -215,9 +215,15 @@ def column_kinds(df: DataFrame, max_levels: int = 10) -> DataFrame:
         {
             "is_numeric": lambda c: F.lit(is_numeric_type(df.schema[c].dataType)),
             "is_date": date_like,
-            "distinct_values": lambda c: F.count_distinct(col(c)),
         },
     )
+    # Distinct values of all columns in one shuffle of (column, value) pairs, combined on the map side.
+    cells = F.array(*[F.struct(F.lit(c).alias("name"), col(c).cast("string").alias("v")) for c in names])
+    pairs = df.select(F.explode(cells).alias("p")).select("p.name", "p.v").where("v is not null").distinct()
+    counts = pairs.groupBy("name").agg(F.count(F.lit(1)).alias("__n"))
+    # One row per column on both sides.
+    result = result.join(F.broadcast(counts), col("column") == col("name"), "left")
+    result = result.withColumn("distinct_values", F.coalesce("__n", F.lit(0)))
     return result.select(
         "column",
         "is_numeric",

@@ -1,81 +1,20 @@
-"""Exact ungrouped percentiles (linear interpolation) of numeric expressions.
+"""Exact percentiles (linear interpolation) of numeric expressions, of the whole table or of groups.
 
-The built-in exact percentile keeps one map entry per distinct value in a single
-buffer.  That is fine up to ``EXACT_ROWS`` rows; beyond it the value range around
-each wanted rank is narrowed first:
-
-1. a sample of bounded size proposes a value bracket around each rank,
-2. one aggregate counts the rows below and inside each bracket,
-3. the steps repeat inside the bracket until it holds few rows or a single value.
-
-Sampling only chooses where to count; the counts make the result exact.  Several
-expressions share every pass.  Nothing is shuffled or collected but the
-per-bracket counts.
+All expressions are counted together as (column, value) pairs, combined on the map side and spread over the
+shuffle by value, so no task holds all values of a column.  The ordered scan over the distinct values gives
+running counts, and a wanted rank is the value whose rows it falls among.
 """
 from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-EXACT_ROWS = 200_000
-SAMPLE_ROWS = 50_000
-# A round shrinks a bracket about fifty-fold; what is left after the last one is picked as it is.
-MAX_ROUNDS = 64
-
-
-@dataclass(frozen=True)
-class _Bracket:
-    """A closed value range of column ``v<i>``, the rows below it and the rows inside it."""
-
-    i: int
-    lo: float
-    hi: float
-    below: int
-    inside: int
-
-    def test(self) -> Column:
-        return F.col(f"v{self.i}").between(self.lo, self.hi)
-
-    def cells(self) -> Column:
-        return F.when(self.test(), F.col(f"v{self.i}"))
-
-
-def exact_quantiles_of(
-    df: DataFrame, values: Mapping[str, Column], probabilities: Sequence[float], *, exact_rows: int = EXACT_ROWS
-) -> dict[str, list[float | None]]:
-    """Percentiles of the non-NULL values of each expression, as Python floats (a constant-size result)."""
-    names = list(values)
-    cells = df.select(*[values[n].cast("double").alias(f"v{i}") for i, n in enumerate(names)])
-    counted = cells.agg(
-        *[F.count(f"v{i}").alias(f"n{i}") for i, _ in enumerate(names)],
-        *[F.min(f"v{i}").alias(f"lo{i}") for i, _ in enumerate(names)],
-        *[F.max(f"v{i}").alias(f"hi{i}") for i, _ in enumerate(names)],
-    ).first()
-    rows = [counted[f"n{i}"] for i, _ in enumerate(names)]
-    targets = {
-        (i, rank): _Bracket(i, counted[f"lo{i}"], counted[f"hi{i}"], 0, rows[i])
-        for i, _ in enumerate(names)
-        if rows[i]
-        for p in probabilities
-        for rank in _ranks(p, rows[i])
-    }
-    targets = _narrow_all(cells, targets, exact_rows)
-    at = _pick(cells, targets)
-    out: dict[str, list[float | None]] = {}
-    for i, name in enumerate(names):
-        out[name] = [_interpolate(p, rows[i], i, at) for p in probabilities]
-    return out
-
-
-def exact_quantiles(
-    df: DataFrame, value: Column, probabilities: Sequence[float], *, exact_rows: int = EXACT_ROWS
-) -> list[float | None]:
-    """Percentiles of one expression."""
-    return exact_quantiles_of(df, {"value": value}, probabilities, exact_rows=exact_rows)["value"]
+from ..functions.cells import col
+from ..staging import stage
+from . import ordered
 
 
 def _ranks(p: float, rows: int) -> tuple[int, int]:
@@ -83,91 +22,75 @@ def _ranks(p: float, rows: int) -> tuple[int, int]:
     return math.floor(position), math.ceil(position)
 
 
-def _interpolate(p: float, rows: int, i: int, at: Mapping[tuple[int, int], float]) -> float | None:
+def _interpolate(p: float, rows: int, at: Mapping[int, float]) -> float | None:
     if not rows:
         return None
     position = p * (rows - 1)
     low, high = _ranks(p, rows)
     if low == high:
-        return at[i, low]
-    return (high - position) * at[i, low] + (position - low) * at[i, high]
-
-
-def _narrow_all(cells: DataFrame, targets: dict, exact_rows: int) -> dict:
-    """Shrink every bracket to few rows or one value; each round is two passes for all of them."""
-    for _ in range(MAX_ROUNDS):
-        wide = {t: b for t, b in targets.items() if b.lo != b.hi and b.inside > exact_rows}
-        if not wide:
-            break
-        proposals = _propose(cells, wide)
-        ranges = list(dict.fromkeys(proposals.values()))
-        counts = cells.agg(
-            *[F.count_if(F.col(f"v{i}") < lo).alias(f"b{j}") for j, (i, lo, _) in enumerate(ranges)],
-            *[F.count_if(F.col(f"v{i}").between(lo, hi)).alias(f"n{j}") for j, (i, lo, hi) in enumerate(ranges)],
-        ).first()
-        for target, bracket in wide.items():
-            j = ranges.index(proposals[target])
-            _, lo, hi = ranges[j]
-            targets[target] = _shrink(bracket, target[1], lo, hi, counts[f"b{j}"], counts[f"n{j}"])
-    return targets
-
-
-def _propose(cells: DataFrame, wide: Mapping) -> dict:
-    """A tighter value range around each wanted rank, from a sample."""
-    fraction = min(1.0, SAMPLE_ROWS / max(b.inside for b in wide.values()))
-    # Neighbouring ranks round to one share, so that they keep one bracket.
-    shares = {t: round((t[1] - b.below) / max(b.inside - 1, 1), 5) for t, b in wide.items()}
-    groups: dict[_Bracket, list[float]] = {}
-    for t, b in wide.items():
-        groups.setdefault(b, []).append(shares[t])
-    aggs, places = [], {}
-    for g, (b, wanted) in enumerate(groups.items()):
-        points: list[float] = []
-        for share in dict.fromkeys(wanted):
-            margin = 4 * math.sqrt(share * (1 - share) / (b.inside * fraction)) + 2 / (b.inside * fraction) + 2e-5
-            places[b, share] = (g, len(points))
-            points += [max(0.0, share - margin), share, min(1.0, share + margin)]
-        aggs.append(F.percentile(b.cells(), points).alias(f"g{g}"))
-    sample = cells if fraction >= 1.0 else cells.sample(fraction, seed=29)
-    found = sample.agg(*aggs).first()
-    proposals = {}
-    for t, b in wide.items():
-        g, at = places[b, shares[t]]
-        if found[f"g{g}"] is None:
-            lo, middle, hi = b.lo, b.lo + (b.hi - b.lo) / 2, b.hi
-        else:
-            lo, middle, hi = found[f"g{g}"][at : at + 3]
-        # A bracket of few heavy values may not shrink: test one value, which settles or drops it.
-        proposals[t] = (b.i, middle, middle) if (lo, hi) == (b.lo, b.hi) else (b.i, lo, hi)
-    return proposals
-
-
-def _shrink(old: _Bracket, rank: int, lo: float, hi: float, below: int, inside: int) -> _Bracket:
-    """The part of the bracket, relative to [lo, hi], that holds ``rank``."""
-    if below <= rank < below + inside:
-        return _Bracket(old.i, lo, hi, below, inside)
-    if rank < below:
-        return _Bracket(old.i, old.lo, math.nextafter(lo, -math.inf), old.below, below - old.below)
-    above = below + inside
-    return _Bracket(old.i, math.nextafter(hi, math.inf), old.hi, above, old.below + old.inside - above)
-
-
-def _pick(cells: DataFrame, targets: Mapping) -> dict:
-    """The value at each rank, from brackets that hold few rows, in one pass."""
-    at = {t: b.lo for t, b in targets.items() if b.lo == b.hi}
-    groups: dict[_Bracket, list[tuple]] = {}
-    for t, b in targets.items():
-        if b.lo != b.hi:
-            groups.setdefault(b, []).append(t)
-    if not groups:
-        return at
-    inner = cells.select(*[b.cells().alias(f"g{g}") for g, b in enumerate(groups)])
-    aggs = []
-    for g, (b, wanted) in enumerate(groups.items()):
-        # Half a row past the rank, so that the discrete percentile cannot fall one short.
-        shares = ", ".join(f"{(rank - b.below + 0.5) / b.inside!r}D" for _, rank in wanted)
-        aggs.append(F.expr(f"percentile_disc(array({shares})) within group (order by g{g})").alias(f"g{g}"))
-    found = inner.agg(*aggs).first()
-    for g, wanted in enumerate(groups.values()):
-        at.update(zip(wanted, found[f"g{g}"]))
-    return at
+        return at[low]
+    return (high - position) * at[low] + (position - low) * at[high]
+
+
+def _counted(df: DataFrame, values: Mapping[str, Column]) -> DataFrame:
+    """Rows per column number ``c`` and value ``v``; NULL and NaN are no values."""
+    cells = F.array(*[F.struct(F.lit(i).alias("c"), v.cast("double").alias("v")) for i, v in enumerate(values.values())])
+    pairs = df.select(F.explode(cells).alias("p")).select("p.c", "p.v").where(F.col("v").isNotNull() & ~F.isnan("v"))
+    return pairs.groupBy("c", "v").agg(F.count(F.lit(1)).alias("n"))
+
+
+def exact_quantiles_of(df: DataFrame, values: Mapping[str, Column], probabilities: Sequence[float]) -> dict[str, list[float | None]]:
+    """Percentiles of the values of each expression, as Python floats (a constant-size result)."""
+    if not values:
+        return {}
+    counts = stage(_counted(df, values), "value-counts")
+    rows = {r[0]: r[1] for r in counts.groupBy("c").agg(F.sum("n")).collect()}
+    before, wanted = 0, []
+    for i in sorted(rows):
+        ranks = {rank for p in probabilities for rank in _ranks(p, rows[i])}
+        wanted += [(i, rank, before + rank) for rank in sorted(ranks)]
+        before += rows[i]
+    at: dict[int, dict[int, float]] = {i: {} for i in rows}
+    if wanted:
+        places = df.sparkSession.createDataFrame(wanted, "w int, rank long, place long")
+        running = ordered.scan(counts, [ordered.asc("c")], {"upto": ordered.running_sum("n")}, tie=[ordered.asc("v")])
+        # One row per column and rank that is asked for.
+        inside = (F.col("c") == F.col("w")) & (F.col("place") < F.col("upto")) & (F.col("place") >= F.col("upto") - F.col("n"))
+        for r in running.join(F.broadcast(places), inside).select("c", "rank", "v").collect():
+            at[r["c"]][r["rank"]] = r["v"]
+    return {name: [_interpolate(p, rows.get(i, 0), at.get(i, {})) for p in probabilities] for i, name in enumerate(values)}
+
+
+def exact_quantiles(df: DataFrame, value: Column, probabilities: Sequence[float]) -> list[float | None]:
+    """Percentiles of one expression."""
+    return exact_quantiles_of(df, {"value": value}, probabilities)["value"]
+
+
+def grouped_medians(df: DataFrame, groups: Sequence[str], value: Column, name: str = "median") -> DataFrame:
+    """The median of each group; a group that holds a large part of the rows is counted by value and split.
+
+    The middle ranks of a group are found among its running counts, so no task holds a group's values.
+    """
+    keys = [f"__g{i}" for i in range(len(groups))]
+    named = df.select(*[col(g).alias(k) for g, k in zip(groups, keys)], value.cast("double").alias("__v"))
+    kept = named.where(F.col("__v").isNotNull() & ~F.isnan("__v"))
+    counts = stage(kept.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__n")), "group-values")
+    totals = stage(counts.groupBy(*keys).agg(F.sum("__n").alias("__rows")), "group-rows")
+    order = [ordered.asc(k) for k in keys]
+    starts = ordered.scan(totals, order, {"__end": ordered.running_sum("__rows")})
+    running = ordered.scan(counts, order, {"__upto": ordered.running_sum("__n")}, tie=[ordered.asc("__v")])
+    same = [running[k].eqNullSafe(starts[k]) for k in keys]
+    first = F.col("__end") - F.col("__rows")
+    low, high = first + F.floor((F.col("__rows") - 1) / 2), first + F.ceil((F.col("__rows") - 1) / 2)
+    holds = lambda place: (place < F.col("__upto")) & (place >= F.col("__upto") - F.col("__n"))
+    middle = running.join(starts.select(*keys, "__rows", "__end"), F.expr("true") if not same else _all(same))
+    middle = middle.where(holds(low) | holds(high)).select(*[running[k].alias(k) for k in keys], "__v")
+    found = middle.groupBy(*keys).agg(F.avg("__v").alias(name))
+    return found.select(*[F.col(k).alias(g) for k, g in zip(keys, groups)], name)
+
+
+def _all(conditions: Sequence[Column]) -> Column:
+    out = conditions[0]
+    for c in conditions[1:]:
+        out = out & c
+    return out

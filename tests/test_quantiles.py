@@ -6,16 +6,28 @@ from tabloom.operators import quantiles
 PROBABILITIES = (0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0)
 
 
-@pytest.mark.parametrize("exact_rows,sample_rows", [(10**6, 50_000), (200, 500), (20, 60)])
 @pytest.mark.parametrize("shape", ["id", "id % 2", "CASE WHEN id % 3 = 0 THEN 5 ELSE id END", "7", "pow(1.001, id)"])
-def test_equals_builtin(spark, monkeypatch, exact_rows, sample_rows, shape):
-    monkeypatch.setattr(quantiles, "SAMPLE_ROWS", sample_rows)
+def test_equals_builtin(spark, shape):
     df = spark.range(5000).selectExpr(f"CASE WHEN id % 17 <> 0 THEN cast({shape} AS double) END AS v")
     want = df.agg(F.percentile("v", list(PROBABILITIES))).first()[0]
-    got = quantiles.exact_quantiles(df, F.col("v"), PROBABILITIES, exact_rows=exact_rows)
-    assert got == pytest.approx(want, rel=1e-12)
+    assert quantiles.exact_quantiles(df, F.col("v"), PROBABILITIES) == pytest.approx(want, rel=1e-12)
+
+
+def test_several_columns_share_the_passes(spark):
+    df = spark.range(3000).selectExpr("id AS a", "cast(NULL AS int) AS b", "id % 5 AS c", "if(id % 2 = 0, double('NaN'), id) AS d")
+    got = quantiles.exact_quantiles_of(df, {c: F.col(c) for c in "abcd"}, (0.5, 1.0))
+    assert got == {"a": [1499.5, 2999.0], "b": [None, None], "c": [2.0, 4.0], "d": [1500.0, 2999.0]}
 
 
 def test_empty(spark):
     df = spark.range(3).selectExpr("cast(NULL AS double) AS v")
     assert quantiles.exact_quantiles(df, F.col("v"), (0.5,)) == [None]
+    assert quantiles.exact_quantiles(df.limit(0), F.col("v"), (0.5,)) == [None]
+
+
+def test_grouped_medians_of_a_hot_group(spark):
+    df = spark.range(9000).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN 'hot' WHEN id % 7 = 0 THEN NULL ELSE concat('g', id % 40) END AS g", "pmod(hash(id), 1000) AS v"
+    )
+    got = quantiles.grouped_medians(df, ["g"], F.col("v"))
+    assert got.exceptAll(df.groupBy("g").agg(F.median("v"))).isEmpty() and got.count() == df.select("g").distinct().count()
