@@ -38,11 +38,34 @@ def attach(rows: DataFrame, staged: DataFrame, on: str | list[str], how: str, ro
     return rows.join(F.broadcast(staged) if small else staged, on, how)
 
 
-def sample_ids(rows: DataFrame, group: Column, key: str, most: int, order: Column) -> DataFrame:
-    """Staged ids of at most ``most`` rows of each group, the first in ``order``; each task passes on no more than that."""
+_SHARES = 1 << 31
+
+
+def sample_ids(rows: DataFrame, group: Column, key: str, most: int, seed: int) -> DataFrame:
+    """Staged ids of at most ``most`` rows of each group, by a hash of the id, with the group as ``__label``.
+
+    A group is thinned by its count first, so that about twice ``most`` of its rows are shuffled and ranked.
+    """
+    found = rows.select(key, group.alias("__g")).where(F.col("__g").isNotNull() & F.col(key).isNotNull())
+    sizes = found.groupBy("__g").agg(F.count(F.lit(1)).alias("__n"))
+    share = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(_SHARES))
+    # One row per label.
+    thin = found.join(F.broadcast(sizes), "__g").withColumn("__o", share).where(F.col("__o") * F.col("__n") <= F.lit(2.0 * most * _SHARES))
     rank = F.row_number().over(W.partitionBy("__g").orderBy("__o", key))
-    picked = rows.select(key, group.alias("__g"), order.alias("__o")).where(F.col("__g").isNotNull())
-    return stage(picked.withColumn("__r", rank).where(F.col("__r") <= most).select(key, F.col("__g").alias("__label")), "sample")
+    return stage(thin.withColumn("__r", rank).where(F.col("__r") <= most).select(key, F.col("__g").alias("__label")), "sample")
+
+
+def first_ids(rows: DataFrame, key: str, most: int, seed: int) -> DataFrame:
+    """Staged ids (``k``) of at most ``most`` rows, the first by a hash of the id.
+
+    A count of one row in 64 tells how far to thin the rows, so that a few times ``most`` of them are sorted.
+    """
+    share = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(_SHARES))
+    usable = rows.where(F.col(key).isNotNull())
+    rough = 64 * usable.where(share % 64 == 0).count()
+    if rough > 8 * most:
+        usable = usable.where(share < int(_SHARES * 4 * most / rough))
+    return stage(usable.select(F.col(key).alias("k"), share.alias("o")).distinct().orderBy("o", "k").limit(most).select("k"), "sample")
 
 
 def fitted(sample: DataFrame, fit: Callable[[pd.DataFrame], bytes]) -> bytes | None:

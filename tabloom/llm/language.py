@@ -89,7 +89,7 @@ def fit(sample: pd.DataFrame, settings: Settings) -> bytes:
 def learn(docs: DataFrame, text: str, key: str, lang: str, settings: Settings = Settings()) -> bytes | None:
     """A model from labelled documents that are not held out; None if there are none."""
     usable = docs.where(~held_out(F.col(key)) & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    ids = sample_ids(usable, F.col(lang), key, settings.per_language, F.xxhash64(F.col(key), F.lit(4)))
+    ids = sample_ids(usable, F.col(lang), key, settings.per_language, 4)
     sample = attach(usable.select(key, F.col(text).alias("text")), ids, key, "inner", 32)
     return fitted(sample.select(key, "__label", "text"), lambda rows: fit(rows, settings))
 

@@ -20,8 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..staging import stage
-from .common import attach, fitted, pack, unpack
+from .common import attach, first_ids, fitted, pack, unpack
 
 KINDS = ("email", "ip", "card", "phone")
 #: Label 0 is none; label i + 1 is ``KINDS[i]``.
@@ -287,8 +286,8 @@ def personal_data(docs: DataFrame, text: str = "text", key: str = "doc_id", keep
     sample only the patterns are used.  A column named ``pii`` is replaced.
     """
     hinted = docs.where(F.col(key).isNotNull() & F.col(text).rlike("[0-9@+]"))
-    ids = hinted.select(F.col(key).alias("k")).distinct().orderBy(F.xxhash64("k", F.lit(5)), "k").limit(settings.fit_documents)
-    sample = attach(hinted.select(F.col(key).alias("k"), F.col(text).alias("text")), stage(ids, "pii-sample"), "k", "inner", 16)
+    ids = first_ids(hinted, key, settings.fit_documents, 5)
+    sample = attach(hinted.select(F.col(key).alias("k"), F.col(text).alias("text")), ids, "k", "inner", 16)
     model = fitted(sample.select("k", "text"), lambda rows: fit(rows, settings))
     kept = [c for c in (keep or docs.columns) if c != "pii"]
     rows = docs.select(*kept, F.col(text).alias("__text"))

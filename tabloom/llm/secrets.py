@@ -18,8 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..staging import stage
-from .common import BLOCK_BYTES, attach, blocks, fitted, pack, unpack, words
+from .common import BLOCK_BYTES, attach, blocks, first_ids, fitted, pack, unpack, words
 
 
 @dataclass(frozen=True)
@@ -197,7 +196,7 @@ def secrets(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str
     """
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), (F.col(path).cast("string") if path else F.lit("")).alias("path"), F.col(text).alias("text"))
     likely = rows.where(F.col("doc_id").isNotNull() & F.col("text").rlike("[0-9][A-Za-z0-9+/_-]{6}"))
-    ids = stage(likely.select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(9)), "doc_id").limit(settings.fit_documents), "secret-sample")
+    ids = first_ids(likely, "doc_id", settings.fit_documents, 9).withColumnRenamed("k", "doc_id")
     model = fitted(attach(likely, ids, "doc_id", "inner", 16).select("doc_id", "path", "text"), lambda part: fit(part, settings))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

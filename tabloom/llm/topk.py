@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from ..staging import stage
 
 #: Rows of the index in a block, and queries in a block.
-INDEX_BLOCK, QUERY_BLOCK = 4096, 256
+INDEX_BLOCK, QUERY_BLOCK = 4096, 1024
 #: Rescoring begins when a query's possible members are this share of the block.
 FEW = 0.02
 _EXACT = 2**53
@@ -102,23 +102,22 @@ def top_k(vectors: DataFrame, is_query, key: str = "vec_id", vector: str = "embe
     count = rows.count()
     index_blocks = max(1, -(-count // INDEX_BLOCK))
     query_blocks = max(1, -(-rows.where("is_query").count() // QUERY_BLOCK))
-    # Blocks are dealt by a hash of the id; each query block meets each index block once.
-    index = rows.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(index_blocks)).alias("block"))
+    # Blocks are dealt by a hash of the id; each query block meets each index block in a group of its own.
+    def every(blocks: int):
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+
+    index = rows.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(index_blocks)).alias("block")).withColumn("query_block", every(query_blocks))
     asked = rows.where("is_query").select("id", "v", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(query_blocks)).alias("query_block"))
-    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(index_blocks - 1).cast("long"))))
+    asked = asked.withColumn("block", every(index_blocks))
 
     def answer(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         found: list[tuple] = []
         if len(left) and len(right):
-            rows_, ids = _matrix(left["v"]), left["id"].to_numpy()
-            for _, part in right.groupby("query_block"):
-                query_ids = part["id"].to_numpy()
-                found += [
-                    (int(query_ids[i]), int(ids[j]), score)
-                    for i, j, score in best(_matrix(part["v"]), query_ids, rows_, ids, k)
-                ]
+            ids, query_ids = left["id"].to_numpy(), right["id"].to_numpy()
+            found = [(int(query_ids[i]), int(ids[j]), score) for i, j, score in best(_matrix(right["v"]), query_ids, _matrix(left["v"]), ids, k)]
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype("int64")
 
-    each = index.groupBy("block").cogroup(asked.groupBy("block")).applyInPandas(answer, "query_id long, vec_id long, score long")
+    meet = ("block", "query_block")
+    each = index.groupBy(*meet).cogroup(asked.groupBy(*meet)).applyInPandas(answer, "query_id long, vec_id long, score long")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return each.select("query_id", rank.cast("int").alias("rank"), "vec_id", "score").where(F.col("rank") <= k)

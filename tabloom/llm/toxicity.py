@@ -124,7 +124,7 @@ def learn(docs: DataFrame, labels: DataFrame, text: str, key: str, label: str, s
     counts = dict(marked.groupBy("__y").count().collect())
     if len(counts) < 2:
         return None
-    ids = sample_ids(marked, F.col("__y"), key, settings.per_label, F.xxhash64(F.col(key), F.lit(3)))
+    ids = sample_ids(marked, F.col("__y"), key, settings.per_label, 3)
     total = sum(counts.values())
     # A label of which only a part is seen counts for all of its documents.
     weight = F.when(F.col("__label") == 1, F.lit(counts[1] / total / min(counts[1], settings.per_label))).otherwise(
