@@ -14,7 +14,7 @@ from tabloom.operators.ordered import asc
 from tabloom.sinks import files
 from tabloom.staging import new_path
 
-from .registry import query, table
+from .registry import ORACLES, query, table
 
 PLAN = rc.Plan(
     key="order",
@@ -365,3 +365,51 @@ def recon_supplier_customer(spark, sf_dir):
     order = [asc("n")]
     rows = rc.compare(rc.prepare(left, plan), rc.prepare(right, plan), plan, left_order=order, right_order=order)
     return rows.select("nation", "left_n", "right_n", "result")
+
+
+#: Each result of the assembled comparison, with the query that states the same rows.
+ASSEMBLED = {
+    "results": "recon_compare",
+    "sorted_results": "recon_sorted",
+    "only_left": "recon_only_left",
+    "only_right": "recon_only_right",
+    "not_ok": "recon_not_ok",
+    "sorted_not_ok": "recon_not_ok",
+    "summary": "recon_summary",
+    "mismatches_year": "recon_mismatches",
+    "tally_year": "recon_tally",
+    "codes_codes": "recon_code_tally",
+    "left_duplicates": "recon_duplicate_keys",
+    "right_extra_rows": "recon_extra_rows",
+    "left_conflicts_codes": "recon_prefix_conflicts",
+    "left_empty_columns": "recon_empty_columns",
+    "right_empty": "recon_empty_keys",
+    "left_skipped": "recon_skip_no_data",
+}
+
+
+def assembled(spark, sf_dir, name: str):
+    order = [asc("pos")]
+    return rc.reconcile(side(spark, sf_dir, "O"), side(spark, sf_dir, "F"), PLAN, left_order=order, right_order=order)[name]
+
+
+for _name, _same in ASSEMBLED.items():
+    query(f"assembled_{_name}", ORACLES[_same])(lambda spark, sf_dir, name=_name: assembled(spark, sf_dir, name))
+
+
+@query(
+    "assembled_matrix_flag",
+    f"""WITH {_COMPARED}, m AS (SELECT left_flag, right_flag FROM c WHERE {_BOTH} AND flag_match = 'MISMATCH')
+        SELECT COALESCE(left_flag, 'TOTAL') AS "row", COALESCE(right_flag, 'TOTAL') AS "column", COUNT(*) AS count
+        FROM m GROUP BY CUBE (left_flag, right_flag)""",
+)
+def assembled_matrix_flag(spark, sf_dir):
+    return assembled(spark, sf_dir, "matrix_flag")
+
+
+@query(
+    "code_list_json",
+    f"""SELECT "order", pos, CAST(TO_JSON(codes) AS VARCHAR) AS codes FROM ({_LEFT})""",
+)
+def code_list_json(spark, sf_dir):
+    return prepared(spark, sf_dir)[0].select("order", "pos", codes.to_json_list(F.col("codes")).alias("codes"))

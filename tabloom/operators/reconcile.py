@@ -7,7 +7,7 @@ comparison.  Everything else hangs off the compared rows without another join.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -406,7 +406,8 @@ def reconcile(
 ) -> dict[str, DataFrame]:
     """The whole comparison: results, findings, tallies and audits.
 
-    The compared rows are staged once; every finding reads the staged table.
+    Each side is prepared and staged once, and so are the compared rows; every finding reads a staged table.
+    ``matrix_<column>`` is in long form, so it has no limit on distinct values; ``sorted_`` results are by key.
     """
     columns = targets(left, right, plan.key, plan.columns)
     plan = Plan(
@@ -418,7 +419,11 @@ def reconcile(
         plan.null_tokens,
         plan.skip_no_data,
     )
-    l, r = prepare(left, plan), prepare(right, plan)
+    # Rows without data are counted before they are skipped.
+    whole = replace(plan, skip_no_data=False)
+    everything = {tag: stage(prepare(side, whole), f"{tag}-side") for tag, side in (("left", left), ("right", right))}
+    kept = {tag: side.where(~no_data(side, plan)) if plan.skip_no_data else side for tag, side in everything.items()}
+    l, r = kept["left"], kept["right"]
     compared = stage(
         compare(l, r, plan, left_order=left_order, right_order=right_order, keep_lists=True), "compared"
     )
@@ -429,15 +434,22 @@ def reconcile(
         "only_right": only_right(compared).drop(*lists),
         "not_ok": not_ok(compared).drop(*lists),
         "summary": summary(compared, plan),
+        "sorted_results": sort_by_key(compared, plan, "asc").drop(*lists),
+        "sorted_not_ok": sort_by_key(not_ok(compared), plan, "asc").drop(*lists),
     }
     for c in plan.columns:
+        out[f"mismatches_{c}"] = mismatches(compared, c).drop(*lists)
         if c in plan.list_columns:
             out[f"codes_{c}"] = code_tally(compared, c)
         else:
             out[f"tally_{c}"] = mismatch_tally(compared, c)
+            out[f"matrix_{c}"] = pivots.crosstab_long(mismatches(compared, c), f"left_{c}", f"right_{c}")
     for tag, side in (("left", l), ("right", r)):
         out[f"{tag}_duplicates"] = audit_duplicates(side, plan)
         out[f"{tag}_empty"] = audit_empty_keys(side, plan)
+        out[f"{tag}_empty_columns"] = audit_empty_columns(side, plan)
+        out[f"{tag}_extra_rows"] = audit_extra_rows(side, plan)
+        out[f"{tag}_skipped"] = skipped_no_data(everything[tag], plan)
         for c in plan.list_columns:
             out[f"{tag}_conflicts_{c}"] = audit_prefix_conflicts(side, plan, c)
     return out
