@@ -69,14 +69,17 @@ def first_ids(rows: DataFrame, key: str, most: int, seed: int) -> DataFrame:
 
 
 def fitted(sample: DataFrame, fit: Callable[[pd.DataFrame], bytes]) -> bytes | None:
-    """What ``fit`` makes of a bounded sample, in one task; only the model reaches the driver."""
+    """What ``fit`` makes of a bounded sample, in one task; only the model reaches the driver.
+
+    The sample is gathered by a shuffle, so that the scan it comes from stays parallel.
+    """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = [p for p in parts if len(p)]
         if rows:
             yield pd.DataFrame({"model": [fit(pd.concat(rows, ignore_index=True))]})
 
-    found = sample.coalesce(1).sortWithinPartitions(*sample.columns).mapInPandas(run, "model binary").collect()
+    found = sample.repartition(1).sortWithinPartitions(*sample.columns).mapInPandas(run, "model binary").collect()
     return bytes(found[0][0]) if found else None
 
 
