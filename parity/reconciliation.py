@@ -21,6 +21,7 @@ PLAN = rc.Plan(
     columns=("flag", "year", "codes"),
     list_columns=("codes",),
     aliases={"flag": ["R,A"]},
+    various="(Various VDNs)",
 )
 
 # Four codes per line; the first two share a prefix.
@@ -202,7 +203,7 @@ _TALLY = f"""WITH {_COMPARED},
 
 @query("recon_code_tally", _TALLY)
 def recon_code_tally(spark, sf_dir):
-    return rc.code_tally(compared(spark, sf_dir, keep_lists=True), "codes")
+    return rc.code_tally(compared(spark, sf_dir, keep_lists=True), "codes", PLAN.various)
 
 
 @query("recon_duplicate_keys", f'SELECT "order", COUNT(*) AS rows FROM ({_LEFT}) GROUP BY 1 HAVING COUNT(*) > 1')

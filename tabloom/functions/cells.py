@@ -90,12 +90,6 @@ def bare_text(c: Column) -> Column:
     return F.when(text.rlike(r'^[^!#-~]|[^!#-~]$'), F.regexp_replace(strip(text), r'^"|"$', "")).otherwise(text)
 
 
-def clean_text(c: Column, null_tokens: Sequence[str] = NULL_TOKENS) -> Column:
-    """``bare_text`` with null tokens as NULL."""
-    bare = bare_text(c)
-    return F.when(~bare.isin(list(null_tokens)), bare)
-
-
 def clean_names(names: Iterable[str]) -> list[str]:
     """Header names trimmed, without quotes, made unique with ``_n`` suffixes."""
     out: list[str] = []

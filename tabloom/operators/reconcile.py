@@ -24,7 +24,7 @@ ABSENT = "N/A"
 NO_DATA = "NO DATA"
 MATCH, MISMATCH = "MATCH", "MISMATCH"
 OK, NOK = "OK", "NOK"
-VARIOUS = "(Various VDNs)"
+VARIOUS = "(Various)"
 
 # Alias maps up to this size become a literal map; larger ones a joined table.
 LITERAL_ALIASES = 500
@@ -45,6 +45,8 @@ class Plan:
     skip: Mapping[str, Sequence[str]] = field(default_factory=dict)
     null_tokens: Sequence[str] = NULL_TOKENS
     skip_no_data: bool = False
+    #: What the roll-up rows of a code tally call the codes without a partner.
+    various: str = VARIOUS
 
 
 def rename(df: DataFrame, shared: Mapping[str, str], own: Mapping[str, str] | None = None) -> DataFrame:
@@ -410,15 +412,7 @@ def reconcile(
     ``matrix_<column>`` is in long form, so it has no limit on distinct values; ``sorted_`` results are by key.
     """
     columns = targets(left, right, plan.key, plan.columns)
-    plan = Plan(
-        plan.key,
-        columns,
-        [c for c in plan.list_columns if c in columns],
-        plan.aliases,
-        plan.skip,
-        plan.null_tokens,
-        plan.skip_no_data,
-    )
+    plan = replace(plan, columns=columns, list_columns=[c for c in plan.list_columns if c in columns])
     # Rows without data are counted before they are skipped.
     whole = replace(plan, skip_no_data=False)
     everything = {tag: stage(prepare(side, whole), f"{tag}-side") for tag, side in (("left", left), ("right", right))}
@@ -440,7 +434,7 @@ def reconcile(
     for c in plan.columns:
         out[f"mismatches_{c}"] = mismatches(compared, c).drop(*lists)
         if c in plan.list_columns:
-            out[f"codes_{c}"] = code_tally(compared, c)
+            out[f"codes_{c}"] = code_tally(compared, c, plan.various)
         else:
             out[f"tally_{c}"] = mismatch_tally(compared, c)
             out[f"matrix_{c}"] = pivots.crosstab_long(mismatches(compared, c), f"left_{c}", f"right_{c}")
