@@ -1,7 +1,7 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Passages are overlapping windows of words.  Their TF-IDF vectors (hashed words, document frequencies counted
-over all passages) are projected onto the leading singular vectors of the benchmark's
+Passages are overlapping windows of words.  Their TF-IDF vectors (hashed words, frequencies counted over the steps
+of all texts and of all items; the rarer of the two weighs, so that a widely leaked item keeps its weight) are projected onto the leading singular vectors of the benchmark's
 passages, found by a randomised SVD whose products are sums over Spark partitions.  A passage whose cosine with a benchmark item is high enough, and which holds enough of the item's weight, is a candidate;
 the longest common subsequence with the item, and with its closing words (the answer), then decides.
 """
@@ -22,14 +22,13 @@ from .common import Block, blocks, mix, words
 
 @dataclass(frozen=True)
 class Settings:
-    """A passage is two steps of words; words in more than ``common`` of the steps say nothing."""
+    """A passage is two steps of words."""
 
     step: int = 24
     buckets: int = 1 << 14
     rank: int = 192
     extra: int = 8
     rounds: int = 2
-    common: float = 0.01
     cosine: float = 0.4
     holds: float = 0.5
     alike: float = 0.8
@@ -218,9 +217,10 @@ def decontaminate(
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
     seen, n = frequencies(docs.select(F.col(text)), settings)
-    idf = np.log((n + 1.0) / (seen + 1.0)) + 1e-3
-    in_items, _ = frequencies(items.select("text"), settings)
-    used = np.flatnonzero((in_items > 0) & (seen <= settings.common * n))
+    in_items, m = frequencies(items.select("text"), settings)
+    # A leak makes an item's words common in the texts, but not among the items.
+    idf = np.maximum(np.log((n + 1.0) / (seen + 1.0)), np.log((m + 1.0) / (in_items + 1.0))) + 1e-3
+    used = np.flatnonzero(in_items > 0)
     row = np.full(settings.buckets, -1)
     row[used] = np.arange(len(used))
     weights = None

@@ -219,6 +219,22 @@ def test_decontaminate(spark, docs, empty):
     assert not any(r.contaminated for r in decontaminate(every.limit(20), benchmark.limit(0)).collect())
 
 
+def test_decontaminate_finds_widely_leaked_items(spark):
+    """Frequency in the corpus only weighs words: an item in a third of all rows, and a table of five rows."""
+    r = random.Random(8)
+    vocabulary = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(3000)]
+    prose = lambda n: " ".join(r.choice(vocabulary) for _ in range(n))
+    items = [(i, prose(36)) for i in range(40)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    texts = [f"{prose(100)} {items[i % 2][1]} {prose(100)}" if i % 3 == 0 else prose(236) for i in range(300)]
+    got = {x.doc_id: x for x in decontaminate(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), benchmark).collect()}
+    assert {i for i, x in got.items() if x.contaminated} == set(range(0, 300, 3))
+    assert all(got[i].leaked_item == i % 2 and got[i].leaked_share == 1 for i in range(0, 300, 3))
+    five = [(0, items[5][1]), (1, items[6][1]), (2, f"{prose(20)} {items[5][1]}"), (3, prose(40)), (4, items[5][1])]
+    got = {x.doc_id: x for x in decontaminate(spark.createDataFrame(five, "doc_id long, text string"), benchmark).collect()}
+    assert [got[i].leaked_item if got[i].contaminated else None for i in range(5)] == [5, 6, 5, None, 5]
+
+
 def test_pipeline(spark):
     """Each stage against what a plain reading of its input says."""
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").where("doc_id < 300").unionByName(spark.createDataFrame(ODD, DOCS))
