@@ -2,8 +2,10 @@
 
 Passages are overlapping windows of words.  Their TF-IDF vectors (hashed words, frequencies counted over the steps
 of all texts and of all items; the rarer of the two weighs, so that a widely leaked item keeps its weight) are projected onto the leading singular vectors of the benchmark's
-passages, found by a randomised SVD whose products are sums over Spark partitions.  A passage whose cosine with a benchmark item is high enough, and which holds enough of the item's weight, is a candidate;
-the longest common subsequence with the item, and with its closing words (the answer), then decides.
+passages, found by a randomised SVD whose products are sums over Spark partitions.  Items are searched by pieces of one
+step, which lie whole inside some passage wherever an item begins.  A passage whose cosine with a piece is high enough,
+and which holds enough of the piece's weight, makes the piece's item a candidate; the longest common subsequence with
+the whole item, and with its closing words (the answer), then decides.
 """
 from __future__ import annotations
 
@@ -41,6 +43,8 @@ class Settings:
 _INSIDE = np.zeros(256, bool)
 _INSIDE[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _BLOCK = 1 << 18
+#: Pieces that are compared with a block of passages at once.
+_SLICE = 1 << 12
 
 
 @dataclass
@@ -173,6 +177,14 @@ def latent_space(texts: DataFrame, idf: np.ndarray, row: np.ndarray, settings: S
     return basis @ turn[:, kept[values[kept] > 1e-9 * values.max(initial=1e-300)]]
 
 
+def pieces(n: int, step: int) -> list[tuple[int, int]]:
+    """Word ranges of an item of ``n`` words: every full step, and the last ``step`` words if some are left."""
+    starts = list(range(0, n - step + 1, step)) or [0]
+    if n > step and n % step:
+        starts.append(n - step)
+    return [(a, min(a + step, n)) for a in starts]
+
+
 def common_run(item: list[int], region: list[int]) -> int:
     """Length of the longest common subsequence: one bit per word of the item, one step per word of the region."""
     masks: dict[int, int] = {}
@@ -237,19 +249,34 @@ def decontaminate(
 
 
 def _searched(rows: DataFrame, kept: list[str], items: list[tuple[int, str]], weights: np.ndarray, row: np.ndarray, settings: Settings) -> DataFrame:
-    numbers, vectors, contents = [], [], []
+    numbers, contents, vectors, owners = [], [], [], []
     for number, words_of in items:
         for block in blocks(pa.array([words_of], pa.string())):
             found = steps(block, settings.step)
             if len(found.hashes):
-                numbers.append(number)
                 ids = row[_bucket(found.hashes, settings)]
-                vectors.append(weights[ids[ids >= 0]].sum(axis=0))
+                for a, b in pieces(len(ids), settings.step):
+                    own = ids[a:b]
+                    vectors.append(weights[own[own >= 0]].sum(axis=0))
+                    owners.append(len(numbers))
+                numbers.append(number)
                 contents.append(found.hashes.tolist())
-    targets = np.array(vectors, np.float32).reshape(len(numbers), weights.shape[1])
+    targets = np.array(vectors, np.float32).reshape(len(owners), weights.shape[1])
+    owner = np.array(owners, np.int64)
     length = np.maximum(np.linalg.norm(targets, axis=1), 1e-9)
     directions = (targets / length[:, None]).T
 
+    def resembling(latent: np.ndarray) -> list[tuple[int, int]]:
+        """Passages and the items that they may hold, each pair once."""
+        least = settings.cosine * np.linalg.norm(latent, axis=1)[:, None]
+        pairs = []
+        for at in range(0, len(owner), _SLICE):
+            part = slice(at, at + _SLICE)
+            shown = latent @ directions[:, part]
+            s, t = np.nonzero((length[part] > 1e-6) & (shown >= settings.holds * length[part]) & (shown >= least))
+            pairs.append(s * len(numbers) + owner[part][t])
+        return [divmod(int(x), len(numbers)) for x in np.unique(np.concatenate(pairs))]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bad = batch.column("contaminated").to_numpy(zero_copy_only=False).copy()
@@ -259,17 +286,19 @@ def _searched(rows: DataFrame, kept: list[str], items: list[tuple[int, str]], we
                 here = steps(block, settings.step)
                 if not len(here.first) or not numbers:
                     continue
-                latent = passages(weights, row, here, settings)
-                shown = latent @ directions
-                alike = (length > 1e-6) & (shown >= settings.holds * length) & (shown >= settings.cosine * np.linalg.norm(latent, axis=1)[:, None])
                 ends = np.append(here.first, len(here.hashes))
                 text_ends = np.searchsorted(here.owner, np.arange(len(block.bounds)))
-                for s, i in zip(*np.nonzero(alike)):
+                seen = set()
+                for s, i in resembling(passages(weights, row, here, settings)):
                     d = here.of[s]
                     reach = max(settings.step, len(contents[i]))
                     lo = max(text_ends[d], ends[s] - reach)
                     hi = min(text_ends[d + 1], ends[s] + 2 * settings.step + reach)
+                    # Nothing is left to find in the same words again, or once a document holds all of an item.
+                    if (d, i) in seen or (lo, hi, i) in seen:
+                        continue
                     whole, answer = judged(contents[i], here.hashes[lo:hi].tolist(), settings)
+                    seen.add((d, i) if whole == 1 else (lo, hi, i))
                     at = block.rows.start + d
                     bad[at] |= whole >= settings.alike or (whole >= settings.partly and answer >= settings.answer)
                     if whole > share[at] or (whole == share[at] and item[at] is not None and numbers[i] < item[at]):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tabloom.llm import pii, secrets
 from tabloom.llm.common import running_total
-from tabloom.llm.decontaminate import common_run, decontaminate
+from tabloom.llm.decontaminate import common_run, decontaminate, pieces
 from tabloom.llm.language import identify
 from tabloom.llm.mixing import mix_sources, targets
 from tabloom.llm.pii import personal_data
@@ -235,6 +235,30 @@ def test_decontaminate_finds_widely_leaked_items(spark):
     assert [got[i].leaked_item if got[i].contaminated else None for i in range(5)] == [5, 6, 5, None, 5]
 
 
+def test_decontaminate_finds_long_items(spark):
+    """Items far beyond a passage: verbatim wherever they begin, and in parts with the answer."""
+    r = random.Random(9)
+    vocabulary = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(3000)]
+    some = lambda n: [r.choice(vocabulary) for _ in range(n)]
+    items = [some(n) for n in (63, 63, 100, 300, 1000, 47, 25, 24)]
+    texts = {}
+    for i, words in enumerate(items):
+        for k in range(6):
+            texts[10 * i + k] = some(5 * k) + words + some(30)
+        changed = ["other" if j % 3 == 1 and j < 0.75 * len(words) else w for j, w in enumerate(words)]
+        texts[10 * i + 6] = some(17) + changed + some(30)
+    texts |= {1000 + i: some(200) for i in range(50)}
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    got = {x.doc_id: x for x in decontaminate(docs, benchmark).collect()}
+    assert {i for i, x in got.items() if x.contaminated} == {i for i in texts if i < 1000}
+    assert all(x.leaked_item == i // 10 and (x.leaked_share == 1) == (i % 10 < 6) for i, x in got.items() if i < 1000)
+
+
+def test_pieces():
+    assert [pieces(n, 4) for n in (1, 4, 5, 8, 10)] == [[(0, 1)], [(0, 4)], [(0, 4), (1, 5)], [(0, 4), (4, 8)], [(0, 4), (4, 8), (6, 10)]]
+
+
 def test_pipeline(spark):
     """Each stage against what a plain reading of its input says."""
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").where("doc_id < 300").unionByName(spark.createDataFrame(ODD, DOCS))
