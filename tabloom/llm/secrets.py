@@ -1,9 +1,11 @@
 """Secret scan whose false positives a random forest removes.
 
-Candidates are runs of letters, digits and ``+ / _ -`` with at least one digit.  The forest sees a candidate's
+Candidates are runs of letters, digits and ``+ / _ -`` with at least one digit, and whatever is assigned to a name for
+credentials or stands in a URL's user part, of any length and alphabet.  The forest sees a candidate's
 length, the likelihood of its character transitions, how much of it ordinary words cover, the path of the
 document, and the words and marks around it.  It learns from findings of the corpus that high-precision rules
-have labelled; half of them are shown without their surroundings, so that shape alone is learned too.
+have labelled; half of them are shown without their surroundings, so that shape alone is learned too, and made-up
+assignments of arbitrary values are added, so that surroundings alone are.
 """
 from __future__ import annotations
 
@@ -23,9 +25,13 @@ from .common import BLOCK_BYTES, attach, blocks, first_ids, fitted, pack, unpack
 
 @dataclass(frozen=True)
 class Settings:
-    """``fit_documents`` bounds the documents whose findings are learned from; every document is scanned whole."""
+    """``fit_documents`` bounds the documents whose findings are learned from; every document is scanned whole.
+
+    ``least`` is the length of runs that nothing names; ``made_up`` the least number of made-up assignments.
+    """
 
     least: int = 12
+    made_up: int = 800
     fit_documents: int = 4000
     trees: int = 25
     depth: int = 8
@@ -37,7 +43,12 @@ class Settings:
 _INSIDE = np.zeros(256, bool)
 _INSIDE[[*range(48, 58), *range(65, 91), *range(97, 123), 43, 45, 47, 95]] = True
 _KEYWORD = re.compile(r"(?i)(?:token|password|passwd|pwd|secret|api[_-]?key|access[_-]?key|auth|bearer|credential)")
-_ASSIGNED = re.compile(r"(?i)(?:token|password|passwd|pwd|secret|api[_-]?key|access[_-]?key)[\"']?\s*[=:]\s*[\"']?\Z")
+_NAME = r"(?i:token|password|passwd|passphrase|pwd|secret|(?:api|access|secret|private)[_-]?key)[\"']?"
+_ASSIGNED = re.compile(_NAME + r"\s*[=:]+>?\s*[\"']?\Z")
+_VALUE = re.compile((_NAME + r"[ \t]*[=:]+>?[ \t]*(?:\"([^\"\r\n]+)\"|'([^'\r\n]+)'|([^\s\"']\S*))").encode())
+_URL_USER = re.compile(rb"://(?:[^\s/:@]*:([^\s/@]+)|([^\s/:@]+))@")
+_IN_URL = re.compile(r"://[^\s/@]*\Z")
+_REFERENCE = re.compile(r"[$<{%*].*|[A-Za-z_][\w.]*[(\[].*|.*\}\}|x+|\.+", re.S)
 _KNOWN = re.compile(r"(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,})\Z")
 _TESTING = re.compile(r"(?i)test|example|sample|mock|fixture|demo")
 NAMES = ("length", "digits", "upper", "hex", "entropy", "changes", "transition", "covered", "keyword", "assigned", "quoted", "mark", "joined", "before", "after", "depth", "testing")
@@ -52,6 +63,23 @@ class Candidate:
     value: str
     before: str
     after: str
+    #: How it is named: "quoted", "plain" or "url"; "part" of such a value; or not at all.
+    named: str = ""
+
+
+def _named(data: bytes) -> dict[tuple[int, int], str]:
+    """Spans of values that are assigned to a name for credentials or stand in a URL's user part."""
+    out = {}
+    for m in _VALUE.finditer(data):
+        kind = 1 if m[1] is not None else 2 if m[2] is not None else 3
+        start, end = m.span(kind)
+        if kind == 3:
+            end = start + len(m[3].rstrip(b",;.)]}>\"'"))
+        if start < end:
+            out[start, end] = "plain" if kind == 3 else "quoted"
+    for m in _URL_USER.finditer(data):
+        out[m.span(1 if m[1] is not None else 2)] = "url"
+    return out
 
 
 def candidates(texts: pa.Array, settings: Settings) -> Iterator[tuple[int, Candidate]]:
@@ -61,17 +89,55 @@ def candidates(texts: pa.Array, settings: Settings) -> Iterator[tuple[int, Candi
         digit = np.concatenate(([0], np.cumsum((block.data >= 48) & (block.data <= 57))))
         use = np.flatnonzero((ends - begins >= settings.least) & (digit[ends] > digit[begins]))
         data = block.data.tobytes()
+        runs: dict[int, list[int]] = {}
         for i in use:
-            lo, hi = int(block.bounds[owner[i]]), int(block.bounds[owner[i] + 1])
-            b, e = int(begins[i]), int(ends[i])
-            yield block.rows.start + int(owner[i]), Candidate(
-                b - lo, e - lo, data[b:e].decode(), data[max(lo, b - 48) : b].decode("utf-8", "replace"), data[e : min(hi, e + 48)].decode("utf-8", "replace")
-            )
-
-
-def known(c: Candidate) -> bool:
-    """The rules that label: a published key format, or a value assigned to a name for credentials."""
-    return bool(_KNOWN.match(c.value)) or bool(_ASSIGNED.search(c.before)) and len(c.value) >= 16
+            runs.setdefault(int(owner[i]), []).append(i)
+        for d in range(len(block.bounds) - 1):
+            lo, hi = int(block.bounds[d]), int(block.bounds[d + 1])
+            text = data[lo:hi]
+            spans = _named(text)
+            values = list(spans)
+            for i in runs.get(d, ()):
+                b, e = int(begins[i]) - lo, int(ends[i]) - lo
+                spans.setdefault((b, e), "part" if any(x <= b and e <= y for x, y in values) else "")
+            for (b, e), named in sorted(spans.items()):
+                before, after = text[max(0, b - 48) : b].decode("utf-8", "replace"), text[e : e + 48].decode("utf-8", "replace")
+                yield block.rows.start + d, Candidate(b, e, text[b:e].decode(), before, after, named)
+
+
+def known(c: Candidate) -> float:
+    """The rules that label: 1 for a published key format or a value that a name or URL gives away, 0 for what nothing names, else NaN."""
+    if _KNOWN.match(c.value):
+        return 1.0
+    if c.named in ("quoted", "url", "plain") and _REFERENCE.fullmatch(c.value):
+        return 0.0
+    if c.named in ("quoted", "url"):
+        return 1.0
+    if c.named == "part":
+        return np.nan
+    if c.named == "plain" or _ASSIGNED.search(c.before):
+        return 1.0 if len(c.value) >= 16 and any(x.isdigit() for x in c.value) else np.nan
+    return 0.0
+
+
+_FORMS = ('password = "', "token='", '"secret": "', "API_KEY=", "db://user:", "passwd: ", "pwd = ", "secret: ", "token = ", "password: ")
+_MARKS = "0123456789!#$%&*+-_?"
+
+
+def _made_up(texts: list[str], n: int, random: np.random.RandomState) -> Iterator[tuple[Candidate, float]]:
+    """Words of the texts, half of them with digits and marks, assigned in all forms; bare words and calls that are not quoted are no secrets."""
+    pool = sorted({w for text in texts for w in re.findall(r"[^\s\"'@]{3,24}", text)})
+    for _ in range(n if pool else 0):
+        value, form = pool[random.randint(len(pool))], _FORMS[random.randint(len(_FORMS))]
+        plain = form[-1] == " " and random.rand() < 0.6
+        if plain:
+            value = value.strip(_MARKS + ".,;:()[]") or "word"
+            value += ("", "", "", "(", "[0")[random.randint(5)]
+        elif random.rand() < 0.5 or form[-1] == " ":
+            at = random.randint(len(value) + 1)
+            value = value[:at] + "".join(_MARKS[random.randint(len(_MARKS))] for _ in range(random.randint(1, 5))) + value[at:]
+        before, after = pool[random.randint(len(pool))] + " " + form, (form[-1] if form[-1] in "\"'" else "@" if "://" in form else "") + " " + pool[random.randint(len(pool))]
+        yield Candidate(0, 0, value, before, after), float(not plain)
 
 
 def _transitions(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -90,8 +156,9 @@ def _transitions(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def features(c: Candidate, path: str, transitions: np.ndarray, pieces: np.ndarray) -> list[float]:
     """The numbers of ``NAMES``."""
-    value, n = c.value, len(c.value)
+    value = c.value
     codes = value.lower().encode()
+    n = len(codes)
     counts = np.bincount(np.frombuffer(codes, np.uint8))
     share = counts[counts > 0] / n
     kinds = ["d" if x.isdigit() else "u" if x.isupper() else "l" if x.islower() else "o" for x in value]
@@ -107,9 +174,9 @@ def features(c: Candidate, path: str, transitions: np.ndarray, pieces: np.ndarra
         float(bool(re.fullmatch("[0-9a-fA-F]+", value))),
         float(-(share * np.log2(share)).sum()),
         sum(a != b for a, b in zip(kinds, kinds[1:])) / max(n - 1, 1),
-        float(np.mean([transitions[a, b] for a, b in zip(codes, codes[1:])])),
+        float(np.mean([transitions[a & 127, b & 127] for a, b in zip(codes, codes[1:])])) if n > 1 else 0.0,
         float(covered.mean()),
-        float(bool(_KEYWORD.search(c.before[-24:]))),
+        float(bool(_KEYWORD.search(c.before[-24:]) or _IN_URL.search(c.before))),
         float(bool(re.search(r"[=:]\s*[\"']?\Z", c.before))),
         float(c.before[-1:] in "\"'" and c.before != ""),
         float(zlib.crc32(c.before[-1:].encode()) % 16),
@@ -159,12 +226,16 @@ def fit(sample: pd.DataFrame, settings: Settings) -> bytes:
     transitions, pieces = _transitions(texts)
     found = list(candidates(pa.array(texts, pa.string()), settings))
     y = np.array([known(c) for _, c in found], float)
+    found, y = [found[i] for i in np.flatnonzero(~np.isnan(y))], y[~np.isnan(y)]
     x = np.array([features(c, sample["path"].iloc[i] or "", transitions, pieces) for i, c in found]).reshape(len(found), len(NAMES))
     random = np.random.RandomState(9)
     x[random.rand(len(x)) < 0.5, _SURROUNDINGS] = 0
     nodes: list[list[float]] = []
     roots = []
     if len(y) and 0 < y.sum() < len(y):
+        more = list(_made_up(texts, max(settings.made_up, int(y.sum())), random))
+        x = np.concatenate([x, np.array([features(c, "", transitions, pieces) for c, _ in more]).reshape(len(more), len(NAMES))])
+        y = np.concatenate([y, [label for _, label in more]])
         for _ in range(settings.trees):
             rows = np.concatenate([random.choice(np.flatnonzero(y == v), (y == v).sum()) for v in (0, 1)])
             roots.append(_grow(x[rows], y[rows], settings.depth, random, settings, nodes))
@@ -191,11 +262,12 @@ def secrets(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str
     """One row per finding: ``doc_id``, ``start`` and ``end`` (code points), and the forest's ``score``.
 
     Only findings with a score of ``sure`` or more are returned.  A null or empty text has none.  If the sample
-    holds no finding of either label, the labelling rules alone decide (score 1).  Rows that repeat an id are
+    holds no finding of either label, the labelling rules alone decide (score 1; what they leave open is found unless it
+    is a bare word).  A run inside a value that is found is not reported again.  Rows that repeat an id are
     scanned one by one.
     """
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), (F.col(path).cast("string") if path else F.lit("")).alias("path"), F.col(text).alias("text"))
-    likely = rows.where(F.col("doc_id").isNotNull() & F.col("text").rlike("[0-9][A-Za-z0-9+/_-]{6}"))
+    likely = rows.where(F.col("doc_id").isNotNull() & F.col("text").rlike(f"[0-9][A-Za-z0-9+/_-]{{6}}|{_NAME}[ \\t]*[=:]|://[^ /@]+@"))
     ids = first_ids(likely, "doc_id", settings.fit_documents, 9).withColumnRenamed("k", "doc_id")
     model = fitted(attach(likely, ids, "doc_id", "inner", 16).select("doc_id", "path", "text"), lambda part: fit(part, settings))
 
@@ -210,8 +282,16 @@ def secrets(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str
                 x = np.array([features(c, paths[i].as_py() or "", parts["transitions"], parts["pieces"]) for i, c in found])
                 score = forest(x, parts["nodes"], parts["roots"])
             else:
-                score = np.array([float(known(c)) for _, c in found])
-            keep = np.flatnonzero(score >= settings.sure)
+                rules = np.array([known(c) for _, c in found])
+                score = np.where(np.isnan(rules), [c.named != "part" and not c.value.isalpha() for _, c in found], rules)
+            keep, last = [], (-1, 0)
+            # By start, a value comes before its parts, unless a part begins it.
+            for k in sorted(np.flatnonzero(score >= settings.sure), key=lambda k: (found[k][0], found[k][1].start, -found[k][1].end)):
+                i, c = found[k]
+                if c.named != "part" or last[0] != i or c.end > last[1]:
+                    keep.append(k)
+                if c.named not in ("", "part"):
+                    last = (i, c.end)
             starts = []
             for k in keep:
                 i, c = found[k]

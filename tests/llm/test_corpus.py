@@ -135,6 +135,31 @@ def test_secrets(spark, docs, empty):
     assert all(f.doc_id is not None for f in secrets.secrets(docs, path="source").collect())
 
 
+def test_secrets_of_any_length_and_alphabet(spark):
+    """Assigned values and passwords in URLs beside a corpus whose labelled secrets are all long hexadecimal keys."""
+    r = random.Random(7)
+    value = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n))
+    texts = [f'and then token = "{value(40)}" was the key of it' for _ in range(60)]
+    texts += [f"Licensed to nobody-in-particular{i} in chapter2of{i}thousand words é" for i in range(60)]
+    short = {
+        'the password = "S3cure!Pass#99" of it': "S3cure!Pass#99",
+        "and pwd='hunter2' there": "hunter2",
+        'a passphrase: "correct horse battery staple" here': "correct horse battery staple",
+        'é then api_key = "qwzxkvbnmplkjhgf" was': "qwzxkvbnmplkjhgf",
+        "DB_PASSWORD=tr0ub4dor&3": "tr0ub4dor&3",
+        'the token = "a1b2c3d4e5f6a" of it': "a1b2c3d4e5f6a",
+        "see postgres://admin:s3cr3t!@db.example.com/x for": "s3cr3t!",
+    }
+    clean = ["The secret: never give up.", "his password = input() then", "see https://example.com/a:b and mail"]
+    rows = list(enumerate([*texts, *short, *clean]))
+    found = secrets.secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = {}
+    for f in found:
+        got.setdefault(f.doc_id, []).append(dict(rows)[f.doc_id][f.start : f.end])
+    assert {i: got.get(i) for i, t in rows if t in short} == {i: [short[t]] for i, t in rows if t in short}
+    assert set(got) == set(range(60)) | {i for i, t in rows if t in short}
+
+
 @pytest.mark.parametrize("shards", [1, 8])
 def test_shards(spark, docs, empty, shards):
     hot = docs.unionByName(docs.where("doc_id = 3").withColumn("doc_id", F.explode(F.sequence(F.lit(20_000), F.lit(20_400)))).withColumn("shard", F.lit("mine")))
