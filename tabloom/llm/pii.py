@@ -2,7 +2,7 @@
 
 Patterns find what is written in a standard form.  The field labels every token that holds a digit, ``@`` or
 ``+``: neighbouring tokens share transition potentials, and tokens of one document that repeat or resemble
-each other, however far apart, share skip potentials.  Loopy message passing then carries a label from a
+each other, however far apart, share skip potentials with one hub.  Loopy message passing then carries a label from a
 clear mention to an unclear one.  The field learns from the patterns' own matches in a bounded sample.
 """
 from __future__ import annotations
@@ -29,14 +29,19 @@ LABELS = len(KINDS) + 1
 
 @dataclass(frozen=True)
 class Settings:
-    """``fit_documents`` bounds the learning sample; every document is labelled whole."""
+    """``fit_documents`` bounds the learning sample; every document is labelled whole.
+
+    Messages pass until none changes by more than ``settled``; ``rounds`` only ends those that never settle.
+    ``alike`` is the starting weight between two tokens that resemble each other.
+    """
 
     fit_documents: int = 3000
     buckets: int = 1 << 12
     steps: int = 80
     rate: float = 0.3
     decay: float = 2e-3
-    rounds: int = 6
+    rounds: int = 100
+    settled: float = 1e-3
     sure: float = 0.5
     alike: float = 2.0
 
@@ -100,13 +105,17 @@ def base_spans(text: str) -> dict[str, list[Span]]:
 
 @dataclass
 class Graph:
-    """Nodes of some documents: spans, feature buckets, and the two kinds of edges."""
+    """Nodes of some documents: spans, feature buckets, and the two kinds of edges; hubs are numbered after the tokens."""
 
     spans: list[Span]
     document: list[int]
     features: np.ndarray
     chain: np.ndarray
     skip: np.ndarray
+    hubs: int
+
+    def unary(self, w: np.ndarray) -> np.ndarray:
+        return np.concatenate([w[self.features].sum(axis=1), np.zeros((self.hubs, LABELS))])
 
 
 def _shape(token: str) -> str:
@@ -129,20 +138,20 @@ def _features(token: str, before: str, after: str) -> list[str]:
     ]
 
 
-def _resembles(token: str) -> str | None:
-    """Tokens with the same answer resemble each other: the last seven digits, or the letters and digits."""
+def _resembles(token: str) -> str:
+    """Tokens with the same answer resemble each other: the last seven digits, or the letters and digits; short ones only if equal."""
     digits = re.sub("[^0-9]", "", token)
     if len(digits) >= 7:
         return digits[-7:]
     plain = re.sub(r"[\W_]", "", token).lower()
-    return plain if len(plain) >= 6 else None
+    return plain if len(plain) >= 6 else "=" + token.strip(".,;:!?\"'")
 
 
 def graph(texts: list[str], settings: Settings) -> Graph:
-    """Tokens with a digit, ``@`` or ``+``; edges to the adjacent such token and to the last one that it resembles."""
-    spans, document, features, chain, skip = [], [], [], [], []
+    """Tokens with a digit, ``@`` or ``+``; edges to the adjacent such token and to the hub of those of the document that it resembles."""
+    spans, document, features, chain, skip, classes = [], [], [], [], [], []
     for d, text in enumerate(texts):
-        last: dict[str, int] = {}
+        alike: dict[str, list[int]] = {}
         previous, previous_node = "", -1
         pending: int | None = None
         for m in _TOKEN.finditer(text):
@@ -159,15 +168,19 @@ def graph(texts: list[str], settings: Settings) -> Graph:
                 pending = node
                 if previous_node >= 0:
                     chain.append((previous_node, node))
-                alike = _resembles(token)
-                if alike is not None:
-                    if alike in last:
-                        skip.append((last[alike], node))
-                    last[alike] = node
+                alike.setdefault(_resembles(token), []).append(node)
             previous, previous_node = token, node
+        classes += [nodes for nodes in alike.values() if len(nodes) > 1]
+    for hub, nodes in enumerate(classes):
+        skip += [(node, len(spans) + hub) for node in nodes]
     hashed = [[zlib.crc32(f.encode("utf-8", "replace")) % settings.buckets for f in each] for each in features]
     return Graph(
-        spans, document, np.array(hashed, np.int64).reshape(len(spans), 7), np.array(chain, np.int64).reshape(-1, 2), np.array(skip, np.int64).reshape(-1, 2)
+        spans,
+        document,
+        np.array(hashed, np.int64).reshape(len(spans), 7),
+        np.array(chain, np.int64).reshape(-1, 2),
+        np.array(skip, np.int64).reshape(-1, 2),
+        len(classes),
     )
 
 
@@ -176,7 +189,7 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
 
 
-def _beliefs(g: Graph, unary: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]], rounds: int) -> tuple[np.ndarray, list[np.ndarray]]:
+def _beliefs(g: Graph, unary: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]], settings: Settings) -> tuple[np.ndarray, list[np.ndarray]]:
     """Loopy sum-product: marginals of the nodes, and of the ends of each kind of edge."""
     there = [np.zeros((len(e), LABELS)) for e, _ in pairs]
     back = [np.zeros((len(e), LABELS)) for e, _ in pairs]
@@ -188,13 +201,18 @@ def _beliefs(g: Graph, unary: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarr
             np.add.at(out, edges[:, 0], b)
         return out
 
-    for _ in range(rounds):
+    for _ in range(settings.rounds):
         now = total()
+        moved = 0.0
         for k, (edges, potential) in enumerate(pairs):
             if len(edges):
                 a = _log_sum((now[edges[:, 0]] - back[k])[:, :, None] + potential[None], 1)
                 b = _log_sum((now[edges[:, 1]] - there[k])[:, None, :] + potential[None], 2)
-                there[k], back[k] = a - _log_sum(a, 1)[:, None], b - _log_sum(b, 1)[:, None]
+                a, b = a - _log_sum(a, 1)[:, None], b - _log_sum(b, 1)[:, None]
+                moved = max(moved, np.abs(a - there[k]).max(), np.abs(b - back[k]).max())
+                there[k], back[k] = a, b
+        if moved <= settings.settled:
+            break
     now = total()
     ends = []
     for k, (edges, potential) in enumerate(pairs):
@@ -219,6 +237,13 @@ def _labels(g: Graph, texts: list[str]) -> np.ndarray:
     return out
 
 
+def _to_hub(weight: float) -> float:
+    """The weight of two edges in a row that say as much as one of ``weight``: the root of the matrix of its factors."""
+    a = np.sqrt(np.exp(weight) - 1)
+    b = (np.sqrt(a * a + LABELS) - a) / LABELS
+    return float(np.log((a + b) / b))
+
+
 def fit(sample: pd.DataFrame, settings: Settings) -> bytes:
     """Unary, chain and skip weights by gradient steps; the expectation comes from message passing.
 
@@ -227,22 +252,25 @@ def fit(sample: pd.DataFrame, settings: Settings) -> bytes:
     texts = sample["text"].tolist()
     g = graph(texts, settings)
     labels = _labels(g, texts)
+    # A hub has the kind of a matched token, if it has one.
+    labels = np.concatenate([labels, np.zeros(g.hubs, np.int64)])
+    token, hub = g.skip.T
+    np.maximum.at(labels, hub, labels[token])
     truth = np.eye(LABELS)[labels]
-    open_ = np.zeros(len(labels), bool)
-    for a, b in (g.skip.T, g.skip.T[::-1]):
-        open_[b[labels[a] > 0]] = True
-    sure = ~(open_ & (labels == 0))
+    sure = np.ones(len(labels), bool)
+    sure[token[(labels[hub] > 0) & (labels[token] == 0)]] = False
+    own = sure[: len(g.spans)]
     w = np.zeros((settings.buckets, LABELS))
-    chain, skip = np.zeros((LABELS, LABELS)), settings.alike * np.eye(LABELS)
+    chain, skip = np.zeros((LABELS, LABELS)), _to_hub(settings.alike) * np.eye(LABELS)
     parts = [w, chain, skip]
     prior = [p.copy() for p in parts]
     squares = [np.zeros_like(p) for p in parts]
     n = max(len(g.spans), 1)
     for _ in range(settings.steps if len(g.spans) else 0):
-        p, (chain_p, skip_p) = _beliefs(g, w[g.features].sum(axis=1), [(g.chain, chain), (g.skip, skip)], settings.rounds)
+        p, (chain_p, skip_p) = _beliefs(g, g.unary(w), [(g.chain, chain), (g.skip, skip)], settings)
         slope = np.zeros_like(w)
         for f in range(g.features.shape[1]):
-            np.add.at(slope, g.features[sure, f], (truth - p)[sure])
+            np.add.at(slope, g.features[own, f], (truth - p)[: len(own)][own])
         steps = [slope]
         for edges, q in ((g.chain, chain_p), (g.skip, skip_p)):
             use = sure[edges].all(axis=1)
@@ -311,7 +339,7 @@ def personal_data(docs: DataFrame, text: str = "text", key: str = "doc_id", keep
                 if parts and texts:
                     g = graph(texts, settings)
                     if g.spans:
-                        p, _ = _beliefs(g, parts["w"][g.features].sum(axis=1), [(g.chain, parts["chain"]), (g.skip, parts["skip"])], settings.rounds)
+                        p, _ = _beliefs(g, g.unary(parts["w"]), [(g.chain, parts["chain"]), (g.skip, parts["skip"])], settings)
                         extra = _added(g, p, texts, base, settings)
                 for i, b, e in zip(some, base, extra):
                     for kind in KINDS:

@@ -123,6 +123,18 @@ def test_personal_data(spark, docs, empty):
     assert len(personal_data(docs.select("doc_id", "text")).collect()) == docs.count()
 
 
+def test_likeness_reaches_all_repeats():
+    """One clear mention among many unclear ones, and short tokens that repeat exactly."""
+    settings = pii.Settings()
+    g = pii.graph(["+14425552967 " + " and then 442-555-2967 " * 30 + " at 10.0.0.1 or 10.0.0.1, so"], settings)
+    unary = g.unary(pii.np.zeros((settings.buckets, pii.LABELS)))
+    unary[0, 4] = unary[31, 2] = 8
+    skip = pii._to_hub(settings.alike) * pii.np.eye(pii.LABELS)
+    p, _ = pii._beliefs(g, unary, [(g.chain, pii.np.zeros((pii.LABELS, pii.LABELS))), (g.skip, skip)], settings)
+    assert (p[:31, 4] > settings.sure).all() and (p[31:33, 2] > settings.sure).all()
+    assert len(g.skip) == 33 and g.hubs == 2
+
+
 def test_secrets(spark, docs, empty):
     r = random.Random(6)
     value = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n))
