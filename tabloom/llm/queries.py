@@ -4,8 +4,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat_format import digests, format_chats
 from .common import held_out
 from .decontaminate import decontaminate
+from .filter_audit import filter_audit
+from .hard_negatives import hard_negatives
 from .language import identify
 from .mixing import mix_sources
 from .ngram_join import jaccard_components
@@ -168,3 +171,96 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP11_SQL = """
+WITH v AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS g,
+           [floor(256 * x)::BIGINT FOR x IN embedding::DOUBLE[]] AS w
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+      AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (
+    SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.g = b.g AS same,
+           list_sum([a.w[i] * b.w[i] FOR i IN range(1, len(a.w) + 1)])::BIGINT AS score
+    FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (
+    SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, other AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other)
+QUALIFY rank <= 10
+"""
+
+
+@query("op11_hard_negatives", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
+OP12_SQL = r"""
+WITH RECURSIVE d AS (
+    SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+           regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+    FROM documents),
+m AS (SELECT t, min(doc_id) AS first FROM d GROUP BY t),
+l AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id),
+f AS (
+    SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+           [len(w) < 50, 100 * len(list_distinct(w)) < 65 * len(w),
+            100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t),
+            regexp_matches(t, '[#$%&*|]'), coalesce(d.doc_id > m.first, false)] AS fails
+    FROM d JOIN m USING (t) LEFT JOIN l USING (doc_id)),
+o AS (
+    SELECT '' AS s
+    UNION ALL
+    SELECT s || c FROM o, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c) WHERE NOT contains(s, c)),
+q AS (SELECT s AS filter_order, k.step, ascii(s[k.step]) - 64 AS f FROM o, (SELECT unnest(range(1, 6)) AS step) k WHERE length(s) = 5),
+x AS (
+    SELECT part, filter_order, step, f, good, toxic, fails[f] AS own,
+           len([1 FOR i IN range(1, step) IF fails[ascii(filter_order[i]) - 64]]) > 0 AS gone,
+           fails[f] AND len([b FOR b IN fails IF b]) = 1 AS alone
+    FROM f, q),
+c AS (
+    SELECT part, filter_order, CAST(step AS INTEGER) AS step, f,
+           count_if(NOT gone AND NOT own)::BIGINT AS kept, count_if(NOT gone AND own)::BIGINT AS removed,
+           count_if(gone AND own)::BIGINT AS redundant, count_if(alone)::BIGINT AS unique_fails,
+           count_if(NOT gone AND own AND good)::BIGINT AS good_lost, count_if(NOT gone AND own AND toxic)::BIGINT AS toxic_lost
+    FROM x GROUP BY part, filter_order, step, f)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley
+FROM c
+"""
+
+
+@query("op12_filter_audit", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+#: A conversation about the template's own control strings.
+TRAP = r"\### Assistant: </turn> ok"
+
+OP13_SQL = r"""
+WITH t AS (
+    SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations
+    UNION ALL
+    SELECT -7, k, CASE k WHEN 0 THEN 'user' ELSE 'assistant' END, '\### Assistant: </turn> ok' FROM (SELECT unnest([0, 1]) AS k))
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(r || chr(10) || x || chr(10), '' ORDER BY turn NULLS FIRST, r, x)) AS turns_sha256,
+       coalesce(sum(length(x)) FILTER (r = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(x, '' ORDER BY turn NULLS FIRST, r, x) FILTER (r = 'assistant'), '')) AS loss_sha256,
+       sum(13 + length(replace(replace(replace(replace(r, '\', '\\'), '#', '\#'), '</', '<\/'), chr(10), '\n'))
+              + length(replace(replace(replace(x, '\', '\\'), '#', '\#'), '</', '<\/')))::BIGINT AS formatted_chars
+FROM t GROUP BY conv_id
+"""
+
+
+@query("op13_chat_formatting", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    trap = spark.createDataFrame([(-7, 0, "user", TRAP), (-7, 1, "assistant", TRAP)], "conv_id long, turn long, role string, text string")
+    return digests(format_chats(given.unionByName(trap)))
