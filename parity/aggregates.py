@@ -41,7 +41,7 @@ def aggregate_text_field(spark, sf_dir):
 @query(
     "aggregate_min_max",
     """SELECT o_orderpriority, MIN(o_totalprice) AS lo, MAX(o_totalprice) AS hi, COUNT(o_totalprice) AS n,
-              MEDIAN(o_totalprice) AS med FROM orders GROUP BY o_orderpriority""",
+              ROUND(MEDIAN(o_totalprice), 2) AS med FROM orders GROUP BY o_orderpriority""",
 )
 def aggregate_min_max(spark, sf_dir):
     work = Workbench(spark)
@@ -50,7 +50,7 @@ def aggregate_min_max(spark, sf_dir):
         f: work.aggregate("o_orderpriority", "o_totalprice", f).drop("count") for f in ("MIN", "MAX", "COUNT")
     }
     joined = parts["MIN"].join(parts["MAX"], "o_orderpriority").join(parts["COUNT"], "o_orderpriority")
-    medians = table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.median("o_totalprice").alias("med"))
+    medians = work.aggregate("o_orderpriority", "o_totalprice", "MEDIAN").select("o_orderpriority", F.col("median_o_totalprice").alias("med"))
     return joined.join(medians, "o_orderpriority").select(
         "o_orderpriority",
         F.col("min_o_totalprice").alias("lo"),
@@ -191,14 +191,17 @@ def pivot_sum(spark, sf_dir):
     return pivot.pivot(table(spark, sf_dir, "orders"), "o_orderpriority", "o_orderstatus", "o_totalprice")
 
 
+_EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
+
+
 @query(
     "pivot_count",
-    """SELECT user_id, CAST(ROUND(COUNT(CASE WHEN event_type = 'click' THEN value END), 2) AS BIGINT) AS click,
-              CAST(COUNT(CASE WHEN event_type = 'view' THEN value END) AS BIGINT) AS view FROM events GROUP BY user_id""",
+    "SELECT user_id, "
+    + ", ".join(f"CAST(COUNT(CASE WHEN event_type = '{e}' THEN value END) AS BIGINT) AS {e}" for e in _EVENT_TYPES)
+    + " FROM events GROUP BY user_id",
 )
 def pivot_count(spark, sf_dir):
-    wide = pivot.pivot(table(spark, sf_dir, "events"), "user_id", "event_type", "value", "COUNT")
-    return wide.select("user_id", F.col("click").cast("long").alias("click"), F.col("view").cast("long").alias("view"))
+    return pivot.pivot(table(spark, sf_dir, "events"), "user_id", "event_type", "value", "COUNT")
 
 
 @query(
@@ -419,14 +422,49 @@ _KEYS = ("l_orderkey", "l_partkey", "l_suppkey")
 
 @query(
     "approximate_distinct",
-    " UNION ALL ".join(f"SELECT '{c}' AS \"column\", COUNT(DISTINCT {c}) AS exact, TRUE AS within FROM lineitem" for c in _KEYS),
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", COUNT(DISTINCT {c}) AS exact, FLOOR(COUNT(DISTINCT {c}) * 0.85)::BIGINT AS least, "
+        f"CEIL(COUNT(DISTINCT {c}) * 1.15)::BIGINT AS most, COUNT(DISTINCT {c}) > 0 AS within FROM lineitem"
+        for c in _KEYS
+    ),
 )
 def approximate_distinct(spark, sf_dir):
     """The estimates of a summary lie within three standard errors (5 percent) of the exact counts."""
     rows = table(spark, sf_dir, "lineitem").select(*_KEYS)
     estimates = profile.summarize(rows).select("column", F.col("distinct_count").alias("estimate"))
     counted = profile.column_kinds(rows).select("column", F.col("distinct_values").alias("exact"))
-    return estimates.join(counted, "column").select("column", "exact", (F.abs(F.col("estimate") - F.col("exact")) <= 0.15 * F.col("exact")).alias("within"))
+    bounds = estimates.join(counted, "column").withColumns({"least": F.floor(F.col("exact") * 0.85), "most": F.ceil(F.col("exact") * 1.15)})
+    return bounds.select("column", "exact", "least", "most", F.col("estimate").between(F.col("least"), F.col("most")).alias("within"))
+
+
+@query(
+    "aggregate_median",
+    """SELECT l_suppkey, l_returnflag, COUNT(*) AS count, ROUND(MEDIAN(l_quantity), 2) AS median_l_quantity
+       FROM lineitem GROUP BY l_suppkey, l_returnflag""",
+)
+def aggregate_median(spark, sf_dir):
+    """A grouped median of the table API, exact, with no group's values in one buffer."""
+    work = Workbench(spark)
+    work.register("lineitem", table(spark, sf_dir, "lineitem"))
+    return work.aggregate(["l_suppkey", "l_returnflag"], "l_quantity", "MEDIAN")
+
+
+@query(
+    "pivot_median",
+    """SELECT o_orderpriority, ROUND(MEDIAN(o_totalprice) FILTER (o_orderstatus = 'F'), 2) AS "F",
+              ROUND(MEDIAN(o_totalprice) FILTER (o_orderstatus = 'O'), 2) AS "O",
+              ROUND(MEDIAN(o_totalprice) FILTER (o_orderstatus = 'P'), 2) AS "P" FROM orders GROUP BY o_orderpriority""",
+)
+def pivot_median(spark, sf_dir):
+    return pivot.pivot(table(spark, sf_dir, "orders"), "o_orderpriority", "o_orderstatus", "o_totalprice", "MEDIAN")
+
+
+@query(
+    "pivot_median_long",
+    """SELECT l_returnflag, l_linestatus, ROUND(MEDIAN(l_quantity), 2) AS value FROM lineitem GROUP BY ALL""",
+)
+def pivot_median_long(spark, sf_dir):
+    return pivot.pivot_long(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_linestatus", "l_quantity", "MEDIAN")
 
 
 @query(

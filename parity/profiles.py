@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tabloom import Workbench
-from tabloom.operators import profile
+from tabloom.operators import profile, quantiles
 
 from .registry import GAPS_SQL, gaps, query, table
 
@@ -67,56 +67,95 @@ def numeric_patterns(spark, sf_dir):
 _NUMERIC = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
 
 
+_KINDS = ("bigint", "bigint", "bigint", "int", "double", "double", "double", "double")
+
+
 @query(
     "summarize_numeric",
-    _per_column(
-        _NUMERIC,
-        "COUNT(*) AS count, ROUND(MIN({c})::DOUBLE, 2) AS min, ROUND(MAX({c})::DOUBLE, 2) AS max, "
-        "ROUND(AVG({c}), 2) AS avg, ROUND(STDDEV_SAMP({c}), 2) AS std, "
-        "ROUND(QUANTILE_CONT({c}::DOUBLE, 0.25), 2) AS q25, ROUND(QUANTILE_CONT({c}::DOUBLE, 0.5), 2) AS q50, "
-        "ROUND(QUANTILE_CONT({c}::DOUBLE, 0.75), 2) AS q75, "
-        "ROUND(100.0 * (COUNT(*) - COUNT({c})) / COUNT(*), 2)::DOUBLE AS null_percentage FROM lineitem",
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", '{kind}' AS type, COUNT(*) AS count, ROUND(MIN({c})::DOUBLE, 2) AS min, ROUND(MAX({c})::DOUBLE, 2) AS max, "
+        f"ROUND(AVG({c}), 2) AS avg, ROUND(STDDEV_SAMP({c}), 2) AS std, "
+        f"ROUND(QUANTILE_CONT({c}::DOUBLE, 0.25), 2) AS q25, ROUND(QUANTILE_CONT({c}::DOUBLE, 0.5), 2) AS q50, "
+        f"ROUND(QUANTILE_CONT({c}::DOUBLE, 0.75), 2) AS q75, "
+        f"ROUND(100.0 * (COUNT(*) - COUNT({c})) / COUNT(*), 2)::DOUBLE AS null_percentage FROM lineitem"
+        for c, kind in zip(_NUMERIC, _KINDS)
     ),
 )
 def summarize_numeric(spark, sf_dir):
     rows = profile.summarize(table(spark, sf_dir, "lineitem").select(*_NUMERIC), exact_percentiles=True)
-    return rows.drop("type", "distinct_count")
+    return rows.drop("distinct_count")
 
 
 @query(
     "summarize",
     _per_column(
         _NUMERIC,
-        "COUNT(DISTINCT {c}) AS distinct_values, ROUND(MIN({c})::DOUBLE, 2) AS min, ROUND(MAX({c})::DOUBLE, 2) AS max, "
-        "TRUE AS quartiles_within, TRUE AS distinct_within FROM lineitem",
+        "COUNT(*) AS count, ROUND(MIN({c})::DOUBLE, 2) AS min, ROUND(MAX({c})::DOUBLE, 2) AS max, ROUND(AVG({c}), 2) AS avg, "
+        "ROUND(STDDEV_SAMP({c}), 2) AS std, ROUND(100.0 * (COUNT(*) - COUNT({c})) / COUNT(*), 2)::DOUBLE AS null_percentage, "
+        "MIN({c}) IS NOT NULL AS in_order FROM lineitem",
     ),
 )
 def summarize(spark, sf_dir):
-    """The sketches of a summary lie within their stated errors of the exact values."""
+    """One pass: all that is exact, and whether the sketched quartiles lie in order between the extremes."""
+    rows = profile.summarize(table(spark, sf_dir, "lineitem").select(*_NUMERIC))
+    ordered = (F.col("min") <= F.col("q25")) & (F.col("q25") <= F.col("q50")) & (F.col("q50") <= F.col("q75")) & (F.col("q75") <= F.col("max"))
+    return rows.select("column", "count", "min", "max", "avg", "std", "null_percentage", ordered.alias("in_order"))
+
+
+#: A sketched quartile must lie between the values at these distances from its rank: twice the stated error of 99 in 100.
+_OFF = 0.01
+_QUARTILES = (("q25", 0.25), ("q50", 0.5), ("q75", 0.75))
+
+
+@query(
+    "summarize_sketches",
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", '{q}' AS quartile, ROUND(QUANTILE_CONT({c}::DOUBLE, {p - _OFF}), 2) AS least, "
+        f"ROUND(QUANTILE_CONT({c}::DOUBLE, {p + _OFF}), 2) AS most, COUNT({c}) > 0 AS within FROM lineitem"
+        for c in _NUMERIC
+        for q, p in _QUARTILES
+    ),
+)
+def summarize_sketches(spark, sf_dir):
+    """Sketched quartiles are held to the exact values at the ranks next to theirs, not to a distance in value."""
     rows = table(spark, sf_dir, "lineitem").select(*_NUMERIC)
-    sketched = profile.summarize(rows)
-    exact = profile.summarize(rows, exact_percentiles=True).select("column", *[F.col(q).alias(f"e{q}") for q in ("q25", "q50", "q75")])
-    counted = profile.column_kinds(rows).select("column", "distinct_values")
-    found = sketched.join(exact, "column").join(counted, "column")
-    # A quartile sketch may err by a thousandth of the ranks, a distinct sketch by three times 5 percent.
-    spread = (F.col("max") - F.col("min")) * 0.02 + 0.01
-    near = [F.abs(F.col(q) - F.col(f"e{q}")) <= spread for q in ("q25", "q50", "q75")]
-    return found.select(
-        "column", "distinct_values", "min", "max",
-        (near[0] & near[1] & near[2]).alias("quartiles_within"),
-        (F.abs(F.col("distinct_count") - F.col("distinct_values")) <= 0.15 * F.col("distinct_values") + 1).alias("distinct_within"),
+    sketched = profile.summarize(rows).select("column", F.expr("stack(3, 'q25', q25, 'q50', q50, 'q75', q75) AS (quartile, estimate)"))
+    assert 2 * profile.rank_error() <= _OFF
+    exact = quantiles.exact_quantiles_of(rows, {c: F.col(c) for c in _NUMERIC}, [r for _, p in _QUARTILES for r in (p - _OFF, p + _OFF)])
+    places = [(c, q, exact[c][2 * i], exact[c][2 * i + 1]) for c in _NUMERIC for i, (q, _) in enumerate(_QUARTILES)]
+    # One row per column and quartile.
+    bounds = spark.createDataFrame(places, "column string, quartile string, least double, most double")
+    bounds = bounds.withColumns({b: F.round(b, 2) for b in ("least", "most")})
+    found = sketched.join(F.broadcast(bounds), ["column", "quartile"])
+    return found.select("column", "quartile", "least", "most", F.col("estimate").between(F.col("least"), F.col("most")).alias("within"))
+
+
+def _whole_summary(c: str, kind: str) -> str:
+    number = kind != "string"
+    statistic = lambda sql: f"ROUND({sql}, 2)" if number else "NULL::DOUBLE"
+    edge = lambda f: f"ROUND(TRY_CAST({f}({c}) AS DOUBLE), 2)"
+    return (
+        f"SELECT '{c}' AS \"column\", '{kind}' AS type, COUNT(*) AS count, {edge('MIN')} AS min, {edge('MAX')} AS max, "
+        f"{statistic(f'AVG({c})')} AS avg, {statistic(f'STDDEV_SAMP({c})')} AS std, "
+        + ", ".join(statistic(f"QUANTILE_CONT({c}::DOUBLE, {p})") + f" AS {q}" for q, p in _QUARTILES)
+        + f", ROUND(100.0 * (COUNT(*) - COUNT({c})) / COUNT(*), 2)::DOUBLE AS null_percentage, "
+        f"COUNT(DISTINCT {c}) AS distinct_values, COUNT(DISTINCT {c}) > 0 AS distinct_within FROM documents"
     )
 
 
 @query(
     "summarize_documents",
-    _per_column(
-        ("doc_id", "text", "lang", "source", "n_chars"),
-        "COUNT(*) AS count, ROUND(100.0 * (COUNT(*) - COUNT({c})) / COUNT(*), 2)::DOUBLE AS null_percentage FROM documents",
+    " UNION ALL ".join(
+        _whole_summary(c, kind)
+        for c, kind in (("doc_id", "bigint"), ("text", "string"), ("lang", "string"), ("source", "string"), ("n_chars", "bigint"))
     ),
 )
 def summarize_documents(spark, sf_dir):
-    return profile.summarize(table(spark, sf_dir, "documents")).select("column", "count", "null_percentage")
+    """The whole summary of a table with text columns; the distinct estimate is held to the exact count."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    found = profile.summarize(docs, exact_percentiles=True).join(profile.column_kinds(docs).select("column", "distinct_values"), "column")
+    near = F.abs(F.col("distinct_count") - F.col("distinct_values")) <= 3 * profile.DISTINCT_ERROR * F.col("distinct_values")
+    return found.withColumn("distinct_within", near).drop("distinct_count")
 
 
 _SCHEMA = (("c_custkey", "bigint"), ("c_name", "string"), ("c_nationkey", "int"), ("c_acctbal", "double"), ("c_mktsegment", "string"))

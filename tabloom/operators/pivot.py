@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.cells import col, number
 from ..staging import stage
 from .aggregate import aggregate_function
+from .quantiles import grouped_medians
 
 
 def levels(df: DataFrame, column: str, max_levels: int | None = None) -> list:
@@ -27,6 +28,15 @@ def pivot(
     df: DataFrame, row_key: str, col_key: str, value: str, func: str = "SUM", *, max_levels: int | None = None
 ) -> DataFrame:
     """One row per ``row_key``, one column per value of ``col_key``."""
+    if func.upper() == "MEDIAN":
+        # Medians of the cells first: the built-in keeps all distinct values of a cell in one buffer.
+        found = stage(grouped_medians(df, [row_key, col_key], number(df, value), "__median"), "pivot-medians")
+        cells = [
+            F.round(F.max(F.when(col(col_key) == F.lit(level), col("__median"))), 2).alias(str(level))
+            for level in levels(df, col_key, max_levels)
+        ]
+        rows = df.select(col(row_key)).distinct().select(col(row_key), F.lit(None).cast(df.schema[col_key].dataType).alias(col_key), F.lit(None).cast("double").alias("__median"))
+        return found.unionByName(rows).groupBy(col(row_key)).agg(*cells).orderBy(col(row_key).asc_nulls_last()) if cells else rows.select(row_key)
     apply = aggregate_function(func)
     cells = [
         F.round(apply(F.when(col(col_key) == F.lit(level), number(df, value))), 2).alias(str(level))
@@ -38,6 +48,12 @@ def pivot(
 
 def pivot_long(df: DataFrame, row_key: str, col_key: str, value: str, func: str = "SUM") -> DataFrame:
     """The pivot's filled cells as rows; no limit on distinct values."""
+    if func.upper() == "MEDIAN":
+        kept = df.where(col(col_key).isNotNull())
+        keys = kept.groupBy(col(row_key), col(col_key)).agg(F.lit(None).cast("double").alias("__median"))
+        found = grouped_medians(kept, [row_key, col_key], number(df, value), "__median").unionByName(keys)
+        cells = found.groupBy(col(row_key), col(col_key)).agg(F.round(F.max("__median"), 2).alias("value"))
+        return cells.orderBy(col(row_key).asc_nulls_last(), col(col_key).asc_nulls_last())
     return (
         df.where(col(col_key).isNotNull())
         .groupBy(col(row_key), col(col_key))

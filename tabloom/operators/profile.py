@@ -12,6 +12,15 @@ from .quantiles import exact_quantiles_of
 
 # Columns per aggregate; wider tables are profiled in several aggregates.
 COLUMNS_PER_PASS = 200
+#: Size of a rank sketch, in items of its largest level.
+RANK_SKETCH = 1024
+#: Standard errors of a distinct count of the session's default sketch, by which it may be held to miss.
+DISTINCT_ERROR = 0.05
+
+
+def rank_error(sketch: int = RANK_SKETCH) -> float:
+    """How far, as a share of all ranks, a quantile of a rank sketch of this size lies off: in 99 of 100 sketches no further."""
+    return 2.296 / sketch**0.9021
 
 
 def _per_column(df: DataFrame, columns: Sequence[str], measures: dict[str, callable]) -> DataFrame:
@@ -83,12 +92,12 @@ def _as_text(df: DataFrame, name: str) -> Column:
     return col(name).cast("string")
 
 
-def summarize(df: DataFrame, *, exact_percentiles: bool = False, accuracy: int = 1000) -> DataFrame:
+def summarize(df: DataFrame, *, exact_percentiles: bool = False, sketch: int = RANK_SKETCH) -> DataFrame:
     """Type, count, min, max, mean, deviation, quartiles, NULL share and distinct estimate per column.
 
-    Statistics of text columns are shown only where min or max parse as a number.
-    Quartiles are sketches unless ``exact_percentiles`` is set (one extra pass per
-    numeric column).
+    Statistics of text columns are shown only where min or max parse as a number.  Quartiles come from mergeable
+    rank sketches of bounded size, one for each column, within ``rank_error(sketch)`` of the wanted rank, unless
+    ``exact_percentiles`` is set (a few more passes for all columns together).
     """
     numeric = {f.name for f in df.schema if is_numeric_type(f.dataType)}
 
@@ -108,7 +117,9 @@ def summarize(df: DataFrame, *, exact_percentiles: bool = False, accuracy: int =
 
     def quartiles(c: str) -> Column:
         if c in numeric:
-            return F.percentile_approx(number(df, c), [0.25, 0.5, 0.75], accuracy)
+            value = number(df, c)
+            ranks = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
+            return F.kll_sketch_get_quantile_double(F.kll_sketch_agg_double(F.when(~F.isnan(value), value), sketch), ranks)
         return F.lit(None).cast("array<double>")
 
     measures = {

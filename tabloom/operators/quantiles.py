@@ -1,20 +1,88 @@
-"""Exact percentiles (linear interpolation) of numeric expressions, of the whole table or of groups.
+"""Exact percentiles (linear interpolation) of numeric expressions, of the whole table or of groups, by radix selection.
 
-All expressions are counted together as (column, value) pairs, combined on the map side and spread over the
-shuffle by value, so no task holds all values of a column.  The ordered scan over the distinct values gives
-running counts, and a wanted rank is the value whose rows it falls among.
+A double becomes a long in the same order.  A pass counts the rows of every bin of keys, combined on the map side, and
+the bin that holds a wanted rank is the next pass's interval; a bin whose least and largest key are equal is the
+answer.  What is shuffled is counts of bins, however many rows there are.  Groups keep their intervals in a table that
+is joined to the rows, so the values of a group never meet in one task.
 """
 from __future__ import annotations
 
 import math
+import struct
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions.cells import col
 from ..staging import stage
-from . import ordered
+
+#: Bins of one pass, over all columns; and the bits by which an interval shrinks in a pass, at least and at most.
+CELLS, LEAST_BITS, MOST_BITS = 1 << 17, 8, 12
+#: First bins of groups: a double's sign, exponent and so many bits of its fraction.
+FRACTION_BITS = 8
+#: Up to this size a table of intervals is broadcast; a larger one is joined by key.
+BROADCAST_BYTES, INTERVAL_BYTES = 64 << 20, 200
+
+_ONE = 1 << 52
+_LEAST_NORMAL = 2.0**-1022
+
+
+def ordered_keys(df: DataFrame, values: Mapping[str, Column], *kept: Column) -> DataFrame:
+    """The ``values`` as longs in the order of the doubles: the bits of the absolute value, with its sign.
+
+    NULL and NaN have no key; zeros have one.  Written as steps, so that each is computed once in a row.
+    """
+    names = list(values)
+    rest = [f"__rest{i}" for i in range(len(kept))]
+    given = df.select(*[c.alias(r) for c, r in zip(kept, rest)], *[v.cast("double").alias(n) for n, v in values.items()])
+    size = lambda n: F.abs(col(n))
+    power = given.select("*", *[F.least(F.floor(F.log2(size(n))), F.lit(1023)).alias(f"__e_{n}") for n in names])
+    part = power.select("*", *[(size(n) / F.pow(F.lit(2.0), col(f"__e_{n}"))).alias(f"__m_{n}") for n in names])
+
+    def key(n: str) -> Column:
+        e, m = col(f"__e_{n}"), col(f"__m_{n}")
+        whole = lambda up, fraction: (e + (1023 + up)) * F.lit(_ONE) + ((fraction - 1) * F.lit(float(_ONE))).cast("long")
+        bits = (
+            F.when(size(n) == 0, F.lit(0).cast("long"))
+            .when(size(n) == float("inf"), F.lit(2047 * _ONE))
+            .when(size(n) < _LEAST_NORMAL, (size(n) * F.lit(2.0**537) * F.lit(2.0**537)).cast("long"))
+            # The logarithm may be off by one next to a power of two.
+            .when(m < 1, whole(-1, 2 * m))
+            .when(m >= 2, whole(1, m / 2))
+            .otherwise(whole(0, m))
+        )
+        return F.when(col(n).isNotNull() & ~F.isnan(col(n)), bits * F.when(col(n) < 0, -1).otherwise(1)).alias(n)
+
+    return part.select(*rest, *map(key, names))
+
+
+def key_of(value: float) -> int:
+    """The ordered key of a double."""
+    bits = struct.unpack("<q", struct.pack("<d", abs(value)))[0]
+    return -bits if value < 0 else bits
+
+
+def _value(key: Column) -> Column:
+    """The same as a column: exponent and fraction put together again."""
+    bits = F.abs(key)
+    power, fraction = F.shiftright(bits, 52), bits.bitwiseAND(F.lit(_ONE - 1)).cast("double") / F.lit(float(_ONE))
+    normal = (1 + fraction) * F.pow(F.lit(2.0), power - 1023)
+    found = (
+        F.when(power == 2047, F.lit(float("inf")))
+        .when(power == 0, fraction * F.lit(_LEAST_NORMAL))
+        .otherwise(normal)
+    )
+    return F.when(key < 0, -found).otherwise(found)
+
+
+def _shift(low: float, high: float, bits: int) -> int:
+    """The bits of a key to drop so that an interval has at most 2^bits bins."""
+    first, last = key_of(low), key_of(high)
+    return next(s for s in range(65) if (last >> s) - (first >> s) < 1 << bits)
 
 
 def _ranks(p: float, rows: int) -> tuple[int, int]:
@@ -32,33 +100,69 @@ def _interpolate(p: float, rows: int, at: Mapping[int, float]) -> float | None:
     return (high - position) * at[low] + (position - low) * at[high]
 
 
-def _counted(df: DataFrame, values: Mapping[str, Column]) -> DataFrame:
-    """Rows per column number ``c`` and value ``v``; NULL and NaN are no values."""
-    cells = F.array(*[F.struct(F.lit(i).alias("c"), v.cast("double").alias("v")) for i, v in enumerate(values.values())])
-    pairs = df.select(F.explode(cells).alias("p")).select("p.c", "p.v").where(F.col("v").isNotNull() & ~F.isnan("v"))
-    return pairs.groupBy("c", "v").agg(F.count(F.lit(1)).alias("n"))
+def _bins(values: DataFrame, intervals: Sequence[tuple[str, float, float]], shifts: Sequence[int]) -> pa.Table:
+    """Rows, least and largest value of every bin of the intervals (column, low, high)."""
+    by_column: dict[str, list[int]] = {}
+    for i, (c, _, _) in enumerate(intervals):
+        by_column.setdefault(c, []).append(i)
+    cells = []
+    for c, those in by_column.items():
+        number = F.lit(None).cast("int")
+        for i in those:
+            number = F.when(col(c).between(F.lit(intervals[i][1]), F.lit(intervals[i][2])), F.lit(i)).otherwise(number)
+        cells.append((number.alias("i"), col(c).alias("v")))
+    if len(cells) == 1:
+        pairs = values.select(*cells[0])
+    else:
+        # The keys come after the explode, so that their code is short; the outer form has no size filter to compute.
+        pairs = values.select(F.explode_outer(F.array(*[F.struct(*cell) for cell in cells])).alias("p")).select("p.*")
+    keyed = ordered_keys(pairs.where("i is not null"), {"k": col("v")}, col("i"), col("v"))
+    dropped = F.element_at(F.array(*map(F.lit, shifts)), col("i") + 1).alias("s")
+    binned = keyed.select(col("__rest0").alias("i"), col("__rest1").alias("v"), "k").select("i", "v", "k", dropped)
+    counts = binned.groupBy("i", F.expr("shiftright(k, s)").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+    return counts.toArrow()
 
 
 def exact_quantiles_of(df: DataFrame, values: Mapping[str, Column], probabilities: Sequence[float]) -> dict[str, list[float | None]]:
-    """Percentiles of the values of each expression, as Python floats (a constant-size result)."""
+    """Percentiles of the values of each expression, as Python floats (a constant-size result).
+
+    All expressions share the passes over ``df``: one for the counts and bounds, then as many as the values need to
+    be told apart, eight at most, two as a rule.
+    """
     if not values:
         return {}
-    counts = stage(_counted(df, values), "value-counts")
-    rows = {r[0]: r[1] for r in counts.groupBy("c").agg(F.sum("n")).collect()}
-    before, wanted = 0, []
-    for i in sorted(rows):
-        ranks = {rank for p in probabilities for rank in _ranks(p, rows[i])}
-        wanted += [(i, rank, before + rank) for rank in sorted(ranks)]
-        before += rows[i]
-    at: dict[int, dict[int, float]] = {i: {} for i in rows}
-    if wanted:
-        places = df.sparkSession.createDataFrame(wanted, "w int, rank long, place long")
-        running = ordered.scan(counts, [ordered.asc("c")], {"upto": ordered.running_sum("n")}, tie=[ordered.asc("v")])
-        # One row per column and rank that is asked for.
-        inside = (F.col("c") == F.col("w")) & (F.col("place") < F.col("upto")) & (F.col("place") >= F.col("upto") - F.col("n"))
-        for r in running.join(F.broadcast(places), inside).select("c", "rank", "v").collect():
-            at[r["c"]][r["rank"]] = r["v"]
-    return {name: [_interpolate(p, rows.get(i, 0), at.get(i, {})) for p in probabilities] for i, name in enumerate(values)}
+    names = [f"k{i}" for i in range(len(values))]
+    cells = [v.cast("double").alias(f"v{i}") for i, v in enumerate(values.values())]
+    given = df.select(*cells).select(*[F.when(~F.isnan(f"v{i}"), col(f"v{i}")).alias(n) for i, n in enumerate(names)])
+    bounds = given.agg(*[F.struct(F.count(n), F.min(n), F.max(n)).alias(n) for n in names]).first()
+    at: dict[str, dict[int, float]] = {n: {} for n in names}
+    # Wanted ranks by interval (column, low, high) and the rows below it.
+    wanted: dict[tuple[str, float, float, int], set[int]] = {}
+    for n in names:
+        rows, low, high = bounds[n]
+        if rows:
+            wanted[n, low, high, 0] = {rank for p in probabilities for rank in _ranks(p, rows)}
+    while wanted:
+        for c, low, high, below in [k for k in wanted if k[1] == k[2]]:
+            at[c] |= dict.fromkeys(wanted.pop((c, low, high, below)), low)
+        if not wanted:
+            break
+        places = list(wanted)
+        bits = max(LEAST_BITS, min(MOST_BITS, int(math.log2(CELLS / len(places)))))
+        found = _bins(given, [p[:3] for p in places], [_shift(low, high, bits) for _, low, high, _ in places])
+        i, b, n, low, high = (found.column(k).to_numpy() for k in ("i", "b", "n", "low", "high"))
+        order = np.lexsort((b, i))
+        i, n, low, high = i[order], n[order], low[order], high[order]
+        narrowed: dict[tuple[str, float, float, int], set[int]] = {}
+        for j, place in enumerate(places):
+            first, last = np.searchsorted(i, [j, j + 1])
+            upto = place[3] + np.cumsum(n[first:last])
+            for rank in wanted[place]:
+                at_bin = int(np.searchsorted(upto, rank, "right"))
+                bin_ = (place[0], float(low[first + at_bin]), float(high[first + at_bin]), int(upto[at_bin] - n[first + at_bin]))
+                narrowed.setdefault(bin_, set()).add(rank)
+        wanted = narrowed
+    return {name: [_interpolate(p, bounds[n][0], at[n]) for p in probabilities] for name, n in zip(values, names)}
 
 
 def exact_quantiles(df: DataFrame, value: Column, probabilities: Sequence[float]) -> list[float | None]:
@@ -67,30 +171,49 @@ def exact_quantiles(df: DataFrame, value: Column, probabilities: Sequence[float]
 
 
 def grouped_medians(df: DataFrame, groups: Sequence[str], value: Column, name: str = "median") -> DataFrame:
-    """The median of each group; a group that holds a large part of the rows is counted by value and split.
+    """The median of each group that has values.
 
-    The middle ranks of a group are found among its running counts, so no task holds a group's values.
+    Bins of every group are counted first; then only the rows in the bins of the middle ranks are kept, written, and
+    counted in ever finer bins until each holds one value.  ``df`` is read twice.
     """
     keys = [f"__g{i}" for i in range(len(groups))]
-    named = df.select(*[col(g).alias(k) for g, k in zip(groups, keys)], value.cast("double").alias("__v"))
-    kept = named.where(F.col("__v").isNotNull() & ~F.isnan("__v"))
-    counts = stage(kept.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__n")), "group-values")
-    totals = stage(counts.groupBy(*keys).agg(F.sum("__n").alias("__rows")), "group-rows")
-    order = [ordered.asc(k) for k in keys]
-    starts = ordered.scan(totals, order, {"__end": ordered.running_sum("__rows")})
-    running = ordered.scan(counts, order, {"__upto": ordered.running_sum("__n")}, tie=[ordered.asc("__v")])
-    same = [running[k].eqNullSafe(starts[k]) for k in keys]
-    first = F.col("__end") - F.col("__rows")
-    low, high = first + F.floor((F.col("__rows") - 1) / 2), first + F.ceil((F.col("__rows") - 1) / 2)
-    holds = lambda place: (place < F.col("__upto")) & (place >= F.col("__upto") - F.col("__n"))
-    middle = running.join(starts.select(*keys, "__rows", "__end"), F.expr("true") if not same else _all(same))
-    middle = middle.where(holds(low) | holds(high)).select(*[running[k].alias(k) for k in keys], "__v")
-    found = middle.groupBy(*keys).agg(F.avg("__v").alias(name))
+    rows = ordered_keys(df, {"__k": value}, *[col(g) for g in groups])
+    rows = rows.select(*[col(f"__rest{i}").alias(k) for i, k in enumerate(keys)], "__k").where("__k is not null")
+    counts = [F.count(F.lit(1)).alias("__n"), F.min("__k").alias("__low"), F.max("__k").alias("__high")]
+    bins = rows.groupBy(*keys, F.shiftright("__k", 52 - FRACTION_BITS).alias("__b")).agg(*counts)
+    group = W.partitionBy(*keys)
+    total = F.sum("__n").over(group)
+    middle = F.array_distinct(F.array(F.floor((total - 1) / 2), F.ceil((total - 1) / 2)))
+    ranked = bins.withColumns({"__ranks": middle, "__upto": F.sum("__n").over(group.orderBy("__b").rowsBetween(W.unboundedPreceding, 0))})
+    state = stage(_narrowed(ranked, keys), "median-bins")
+    done = state.where("__low = __high")
+    still = state.where("__low < __high")
+    left = rows
+    # An interval loses at least LEAST_BITS bits in a pass.
+    while (n := still.count()):
+        marked = still.select(*[col(k).alias(f"__s{i}") for i, k in enumerate(keys)], "__low", "__high", "__below", "__ranks")
+        same = col("__k").between(col("__low"), col("__high"))
+        for i, k in enumerate(keys):
+            same = same & col(k).eqNullSafe(col(f"__s{i}"))
+        small = n * INTERVAL_BYTES <= BROADCAST_BYTES
+        left = stage(left.join(F.broadcast(marked) if small else marked, same).select(*keys, "__k", "__low", "__high", "__below", "__ranks"), "median-rows")
+        # Bits above LEAST_BITS of the interval's width; any number gives the same result.
+        width = F.ceil(F.log2(F.greatest(col("__high").cast("double") - col("__low").cast("double"), F.lit(1.0))))
+        shift = F.greatest(width - LEAST_BITS, F.lit(0)).cast("int").alias("__shift")
+        binned = left.select(*keys, "__k", col("__low").alias("__from"), "__below", "__ranks", shift)
+        bins = binned.groupBy(*keys, "__from", "__below", "__ranks", F.expr("shiftright(__k, __shift)").alias("__b")).agg(*counts)
+        inner = W.partitionBy(*keys, "__from").orderBy("__b").rowsBetween(W.unboundedPreceding, 0)
+        ranked = bins.withColumn("__upto", col("__below") + F.sum("__n").over(inner))
+        state = stage(_narrowed(ranked, keys), "median-bins")
+        done = done.unionByName(state.where("__low = __high"))
+        still = state.where("__low < __high")
+        left = left.select(*keys, "__k")
+    found = done.select(*keys, _value(col("__low")).alias("__v")).groupBy(*keys).agg(F.avg("__v").alias(name))
     return found.select(*[F.col(k).alias(g) for k, g in zip(keys, groups)], name)
 
 
-def _all(conditions: Sequence[Column]) -> Column:
-    out = conditions[0]
-    for c in conditions[1:]:
-        out = out & c
-    return out
+def _narrowed(bins: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The bins that hold a wanted rank, with the ranks in them and the rows below; ``bins`` has running counts."""
+    inside = F.filter("__ranks", lambda r: (r < col("__upto")) & (r >= col("__upto") - col("__n")))
+    found = bins.withColumn("__ranks", inside).where(F.size("__ranks") > 0)
+    return found.select(*keys, "__low", "__high", (col("__upto") - col("__n")).alias("__below"), "__ranks")
