@@ -451,12 +451,13 @@ def aggregate_median(spark, sf_dir):
 
 @query(
     "pivot_median",
-    """SELECT o_orderpriority, ROUND(MEDIAN(o_totalprice) FILTER (o_orderstatus = 'F'), 2) AS "F",
-              ROUND(MEDIAN(o_totalprice) FILTER (o_orderstatus = 'O'), 2) AS "O",
-              ROUND(MEDIAN(o_totalprice) FILTER (o_orderstatus = 'P'), 2) AS "P" FROM orders GROUP BY o_orderpriority""",
+    """SELECT o_orderpriority, MEDIAN(FLOOR(o_totalprice)) FILTER (o_orderstatus = 'F') AS "F",
+              MEDIAN(FLOOR(o_totalprice)) FILTER (o_orderstatus = 'O') AS "O",
+              MEDIAN(FLOOR(o_totalprice)) FILTER (o_orderstatus = 'P') AS "P" FROM orders GROUP BY o_orderpriority""",
 )
 def pivot_median(spark, sf_dir):
-    return pivot.pivot(table(spark, sf_dir, "orders"), "o_orderpriority", "o_orderstatus", "o_totalprice", "MEDIAN")
+    whole = table(spark, sf_dir, "orders").withColumn("whole", F.floor("o_totalprice"))
+    return pivot.pivot(whole, "o_orderpriority", "o_orderstatus", "whole", "MEDIAN")
 
 
 @query(
@@ -570,3 +571,27 @@ def union_all_totals(spark, sf_dir):
         for name in ("orders", "lineitem", "events")
     ]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("saved_top_ten", "SELECT * FROM customer ORDER BY c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment LIMIT 10")
+def saved_top_ten(spark, sf_dir):
+    work = Workbench(spark)
+    work.register("customer", table(spark, sf_dir, "customer"))
+    return work.saved_query("Select Top 10")
+
+
+@query("saved_count_by_category", "SELECT p_brand, COUNT(*) AS count FROM part GROUP BY p_brand")
+def saved_count_by_category(spark, sf_dir):
+    work = Workbench(spark)
+    work.register("part", table(spark, sf_dir, "part"))
+    return work.saved_query("Count by Category", category="p_brand")
+
+
+@query(
+    "saved_value_distribution",
+    "SELECT l_quantity, COUNT(*) AS count FROM lineitem GROUP BY l_quantity ORDER BY count DESC, l_quantity LIMIT 20",
+)
+def saved_value_distribution(spark, sf_dir):
+    work = Workbench(spark)
+    work.register("lineitem", table(spark, sf_dir, "lineitem"))
+    return work.saved_query("Value Distribution", amount="l_quantity")

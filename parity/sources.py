@@ -133,11 +133,11 @@ def semicolon_and_tab_load(spark, sf_dir):
     return work.sql("SELECT s_suppkey, s_name, n_nationkey, n_name FROM s JOIN n ON s.s_nationkey = n.n_nationkey")
 
 
-@query("parquet_load", "SELECT r_regionkey, r_name FROM region")
+@query("parquet_load", "SELECT * FROM orders WHERE o_totalprice >= 50000")
 def parquet_load(spark, sf_dir):
-    work = Workbench(spark).load(f"{sf_dir}/region.parquet:areas", f"{sf_dir}/nation.parquet")
-    work.set_active_table("areas")
-    return work.filter("r_regionkey >= 0")
+    work = Workbench(spark).load(f"{sf_dir}/orders.parquet:sales", f"{sf_dir}/customer.parquet")
+    work.set_active_table("sales")
+    return work.filter("o_totalprice >= 50000")
 
 
 @query("csv_sink", "SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer")
@@ -180,32 +180,141 @@ def export_last_result(spark, sf_dir):
 
 @query(
     "guessed_separator_load",
-    "SELECT n_nationkey::BIGINT AS n_nationkey, n_name, ROW_NUMBER() OVER (ORDER BY n_nationkey) AS _row FROM nation",
+    """SELECT o_orderkey, o_custkey, o_orderpriority, ROW_NUMBER() OVER (ORDER BY o_orderkey) AS _row FROM orders""",
 )
 def guessed_separator_load(spark, sf_dir):
-    """The separator of a plain load is guessed."""
+    """The separator of a plain load of many files is guessed."""
     path = new_path(spark, "guessed")
-    rows = table(spark, sf_dir, "nation").select("n_nationkey", "n_name").orderBy("n_nationkey")
-    rows.write.options(header=True, sep=";").csv(path)
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    rows.repartitionByRange(16, "o_orderkey").sortWithinPartitions("o_orderkey").write.options(header=True, sep=";").csv(path)
     return tables.read_table(spark, path).df
 
 
+_NOTE = """concat(o_orderpriority, '\n"', o_orderstatus, '", second line', repeat('\n', cast(o_custkey % 3 as int)), 'end')"""
+
+
 @query(
     "quoted_breaks_load",
-    """SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name || chr(10) || 'second, line' AS note,
-              ROW_NUMBER() OVER (ORDER BY n_nationkey) AS _row FROM nation""",
+    """SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey,
+              o_orderpriority || chr(10) || '"' || o_orderstatus || '", second line' || repeat(chr(10), CAST(o_custkey % 3 AS INT)) || 'end' AS note,
+              CAST(o_custkey AS VARCHAR) AS o_custkey, ROW_NUMBER() OVER (ORDER BY o_orderkey) AS _row FROM orders""",
 )
 def quoted_breaks_load(spark, sf_dir):
-    """Line breaks in quotes stay in their cell, also in all-text loads."""
+    """Line breaks in quotes stay in their cell; the files are split like any others."""
     path = new_path(spark, "breaks")
-    note = F.concat("n_name", F.lit("\nsecond, line")).alias("note")
-    table(spark, sf_dir, "nation").orderBy("n_nationkey").select("n_nationkey", note).coalesce(1).write.option("header", True).csv(path)
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.expr(_NOTE).alias("note"), "o_custkey")
+    ordered = rows.repartitionByRange(12, "o_orderkey").sortWithinPartitions("o_orderkey")
+    ordered.write.options(header=True, escape='"', quote='"').csv(path)
     return tables.read_table(spark, path, header=True, typed=False, multi_line=True).df
 
 
-@query("parquet_folder_load", "SELECT r_regionkey, r_name FROM region")
+@query(
+    "key_value_breaks_load",
+    """SELECT CAST(event_id AS VARCHAR) AS id, event_type || chr(10) || 'more' AS note, CAST(user_id AS VARCHAR) AS user,
+              ROW_NUMBER() OVER (ORDER BY event_id) AS _row FROM events""",
+)
+def key_value_breaks_load(spark, sf_dir):
+    """Key:value rows may span lines too, and are known as such without being told."""
+    path = new_path(spark, "kv-breaks")
+    line = """concat(event_id, ',"note:', event_type, '\nmore",user:', user_id, ',end')"""
+    lines = table(spark, sf_dir, "events").select("event_id", F.expr(line).alias("value"))
+    lines.repartitionByRange(6, "event_id").sortWithinPartitions("event_id").select("value").write.text(path)
+    return tables.read_table(spark, path, header=False, kv=True, multi_line=True).df.select("id", "note", "user", "_row")
+
+
+@query(
+    "key_value_detected",
+    """SELECT CAST(event_id AS VARCHAR) AS id, event_type AS type, CAST(user_id AS VARCHAR) AS user, STRFTIME(ts, '%Y-%m-%d') AS timestamp,
+              ROW_NUMBER() OVER (ORDER BY event_id) AS _row FROM events""",
+)
+def key_value_detected(spark, sf_dir):
+    """A plain load finds out that rows are key:value."""
+    path = new_path(spark, "kv-detected")
+    line = "concat_ws(',', event_id, concat('type:', event_type), concat('user:', user_id), date_format(ts, 'yyyy-MM-dd'))"
+    lines = table(spark, sf_dir, "events").select("event_id", F.expr(line).alias("value"))
+    lines.repartitionByRange(6, "event_id").sortWithinPartitions("event_id").select("value").write.text(path)
+    return Workbench(spark).load(f"{path}:loaded").frame().select("id", "type", "user", "timestamp", "_row")
+
+
+_WIDE = 40
+
+
+@query(
+    "key_value_wide",
+    "SELECT CAST(o_orderkey AS VARCHAR) AS id, "
+    + ", ".join(f"CASE WHEN o_orderkey % {i + 2} <> 0 THEN CAST(o_custkey + {i + (_WIDE if i < 3 else 0)} AS VARCHAR) END AS k{i}" for i in range(_WIDE))
+    + ", ROW_NUMBER() OVER (ORDER BY o_orderkey) AS _row FROM orders",
+)
+def key_value_wide(spark, sf_dir):
+    """Rows of many entries, some keys repeated: the last entry counts."""
+    path = new_path(spark, "kv-wide")
+    cells = [f"CASE WHEN o_orderkey % {i + 2} <> 0 THEN concat('k{i}:', o_custkey + {i}) END" for i in range(_WIDE)]
+    again = [f"CASE WHEN o_orderkey % {i + 2} <> 0 THEN concat('k{i}:', o_custkey + {i + _WIDE}) END" for i in range(3)]
+    line = f"concat_ws(',', o_orderkey, {', '.join(cells + again)}, 'end')"
+    lines = table(spark, sf_dir, "orders").select("o_orderkey", F.expr(line).alias("value"))
+    lines.repartitionByRange(6, "o_orderkey").sortWithinPartitions("o_orderkey").select("value").write.text(path)
+    return text.load_key_value(spark, path, text.Layout(header=False)).drop("timestamp")
+
+
+_BAD_LINE = (
+    "concat_ws(',', o_orderkey, CASE WHEN o_custkey % 7 = 0 THEN concat('about ', o_custkey) ELSE cast(o_custkey as string) END,"
+    " CASE WHEN o_orderkey % 5 <> 0 THEN o_orderpriority END, CASE WHEN o_orderkey % 11 = 0 THEN 'one,two' END)"
+)
+
+
+@query(
+    "malformed_rows_load",
+    """SELECT o_orderkey, CASE WHEN o_custkey % 7 <> 0 THEN o_custkey END AS customer,
+              CASE WHEN o_orderkey % 5 <> 0 THEN o_orderpriority WHEN o_orderkey % 11 = 0 THEN 'one' END AS priority,
+              CASE WHEN o_custkey % 7 = 0 THEN 'about ' || o_custkey END AS unread,
+              CASE WHEN o_orderkey % 5 <> 0 AND o_orderkey % 11 = 0 THEN '["one","two"]' WHEN o_orderkey % 11 = 0 THEN '["two"]' END AS surplus,
+              CASE WHEN o_orderkey % 5 = 0 AND o_orderkey % 11 <> 0 THEN '1' END AS missing,
+              ROW_NUMBER() OVER (ORDER BY o_orderkey) AS _row FROM orders""",
+)
+def malformed_rows_load(spark, sf_dir):
+    """Cells that cannot be read as their type, surplus and missing ones stay with their row."""
+    path = new_path(spark, "malformed")
+    lines = table(spark, sf_dir, "orders").select("o_orderkey", F.expr(_BAD_LINE).alias("value"))
+    lines.repartitionByRange(8, "o_orderkey").sortWithinPartitions("o_orderkey").select("value").write.text(path)
+    rows = text.load_rescued(spark, path, "o_orderkey long, customer long, priority string", text.Layout(header=False, sep=","))
+    part = lambda key: F.try_element_at(F.col(text.RESCUED), F.lit(key))
+    return rows.select("o_orderkey", "customer", "priority", part("customer").alias("unread"), part(text.SURPLUS).alias("surplus"), part(text.MISSING).alias("missing"), "_row")
+
+
+@query(
+    "malformed_counts",
+    """SELECT COUNT(*) AS rows, COUNT(*) FILTER (o_custkey % 7 = 0 OR o_orderkey % 11 = 0 OR o_orderkey % 5 = 0) AS malformed,
+              COUNT(*) FILTER (o_custkey % 7 = 0) AS unread, COUNT(*) FILTER (o_orderkey % 11 = 0) AS surplus,
+              COUNT(*) FILTER (o_orderkey % 5 = 0 AND o_orderkey % 11 <> 0) AS missing FROM orders""",
+)
+def malformed_counts(spark, sf_dir):
+    """The report of a load, summed over its files."""
+    path = new_path(spark, "malformed")
+    lines = table(spark, sf_dir, "orders").select(F.expr(_BAD_LINE).alias("value"))
+    lines.repartition(5).write.text(path)
+    rows = text.load_rescued(spark, path, "o_orderkey long, customer long, priority string", text.Layout(header=False, sep=","))
+    counted = text.malformed_counts(rows)
+    return counted.agg(*[F.sum(c).alias(c) for c in counted.columns if c != "_file"])
+
+
+@query(
+    "text_fallback_load",
+    """SELECT CAST(o_orderkey AS VARCHAR) AS key, CASE WHEN o_custkey % 7 = 0 THEN 'about ' ELSE '' END || o_custkey AS customer,
+              ROW_NUMBER() OVER (ORDER BY o_orderkey) AS _row FROM orders""",
+)
+def text_fallback_load(spark, sf_dir):
+    """A load whose rows do not fit the types keeps all cells as text."""
+    path = new_path(spark, "fallback")
+    line = "concat(o_orderkey, ',', CASE WHEN o_custkey % 7 = 0 THEN 'about ' ELSE '' END, o_custkey)"
+    lines = table(spark, sf_dir, "orders").select("o_orderkey", F.expr(line).alias("value"))
+    lines.repartitionByRange(8, "o_orderkey").sortWithinPartitions("o_orderkey").select("value").write.text(path)
+    return text.load_or_text(spark, path, "key long, customer long", text.Layout(header=False, sep=","))
+
+
+@query("parquet_folder_load", "SELECT o_orderkey, o_orderdate, o_totalprice FROM orders")
 def parquet_folder_load(spark, sf_dir):
-    """A Parquet folder is known by its files."""
+    """A Parquet folder of many files is known by its files."""
     path = new_path(spark, "plain-folder")
-    Workbench(spark).load(f"{sf_dir}/region.parquet").export_parquet(path)
-    return tables.read_table(spark, path).df.select("r_regionkey", "r_name")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_totalprice")
+    rows.repartition(9, "o_orderkey").write.parquet(path)
+    return tables.read_table(spark, path).df

@@ -18,6 +18,8 @@ WHITESPACE = (
 NULL_TOKENS = ("nan", "NaN", "None", "none", "N/A", "")
 
 ROW = "_row"
+#: The file of a row, where a load keeps it.
+FILE = "_file"
 
 
 def col(name: str) -> Column:

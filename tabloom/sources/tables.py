@@ -91,9 +91,7 @@ def read_table(
     if schema is not None and (layout.kv or not typed):
         raise ValueError("a schema needs flat typed rows")
     if layout.kv:
-        if multi_line:
-            raise ValueError("key:value rows cannot span lines")
-        df = text.load_key_value(spark, path, layout)
+        df = text.load_key_value(spark, path, layout, multi_line=multi_line)
     elif typed:
         df = text.load_csv(spark, path, layout, schema=schema, multi_line=multi_line)
     else:

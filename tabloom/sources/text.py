@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.cells import ROW, col, strip
+from ..functions.cells import FILE, ROW, col, strip
 from . import detect
 from .lineage import number_rows, tag_splits
+from .records import quoted_records
 
 
 @dataclass(frozen=True)
@@ -100,18 +101,39 @@ def discover_keys(entries: DataFrame, row: str = ROW, max_keys: int | None = Non
     return [r["key"] for r in seen if r["key"] not in (ROW, "_raw", "_error", "_unparsed")]
 
 
+#: From so many columns on, a row's entries are read into them in one go instead of being looked up one by one.
+LOOKED_UP = 16
+
+
+def last_wins(entries: str) -> Column:
+    """A map of the entries in which the last of equal keys counts.
+
+    Rows without a repeated key, which one pass over the keys shows, take their entries as they are.  In others sorting by
+    key and place puts equal keys side by side, and an entry counts if the next one has another key.
+    """
+    names = F.transform(entries, lambda e: e["key"])
+    in_order = F.sort_array(F.transform(entries, lambda e, i: F.struct(e["key"].alias("key"), i.alias("at"), e["value"].alias("value"))))
+    behind = F.concat(F.slice(F.transform(in_order, lambda e: e["key"]), 2, F.size(in_order)), F.array(F.lit(None).cast("string")))
+    last = F.filter(F.arrays_zip(in_order.alias("e"), behind.alias("next")), lambda p: ~p["e"]["key"].eqNullSafe(p["next"]))
+    repaired = F.transform(last, lambda p: F.struct(p["e"]["key"].alias("key"), p["e"]["value"].alias("value")))
+    return F.map_from_entries(F.when(F.size(F.array_distinct(names)) == F.size(names), F.col(entries)).otherwise(repaired))
+
+
 def project_keys(entries: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One column per key; the last entry of a key wins; blank values are NULL.
 
-    Each row's entries become one map first, so a key is a lookup and not a search of all entries.
+    Each row's entries become one map first.  Few keys are looked up in it; for many, where every lookup would go through the
+    whole map, it is read as an object, which costs in proportion to the row's entries.
     """
     kept = [c for c in entries.columns if c != "entries"]
-    names = F.transform("entries", lambda e: e["key"])
-    # The last of equal keys is the one that no later entry repeats.
-    last = F.filter("entries", lambda e, i: ~F.exists(F.slice(names, i + 2, F.size(names)), lambda k: k == e["key"]))
-    mapped = entries.select(F.map_from_entries(last).alias("__map"), *[col(c) for c in kept])
-    values = [F.nullif(F.try_element_at(col("__map"), F.lit(k)), F.lit("")).alias(k) for k in keys]
-    return mapped.select(*values, *[col(c) for c in kept])
+    mapped = entries.select(last_wins("entries").alias("__map"), *[col(c) for c in kept])
+    if len(keys) <= LOOKED_UP:
+        values = [F.nullif(F.try_element_at(col("__map"), F.lit(k)), F.lit("")).alias(k) for k in keys]
+        return mapped.select(*values, *[col(c) for c in kept])
+    # Blank values are left out of the object, so that their cells are NULL.
+    filled = F.to_json(F.map_filter("__map", lambda k, v: v != ""))
+    shape = T.StructType([T.StructField(k, T.StringType()) for k in keys])
+    return mapped.select(F.from_json(filled, shape).alias("__object"), *[col(c) for c in kept]).select("__object.*", *[col(c) for c in kept])
 
 
 def _lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
@@ -142,24 +164,28 @@ def resolve(spark: SparkSession, path: str | Sequence[str], layout: Layout) -> t
     return replace(layout, header=header, kv=kv, sep=sep), rows
 
 
-def numbered_lines(spark: SparkSession, path: str | Sequence[str], header: bool, sep: str = ",") -> DataFrame:
-    """Non-blank data lines with their row number from 1; each file's header line is left out."""
+def numbered_lines(
+    spark: SparkSession, path: str | Sequence[str], header: bool, sep: str = ",", multi_line: bool = False, file: bool = False
+) -> DataFrame:
+    """Non-blank data lines with their row number from 1, and their file if wanted; each file's header line is left out.
+
+    With ``multi_line`` a line goes on while a quote is open.
+    """
+    if multi_line:
+        blank = lambda value: ~not_blank(value, split_cells(value, sep), sep)
+        records = quoted_records(spark, path, blank, skip_per_file=1 if header else 0)
+        return records if file else records.drop(FILE)
     tagged = tag_splits(_lines(spark, path))
+    if file:
+        tagged = tagged.withColumn(FILE, col("__file"))
     kept = tagged.where(not_blank(col("value"), split_cells(col("value"), sep), sep))
     return number_rows(kept, skip_per_file=1 if header else 0)
 
 
 def load_flat(spark: SparkSession, path: str | Sequence[str], layout: Layout = Layout(), *, multi_line: bool = False) -> DataFrame:
-    """All-text table from flat rows, with row lineage; ``multi_line`` allows line breaks in quotes (no file is split)."""
+    """All-text table from flat rows, with row lineage; ``multi_line`` allows line breaks in quotes, in split files too."""
     layout, rows = resolve(spark, path, replace(layout, kv=False))
-    if multi_line:
-        reader = spark.read.options(header=layout.header, sep=layout.sep, escape='"', multiLine=True)
-        scan = reader.csv([path] if isinstance(path, str) else list(path))
-        names = list(scan.columns) if layout.header else [f"col_{i}" for i in range(len(scan.columns))]
-        names = list(layout.col_names or names)[: len(scan.columns)]
-        cells = [F.nullif(strip(col(old)), F.lit("")).alias(new.strip()) for old, new in zip(scan.columns, names)]
-        return number_rows(tag_splits(scan)).select(*cells, ROW)
-    lines = numbered_lines(spark, path, layout.header, layout.sep)
+    lines = numbered_lines(spark, path, layout.header, layout.sep, multi_line)
     if layout.col_names:
         names = list(layout.col_names)
     elif layout.header:
@@ -170,13 +196,74 @@ def load_flat(spark: SparkSession, path: str | Sequence[str], layout: Layout = L
     return parse_flat(lines, names, sep=layout.sep)
 
 
-def load_key_value(spark: SparkSession, path: str | Sequence[str], layout: Layout = Layout()) -> DataFrame:
-    """All-text table from key:value rows, one column per key, with row lineage."""
+def load_key_value(spark: SparkSession, path: str | Sequence[str], layout: Layout = Layout(), *, multi_line: bool = False) -> DataFrame:
+    """All-text table from key:value rows, one column per key, with row lineage; ``multi_line`` as in ``load_flat``."""
     layout, _ = resolve(spark, path, replace(layout, kv=True))
-    entries = kv_entries(numbered_lines(spark, path, layout.header, layout.sep), sep=layout.sep)
+    entries = kv_entries(numbered_lines(spark, path, layout.header, layout.sep, multi_line), sep=layout.sep)
     return project_keys(entries, discover_keys(entries))
 
 
+#: Entries of a row's rescued cells that name no column: the cells beyond the last column, and how many are missing.
+SURPLUS, MISSING, RESCUED = "_surplus", "_missing", "_rescued"
+
+
+def load_rescued(
+    spark: SparkSession, path: str | Sequence[str], schema: str | T.StructType, layout: Layout = Layout(), *, multi_line: bool = False
+) -> DataFrame:
+    """Typed flat rows in which nothing that does not fit is lost: row number, file and ``_rescued`` beside the columns.
+
+    ``_rescued`` maps a column to the text that could not be read as its type, ``_surplus`` to the cells beyond the last column
+    (as JSON) and ``_missing`` to the number of columns that a short row lacks; it is NULL for a row that fits.  Such a cell
+    is NULL in its column.
+    """
+    layout, _ = resolve(spark, path, replace(layout, kv=False))
+    if isinstance(schema, str):
+        schema = spark.createDataFrame([], schema).schema
+    lines = numbered_lines(spark, path, layout.header, layout.sep, multi_line, file=True)
+    cells = lines.select(split_cells(col("value"), layout.sep).alias("__cells"), ROW, FILE)
+    trimmed = cells.select(F.transform("__cells", lambda c: F.nullif(strip(c), F.lit(""))).alias("__cells"), ROW, FILE)
+    width = len(schema)
+    text_at = lambda i: F.get(col("__cells"), F.lit(i))
+    read = trimmed.select("*", *[text_at(i).try_cast(f.dataType).alias(f"__v{i}") for i, f in enumerate(schema)])
+
+    def entry(key: str, value: Column, when: Column) -> Column:
+        return F.when(when, F.struct(F.lit(key).alias("key"), value.alias("value")))
+
+    extra = F.slice(col("__cells"), width + 1, F.greatest(F.size("__cells") - width, F.lit(0)))
+    wrong = [entry(f.name, text_at(i), text_at(i).isNotNull() & col(f"__v{i}").isNull()) for i, f in enumerate(schema)]
+    wrong.append(entry(SURPLUS, F.to_json(extra), F.exists(extra, lambda c: c.isNotNull())))
+    wrong.append(entry(MISSING, (F.lit(width) - F.size("__cells")).cast("string"), F.size("__cells") < width))
+    found = F.array_compact(F.array(*wrong))
+    marked = read.select("*", found.alias("__wrong"))
+    rescued = F.when(F.size("__wrong") > 0, F.map_from_entries("__wrong")).alias(RESCUED)
+    return marked.select(*[col(f"__v{i}").alias(f.name) for i, f in enumerate(schema)], rescued, FILE, ROW)
+
+
+def malformed_counts(rescued: DataFrame) -> DataFrame:
+    """Rows of each file, rows that did not fit, and of these those with unread, surplus and missing cells."""
+    wrong = F.map_keys(RESCUED)
+    has = lambda key: F.coalesce(F.array_contains(wrong, key), F.lit(False))
+    unread = F.coalesce(F.exists(wrong, lambda k: ~k.isin(SURPLUS, MISSING)), F.lit(False))
+    return rescued.groupBy(FILE).agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if(col(RESCUED).isNotNull()).alias("malformed"),
+        F.count_if(unread).alias("unread"),
+        F.count_if(has(SURPLUS)).alias("surplus"),
+        F.count_if(has(MISSING)).alias("missing"),
+    )
+
+
+def load_or_text(
+    spark: SparkSession, path: str | Sequence[str], schema: str | T.StructType, layout: Layout = Layout(), *, malformed: int = 0, multi_line: bool = False
+) -> DataFrame:
+    """The typed table if at most ``malformed`` rows do not fit the schema, else all columns as text, named as in the schema."""
+    rescued = load_rescued(spark, path, schema, layout, multi_line=multi_line)
+    names = [c for c in rescued.columns if c not in (RESCUED, FILE, ROW)]
+    if rescued.where(col(RESCUED).isNotNull()).limit(malformed + 1).count() <= malformed:
+        return rescued.select(*names, ROW)
+    return load_flat(spark, path, replace(layout, col_names=tuple(names)), multi_line=multi_line)
+
+
 def load_csv(
     spark: SparkSession,
     path: str | Sequence[str],

@@ -181,8 +181,6 @@ def test_options_that_cannot_be_honoured(spark, tmp_path):
     path = write(tmp_path, "t.csv", "a,b\n1,2\n")
     with pytest.raises(ValueError, match="schema"):
         tables.read_table(spark, path, typed=False, schema="a int, b int")
-    with pytest.raises(ValueError, match="span"):
-        tables.read_table(spark, path, kv=True, multi_line=True)
     with pytest.raises(ValueError, match="format"):
         tables.read_table(spark, path, format="avro")
     assert tables.read_table(spark, path, format="text", header=True).columns == ["a", "b"]
@@ -199,3 +197,101 @@ def test_a_load_changes_no_setting(spark, tmp_path):
     before = dict(spark.sparkContext.getConf().getAll()), spark.conf.get("spark.sql.files.minPartitionNum", None)
     tables.read_table(spark, write(tmp_path, "t.csv", "a,b\n1,2\n")).df.count()
     assert before == (dict(spark.sparkContext.getConf().getAll()), spark.conf.get("spark.sql.files.minPartitionNum", None))
+
+
+def in_splits(spark, size):
+    """Reads cut files into splits of so many bytes."""
+    from contextlib import contextmanager
+
+    @contextmanager
+    def cut():
+        kept = {k: spark.conf.get(k, None) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        try:
+            yield
+        finally:
+            for k, v in kept.items():
+                spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+    return cut()
+
+
+@pytest.mark.parametrize("size, header", [(150, True), (400, False), (10_000_000, True)])
+def test_quoted_breaks_across_splits(spark, tmp_path, size, header):
+    import csv
+    import random
+
+    rng = random.Random(size)
+    cells = ["plain", 'with "quotes"', "two\nlines", "\n\nstart", "a\r\nb", "x,\ny", "", "long " * 30 + "\n" + "end " * 20, '"', "é\n\u4e2d"]
+    folder = tmp_path / "many"
+    folder.mkdir()
+    want = []
+    for f in range(3):
+        with open(folder / f"part-{f}.csv", "w", newline="", encoding="utf-8") as out:
+            writer = csv.writer(out, lineterminator="\n" if f else "\r\n")
+            if header:
+                writer.writerow(["n", "a\nb" if not f else "note", "c"])
+            for i in range(20):
+                row = [str(f * 100 + i), rng.choice(cells), rng.choice(cells)]
+                writer.writerow(row)
+                want.append(tuple(c.strip() or None for c in row))
+            if f == 1:
+                out.write("\n\n , ,\n")
+    with in_splits(spark, size):
+        rows = text.load_flat(spark, str(folder), text.Layout(header=header, kv=False, col_names=("n", "x", "y"), sep=","), multi_line=True)
+        got = sorted((tuple(r) for r in rows.collect()), key=lambda r: r[3])
+    assert [r[:3] for r in got] == want and [r[3] for r in got] == list(range(1, len(want) + 1))
+
+
+def test_quoted_breaks_in_key_value_rows(spark, tmp_path):
+    path = write(tmp_path, "kv.csv", '1,"note:first\nline",k:2,t1\n2,k:3,"note:a\n\nb",t2\n')
+    with in_splits(spark, 9):
+        rows = text.load_key_value(spark, path, text.Layout(header=False), multi_line=True).orderBy("_row")
+        assert [(r["id"], r["note"], r["k"], r["timestamp"]) for r in rows.collect()] == [("1", "first\nline", "2", "t1"), ("2", "a\n\nb", "3", "t2")]
+
+
+def test_a_quote_that_never_closes_takes_the_rest(spark, tmp_path):
+    path = write(tmp_path, "open.csv", 'a,b\n1,x\n2,"y\n3,z\n4,w\n')
+    with in_splits(spark, 6):
+        rows = text.load_flat(spark, path, text.Layout(header=True, kv=False, sep=","), multi_line=True).orderBy("_row").collect()
+    assert [(r["a"], r["b"]) for r in rows] == [("1", "x"), ("2", "y\n3,z\n4,w")]
+
+
+def test_many_entries_cost_in_proportion(spark, tmp_path):
+    import time
+
+    def seconds(keys, rows):
+        lines = "".join(f"{r}," + ",".join(f"k{i % (keys - 5)}:{r}_{i}" for i in range(keys)) + ",t\n" for r in range(rows))
+        path = write(tmp_path, f"wide{keys}.csv", lines)
+        best = 1e9
+        for _ in range(3):
+            loaded = text.load_key_value(spark, path, text.Layout(header=False))
+            start = time.perf_counter()
+            loaded.write.format("noop").mode("overwrite").save()
+            best = min(best, time.perf_counter() - start)
+        first = loaded.where("_row = 2").first()
+        assert first["k0"] == f"1_{keys - 5}" and first["k7"] == "1_7" and len(loaded.columns) == keys - 5 + 3
+        return best
+
+    # The same number of entries, in rows of 100 and of 1,000.
+    assert seconds(1000, 400) < 2 * seconds(100, 4000) + 1
+
+
+def test_cells_that_do_not_fit_are_kept(spark, tmp_path):
+    path = write(tmp_path, "bad.csv", 'n,d,s\n1,2024-01-02,a\nx,2024-01-03,b\n3,soon,"c,d",more, ,e\n4\n5,,\n,,z\n')
+    rows = text.load_rescued(spark, path, "n int, d date, s string", text.Layout(header=True, sep=","))
+    got = [(r["n"], str(r["d"]) if r["d"] else None, r["s"], r["_rescued"], r["_row"]) for r in rows.orderBy("_row").collect()]
+    assert got == [
+        (1, "2024-01-02", "a", None, 1),
+        (None, "2024-01-03", "b", {"n": "x"}, 2),
+        (3, None, "c,d", {"d": "soon", "_surplus": '["more",null,"e"]'}, 3),
+        (4, None, None, {"_missing": "2"}, 4),
+        (5, None, None, None, 5),
+        (None, None, "z", None, 6),
+    ]
+    counts = text.malformed_counts(rows).first()
+    assert tuple(counts)[1:] == (6, 3, 2, 1, 1) and counts["_file"].endswith("bad.csv")
+    layout = text.Layout(header=True, sep=",")
+    assert dict(text.load_or_text(spark, path, "n int, d date, s string", layout).dtypes)["n"] == "string"
+    assert dict(text.load_or_text(spark, path, "n int, d date, s string", layout, malformed=3).dtypes)["n"] == "int"
