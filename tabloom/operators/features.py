@@ -1,10 +1,12 @@
 """Feature preparation: imputation, one-hot encoding, scaling, correlation."""
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
-import pyarrow as pa
+from pyspark.ml.functions import array_to_vector
+from pyspark.mllib.linalg.distributed import RowMatrix
+from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -119,47 +121,56 @@ def scale(df: DataFrame, column: str) -> DataFrame:
     )
 
 
+#: Up to so many columns the sums of a correlation are plain aggregates; the results are the same.
+FEW_COLUMNS = 6
+
+
 def correlation(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Pearson correlation of every pair, over rows where both are set; NULL for a constant column."""
     names = numeric_columns(df) if columns is None else list(columns)
+    schema = "column string, other string, correlation double"
     if not names:
-        return df.sparkSession.createDataFrame([], "column string, other string, correlation double")
-    return _pair_sums(df, names).select("column", "other", _pearson().alias("correlation"))
+        return df.sparkSession.createDataFrame([], schema)
+    r = _pearson(*_pair_sums(df, names))
+    cells = [(a, b, None if np.isnan(r[i, j]) else float(r[i, j])) for i, a in enumerate(names) for j, b in enumerate(names)]
+    return df.sparkSession.createDataFrame(cells, schema)
 
 
-def _pearson() -> Column:
-    """Pearson's r from pairwise sums; NULL where a column is constant over the pair's rows."""
-    n = col("n")
-    one, two = col("xx") - col("x") * col("x") / n, col("yy") - col("y") * col("y") / n
-    # Sums around the means leave rounding noise of a constant column, far below any spread.
-    flat = (one <= 1e-12 * col("xx")) | (two <= 1e-12 * col("yy"))
-    return F.when(~flat, (col("xy") - col("x") * col("y") / n) / F.sqrt(one * two))
+def _pearson(n: np.ndarray, x: np.ndarray, xx: np.ndarray, xy: np.ndarray) -> np.ndarray:
+    """Pearson's r from the sums of each pair's rows; NaN where a column is constant over them."""
+    with np.errstate(all="ignore"):
+        one, two = xx - x * x / n, xx.T - x.T * x.T / n
+        # Sums around the means leave rounding noise of a constant column, far below any spread.
+        flat = ~(one > 1e-12 * xx) | ~(two > 1e-12 * xx.T)
+        return np.where(flat, np.nan, (xy - x * x.T / n) / np.sqrt(one * two))
 
 
-def _pair_sums(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Rows and sums of every pair of columns over the rows where both are set, in one pass of matrix products.
+def _pair_sums(df: DataFrame, names: Sequence[str]) -> tuple[np.ndarray, ...]:
+    """For every pair of columns the rows where both are set, and over them the sums of the first, its squares and the products.
 
-    The columns are shifted by their means first.  A task keeps one number per pair, whatever its rows.
+    All are blocks of one Gram matrix: a row is the vector of its values, their presence and their squares, absent
+    ones 0, and the products of all pairs are summed by tree aggregation in the JVM.  The columns are shifted by their
+    means first.  The result has a number per pair, whatever the rows.
     """
-    means = df.agg(*[F.avg(number(df, c)).alias(f"m{i}") for i, c in enumerate(names)]).first()
-    shifted = [(number(df, c) - F.lit(float(means[i] or 0.0))).cast("double").alias(f"v{i}") for i, c in enumerate(names)]
-    measures = ("n", "x", "y", "xx", "yy", "xy")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((6, len(names), len(names)))
-        for batch in batches:
-            v = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False).astype(float) for i in range(len(names))])
-            there = ~np.isnan(v)
-            v, there = np.where(there, v, 0.0), there.astype(float)
-            sums, squares = v.T @ there, (v * v).T @ there
-            total += [there.T @ there, sums, sums.T, squares, squares.T, v.T @ v]
-        at = np.indices(total.shape[1:]).reshape(2, -1)
-        yield pa.RecordBatch.from_arrays([pa.array(at[0]), pa.array(at[1]), *[pa.array(t.ravel()) for t in total]], names=["i", "j", *measures])
-
-    parts = df.select(*shifted).mapInArrow(run, "i long, j long, " + ", ".join(f"{m} double" for m in measures))
-    sums = parts.groupBy("i", "j").agg(*[F.sum(m).alias(m) for m in measures])
-    labels = F.array(*[F.lit(n) for n in names])
-    return sums.select(F.get(labels, col("i").cast("int")).alias("column"), F.get(labels, col("j").cast("int")).alias("other"), *measures)
+    values = [number(df, c) for c in names]
+    there = [F.when(~F.isnan(v), v) for v in values]
+    means = df.agg(*[F.avg(v).alias(f"m{i}") for i, v in enumerate(there)]).first()
+    k = len(names)
+    shifted = df.select(*[(v - F.lit(float(means[i] or 0.0))).cast("double").alias(f"v{i}") for i, v in enumerate(there)])
+    cells = [col(f"v{i}") for i in range(len(names))]
+    if k <= FEW_COLUMNS:
+        # So few sums are one aggregate of generated code.
+        both = [(i, j) for i in range(k) for j in range(k)]
+        there = {(i, j): cells[i].isNotNull() & cells[j].isNotNull() for i, j in both}
+        measures = {"n": lambda i, j: F.lit(1.0), "x": lambda i, j: cells[i], "xx": lambda i, j: cells[i] * cells[i], "xy": lambda i, j: cells[i] * cells[j]}
+        sums = shifted.agg(*[F.sum(F.when(there[p], make(*p))).alias(f"{m}_{p[0]}_{p[1]}") for m, make in measures.items() for p in both]).first()
+        return tuple(np.array([[sums[f"{m}_{i}_{j}"] or 0.0 for j in range(k)] for i in range(k)]) for m in measures)
+    zero = F.lit(0.0)
+    parts = [F.coalesce(v, zero) for v in cells] + [v.isNotNull().cast("double") for v in cells] + [F.coalesce(v * v, zero) for v in cells]
+    vectors = shifted.select(array_to_vector(F.array(*parts)).alias("row"))
+    gram = RowMatrix(MLUtils.convertVectorColumnsFromML(vectors, "row"), 0, len(parts)).computeGramianMatrix().toArray()
+    x, p, xx = slice(0, k), slice(k, 2 * k), slice(2 * k, 3 * k)
+    return gram[p, p], gram[x, p], gram[xx, p], gram[x, x]
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

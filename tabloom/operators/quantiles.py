@@ -100,8 +100,8 @@ def _interpolate(p: float, rows: int, at: Mapping[int, float]) -> float | None:
     return (high - position) * at[low] + (position - low) * at[high]
 
 
-def _bins(values: DataFrame, intervals: Sequence[tuple[str, float, float]], shifts: Sequence[int]) -> pa.Table:
-    """Rows, least and largest value of every bin of the intervals (column, low, high)."""
+def _bins(values: DataFrame, intervals: Sequence[tuple[str, float | None, float | None]], shifts: Sequence[int]) -> tuple[np.ndarray, ...]:
+    """Interval, rows, least and largest value of every bin of the intervals (column, low, high; None: all of it), in order."""
     by_column: dict[str, list[int]] = {}
     for i, (c, _, _) in enumerate(intervals):
         by_column.setdefault(c, []).append(i)
@@ -109,7 +109,9 @@ def _bins(values: DataFrame, intervals: Sequence[tuple[str, float, float]], shif
     for c, those in by_column.items():
         number = F.lit(None).cast("int")
         for i in those:
-            number = F.when(col(c).between(F.lit(intervals[i][1]), F.lit(intervals[i][2])), F.lit(i)).otherwise(number)
+            _, low, high = intervals[i]
+            holds = col(c).isNotNull() if low is None else col(c).between(F.lit(low), F.lit(high))
+            number = F.when(holds, F.lit(i)).otherwise(number)
         cells.append((number.alias("i"), col(c).alias("v")))
     if len(cells) == 1:
         pairs = values.select(*cells[0])
@@ -120,49 +122,49 @@ def _bins(values: DataFrame, intervals: Sequence[tuple[str, float, float]], shif
     dropped = F.element_at(F.array(*map(F.lit, shifts)), col("i") + 1).alias("s")
     binned = keyed.select(col("__rest0").alias("i"), col("__rest1").alias("v"), "k").select("i", "v", "k", dropped)
     counts = binned.groupBy("i", F.expr("shiftright(k, s)").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
-    return counts.toArrow()
+    found = counts.toArrow()
+    i, b, n, low, high = (found.column(k).to_numpy() for k in ("i", "b", "n", "low", "high"))
+    order = np.lexsort((b, i))
+    return i[order], n[order], low[order], high[order]
 
 
 def exact_quantiles_of(df: DataFrame, values: Mapping[str, Column], probabilities: Sequence[float]) -> dict[str, list[float | None]]:
     """Percentiles of the values of each expression, as Python floats (a constant-size result).
 
-    All expressions share the passes over ``df``: one for the counts and bounds, then as many as the values need to
-    be told apart, eight at most, two as a rule.
+    All expressions share the passes over ``df``: the first counts bins of every value's sign, exponent and leading
+    fraction; the others, as many as the values need to be told apart (seven at most, one as a rule), narrow the bins that
+    hold a wanted rank.
     """
     if not values:
         return {}
     names = [f"k{i}" for i in range(len(values))]
     cells = [v.cast("double").alias(f"v{i}") for i, v in enumerate(values.values())]
     given = df.select(*cells).select(*[F.when(~F.isnan(f"v{i}"), col(f"v{i}")).alias(n) for i, n in enumerate(names)])
-    bounds = given.agg(*[F.struct(F.count(n), F.min(n), F.max(n)).alias(n) for n in names]).first()
     at: dict[str, dict[int, float]] = {n: {} for n in names}
+    rows: dict[str, int] = {}
     # Wanted ranks by interval (column, low, high) and the rows below it.
-    wanted: dict[tuple[str, float, float, int], set[int]] = {}
-    for n in names:
-        rows, low, high = bounds[n]
-        if rows:
-            wanted[n, low, high, 0] = {rank for p in probabilities for rank in _ranks(p, rows)}
+    wanted: dict[tuple, set[int]] = {(n, None, None, 0): set() for n in names}
+    fraction = max(0, min(10, int(math.log2(CELLS / (16 * len(names))))))
     while wanted:
-        for c, low, high, below in [k for k in wanted if k[1] == k[2]]:
-            at[c] |= dict.fromkeys(wanted.pop((c, low, high, below)), low)
-        if not wanted:
-            break
         places = list(wanted)
         bits = max(LEAST_BITS, min(MOST_BITS, int(math.log2(CELLS / len(places)))))
-        found = _bins(given, [p[:3] for p in places], [_shift(low, high, bits) for _, low, high, _ in places])
-        i, b, n, low, high = (found.column(k).to_numpy() for k in ("i", "b", "n", "low", "high"))
-        order = np.lexsort((b, i))
-        i, n, low, high = i[order], n[order], low[order], high[order]
-        narrowed: dict[tuple[str, float, float, int], set[int]] = {}
+        shifts = [52 - fraction if low is None else _shift(low, high, bits) for _, low, high, _ in places]
+        i, n, low, high = _bins(given, [p[:3] for p in places], shifts)
+        narrowed: dict[tuple, set[int]] = {}
         for j, place in enumerate(places):
-            first, last = np.searchsorted(i, [j, j + 1])
+            name, first, last = place[0], *np.searchsorted(i, [j, j + 1])
             upto = place[3] + np.cumsum(n[first:last])
+            if place[1] is None:
+                rows[name] = int(n[first:last].sum())
+                wanted[place] = {rank for p in probabilities for rank in _ranks(p, rows[name])} if rows[name] else set()
             for rank in wanted[place]:
-                at_bin = int(np.searchsorted(upto, rank, "right"))
-                bin_ = (place[0], float(low[first + at_bin]), float(high[first + at_bin]), int(upto[at_bin] - n[first + at_bin]))
-                narrowed.setdefault(bin_, set()).add(rank)
+                b = first + int(np.searchsorted(upto, rank, "right"))
+                if low[b] == high[b]:
+                    at[name][rank] = float(low[b])
+                else:
+                    narrowed.setdefault((name, float(low[b]), float(high[b]), int(upto[b - first] - n[b])), set()).add(rank)
         wanted = narrowed
-    return {name: [_interpolate(p, bounds[n][0], at[n]) for p in probabilities] for name, n in zip(values, names)}
+    return {name: [_interpolate(p, rows[n], at[n]) for p in probabilities] for name, n in zip(values, names)}
 
 
 def exact_quantiles(df: DataFrame, value: Column, probabilities: Sequence[float]) -> list[float | None]:
