@@ -17,6 +17,8 @@ CODE_WIDTH = 4
 PREFIX_WIDTH = 2
 NO_MATCH = "No Match"
 NO_DATA = "NO DATA"
+# Control characters that part joined codes, and runs of them; lists that hold one are treated code by code.
+_GAP, _BREAK = "\x01", "\x02"
 
 
 def once(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -100,7 +102,24 @@ def aligned_pairs(left_only: Column, right_only: Column) -> Column:
 
 
 def prefix_conflicts(codes: Column) -> Column:
-    """Codes sharing an upper-cased prefix, as ``P(a/b), Q(c/d)``; NULL if there are none."""
+    """Codes sharing an upper-cased prefix, as ``P(a/b), Q(c/d)``; NULL if there are none.
+
+    In a sorted list of upper-case codes those with one prefix stand side by side, so one pattern over the joined list
+    finds them; other lists are gone through prefix by prefix.
+    """
+    joined = F.array_join(codes, _GAP)
+    width = PREFIX_WIDTH
+    code = f"[^{_GAP}]"
+    # A code of the prefix's width at least, and those after it that begin alike.
+    runs = F.regexp_extract_all(joined, F.lit(rf"(?<=^|{_GAP})({code}{{{width}}}){code}*(?:{_GAP}\1{code}*)+"), F.lit(0))
+    marked = F.regexp_replace(F.array_join(runs, _BREAK), rf"(?<=^|{_BREAK})(.{{{width}}})", "$1($1")
+    shown = F.concat(F.replace(F.replace(marked, F.lit(_BREAK), F.lit("), ")), F.lit(_GAP), F.lit("/")), F.lit(")"))
+    plain = (joined == F.upper(joined)) & ~joined.rlike(rf"(?s)[{_BREAK}]|(^|{_GAP}){code}{{0,{width - 1}}}($|{_GAP})")
+    sorted_ = (codes == F.sort_array(codes)) & (F.size(codes) == F.size(F.split(joined, _GAP, -1)))
+    return F.when(plain & sorted_, F.when(F.size(runs) > 0, shown)).otherwise(_conflicts_by_prefix(codes))
+
+
+def _conflicts_by_prefix(codes: Column) -> Column:
     upper = F.array_distinct(F.transform(codes, lambda code: F.upper(_prefix(code))))
 
     def described(prefix: Column) -> Column:

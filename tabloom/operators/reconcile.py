@@ -26,8 +26,9 @@ MATCH, MISMATCH = "MATCH", "MISMATCH"
 OK, NOK = "OK", "NOK"
 VARIOUS = "(Various)"
 
-# Alias maps up to this size become a literal map; larger ones a joined table.
-LITERAL_ALIASES = 500
+
+#: Up to this size a table of aliases is broadcast.
+ALIAS_BYTES = 64 << 20
 
 
 @dataclass(frozen=True)
@@ -108,18 +109,16 @@ def normalise_aliases(df: DataFrame, column: str, groups: Sequence[str]) -> Data
     """Add ``<column>_NORM`` (the primary) and ``<column>_DISPLAY`` (``primary(alias)``)."""
     pairs = alias_pairs(groups)
     norm, shown = f"{column}_NORM", f"{column}_DISPLAY"
-    if len(pairs) > LITERAL_ALIASES:
-        table = df.sparkSession.createDataFrame(list(pairs.items()), f"`{column}` string, __primary string")
-        # The map came from the driver, so it fits a broadcast.
-        df = df.join(F.broadcast(table), [column], "left").select(*[col(c) for c in df.columns], "__primary")
-        primary = col("__primary")
-    elif pairs:
-        primary = F.create_map(*[F.lit(part) for pair in pairs.items() for part in pair])[col(column)]
-    else:
-        primary = F.lit(None).cast("string")
-    return df.withColumn(norm, F.coalesce(primary, col(column))).withColumn(
-        shown, F.when(primary.isNotNull(), F.concat(primary, F.lit("("), col(column), F.lit(")"))).otherwise(col(column))
-    ).drop("__primary")
+    names = df.sparkSession.createDataFrame(list(pairs.items()), "__alias string, __primary string")
+    # The map comes from the driver; its size decides only how it is joined.
+    small = sum(len(a) + len(b) for a, b in pairs.items()) * 4 <= ALIAS_BYTES
+    joined = df.join(F.broadcast(names) if small else names, col(column) == F.col("__alias"), "left")
+    primary = F.col("__primary")
+    return joined.select(
+        *[col(c) for c in df.columns if c not in (norm, shown)],
+        F.coalesce(primary, col(column)).alias(norm),
+        F.when(primary.isNotNull(), F.concat(primary, F.lit("("), col(column), F.lit(")"))).otherwise(col(column)).alias(shown),
+    )
 
 
 def no_data(df: DataFrame, plan: Plan) -> Column:
