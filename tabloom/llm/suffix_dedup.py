@@ -18,18 +18,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..staging import stage
-from .common import attach, blocks, grams
+from .common import _ODD, attach, blocks, grams, mix
 from .ngram_join import _shared
 
 GRAM = 16
 #: One place in so many begins a chunk.
 CHUNK = 128
-#: Bytes of segments that one transform holds, and distinct segments of one minimizer beyond which its strings are aggregated one by one.
+#: Bytes of segments that one transform holds, and distinct segments of one minimizer that a task holds before they are dealt anew by longer pieces.
 GROUP_BYTES, GROUP_SEGMENTS = 1 << 19, 1 << 14
+#: Bytes of segments of whole minimizers that a task holds before it compares their strings.
+HELD_BYTES = 1 << 23
 
 
 # ---- one text -----------------------------------------------------------------------------------------------------
@@ -53,9 +56,9 @@ def chunk_hashes(data: bytes, starts: np.ndarray, least: int) -> np.ndarray:
     return np.frombuffer(b"".join(found), np.int64).reshape(-1, 2)
 
 
-def minimizers(hashes: np.ndarray, size: int, least: int) -> np.ndarray:
+def minimizers(hashes: np.ndarray, size: int, least: int, gram: int = GRAM) -> np.ndarray:
     """Per string start, the least hash of the short pieces of the string."""
-    n, width = size - least + 1, least - GRAM + 1
+    n, width = size - least + 1, least - gram + 1
     now, reach = hashes[: n + width - 1], 1
     while reach * 2 <= width:
         now = np.minimum(now[:-reach], now[reach:])
@@ -153,8 +156,8 @@ def common_prefixes(transform: np.ndarray, least: int) -> np.ndarray:
     return found[:n]
 
 
-def repeated(segments: list[bytes], ids: np.ndarray, least: int) -> Iterator[tuple[int, int]]:
-    """(segment, start) of every string of ``least`` bytes that a segment with a smaller id has too."""
+def repeated(segments: list[bytes], ids: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Segment and start, in that order, of every string of ``least`` bytes that a segment with a smaller id has too."""
     sizes = np.array([len(s) for s in segments], np.int64)
     ends = np.cumsum(sizes + 1) - 1
     n = int(ends[-1]) + 1
@@ -166,11 +169,40 @@ def repeated(segments: list[bytes], ids: np.ndarray, least: int) -> Iterator[tup
     same = common_prefixes(symbols[order - 1], least) < 0
     group = np.cumsum(~same) - 1
     owner = np.repeat(np.arange(len(segments)), sizes + 1)[order]
-    smallest = np.full(int(group[-1]) + 1, np.iinfo(np.int64).max)
-    np.minimum.at(smallest, group, ids[owner])
     begin = np.concatenate(([0], ends[:-1] + 1))
-    for i in np.flatnonzero(smallest[group] < ids[owner]):
-        yield int(owner[i]), int(order[i] - begin[owner[i]])
+    # The smallest id of a group: its rows are side by side.
+    smallest = np.minimum.reduceat(ids[owner], np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1]))))
+    gone = np.flatnonzero(smallest[group] < ids[owner])
+    found, start = owner[gone], order[gone] - begin[owner[gone]]
+    sorted_ = np.lexsort((start, found))
+    return found[sorted_], start[sorted_]
+
+
+def string_hashes(data: np.ndarray, size: int) -> np.ndarray:
+    """64-bit hashes of all byte strings of ``size``, by start."""
+    whole = size // 8 * 8
+    out = grams(data, whole)[: max(0, len(data) - size + 1)]
+    for at in range(whole, size):
+        out = mix(out ^ data[at : at + len(out)].astype(np.uint64) * _ODD)
+    return out
+
+
+def candidates(data: np.ndarray, bounds: np.ndarray, ids: np.ndarray, least: int) -> np.ndarray:
+    """Which of the segments (``bounds`` in ``data``) hold a string that seems to occur under another id, by a hash of it."""
+    hashes = string_hashes(data, least)
+    starts = np.zeros(len(data) + 1, np.int64)
+    np.add.at(starts, bounds[:-1], 1)
+    np.add.at(starts, bounds[1:] - least + 1, -1)
+    at = np.flatnonzero(np.cumsum(starts[: len(hashes)]) > 0)
+    owner = np.searchsorted(bounds, at, "right") - 1
+    order = np.argsort(hashes[at])
+    h, owner = hashes[at][order], owner[order]
+    first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+    own = ids[owner]
+    several = np.minimum.reduceat(own, first) != np.maximum.reduceat(own, first)
+    out = np.zeros(len(ids), bool)
+    out[owner[np.repeat(several, np.diff(np.append(first, len(h))))]] = True
+    return out
 
 
 def _joined(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -249,7 +281,7 @@ def _pieces(docs: DataFrame, least: int) -> DataFrame:
 def _segments(docs: DataFrame, least: int) -> DataFrame:
     """Per run of open strings with one minimizer that seems shared: the bytes they cover and where they start.
 
-    The shared minimizers of a document come as the low 16 bits; a minimizer that is taken for shared by mistake
+    The shared minimizers of a document come as the low 32 bits; a minimizer that is taken for shared by mistake
     meets no other document later.
     """
 
@@ -261,7 +293,7 @@ def _segments(docs: DataFrame, least: int) -> DataFrame:
                     continue
                 free = open_starts(data, hashes, np.array(batch.column("settled")[i].as_py() or (), np.int64), least)
                 mine = minimizers(hashes, len(data), least).view(np.int64)
-                use = free & np.isin(mine.astype(np.int16), np.array(batch.column("keys")[i].as_py() or (), np.int16))
+                use = free & np.isin(mine.astype(np.int32), np.array(batch.column("keys")[i].as_py() or (), np.int32))
                 at = np.flatnonzero(use)
                 if not len(at):
                     continue
@@ -281,84 +313,164 @@ def _segments(docs: DataFrame, least: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, mark long, key long, start int, segment binary")
 
 
+_RANGES = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("segment", pa.binary())])
+
+
+def _ranges(doc: np.ndarray, mark: np.ndarray, lo: np.ndarray, hi: np.ndarray, segment: pa.Array | None = None) -> pa.RecordBatch:
+    none = pa.nulls(len(doc), pa.binary()) if segment is None else segment
+    columns = [pa.array(doc), pa.array(mark), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), none]
+    return pa.RecordBatch.from_arrays(columns, schema=_RANGES)
+
+
+def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary column end to end, and where each value begins and ends."""
+    _, offsets, data = column.buffers()
+    bounds = np.frombuffer(offsets, np.int32, len(column) + 1, column.offset * 4).astype(np.int64)
+    whole = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return whole[bounds[0] : bounds[-1]], bounds - bounds[0]
+
+
+def _transformed(rows: pa.RecordBatch, least: int) -> Iterator[pa.RecordBatch]:
+    """Ranges of the rows (sorted by key, segment, document; no segment under a larger document twice) that others hold.
+
+    Segments none of whose strings occurs elsewhere, by a hash, are left out; the others of some minimizers together make one
+    transform.
+    """
+    key, doc, mark, start = (rows.column(c).to_numpy() for c in ("key", "doc_id", "mark", "start"))
+    segment = rows.column("segment")
+    new = np.concatenate(([True], (key[1:] != key[:-1]) | pc.not_equal(segment.slice(1), segment.slice(0, len(segment) - 1)).to_numpy(zero_copy_only=False)))
+    distinct = np.flatnonzero(new)
+    which = np.cumsum(new) - 1
+    some = segment.take(pa.array(distinct))
+    wanted = candidates(*_bytes_of(some), doc[distinct], least)
+    chosen = np.flatnonzero(wanted)
+    # Transforms end between minimizers.
+    sizes = np.diff(_bytes_of(some)[1])[chosen]
+    part = np.cumsum(sizes) // GROUP_BYTES
+    keys = key[distinct[chosen]]
+    begins = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))[: len(keys)])
+    part = np.repeat(part[begins], np.diff(np.append(begins, len(keys))))
+    by_segment = np.concatenate((distinct, [len(which)]))
+    for group in np.split(chosen, np.flatnonzero(part[1:] != part[:-1]) + 1):
+        if not len(group):
+            continue
+        owner, at = repeated(some.take(pa.array(group)).to_pylist(), doc[distinct[group]], least)
+        if not len(owner):
+            continue
+        fresh = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (at[1:] > at[:-1] + least))))
+        lo, hi, owner = at[fresh], at[np.append(fresh[1:] - 1, len(at) - 1)] + least, group[owner[fresh]]
+        # Every row with the segment has the range.
+        times = (by_segment[owner + 1] - by_segment[owner]).astype(np.int64)
+        row = np.repeat(by_segment[owner] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+        lo, hi = np.repeat(lo, times), np.repeat(hi, times)
+        yield _ranges(doc[row], mark[row], start[row] + lo, start[row] + hi)
+
+
 def _expanded(segments: DataFrame, least: int) -> DataFrame:
     """Ranges of texts that smaller documents have, from segments sorted by minimizer, bytes and document.
 
-    Each task reads its minimizers one after the other.  A segment that a smaller document has goes whole and is
-    not kept; the distinct segments of some minimizers together make one transform.  A minimizer with more
-    distinct segments than ``GROUP_SEGMENTS`` is passed on as it is (``segment`` not null).
+    Each task reads its minimizers one after the other, whole batches at a time.  A segment that a smaller document has goes
+    whole and is not kept; minimizers with several distinct segments go through transforms.  A minimizer with more
+    distinct segments than ``GROUP_SEGMENTS`` is passed on as it is (``segment`` not null), to be dealt anew in smaller groups.
     """
-    names = ["doc_id", "mark", "lo", "hi", "segment"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[bytes, int, list[tuple[int, int]]]] = []
-        out: list[tuple] = []
-        key = segment = first = None
-        begin = size = 0
-        crowded = False
-
-        def expand() -> None:
-            places: dict[int, list[tuple[int, int]]] = {}
+        carry: pa.RecordBatch | None = None  # rows of the last minimizer so far; of a crowded one only its last segment
+        crowded: int | None = None
+        held: list[pa.RecordBatch] = []
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal size
             if held:
-                for i, start in repeated([h[0] for h in held], np.array([h[1] for h in held], np.int64), least):
-                    places.setdefault(i, []).append((start, start + least))
-            for i, ranges in places.items():
-                for lo, hi in _joined(ranges):
-                    out.extend((held[i][1], mark, start + lo, start + hi, None) for mark, start in held[i][2])
-
-        def written() -> pa.RecordBatch:
-            types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-            columns = zip(*out) if out else [()] * 5
-            made = pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], names=names)
-            out.clear()
-            return made
+                yield from _transformed(pa.Table.from_batches(held).combine_chunks().to_batches()[0], least)
+                held.clear()
+                size = 0
+
+        def take(batch: pa.RecordBatch, last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal carry, crowded, size
+            told = carry.num_rows if carry is not None and crowded is not None else 0
+            if carry is not None:
+                batch = pa.Table.from_batches([carry, batch]).combine_chunks().to_batches()[0]
+            key, doc = batch.column("key").to_numpy(), batch.column("doc_id").to_numpy()
+            segment = batch.column("segment")
+            n = len(key)
+            other = pc.not_equal(segment.slice(1), segment.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+            new = np.concatenate(([True], (key[1:] != key[:-1]) | other))
+            first = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+            later = doc > doc[first]
+            mark, start = batch.column("mark").to_numpy(), batch.column("start").to_numpy().astype(np.int64)
+            length = pc.binary_length(segment).to_numpy().astype(np.int64)
+            if later.any():
+                yield _ranges(doc[later], mark[later], start[later], start[later] + length[later])
+            stays = ~later
+            if crowded is not None:
+                here = stays & (key == crowded)
+                here[:told] = False
+                if here.any():
+                    yield _ranges(doc[here], mark[here], start[here], start[here] + length[here], segment.filter(pa.array(here)))
+            # Distinct segments of each minimizer.
+            number = np.cumsum(np.concatenate(([True], key[1:] != key[:-1]))) - 1
+            distinct = np.bincount(number, weights=new)
+            open_ = np.zeros(n, bool) if last else number == number[-1]
+            use = stays & ~open_ & (distinct[number] > 1)
+            if crowded is not None:
+                use &= key != crowded
+            if use.any():
+                held.append(batch.filter(pa.array(use)))
+                size += int(length[use].sum())
+            if last:
+                return
+            tail = stays & open_
+            if crowded is not None and key[-1] != crowded:
+                crowded = None
+            if crowded is None and distinct[-1] > GROUP_SEGMENTS:
+                crowded = int(key[-1])
+                yield _ranges(doc[tail], mark[tail], start[tail], start[tail] + length[tail], segment.filter(pa.array(tail)))
+            if crowded is not None:
+                tail &= first == first[-1]
+            carry = batch.filter(pa.array(tail))
 
         for batch in batches:
-            for this, data, doc, mark, start in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                if this != key:
-                    if len(held) == begin + 1:  # nothing to compare it with
-                        size -= len(held.pop()[0])
-                    if size >= GROUP_BYTES:
-                        expand()
-                        held, size = [], 0
-                    key, segment, begin, crowded = this, None, len(held), False
-                if data != segment:
-                    segment, first = data, doc
-                    if not crowded and len(held) - begin >= GROUP_SEGMENTS:
-                        crowded = True
-                        for one, owner, places in held[begin:]:
-                            out.extend((owner, m, s, s + len(one), one) for m, s in places)
-                            size -= len(one)
-                        del held[begin:]
-                    if crowded:
-                        out.append((doc, mark, start, start + len(data), data))
-                    else:
-                        held.append((data, doc, [(mark, start)]))
-                        size += len(data)
-                elif doc > first:
-                    out.append((doc, mark, start, start + len(data), None))
-                elif crowded:
-                    out.append((doc, mark, start, start + len(data), data))
-                else:
-                    held[-1][2].append((mark, start))
-            yield written()
-        if len(held) == begin + 1:
-            held.pop()
-        expand()
-        yield written()
+            if batch.num_rows:
+                yield from take(batch, False)
+                if size >= HELD_BYTES:
+                    yield from flush()
+        if carry is not None:
+            rest, carry = carry, None
+            if crowded is None:
+                yield from take(rest, True)
+        yield from flush()
 
     order = ["key", "segment", "doc_id"]
     arranged = segments.select("key", "segment", "doc_id", "mark", "start").repartition("key").sortWithinPartitions(*order)
     return arranged.mapInArrow(run, "doc_id long, mark long, lo int, hi int, segment binary")
 
 
-def _string_by_string(crowded: DataFrame, least: int) -> DataFrame:
-    """The ranges of crowded minimizers: their strings are aggregated one by one."""
-    each = crowded.withColumn("at", F.explode(F.sequence(F.lit(0), F.octet_length("segment") - least)))
-    each = each.withColumn("string", F.substring(F.col("segment"), F.col("at") + 1, F.lit(least)))
-    smallest = each.groupBy("string").agg(F.min("doc_id").alias("smallest"))
-    later = each.join(smallest, "string").where("smallest < doc_id")
-    return later.select("doc_id", "mark", (F.col("lo") + F.col("at")).alias("lo"), (F.col("lo") + F.col("at") + least).alias("hi"))
+def _narrower(crowded: DataFrame, least: int, gram: int) -> DataFrame:
+    """Crowded segments dealt anew by the least hash of longer pieces, so that fewer strings share one.
+
+    Equal strings still have equal keys.  With pieces as long as the strings, a segment is one string.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, keys, starts, bytes_ = [], [], [], []
+            for i, (lo, data) in enumerate(zip(batch.column("lo").to_pylist(), batch.column("segment").to_pylist())):
+                mine = minimizers(string_hashes(np.frombuffer(data, np.uint8), gram), len(data), least, gram).view(np.int64)
+                begin = np.flatnonzero(np.concatenate(([True], mine[1:] != mine[:-1])))
+                last = np.append(begin[1:], len(mine)) - 1
+                rows += [i] * len(begin)
+                keys += mine[begin].tolist()
+                starts += (lo + begin).tolist()
+                bytes_ += [data[s : e + least] for s, e in zip(begin.tolist(), last.tolist())]
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").take(at), batch.column("mark").take(at), pa.array(keys, pa.int64()), pa.array(starts, pa.int32()), pa.array(bytes_, pa.binary())],
+                names=["doc_id", "mark", "key", "start", "segment"],
+            )
+
+    return crowded.mapInArrow(run, "doc_id long, mark long, key long, start int, segment binary")
 
 
 def _merged(ranges: DataFrame) -> DataFrame:
@@ -393,15 +505,19 @@ def suffix_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", least
     many = settled.agg(F.sum(F.size("settled"))).first()[0] or 0
     free = attach(narrow, settled, by, "left", 64, 8 * many)
     shared = _pieces(free, least).repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(_shared, "key long, doc_id long")
-    # The low 16 bits, sign and all, of the key.
-    low = F.shiftright(F.shiftleft(F.col("key"), 48), 48).cast("short")
+    # The low 32 bits, sign and all, of the key.
+    low = F.shiftright(F.shiftleft(F.col("key"), 32), 32).cast("int")
     keys = stage(shared.groupBy("doc_id").agg(F.collect_set(low).alias("keys")), "shared-pieces")
     found = keys.agg(F.sum(F.size("keys"))).first()[0] or 0
-    segments = _segments(attach(free, keys, "doc_id", "inner", 48, 2 * found), least)
+    segments = _segments(attach(free, keys, "doc_id", "inner", 48, 4 * found), least)
     ranges = stage(_expanded(segments, least), "ranges")
     plain, crowded = ranges.where("segment IS NULL").drop("segment"), ranges.where("segment IS NOT NULL")
-    if not crowded.isEmpty():
-        plain = plain.union(_string_by_string(crowded, least))
+    # Strings of a crowded minimizer are dealt by ever longer pieces, in the end by themselves.
+    for gram in sorted({min(2 * GRAM, least), min(3 * GRAM, least), least}):
+        if crowded.isEmpty():
+            break
+        ranges = stage(_expanded(_narrower(crowded, least, gram), least), "ranges")
+        plain, crowded = plain.union(ranges.where("segment IS NULL").drop("segment")), ranges.where("segment IS NOT NULL")
     marks = stage(settled.join(_merged(plain), by, "full").withColumnsRenamed({"doc_id": "__id", "mark": "__mark"}), "removals")
     listed = marks.agg(F.sum(F.greatest(F.size("ranges"), F.lit(0)))).first()[0] or 0
     rows = attach(marked, marks, ["__id", "__mark"], "left", 96, 8 * many + 4 * listed).select(*columns, "__text", "settled", "ranges")

@@ -179,12 +179,36 @@ def test_suffix_dedup(spark, byte_texts):
 
 
 def test_suffix_dedup_of_crowded_minimizers(spark, byte_texts, monkeypatch):
-    """The aggregate of single strings gives what the transforms give."""
-    monkeypatch.setattr(suffix_dedup, "GROUP_SEGMENTS", 3)
+    """Segments of crowded minimizers are dealt anew by longer pieces and then go the same way."""
+    monkeypatch.setattr(suffix_dedup, "GROUP_SEGMENTS", 1)
+    monkeypatch.setattr(suffix_dedup, "HELD_BYTES", 500)
+    monkeypatch.setattr(suffix_dedup, "GROUP_BYTES", 300)
     docs = spark.createDataFrame(byte_texts, "doc_id long, text string")
     assert removed(suffix_dedup.suffix_dedup(docs)) == plain_removal(byte_texts)
 
 
+def test_suffix_dedup_of_one_minimizer_in_many_segments(spark):
+    """One short piece in 30,000 documents, in different surroundings; a few strings are repeated around it."""
+    r = random.Random(2)
+    piece = "=THE SAME PIECE="
+    rows = [(i, "".join(r.choices("abcdefgh", k=60)) + piece + "".join(r.choices("ijklmnop", k=60))) for i in range(30_000)]
+    rows += [(40_000 + i, "#" + rows[7 * i][1][20:120] + "#") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert removed(suffix_dedup.suffix_dedup(docs)) == plain_removal(rows)
+
+
+def test_suffix_dedup_of_a_very_long_text(spark):
+    import time
+
+    r = random.Random(6)
+    long = " ".join("".join(r.choices("abcdefghij", k=r.randint(2, 9))) for _ in range(900_000))
+    rows = [(1, long), (2, "so " + long[4_000_000:4_000_400] + " it ends"), (3, "nothing of it is here, however long one looks for it in the text")]
+    start = time.perf_counter()
+    found = {row[0]: tuple(row)[1:] for row in removed(suffix_dedup.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string")))}
+    assert found[1][1] == 0 and found[2][1] == 400 and found[3][1] == 0
+    assert time.perf_counter() - start < 120
+
+
 def test_suffix_dedup_repeated_and_null_ids(spark):
     text, other = "0123456789" * 7, "abcdefghij" * 9
     rows = [(4, text), (4, text), (4, other), (None, text), (2, other + "!"), (9, text + other)]
