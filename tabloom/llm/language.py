@@ -32,6 +32,8 @@ class Settings:
     buckets: int = 1 << 14
     ridge: float = 1e-2
     sharpness: float = 5.0
+    #: A text is unlike all learned ones if it has less than this share of the known n-grams of the least typical of them.
+    margin: float = 0.8
     rows_per_block: int = 256
 
 
@@ -64,6 +66,11 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.sqrt(np.maximum(rows.sum(axis=1, keepdims=True), 1))
 
 
+def _known(grams: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """The share of each text's n-grams that are among those held."""
+    return grams[:, held].sum(axis=1) / np.maximum(grams.sum(axis=1), 1)
+
+
 def fit(sample: pd.DataFrame, settings: Settings) -> bytes:
     """Landmarks and one-against-rest coefficients from ``text`` and ``__label``."""
     labels = sorted(sample["__label"].unique())
@@ -72,7 +79,12 @@ def fit(sample: pd.DataFrame, settings: Settings) -> bytes:
     )
     which = sample["__label"].to_numpy()
     each = -(-settings.landmarks // len(labels))
-    marks = units[np.concatenate([np.flatnonzero(which == label)[:each] for label in labels])[: settings.landmarks]]
+    chosen = np.concatenate([np.flatnonzero(which == label)[:each] for label in labels])[: settings.landmarks]
+    marks = units[chosen]
+    # N-grams of an eighth of the landmarks, and how few of them the other texts of the sample have.
+    held = (marks > 0).sum(axis=0) >= max(1.0, len(marks) / 8)
+    others = np.delete(units, chosen, axis=0)
+    floor = settings.margin * _known(others > 0, held).min() if len(others) else 0.0
     values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
     root = vectors / np.sqrt(np.maximum(values, 1e-6))
     features = np.column_stack([(units @ marks.T).astype(np.float64) @ root, np.ones(len(units))])
@@ -82,7 +94,7 @@ def fit(sample: pd.DataFrame, settings: Settings) -> bytes:
     gram = features.T @ (features * weight[:, None]) + settings.ridge * np.eye(features.shape[1]) / len(units)
     answer = np.linalg.solve(gram, features.T @ (wanted * weight[:, None]))
     return pack(
-        marks=marks > 0, norms=np.sqrt((marks > 0).sum(axis=1)).astype(np.float32), coefficients=root @ answer[:-1], bias=answer[-1], labels=np.array(labels)
+        held=held, floor=np.array(floor), marks=marks > 0, norms=np.sqrt((marks > 0).sum(axis=1)).astype(np.float32), coefficients=root @ answer[:-1], bias=answer[-1], labels=np.array(labels)
     )
 
 
@@ -97,34 +109,39 @@ def learn(docs: DataFrame, text: str, key: str, lang: str, settings: Settings =
 def identify(
     docs: DataFrame, text: str = "text", key: str = "doc_id", lang: str = "lang", keep: tuple[str, ...] | None = None, settings: Settings = Settings()
 ) -> DataFrame:
-    """The ``keep`` columns (default: all) with ``lang_pred`` and ``lang_score`` (0 to 1).
+    """The ``keep`` columns (default: all) with ``lang_pred``, ``lang_score`` and ``lang_known`` (0 to 1).
 
-    A null text, one without a letter, or any text when nothing could be learned is ``und`` with score 0.
+    ``lang_known`` is 1 for a text whose n-grams are as common among the landmarks as those of learned texts are, and less for a
+    script or language of which nothing was learned, whichever learned one it is nearest to.  A null text, one without a letter, or any text when nothing could be
+    learned is ``und`` with score 0 and nothing known.
     Ids repeated with other texts are rows of their own.  Languages with equal scores: the first by name.
     Columns named like the results are replaced.
     """
     model = learn(docs, text, key, lang, settings)
-    kept = [c for c in (keep or docs.columns) if c not in ("lang_pred", "lang_score")]
+    kept = [c for c in (keep or docs.columns) if c not in ("lang_pred", "lang_score", "lang_known")]
     rows = docs.select(*kept, F.col(text).alias("__text"), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("__letters"))
-    schema = T.StructType([*rows.schema.fields[:-2], T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
+    found = [T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType()), T.StructField("lang_known", T.DoubleType())]
+    schema = T.StructType([*rows.schema.fields[:-2], *found])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = unpack(model) if model else None
         for batch in batches:
             n = batch.num_rows
-            named, sure = np.full(n, UNKNOWN, object), np.zeros(n)
+            named, sure, known = np.full(n, UNKNOWN, object), np.zeros(n), np.zeros(n)
             if parts:
                 marks = (parts["marks"] / parts["norms"][:, None]).astype(np.float32).T
                 for block in blocks(batch.column("__text"), most=settings.rows_per_block):
-                    margin = (_unit(presence(block, settings)) @ marks) @ parts["coefficients"] + parts["bias"]
+                    grams = presence(block, settings)
+                    known[block.rows] = np.minimum(_known(grams, parts["held"]) / max(float(parts["floor"]), 1e-9), 1.0)
+                    margin = (_unit(grams) @ marks) @ parts["coefficients"] + parts["bias"]
                     share = np.exp(settings.sharpness * (margin - margin.max(axis=1, keepdims=True)))
                     share /= share.sum(axis=1, keepdims=True)
                     named[block.rows] = parts["labels"][margin.argmax(axis=1)]
                     sure[block.rows] = share.max(axis=1)
                 blank = ~batch.column("__letters").to_numpy(zero_copy_only=False).astype(bool)
-                named[blank], sure[blank] = UNKNOWN, 0.0
+                named[blank], sure[blank], known[blank] = UNKNOWN, 0.0, 0.0
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in kept], pa.array(named, pa.string()), pa.array(sure)], names=[*kept, "lang_pred", "lang_score"]
+                [*[batch.column(c) for c in kept], pa.array(named, pa.string()), pa.array(sure), pa.array(known)], names=[*kept, "lang_pred", "lang_score", "lang_known"]
             )
 
     return rows.mapInArrow(score, schema)

@@ -57,6 +57,22 @@ def test_language(spark, docs, empty):
     assert {(r.lang_pred, r.lang_score) for r in unlabelled} == {("und", 0.0)}
 
 
+def test_unlearned_scripts_are_told_from_clean_documents(spark):
+    """Greek and Cyrillic, of which nothing is learned, go in the pipeline's stage; no clean document does, held out or not."""
+    clean = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", "lang")
+    odd = ["Ελληνικά γράμματα εδώ και τώρα", "Привет мир, как дела сегодня, всё ли хорошо", "Ωραία μέρα σήμερα στην πόλη. " * 40]
+    docs = clean.unionByName(spark.createDataFrame([(10**7 + i, t, None) for i, t in enumerate(odd)], clean.schema))
+    known = {r.doc_id: r.lang_known for r in identify(docs).collect()}
+    assert all(known[10**7 + i] < 1 for i in range(len(odd)))
+    assert all(k == 1 for i, k in known.items() if i < 10**7)
+    left = {r.doc_id for r in corpus_pipeline.language(spark, docs, SMALL).collect()}
+    assert left == {i for i in known if i < 10**7}
+    # Where nothing was learned, only what has no letter goes.
+    unlabelled = spark.createDataFrame([(1, "abc", None), (2, "123", None), (3, None, None)], clean.schema)
+    assert [r.doc_id for r in corpus_pipeline.language(spark, unlabelled, SMALL).collect()] == [1]
+    assert corpus_pipeline.language(spark, clean.limit(0), SMALL).count() == 0
+
+
 def test_toxicity(spark, docs, empty):
     bad = "The clown was a stupid loser and an idiot. Nothing else here."
     made = [(10_000 + i, f"Is and the of then {i}. {bad if i % 2 else 'Anly thnt was there. Nothing else here.'} On the in.", "en", "s", 1) for i in range(400)]
@@ -322,4 +338,4 @@ def test_pipeline(spark):
 
 
 def test_every_query_is_registered():
-    assert [int(re.match(r"op(\d+)_", n).group(1)) for n in QUERIES] == [1, 2, 3, 4, 5, 6, 7, 8, 9, 10]
+    assert [int(re.match(r"op(\d+)_", n).group(1)) for n in QUERIES] == list(range(1, 14))

@@ -202,7 +202,7 @@ def test_suffix_dedup_of_a_very_long_text(spark):
 
     r = random.Random(6)
     long = " ".join("".join(r.choices("abcdefghij", k=r.randint(2, 9))) for _ in range(900_000))
-    rows = [(1, long), (2, "so " + long[4_000_000:4_000_400] + " it ends"), (3, "nothing of it is here, however long one looks for it in the text")]
+    rows = [(1, long), (2, "SO#" + long[4_000_000:4_000_400] + "#IT ENDS"), (3, "nothing of it is here, however long one looks for it in the text")]
     start = time.perf_counter()
     found = {row[0]: tuple(row)[1:] for row in removed(suffix_dedup.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string")))}
     assert found[1][1] == 0 and found[2][1] == 400 and found[3][1] == 0
