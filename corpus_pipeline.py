@@ -26,14 +26,17 @@ def _like(docs: DataFrame) -> list[str]:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the labelled ones have; null texts and texts without letters go.
+    """Documents in a language that the labelled ones have, as the classifier tells.
 
-    Where nothing could be learned, because no document has a language, nothing is rejected but those.
+    It rejects null texts and those without a letter (``und``), and texts that hold fewer known n-grams than any it learned from,
+    as those in another script do.  Where nothing could be learned, because no document has a language, documents with a
+    letter stay.
     """
     kept = _like(docs)
-    readable = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    found = identify(docs.select(*kept).where(readable))
-    return found.where((F.col("lang_pred") != UNKNOWN) | (F.col("lang_score") == 0)).select(*kept)
+    found = identify(docs.select(*kept))
+    if found.where(F.col("lang_pred") != UNKNOWN).isEmpty():
+        return docs.select(*kept).where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("lang_known") >= 1)).select(*kept)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
