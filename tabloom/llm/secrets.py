@@ -20,12 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..staging import stage
 from .common import BLOCK_BYTES, attach, blocks, first_ids, fitted, pack, unpack, words
 
 
 @dataclass(frozen=True)
 class Settings:
-    """``fit_documents`` bounds the documents whose findings are learned from; every document is scanned whole.
+    """``fit_documents`` bounds the documents whose findings are learned from, of up to ``fit_length`` bytes; every document is scanned whole.
 
     ``least`` is the length of runs that nothing names; ``made_up`` the least number of made-up assignments.
     """
@@ -33,6 +34,7 @@ class Settings:
     least: int = 12
     made_up: int = 800
     fit_documents: int = 4000
+    fit_length: int = 1 << 16
     trees: int = 25
     depth: int = 8
     least_leaf: int = 3
@@ -56,13 +58,14 @@ NAMES = ("length", "digits", "upper", "hex", "entropy", "changes", "transition",
 
 @dataclass
 class Candidate:
-    """A run of a text: byte span, its text and what stands around it."""
+    """A run of a text: byte span, its text and what stands around it, and the code point it begins at."""
 
     start: int
     end: int
     value: str
     before: str
     after: str
+    point: int = 0
     #: How it is named: "quoted", "plain" or "url"; "part" of such a value; or not at all.
     named: str = ""
 
@@ -88,6 +91,7 @@ def candidates(texts: pa.Array, settings: Settings) -> Iterator[tuple[int, Candi
         begins, ends, owner, _ = words(block, lower=False, inside=_INSIDE)
         digit = np.concatenate(([0], np.cumsum((block.data >= 48) & (block.data <= 57))))
         use = np.flatnonzero((ends - begins >= settings.least) & (digit[ends] > digit[begins]))
+        points = np.concatenate(([0], np.cumsum((block.data & 0xC0) != 0x80)))
         data = block.data.tobytes()
         runs: dict[int, list[int]] = {}
         for i in use:
@@ -96,13 +100,17 @@ def candidates(texts: pa.Array, settings: Settings) -> Iterator[tuple[int, Candi
             lo, hi = int(block.bounds[d]), int(block.bounds[d + 1])
             text = data[lo:hi]
             spans = _named(text)
-            values = list(spans)
-            for i in runs.get(d, ()):
-                b, e = int(begins[i]) - lo, int(ends[i]) - lo
-                spans.setdefault((b, e), "part" if any(x <= b and e <= y for x, y in values) else "")
+            if d in runs:
+                # Where values begin, in order, and how far those that begin up to there reach.
+                values = np.array(sorted(spans), np.int64).reshape(-1, 2)
+                reach = np.concatenate(([-1], np.maximum.accumulate(values[:, 1])))
+                b, e = begins[runs[d]] - lo, ends[runs[d]] - lo
+                inside = reach[np.searchsorted(values[:, 0], b, "right")] >= e
+                for span, part in zip(zip(b.tolist(), e.tolist()), inside):
+                    spans.setdefault(span, "part" if part else "")
             for (b, e), named in sorted(spans.items()):
                 before, after = text[max(0, b - 48) : b].decode("utf-8", "replace"), text[e : e + 48].decode("utf-8", "replace")
-                yield block.rows.start + d, Candidate(b, e, text[b:e].decode(), before, after, named)
+                yield block.rows.start + d, Candidate(b, e, text[b:e].decode(), before, after, int(points[lo + b] - points[lo]), named)
 
 
 def known(c: Candidate) -> float:
@@ -264,12 +272,14 @@ def secrets(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str
     Only findings with a score of ``sure`` or more are returned.  A null or empty text has none.  If the sample
     holds no finding of either label, the labelling rules alone decide (score 1; what they leave open is found unless it
     is a bare word).  A run inside a value that is found is not reported again.  Rows that repeat an id are
-    scanned one by one.
+    scanned one by one.  The work in a text grows with its length and its findings, not with their product.
     """
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), (F.col(path).cast("string") if path else F.lit("")).alias("path"), F.col(text).alias("text"))
-    likely = rows.where(F.col("doc_id").isNotNull() & F.col("text").rlike(f"[0-9][A-Za-z0-9+/_-]{{6}}|{_NAME}[ \\t]*[=:]|://[^ /@]+@"))
-    ids = first_ids(likely, "doc_id", settings.fit_documents, 9).withColumnRenamed("k", "doc_id")
-    model = fitted(attach(likely, ids, "doc_id", "inner", 16).select("doc_id", "path", "text"), lambda part: fit(part, settings))
+    short = rows.where(F.octet_length("text") <= settings.fit_length)
+    likely = short.where(F.col("doc_id").isNotNull() & F.col("text").rlike(f"[0-9][A-Za-z0-9+/_-]{{6}}|{_NAME}[ \\t]*[=:]|://[^ /@]+@"))
+    # The expression is dear: one scan with it, and the sample is drawn from the ids that it leaves.
+    ids = first_ids(stage(likely.select("doc_id"), "likely"), "doc_id", settings.fit_documents, 9).withColumnRenamed("k", "doc_id")
+    model = fitted(attach(short, ids, "doc_id", "inner", 16).select("doc_id", "path", "text"), lambda part: fit(part, settings))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = unpack(model) if model else None
@@ -292,10 +302,7 @@ def secrets(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str
                     keep.append(k)
                 if c.named not in ("", "part"):
                     last = (i, c.end)
-            starts = []
-            for k in keep:
-                i, c = found[k]
-                starts.append(len(column[i].as_py().encode()[: c.start].decode()))
+            starts = [found[k][1].point for k in keep]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").take(pa.array([found[k][0] for k in keep], pa.int64())),
