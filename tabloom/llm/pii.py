@@ -10,8 +10,10 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -29,13 +31,15 @@ LABELS = len(KINDS) + 1
 
 @dataclass(frozen=True)
 class Settings:
-    """``fit_documents`` bounds the learning sample; every document is labelled whole.
+    """``fit_documents`` bounds the learning sample, of texts of up to ``fit_length`` bytes; every document is labelled whole.
 
-    Messages pass until none changes by more than ``settled``; ``rounds`` only ends those that never settle.
+    Messages of a document pass until none changes by more than ``settled``, whatever its neighbours in a batch do; a
+    document that never settles stands as it is after ``rounds``.
     ``alike`` is the starting weight between two tokens that resemble each other.
     """
 
     fit_documents: int = 3000
+    fit_length: int = 1 << 16
     buckets: int = 1 << 12
     steps: int = 80
     rate: float = 0.3
@@ -190,7 +194,10 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
 
 
 def _beliefs(g: Graph, unary: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]], settings: Settings) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Loopy sum-product: marginals of the nodes, and of the ends of each kind of edge."""
+    """Loopy sum-product: marginals of the nodes, and of the ends of each kind of edge.
+
+    Edges begin at tokens and stay in one document; a document's messages rest once all of them have settled.
+    """
     there = [np.zeros((len(e), LABELS)) for e, _ in pairs]
     back = [np.zeros((len(e), LABELS)) for e, _ in pairs]
 
@@ -201,17 +208,24 @@ def _beliefs(g: Graph, unary: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarr
             np.add.at(out, edges[:, 0], b)
         return out
 
+    document = np.array(g.document, np.int64)
+    owner = [document[e[:, 0]] for e, _ in pairs]
+    moving = np.ones(int(document.max(initial=-1)) + 1, bool)
     for _ in range(settings.rounds):
         now = total()
-        moved = 0.0
+        moved = np.zeros(len(moving), bool)
         for k, (edges, potential) in enumerate(pairs):
-            if len(edges):
-                a = _log_sum((now[edges[:, 0]] - back[k])[:, :, None] + potential[None], 1)
-                b = _log_sum((now[edges[:, 1]] - there[k])[:, None, :] + potential[None], 2)
+            use = np.flatnonzero(moving[owner[k]])
+            if len(use):
+                left, right = edges[use].T
+                a = _log_sum((now[left] - back[k][use])[:, :, None] + potential[None], 1)
+                b = _log_sum((now[right] - there[k][use])[:, None, :] + potential[None], 2)
                 a, b = a - _log_sum(a, 1)[:, None], b - _log_sum(b, 1)[:, None]
-                moved = max(moved, np.abs(a - there[k]).max(), np.abs(b - back[k]).max())
-                there[k], back[k] = a, b
-        if moved <= settings.settled:
+                step = np.maximum(np.abs(a - there[k][use]).max(axis=1), np.abs(b - back[k][use]).max(axis=1))
+                moved[owner[k][use[step > settings.settled]]] = True
+                there[k][use], back[k][use] = a, b
+        moving &= moved
+        if not moving.any():
             break
     now = total()
     ends = []
@@ -229,11 +243,12 @@ def _labels(g: Graph, texts: list[str]) -> np.ndarray:
     for i, d in enumerate(g.document):
         nodes.setdefault(d, []).append(i)
     for d, own in nodes.items():
+        # Tokens stand in order and apart, so those that a match overlaps follow each other.
+        starts, ends = ([g.spans[i][side] for i in own] for side in (0, 1))
+        base = base_spans(texts[d])
         for k, kind in enumerate(KINDS):
-            for start, end in base_spans(texts[d])[kind]:
-                for i in own:
-                    if g.spans[i][0] < end and start < g.spans[i][1]:
-                        out[i] = k + 1
+            for start, end in base[kind]:
+                out[own[0] + bisect_right(ends, start) : own[0] + bisect_left(starts, end)] = k + 1
     return out
 
 
@@ -294,6 +309,9 @@ def _added(g: Graph, p: np.ndarray, texts: list[str], base: list[dict[str, list[
                 runs[-1].append(i)
             else:
                 runs.append([i])
+    # Per document, where matches begin, in order, and how far those that begin up to there reach.
+    matches = [sorted(s for spans in b.values() for s in spans) for b in base]
+    reach = [list(accumulate((end for _, end in m), max, initial=-1)) for m in matches]
     for run in runs:
         d, kind = g.document[run[0]], KINDS[best[run[0]] - 1]
         start, end = g.spans[run[0]][0], g.spans[run[-1]][1]
@@ -302,7 +320,7 @@ def _added(g: Graph, p: np.ndarray, texts: list[str], base: list[dict[str, list[
             start += 1
         while end > start and not text[end - 1].isalnum():
             end -= 1
-        if start < end and not any(s < end and start < e for spans in base[d].values() for s, e in spans):
+        if start < end and reach[d][bisect_left(matches[d], (end,))] <= start:
             out[d][kind].append((start, end))
     return out
 
@@ -310,10 +328,10 @@ def _added(g: Graph, p: np.ndarray, texts: list[str], base: list[dict[str, list[
 def personal_data(docs: DataFrame, text: str = "text", key: str = "doc_id", keep: tuple[str, ...] | None = None, settings: Settings = Settings()) -> DataFrame:
     """The ``keep`` columns (default: all) with ``pii``: spans of kind, start and end (code points), and whether a pattern found it.
 
-    Spans are ordered by kind as in ``KINDS``, then start.  A null or empty text has none.  Without a learning
-    sample only the patterns are used.  A column named ``pii`` is replaced.
+    Spans are ordered by kind as in ``KINDS``, then start.  A null or empty text has none.  What a text gets
+    does not depend on the rows beside it.  Without a learning sample only the patterns are used.  A column named ``pii`` is replaced.
     """
-    hinted = docs.where(F.col(key).isNotNull() & F.col(text).rlike("[0-9@+]"))
+    hinted = docs.where(F.col(key).isNotNull() & (F.octet_length(text) <= settings.fit_length) & F.col(text).rlike("[0-9@+]"))
     ids = first_ids(hinted, key, settings.fit_documents, 5)
     sample = attach(hinted.select(F.col(key).alias("k"), F.col(text).alias("text")), ids, "k", "inner", 16)
     model = fitted(sample.select("k", "text"), lambda rows: fit(rows, settings))
