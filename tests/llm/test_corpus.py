@@ -1,6 +1,7 @@
 """Classifiers, scans, sharding, mixing, decontamination and the pipeline."""
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -151,6 +152,78 @@ def test_likeness_reaches_all_repeats():
     assert len(g.skip) == 33 and g.hubs == 2
 
 
+def test_spans_do_not_depend_on_the_batch(spark):
+    """Each text alone and all together, in any partitioning; a text of many tokens beside short ones."""
+    r = random.Random(12)
+    number = lambda: f"{r.randint(200, 999)}-{r.randint(200, 999)}-{r.randint(1000, 9999)}"
+    texts = []
+    for i in range(150):
+        a, b = number(), number()
+        texts.append(f"Call +1 {a} or {b} then {b} id {r.randint(0, 10**15)} and 10.0.0.{i} mail{i}@x.example.com, " + f"again {a} " * r.randint(0, 40))
+    model = pii.unpack(pii.fit(pii.pd.DataFrame({"text": texts}), pii.Settings()))
+
+    def beliefs(some):
+        g = pii.graph(some, pii.Settings())
+        p, _ = pii._beliefs(g, g.unary(model["w"]), [(g.chain, model["chain"]), (g.skip, model["skip"])], pii.Settings())
+        return [p[[k for k, d in enumerate(g.document) if d == n]].tolist() for n in range(len(some))]
+
+    assert beliefs(texts) == [beliefs([t])[0] for t in texts]
+    rows = spark.createDataFrame(list(enumerate([*texts, "12 " * 60_000])), "doc_id long, text string")
+    got = [sorted(map(str, personal_data(rows.repartition(n)).collect())) for n in (1, 7)]
+    assert got[0] == got[1] and "pattern=False" in str(got[0])
+
+
+def plain_candidates(text, least=12):
+    """Spans and whether they are named, read off the text one by one."""
+    name = r"(?i:token|password|passwd|passphrase|pwd|secret|(?:api|access|secret|private)[_-]?key)[\"']?[ \t]*[=:]+>?[ \t]*"
+    spans = {}
+    for m in re.finditer(name + r"(?:\"([^\"\r\n]+)\"|'([^'\r\n]+)'|([^\s\"']\S*))", text, re.A):
+        k = next(k for k in (1, 2, 3) if m[k] is not None)
+        a, b = m.start(k), m.start(k) + (len(m[3].rstrip(",;.)]}>\"'")) if k == 3 else len(m[k]))
+        if a < b:
+            spans[a, b] = "plain" if k == 3 else "quoted"
+    for m in re.finditer(r"://(?:[^\s/:@]*:([^\s/@]+)|([^\s/:@]+))@", text, re.A):
+        spans[m.span(1 if m[1] is not None else 2)] = "url"
+    named = list(spans)
+    for m in re.finditer("[A-Za-z0-9+/_-]+", text):
+        if len(m[0]) >= least and re.search("[0-9]", m[0]):
+            spans.setdefault(m.span(), "part" if any(a <= m.start() and m.end() <= b for a, b in named) else "")
+    return sorted((a, b, n) for (a, b), n in spans.items())
+
+
+def test_candidates_are_the_plain_ones():
+    r = random.Random(13)
+    parts = ["password = ", "token=", '"', "'", "abc123def456ghi", "é", " ", "x", "0123456789abcdef/", "://", "u:p4ss@", "\n", "secret: ", "=", "日本", "q.,;"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 25))) for _ in range(1500)]
+    texts += ["", 'password = "' + "a1b2c3d4e5f6 " * 500 + '"', "token='" + "é1234567890ab" * 400]
+    got = [[] for _ in texts]
+    for i, c in secrets.candidates(secrets.pa.array(texts), secrets.Settings()):
+        assert texts[i][c.point : c.point + len(c.value)] == c.value
+        got[i].append((c.point, c.point + len(c.value), c.named))
+    assert [sorted(g) for g in got] == [plain_candidates(t) for t in texts]
+
+
+def test_secrets_of_long_texts_repeats_and_clashing_names(spark):
+    """A text of 2 MB with 16,000 findings takes seconds; rows that repeat are scanned one by one; other columns stay out."""
+    r = random.Random(14)
+    value = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n))
+    texts = [f'and then token = "{value(40)}" was the key of it' for _ in range(60)]
+    texts += [f"Licensed to nobody-in-particular{i} in chapter2of{i}thousand words é" for i in range(60)]
+    long = "".join(f'é then the token = "{value(40)}" and so on, as ordinary words go, with no end; ' for _ in range(16_000))
+    rows = [(i, t, i, i, 2.0) for i, t in enumerate(texts)] + [(5, texts[5], 0, 0, 1.0)] * 2 + [(7, texts[8], 0, 0, 1.0), (900, long, 0, 0, 0.0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, start int, end int, score double")
+    begun = time.monotonic()
+    found = secrets.secrets(docs).collect()
+    assert time.monotonic() - begun < 60
+    of = lambda i: sorted((f.start, f.end) for f in found if f.doc_id == i)
+    want = [m.span(1) for m in re.finditer('token = "([0-9a-f]{40})"', long)]
+    assert of(900) == want and len(want) == 16_000
+    assert of(5) == [re.search("[0-9a-f]{40}", texts[5]).span()] * 3 and len(of(7)) == 2
+    assert set(found[0].asDict()) == {"doc_id", "start", "end", "score"}
+    # Equal findings have equal scores.
+    assert len({f.score for f in found if f.doc_id == 5}) == 1
+
+
 def test_secrets(spark, docs, empty):
     r = random.Random(6)
     value = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n))
