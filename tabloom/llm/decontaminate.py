@@ -6,11 +6,14 @@ passages, found by a randomised SVD whose products are sums over Spark partition
 step, which lie whole inside some passage wherever an item begins.  A passage whose cosine with a piece is high enough,
 and which holds enough of the piece's weight, makes the piece's item a candidate; the longest common subsequence with
 the whole item, and with its closing words (the answer), then decides.
+
+A passage much longer than an item drowns it, so short items are searched by shorter steps, in a space of their own.
 """
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from math import isqrt
 
 import numpy as np
 import pandas as pd
@@ -24,8 +27,12 @@ from .common import Block, blocks, mix, words
 
 @dataclass(frozen=True)
 class Settings:
-    """A passage is two steps of words."""
+    """A passage is two steps of words; an item takes the longest of ``steps`` that is under twice its words.
+
+    ``buckets`` and ``rank`` are the least; both grow with the words and passages of the benchmark.
+    """
 
+    steps: tuple[int, ...] = (24, 8, 2)
     step: int = 24
     buckets: int = 1 << 14
     rank: int = 192
@@ -37,12 +44,16 @@ class Settings:
     partly: float = 0.65
     answer: float = 0.6
     answer_share: float = 0.25
-    item_bytes: int = 16 << 20
+    item_bytes: int = 8 << 20
 
 
 _INSIDE = np.zeros(256, bool)
 _INSIDE[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _BLOCK = 1 << 18
+#: The same characters, for the JVM.
+_WORD = r"[0-9A-Za-z[^\x00-\x7F]]+"
+#: Searches that one plan holds; each keeps its space in a Python worker.
+_STACKED = 3
 #: Pieces that are compared with a block of passages at once.
 _SLICE = 1 << 12
 
@@ -220,37 +231,58 @@ def decontaminate(
     A document is contaminated if it holds ``alike`` of an item's words in order, or ``partly`` of them and
     ``answer`` of the closing words.  ``leaked_item`` is the item of which it holds the largest share (ties: the
     smallest id), among the items that its passages resemble.  Null and wordless texts are clean, null and
-    wordless items are ignored.  A benchmark beyond ``item_bytes`` is searched in parts.
+    wordless items are ignored.  A benchmark beyond ``item_bytes`` is searched in parts, each with its own space.
     """
     names = ["contaminated", "leaked_item", "leaked_share"]
     kept = [c for c in (keep or docs.columns) if c not in names]
-    rows = docs.select(*kept, F.col(text).alias("__text"))
-    items = stage(benchmark.select(F.col(item_key).cast("long").alias("item"), F.col(item_text).alias("text")).where("item IS NOT NULL AND text IS NOT NULL"), "items")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    found = docs.select(
+        *kept,
+        F.col(text).alias("__text"),
+        F.lit(False).alias("contaminated"),
+        F.lit(None).cast("long").alias("leaked_item"),
+        F.lit(0.0).alias("leaked_share"),
+    )
+    n_words = F.size(F.regexp_extract_all("text", F.lit(_WORD), 0))
+    scales = sorted(settings.steps, reverse=True)
+    step = F.coalesce(*[F.when(2 * F.col("words") > s, s) for s in scales], F.lit(scales[-1]))
+    items = benchmark.select(F.col(item_key).cast("long").alias("item"), F.col(item_text).alias("text")).where("item IS NOT NULL AND text IS NOT NULL")
+    items = stage(items.withColumn("words", n_words).where("words > 0").withColumn("step", step), "items")
+    sizes = items.groupBy("step").agg(F.sum(F.octet_length("text")).alias("size"), F.sum("words").alias("words")).collect()
+
+    searches = 0
+    for scale in sorted(sizes, key=lambda r: -r.step):
+        here = items.where(F.col("step") == scale.step)
+        width = max(settings.buckets, 1 << (2 * min(scale.words, settings.item_bytes // 4) - 1).bit_length())
+        now = replace(settings, step=scale.step, buckets=width)
+        seen, n = frequencies(docs.select(F.col(text)), now)
+        parts = -(-scale.size // settings.item_bytes)
+        for part in range(parts):
+            of_part = here.where(F.pmod(F.xxhash64("item"), F.lit(parts)) == part).orderBy("item").select("item", "text")
+            if searches and searches % _STACKED == 0:
+                found = stage(found, "searched")
+            # Each search improves on what those before it found.
+            found = _searched(found, kept, of_part, seen, n, now)
+            searches += 1
+    return found.select(*kept, *names)
 
-    seen, n = frequencies(docs.select(F.col(text)), settings)
+
+def _space(items: DataFrame, seen: np.ndarray, n: int, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """Weighted vector of each used bucket in the space of these items, and the vector's row (or -1) of every bucket."""
     in_items, m = frequencies(items.select("text"), settings)
     # A leak makes an item's words common in the texts, but not among the items.
     idf = np.maximum(np.log((n + 1.0) / (seen + 1.0)), np.log((m + 1.0) / (in_items + 1.0))) + 1e-3
     used = np.flatnonzero(in_items > 0)
-    row = np.full(settings.buckets, -1)
+    row = np.full(settings.buckets, -1, np.int32)
     row[used] = np.arange(len(used))
-    weights = None
-    if len(used):
-        weights = (idf[used][:, None] * latent_space(items.select("text"), idf[used], row, settings)).astype(np.float32)
-
-    found = rows.withColumns({"contaminated": F.lit(False), "leaked_item": F.lit(None).cast("long"), "leaked_share": F.lit(0.0)})
-    parts = max(1, -(-size // settings.item_bytes))
-    for part in range(parts if len(used) else 0):
-        of_part = items.where(F.pmod(F.xxhash64("item"), F.lit(parts)) == part).orderBy("item").collect()
-        # Each part improves on what the parts before it found.
-        found = _searched(found, kept, [(r[0], r[1]) for r in of_part], weights, row, settings)
-    return found.select(*kept, *names)
+    settings = replace(settings, rank=max(settings.rank, 2 * isqrt(m)))
+    return (idf[used][:, None] * latent_space(items.select("text"), idf[used], row, settings)).astype(np.float32), row
 
 
-def _searched(rows: DataFrame, kept: list[str], items: list[tuple[int, str]], weights: np.ndarray, row: np.ndarray, settings: Settings) -> DataFrame:
+def _searched(rows: DataFrame, kept: list[str], items: DataFrame, seen: np.ndarray, n: int, settings: Settings) -> DataFrame:
+    weights, row = _space(items, seen, n, settings)
     numbers, contents, vectors, owners = [], [], [], []
-    for number, words_of in items:
+    # One part of the items, of at most about ``item_bytes``.
+    for number, words_of in items.collect():
         for block in blocks(pa.array([words_of], pa.string())):
             found = steps(block, settings.step)
             if len(found.hashes):
@@ -264,20 +296,28 @@ def _searched(rows: DataFrame, kept: list[str], items: list[tuple[int, str]], we
     targets = np.array(vectors, np.float32).reshape(len(owners), weights.shape[1])
     owner = np.array(owners, np.int64)
     length = np.maximum(np.linalg.norm(targets, axis=1), 1e-9)
-    directions = (targets / length[:, None]).T
+    # The lightest piece first: a passage cannot hold enough of a piece that is much heavier than itself.
+    order = np.argsort(length, kind="stable")
+    order = order[length[order] > 1e-6]
+    owner, length = owner[order], length[order]
+    directions = np.ascontiguousarray((targets[order] / length[:, None]).T)
+    sent = rows.sparkSession.sparkContext.broadcast((weights, row, numbers, contents, owner, length, directions))
 
     def resembling(latent: np.ndarray) -> list[tuple[int, int]]:
         """Passages and the items that they may hold, each pair once."""
-        least = settings.cosine * np.linalg.norm(latent, axis=1)[:, None]
+        _, _, numbers, _, owner, length, directions = sent.value
+        size = np.linalg.norm(latent, axis=1)
         pairs = []
         for at in range(0, len(owner), _SLICE):
             part = slice(at, at + _SLICE)
-            shown = latent @ directions[:, part]
-            s, t = np.nonzero((length[part] > 1e-6) & (shown >= settings.holds * length[part]) & (shown >= least))
-            pairs.append(s * len(numbers) + owner[part][t])
-        return [divmod(int(x), len(numbers)) for x in np.unique(np.concatenate(pairs))]
+            some = np.flatnonzero(size >= settings.holds * length[at])
+            shown = latent[some] @ directions[:, part]
+            s, t = np.nonzero((shown >= settings.holds * length[part]) & (shown >= settings.cosine * size[some][:, None]))
+            pairs.append(some[s] * len(numbers) + owner[part][t])
+        return [divmod(int(x), len(numbers)) for x in np.unique(np.concatenate(pairs))] if pairs else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, row, numbers, contents, *_ = sent.value
         for batch in batches:
             bad = batch.column("contaminated").to_numpy(zero_copy_only=False).copy()
             share = batch.column("leaked_share").to_numpy().copy()
