@@ -381,6 +381,27 @@ def test_decontaminate_finds_long_items(spark):
     assert all(x.leaked_item == i // 10 and (x.leaked_share == 1) == (i % 10 < 6) for i, x in got.items() if i < 1000)
 
 
+def test_decontaminate_recall_of_items_of_all_lengths(spark):
+    """3,000 items of 1 to 80 words that follow Zipf's law, each copied verbatim into one document or none."""
+    r = random.Random(15)
+    vocabulary = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(3, 9))) for _ in range(20_000)]
+    zipf = [1 / (i + 3) for i in range(len(vocabulary))]
+    some = lambda n: r.choices(vocabulary, zipf, k=n)
+    lengths = (5, 6, 8, 12, 13, 30, 80)
+    items = [some(lengths[i % 7]) for i in range(3000)]
+    docs = [(i, " ".join([*some(r.randint(0, 90)), *items[i], *some(r.randint(0, 90))])) for i in range(700)]
+    benchmark = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    got = {x.doc_id: x for x in decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), benchmark).collect()}
+    found = {n: sum(got[i].contaminated and got[i].leaked_share == 1 for i in range(700) if lengths[i % 7] == n) / 100 for n in lengths}
+    print(found)
+    assert min(found.values()) >= 0.95, found
+    # Items of one to five words, of letters seldom seen.
+    few = [(i, " ".join(f"{chr(97 + i)}q{j}z" for j in range(i + 1))) for i in range(5)]
+    held = [(i, " ".join([*some(40), t, *some(40)])) for i, t in few] + [(9, " ".join(some(90)))]
+    got = decontaminate(spark.createDataFrame(held, "doc_id long, text string"), spark.createDataFrame(few, "item_id long, text string")).collect()
+    assert {x.doc_id: x.leaked_item for x in got if x.contaminated} == {i: i for i in range(5)}
+
+
 def test_pieces():
     assert [pieces(n, 4) for n in (1, 4, 5, 8, 10)] == [[(0, 1)], [(0, 4)], [(0, 4), (1, 5)], [(0, 4), (4, 8)], [(0, 4), (4, 8), (6, 10)]]
 
