@@ -54,6 +54,8 @@ _BLOCK = 1 << 18
 _WORD = r"[0-9A-Za-z[^\x00-\x7F]]+"
 #: Searches that one plan holds; each keeps its space in a Python worker.
 _STACKED = 3
+#: Tasks over one part of the items.
+_TASKS = 8
 #: Pieces that are compared with a block of passages at once.
 _SLICE = 1 << 12
 
@@ -257,7 +259,7 @@ def decontaminate(
         seen, n = frequencies(docs.select(F.col(text)), now)
         parts = -(-scale.size // settings.item_bytes)
         for part in range(parts):
-            of_part = here.where(F.pmod(F.xxhash64("item"), F.lit(parts)) == part).orderBy("item").select("item", "text")
+            of_part = here.where(F.pmod(F.xxhash64("item"), F.lit(parts)) == part).select("item", "text")
             if searches and searches % _STACKED == 0:
                 found = stage(found, "searched")
             # Each search improves on what those before it found.
@@ -268,21 +270,23 @@ def decontaminate(
 
 def _space(items: DataFrame, seen: np.ndarray, n: int, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
     """Weighted vector of each used bucket in the space of these items, and the vector's row (or -1) of every bucket."""
-    in_items, m = frequencies(items.select("text"), settings)
+    # At most ``item_bytes``; each task adds a matrix to the sums, and these meet.
+    items = items.coalesce(_TASKS).select("text")
+    in_items, m = frequencies(items, settings)
     # A leak makes an item's words common in the texts, but not among the items.
     idf = np.maximum(np.log((n + 1.0) / (seen + 1.0)), np.log((m + 1.0) / (in_items + 1.0))) + 1e-3
     used = np.flatnonzero(in_items > 0)
     row = np.full(settings.buckets, -1, np.int32)
     row[used] = np.arange(len(used))
     settings = replace(settings, rank=max(settings.rank, 2 * isqrt(m)))
-    return (idf[used][:, None] * latent_space(items.select("text"), idf[used], row, settings)).astype(np.float32), row
+    return (idf[used][:, None] * latent_space(items, idf[used], row, settings)).astype(np.float32), row
 
 
 def _searched(rows: DataFrame, kept: list[str], items: DataFrame, seen: np.ndarray, n: int, settings: Settings) -> DataFrame:
     weights, row = _space(items, seen, n, settings)
     numbers, contents, vectors, owners = [], [], [], []
     # One part of the items, of at most about ``item_bytes``.
-    for number, words_of in items.collect():
+    for number, words_of in sorted(map(tuple, items.collect())):
         for block in blocks(pa.array([words_of], pa.string())):
             found = steps(block, settings.step)
             if len(found.hashes):
