@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tabloom.llm import ngram_join, suffix_dedup
 from tabloom.llm.components import components
 from tabloom.llm.ngram_join import jaccard_components
-from tabloom.llm.topk import top_k
+from tabloom.llm.topk import best, segments, top_k
 
 WORDS = [f"w{i}" for i in range(400)]
 
@@ -132,6 +132,54 @@ def test_top_k_of_few(spark):
     assert [tuple(r) for r in got] == [(0, 1, 1, 256 * 128)]
 
 
+def clustered(random_, rows):
+    centres = random_.standard_normal((40, 64))
+    return np.floor(centres[random_.randint(0, 40, rows)] * 30 + random_.standard_normal((rows, 64)) * 6).astype(np.int64)
+
+
+def tied(random_, rows):
+    return np.repeat(random_.randint(-9, 9, (3, 8)), rows // 3, 0)
+
+
+def beyond_doubles(random_, rows):
+    return random_.randint(-(2**28), 2**28, (rows, 8))
+
+
+@pytest.mark.parametrize("made, share", [(clustered, 0.5), (tied, 1.0), (beyond_doubles, 1.0)])
+def test_segments_stop_on_proof(made, share):
+    random_ = np.random.RandomState(1)
+    rows = made(random_, 1500)
+    ids, asked = random_.permutation(1500) * 3, 60
+    parts = [part for _, part in segments(rows)]
+    assert sum(len(size) for _, _, size in parts) == np.count_nonzero(rows)
+    score = rows[:asked].astype(object) @ rows.T.astype(object)
+    want = []
+    for i in range(asked):
+        others = sorted((j for j in range(1500) if j != i), key=lambda j: (-score[i, j], ids[j]))
+        want += [(i, j, score[i, j]) for j in others[:5]]
+    got, products = best(rows[:asked], ids[:asked], parts, ids, 5)
+    assert got == want
+    # A score met elsewhere spares more; the rows that reach it stay.
+    least = np.array([float(want[5 * i + 4][2]) for i in range(asked)])
+    again, fewer = best(rows[:asked], ids[:asked], parts, ids, 5, least)
+    assert again == want
+    assert fewer <= products <= asked * rows.size
+    assert fewer <= share * asked * rows.size
+
+
+def test_top_k_over_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr("tabloom.llm.topk.INDEX_BLOCK", 64)
+    monkeypatch.setattr("tabloom.llm.topk.QUERY_BLOCK", 8)
+    whole = clustered(np.random.RandomState(5), 600)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(whole)]
+    got = top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, scale=1).collect()
+    want = []
+    for q in range(0, 600, 20):
+        scores = sorted((-int(whole[q] @ v), i) for i, v in enumerate(whole) if i != q)
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scores[:5])]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def plain_removal(rows, least=50):
     first = {}
     data = [(i, (t or "").encode()) for i, t in rows]
