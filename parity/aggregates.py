@@ -278,6 +278,24 @@ def duplicate_summary_nulls(spark, sf_dir):
     return quality.duplicate_summary(gaps(spark, sf_dir), ["user_id", "kind", "amount"])
 
 
+@query(
+    "duplicate_summary_texts",
+    """WITH g AS (SELECT lang, source, text, COUNT(*) AS n FROM documents GROUP BY ALL)
+       SELECT CAST(SUM(n) - COUNT(*) AS BIGINT) AS duplicate_count, CAST(SUM(n) AS BIGINT) AS total_rows,
+              ROUND(100.0 * (SUM(n) - COUNT(*)) / SUM(n), 2) AS duplicate_pct FROM g""",
+)
+def duplicate_summary_texts(spark, sf_dir):
+    return quality.duplicate_summary(table(spark, sf_dir, "documents"), ["lang", "source", "text"])
+
+
+@query(
+    "duplicate_groups_texts",
+    """SELECT source, text, COUNT(*) AS occurrence_count FROM documents GROUP BY ALL HAVING COUNT(*) > 1""",
+)
+def duplicate_groups_texts(spark, sf_dir):
+    return quality.duplicate_groups(table(spark, sf_dir, "documents"), ["source", "text"])
+
+
 @query(
     "duplicate_groups",
     """SELECT l_orderkey, l_linenumber, COUNT(*) AS occurrence_count FROM lineitem GROUP BY 1, 2 HAVING COUNT(*) > 1""",

@@ -5,17 +5,37 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.cells import ROW, business_columns, col, number, present
-from .joins import share_of
+from .joins import lookup, share_of
 from .ordered import Key
 from .quantiles import exact_quantiles
 
 
+#: The two halves of a row's digest.
+_DIGEST = ("__d1", "__d2")
+
+
+def _digest(df: DataFrame, names: Sequence[str]) -> tuple[list[Column], list[str]]:
+    """A row's values as two hashes of 64 bits, and the columns that a hash cannot stand for.
+
+    Hashing skips NULLs, so which cells are NULL is hashed with them.  Within nested values it skips them too, and it
+    does not know collations; such columns stay as they are.
+    """
+    kinds = {n: df.select(col(n)).schema[0].dataType for n in names}
+    plain = [n for n in names if isinstance(kinds[n], T.AtomicType) and (not isinstance(kinds[n], T.StringType) or kinds[n] == T.StringType())]
+    cells = [*[col(n).isNull() for n in plain], *[col(n) for n in plain]]
+    return [F.xxhash64(F.lit(seed), *cells).alias(d) for seed, d in enumerate(_DIGEST)], [n for n in names if n not in plain]
+
+
 def duplicate_summary(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Rows beyond the first of each distinct row value (NULLs are values here)."""
-    names = list(columns or business_columns(df))
-    groups = df.groupBy(*[col(c) for c in names]).agg(F.count(F.lit(1)).alias("__n"))
+    """Rows beyond the first of each distinct row value (NULLs are values here).
+
+    Rows are told apart by 128-bit digests, so that wide rows and long texts are not shuffled.
+    """
+    digest, rest = _digest(df, list(columns or business_columns(df)))
+    groups = df.select(*digest, *[col(c) for c in rest]).groupBy(*_DIGEST, *[col(c) for c in rest]).agg(F.count(F.lit(1)).alias("__n"))
     totals = groups.agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("total_rows"), F.count(F.lit(1)).alias("__groups"))
     extra = col("total_rows") - col("__groups")
     return totals.select(
@@ -24,10 +44,19 @@ def duplicate_summary(df: DataFrame, columns: Sequence[str] | None = None) -> Da
 
 
 def duplicate_groups(df: DataFrame, columns: Sequence[str] | None = None, limit: int | None = None) -> DataFrame:
-    """Row values that occur more than once, with their count."""
+    """Row values that occur more than once, with their count.
+
+    Only rows whose digest repeats are fetched and grouped by their values.
+    """
     names = list(columns or business_columns(df))
+    digest, _ = _digest(df, names)
+    rows = df.select(*[col(c) for c in names], *digest)
+    repeated = rows.groupBy(*_DIGEST).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n")
     groups = (
-        df.groupBy(*[col(c) for c in names]).agg(F.count(F.lit(1)).alias("occurrence_count")).where("occurrence_count > 1")
+        lookup(rows, repeated, _DIGEST, "inner")
+        .groupBy(*[col(c) for c in names])
+        .agg(F.count(F.lit(1)).alias("occurrence_count"))
+        .where("occurrence_count > 1")
     )
     if limit is None:
         return groups

@@ -1,3 +1,5 @@
+import functools
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,6 +121,29 @@ def test_duplicates_count_nulls(spark):
     assert [tuple(r) for r in quality.duplicate_groups(df).collect()] == [(1, None, 2)]
 
 
+def test_duplicates_of_wide_rows(spark):
+    nan, cells = float("nan"), "a string, b string, x double, l array<int>"
+    rows = [("a", None, 0.0, [1, None]), (None, "a", 0.0, [1, None]), ("a", None, -0.0, [None, 1]), ("a", None, -0.0, [1, None])]
+    rows += [(None, None, nan, None)] * 3 + [("", None, None, []), (None, "", None, [])]
+    df = spark.createDataFrame(rows, cells)
+    assert quality.duplicate_summary(df).first()[:2] == (3, 9)
+    got = sorted((r.a or "", r.occurrence_count) for r in quality.duplicate_groups(df).collect())
+    assert got == [("", 3), ("a", 2)]
+    assert quality.duplicate_summary(df.limit(0)).first()[:2] == (0, 0)
+    assert quality.duplicate_groups(df.limit(0)).collect() == []
+    # Texts do not leave the scan.
+    plan = quality.duplicate_summary(df, ["a", "b", "x"])._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(__d1" in plan and "SortAggregate" not in plan
+
+
+def test_duplicate_groups_with_a_hot_row(spark, monkeypatch):
+    monkeypatch.setattr("tabloom.operators.quality.lookup", functools.partial(joins.lookup, broadcast_bytes=0))
+    df = spark.range(6000).selectExpr("CASE WHEN id % 3 = 0 THEN 'hot' ELSE concat('r', id % 2500) END AS v", "repeat('x', 50) AS w")
+    want = df.groupBy("v", "w").count().where("count > 1")
+    got = quality.duplicate_groups(df)
+    assert got.exceptAll(want).isEmpty() and got.count() == want.count()
+
+
 def test_first_per_key_needs_an_order(spark):
     df = spark.createDataFrame([(1, "a")], "k int, v string")
     with pytest.raises(ValueError, match="order"):
