@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..operators.joins import lookup
 from ..staging import stage
 from .common import Block, attach, blocks, mix, words
 from .components import components
@@ -227,8 +228,10 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
 
     # Documents of one set are one node, named by the smallest id.
     some = rows.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    names = some.groupBy("a", "b", "n").agg(F.min("doc_id").alias("node"))
-    named = stage(some.join(names, ["a", "b", "n"]).drop("a", "b"), "shingle-nodes")
+    # Only sets of several documents are looked up, and a set that holds many of the rows is joined apart.
+    several = some.groupBy("a", "b", "n").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+    named = lookup(some, several, ["a", "b", "n"]).withColumn("node", F.coalesce("node", "doc_id"))
+    named = stage(named.drop("a", "b"), "shingle-nodes")
     same_id = named.groupBy("doc_id").agg(F.min("node").alias("u"), F.max("node").alias("v"), F.max(F.expr("doc_id = node")).alias("first"))
     copies = stage(same_id.where(~F.col("first")).select("doc_id"), "shingle-copies")
     texts = attach(docs.where(F.col("doc_id").isNotNull()), copies, "doc_id", "left_anti", 16)
