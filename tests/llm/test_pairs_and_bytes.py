@@ -1,5 +1,4 @@
 """Near-copy join, top-k search and byte deduplication against plain versions."""
-import functools
 import hashlib
 import random
 import re
@@ -12,7 +11,6 @@ from tabloom.llm import ngram_join, suffix_dedup
 from tabloom.llm.components import components
 from tabloom.llm.ngram_join import jaccard_components
 from tabloom.llm.topk import best, segments, top_k
-from tabloom.operators import joins
 
 WORDS = [f"w{i}" for i in range(400)]
 
@@ -99,13 +97,6 @@ def test_jaccard_repeated_and_null_ids(spark):
     assert [r.component_id for r in got if r.doc_id is None] == [None]
 
 
-def test_jaccard_with_a_hot_set(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "lookup", functools.partial(joins.lookup, broadcast_bytes=0))
-    rows = [(i, "a b c d e f g" if i % 3 == 0 else f"{i % 90} two three four five six") for i in range(1, 400)]
-    got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == plain_components(rows)
-
-
 def test_jaccard_of_nothing(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard_components(empty).collect() == []
