@@ -86,25 +86,51 @@ def summarize_numeric(spark, sf_dir):
     return rows.drop("distinct_count")
 
 
+#: A sketched quartile must lie between the values at these distances from its rank: twice the stated error of 99 in 100.
+_OFF = 0.01
+_QUARTILES = (("q25", 0.25), ("q50", 0.5), ("q75", 0.75))
+
+
 @query(
     "summarize",
     _per_column(
         _NUMERIC,
         "COUNT(*) AS count, ROUND(MIN({c})::DOUBLE, 2) AS min, ROUND(MAX({c})::DOUBLE, 2) AS max, ROUND(AVG({c}), 2) AS avg, "
-        "ROUND(STDDEV_SAMP({c}), 2) AS std, ROUND(100.0 * (COUNT(*) - COUNT({c})) / COUNT(*), 2)::DOUBLE AS null_percentage, "
-        "MIN({c}) IS NOT NULL AS in_order FROM lineitem",
+        "ROUND(STDDEV_SAMP({c}), 2) AS std, "
+        + "".join(f"ROUND(QUANTILE_CONT({{c}}::DOUBLE, {p}), 2) AS {q}, " for q, p in _QUARTILES)
+        + "ROUND(100.0 * (COUNT(*) - COUNT({c})) / COUNT(*), 2)::DOUBLE AS null_percentage, "
+        "COUNT(DISTINCT {c}) AS distinct_values, MIN({c}) IS NOT NULL AS in_order, COUNT({c}) > 0 AS quartiles_within, "
+        "COUNT({c}) > 0 AS distinct_within FROM lineitem",
     ),
 )
 def summarize(spark, sf_dir):
-    """One pass: all that is exact, and whether the sketched quartiles lie in order between the extremes."""
-    rows = profile.summarize(table(spark, sf_dir, "lineitem").select(*_NUMERIC))
+    """All that is exact, whether the sketched quartiles lie in order, and whether the sketches lie within their stated errors."""
+    rows = table(spark, sf_dir, "lineitem").select(*_NUMERIC)
+    sketched = profile.summarize(rows)
     ordered = (F.col("min") <= F.col("q25")) & (F.col("q25") <= F.col("q50")) & (F.col("q50") <= F.col("q75")) & (F.col("q75") <= F.col("max"))
-    return rows.select("column", "count", "min", "max", "avg", "std", "null_percentage", ordered.alias("in_order"))
+    sketched = sketched.withColumn("in_order", ordered).withColumnsRenamed({q: f"sketched_{q}" for q, _ in _QUARTILES})
+    exact = profile.summarize(rows, exact_percentiles=True).select("column", *[q for q, _ in _QUARTILES])
+    counted = profile.column_kinds(rows).select("column", "distinct_values")
+    # One row per column in each.
+    found = sketched.join(exact, "column").join(counted, "column").join(_rank_bounds(rows), "column")
+    near = [F.col(f"sketched_{q}").between(F.col(f"least_{q}"), F.col(f"most_{q}")) for q, _ in _QUARTILES]
+    missed = F.abs(F.col("distinct_count") - F.col("distinct_values"))
+    held = (F.col("distinct_values") > 0) & (missed <= 3 * profile.DISTINCT_ERROR * F.col("distinct_values") + 1)
+    return found.select(
+        "column", "count", "min", "max", "avg", "std", *[q for q, _ in _QUARTILES], "null_percentage", "distinct_values", "in_order",
+        F.coalesce(near[0] & near[1] & near[2], F.lit(False)).alias("quartiles_within"),
+        held.alias("distinct_within"),
+    )
 
 
-#: A sketched quartile must lie between the values at these distances from its rank: twice the stated error of 99 in 100.
-_OFF = 0.01
-_QUARTILES = (("q25", 0.25), ("q50", 0.5), ("q75", 0.75))
+def _rank_bounds(rows):
+    """Per column the exact values at the ranks on both sides of each quartile's, rounded like a summary's."""
+    assert 2 * profile.rank_error() <= _OFF
+    exact = quantiles.exact_quantiles_of(rows, {c: F.col(c) for c in rows.columns}, [r for _, p in _QUARTILES for r in (p - _OFF, p + _OFF)])
+    names = [f"{end}_{q}" for q, _ in _QUARTILES for end in ("least", "most")]
+    # One row per column.
+    bounds = rows.sparkSession.createDataFrame([(c, *exact[c]) for c in rows.columns], ", ".join(["column string", *[f"{n} double" for n in names]]))
+    return F.broadcast(bounds.withColumns({n: F.round(n, 2) for n in names}))
 
 
 @query(

@@ -40,3 +40,9 @@ def test_query(spark, tiny, oracle, name):
         assert got[2]
         return
     assert difference(got, rows_of(oracle.sql(sql).to_arrow_table())) is None
+
+
+def test_summary_holds_quartiles_and_distinct_counts(spark, tiny):
+    found = parity.QUERIES["summarize"](spark, tiny)
+    assert {"q25", "q50", "q75", "distinct_values", "quartiles_within", "distinct_within"} <= set(found.columns)
+    assert all(r["quartiles_within"] and r["distinct_within"] and r["distinct_values"] > 0 for r in found.collect())
