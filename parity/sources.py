@@ -251,8 +251,9 @@ def key_value_wide(spark, sf_dir):
     cells = [f"CASE WHEN o_orderkey % {i + 2} <> 0 THEN concat('k{i}:', o_custkey + {i}) END" for i in range(_WIDE)]
     again = [f"CASE WHEN o_orderkey % {i + 2} <> 0 THEN concat('k{i}:', o_custkey + {i + _WIDE}) END" for i in range(3)]
     line = f"concat_ws(',', o_orderkey, {', '.join(cells + again)}, 'end')"
-    lines = table(spark, sf_dir, "orders").select("o_orderkey", F.expr(line).alias("value"))
-    lines.repartitionByRange(6, "o_orderkey").sortWithinPartitions("o_orderkey").select("value").write.text(path)
+    # Lines are put together once, in their place: the sample of the keys and the shuffle see the orders, not the wide text.
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    orders.repartitionByRange("o_orderkey").sortWithinPartitions("o_orderkey").select(F.expr(line).alias("value")).write.text(path)
     return text.load_key_value(spark, path, text.Layout(header=False)).drop("timestamp")
 
 

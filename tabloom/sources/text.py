@@ -85,15 +85,63 @@ def kv_entries(lines: DataFrame, line: str = "value", sep: str = ",") -> DataFra
     return trimmed.select(_kv_entries(col("__cells")).alias("entries"), *[col(c) for c in kept])
 
 
-def discover_keys(entries: DataFrame, row: str = ROW, max_keys: int | None = None) -> list[str]:
-    """Keys in first-seen order.  Only the distinct keys reach the driver; a caller may bound them."""
-    # The outer form: the size filter of a plain explode would parse every line twice.
+def _plain(line: Column, sep: str) -> Column:
+    """True for lines of printable ASCII without blanks, quotes and backslashes: nothing to trim, unquote or escape."""
+    if len(sep) != 1 or sep in '":\\':
+        return F.lit(False)
+    # One anchored run: looking for a character outside the class takes ten times as long.
+    return line.rlike(rf"^[!#-\[\]-~{re.escape(sep)}]*\z") & (F.length(line) < PLAIN_CHARS)
+
+
+def _plain_keys(line: Column, sep: str) -> Column:
+    """Keys of a plain line, in the order of ``kv_entries``; NULL for under two cells."""
+    s = re.escape(sep)
+    middle = F.regexp_extract_all(line, F.lit(rf"{s}([^{s}:]*):[^{s}]*(?={s})"), F.lit(1))
+    return F.when(line.contains(sep), F.concat(F.array(F.lit("id"), F.lit("timestamp")), middle))
+
+
+def _plain_object(line: Column, sep: str) -> Column:
+    """The entries of a plain line as the text of a JSON object, blank values as null; NULL for under two cells."""
+    s = re.escape(sep)
+    first, last = F.substring_index(line, sep, 1), F.substring_index(line, sep, -1)
+    ends = F.length(first) + F.length(last) + 1
+    # Where every cell between the ends has one colon, marks are replaced as they are; else cell by cell, without those that have none.
+    regular = line.rlike(rf"^[^{s}]*(?:{s}[^{s}:]*:[^{s}:]*)*{s}[^{s}]*\z")
+    marked = F.replace(F.replace(F.substr(line, F.length(first) + 1, F.length(line) - ends), F.lit(sep), F.lit('","')), F.lit(":"), F.lit('":"'))
+    pairs_only = F.regexp_replace(line, rf"{s}[^{s}:]*(?={s})", "")
+    quoted = F.regexp_replace(pairs_only, rf"{s}([^{s}:]*):([^{s}]*)(?={s})", '","$1":"$2')
+    middle = F.when(regular, marked).otherwise(F.substr(quoted, F.length(first) + 1, F.length(quoted) - ends))
+    whole = F.concat(F.lit('{"id":"'), first, F.lit('","timestamp":"'), last, middle, F.lit('"}'))
+    return F.when(line.contains(sep), F.replace(whole, F.lit(':""'), F.lit(":null")))
+
+
+def kv_rows(lines: DataFrame, line: str = "value", sep: str = ",") -> DataFrame:
+    """Lines for ``discover_keys`` and ``project_keys``: a plain line stays text (``__plain``), others have their entries."""
+    kept = [col(c) for c in lines.columns if c != line]
+    filled = lines.where(not_blank(col(line), split_cells(col(line), sep), sep))
+    marked = filled.select(F.when(_plain(col(line), sep), col(line)).alias("__plain"), col(line), *kept)
+    # Separate projections, as in ``kv_entries``; every step is NULL for a plain line.
+    cells = marked.select(F.when(col("__plain").isNull(), split_cells(col(line), sep)).alias("__cells"), "__plain", *kept)
+    trimmed = cells.select(F.transform("__cells", strip).alias("__cells"), "__plain", *kept)
+    return trimmed.select(_kv_entries(col("__cells")).alias("entries"), "__plain", *kept)
+
+
+def discover_keys(entries: DataFrame, row: str = ROW, max_keys: int | None = None, sep: str = ",") -> list[str]:
+    """Keys in first-seen order, by the rows' numbers.  Only the distinct keys reach the driver; a caller may bound them.
+
+    Least numbers and places are plain cells, so they are combined by hashing on the map side; a struct of both would sort every entry.
+    """
+    names = F.col("entries.key")
+    if "__plain" in entries.columns:
+        names = F.when(col("__plain").isNotNull(), _plain_keys(col("__plain"), sep)).otherwise(names)
+    # A key counts once in a row, so no two of its places have one number.  The outer form: the size filter of a plain
+    # explode would parse every line twice.
     seen = (
-        entries.select(col(row), F.posexplode_outer("entries.key").alias("pos", "key"))
+        entries.select(col(row).alias("__row"), F.posexplode_outer(F.array_distinct(names)).alias("pos", "key"))
         .where("key is not null")
         .groupBy("key")
-        .agg(F.min(F.struct(col(row), "pos")).alias("first"))
-        .orderBy("first")
+        .agg(F.min("__row").alias("first"), F.min_by("pos", "__row").alias("place"))
+        .orderBy("first", "place")
     )
     seen = (seen if max_keys is None else seen.limit(max_keys + 1)).collect()
     if max_keys is not None and len(seen) > max_keys:
@@ -101,6 +149,8 @@ def discover_keys(entries: DataFrame, row: str = ROW, max_keys: int | None = Non
     return [r["key"] for r in seen if r["key"] not in (ROW, "_raw", "_error", "_unparsed")]
 
 
+#: Longer lines are never taken as plain: a JSON reader bounds the length of names.
+PLAIN_CHARS = 50_000
 #: From so many columns on, a row's entries are read into them in one go instead of being looked up one by one.
 LOOKED_UP = 16
 
@@ -119,21 +169,28 @@ def last_wins(entries: str) -> Column:
     return F.map_from_entries(F.when(F.size(F.array_distinct(names)) == F.size(names), F.col(entries)).otherwise(repaired))
 
 
-def project_keys(entries: DataFrame, keys: Sequence[str]) -> DataFrame:
+def project_keys(entries: DataFrame, keys: Sequence[str], sep: str = ",") -> DataFrame:
     """One column per key; the last entry of a key wins; blank values are NULL.
 
-    Each row's entries become one map first.  Few keys are looked up in it; for many, where every lookup would go through the
-    whole map, it is read as an object, which costs in proportion to the row's entries.
+    A plain line becomes a JSON object by patterns and is read as one, which costs in proportion to its length.  Other rows'
+    entries become one map first.  Few keys are looked up in it; for many, where every lookup would go through the whole map,
+    it is read as an object too.
     """
-    kept = [c for c in entries.columns if c != "entries"]
-    mapped = entries.select(last_wins("entries").alias("__map"), *[col(c) for c in kept])
+    kept = [col(c) for c in entries.columns if c not in ("entries", "__plain")]
+    shape = T.StructType([T.StructField(k, T.StringType()) for k in keys])
+    # No key may be taken for the reader's own column.
+    options = {"columnNameOfCorruptRecord": "_" * (1 + max(map(len, keys), default=0))}
+    plain = _plain_object(col("__plain"), sep) if "__plain" in entries.columns else F.lit(None).cast("string")
+    mapped = entries.select(last_wins("entries").alias("__map"), plain.alias("__text"), *kept)
     if len(keys) <= LOOKED_UP:
-        values = [F.nullif(F.try_element_at(col("__map"), F.lit(k)), F.lit("")).alias(k) for k in keys]
-        return mapped.select(*values, *[col(c) for c in kept])
+        # Fields by place: keys may differ in case alone.
+        places = T.StructType([T.StructField(f"k{i}", T.StringType()) for i, _ in enumerate(keys)])
+        read = mapped.select("__map", F.from_json("__text", shape, options).cast(places).alias("__object"), *kept)
+        found = lambda k: F.nullif(F.try_element_at(col("__map"), F.lit(k)), F.lit(""))
+        return read.select(*[F.coalesce(F.col(f"__object.k{i}"), found(k)).alias(k) for i, k in enumerate(keys)], *kept)
     # Blank values are left out of the object, so that their cells are NULL.
     filled = F.to_json(F.map_filter("__map", lambda k, v: v != ""))
-    shape = T.StructType([T.StructField(k, T.StringType()) for k in keys])
-    return mapped.select(F.from_json(filled, shape).alias("__object"), *[col(c) for c in kept]).select("__object.*", *[col(c) for c in kept])
+    return mapped.select(F.from_json(F.coalesce("__text", filled), shape, options).alias("__object"), *kept).select("__object.*", *kept)
 
 
 def _lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
@@ -199,8 +256,8 @@ def load_flat(spark: SparkSession, path: str | Sequence[str], layout: Layout = L
 def load_key_value(spark: SparkSession, path: str | Sequence[str], layout: Layout = Layout(), *, multi_line: bool = False) -> DataFrame:
     """All-text table from key:value rows, one column per key, with row lineage; ``multi_line`` as in ``load_flat``."""
     layout, _ = resolve(spark, path, replace(layout, kv=True))
-    entries = kv_entries(numbered_lines(spark, path, layout.header, layout.sep, multi_line), sep=layout.sep)
-    return project_keys(entries, discover_keys(entries))
+    rows = kv_rows(numbered_lines(spark, path, layout.header, layout.sep, multi_line), sep=layout.sep)
+    return project_keys(rows, discover_keys(rows, sep=layout.sep), layout.sep)
 
 
 #: Entries of a row's rescued cells that name no column: the cells beyond the last column, and how many are missing.

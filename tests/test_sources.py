@@ -295,3 +295,22 @@ def test_cells_that_do_not_fit_are_kept(spark, tmp_path):
     layout = text.Layout(header=True, sep=",")
     assert dict(text.load_or_text(spark, path, "n int, d date, s string", layout).dtypes)["n"] == "string"
     assert dict(text.load_or_text(spark, path, "n int, d date, s string", layout, malformed=3).dtypes)["n"] == "int"
+
+
+def test_plain_key_value_lines_are_read_like_any_others(spark, tmp_path):
+    rows = ["1,a:1,b:2,a:,end", "2,x,a:3,,b:,a:4,end", "3", "4,5", "id:9,id:7,k::v,:w,end", "6,_corrupt_record:5,A:1,end"]
+    rows += [f"{i}," + ",".join(f"w{j}:{i + j}" for j in range(i % 7, 30)) + ",end" for i in range(10, 30)]
+    found = []
+    # Blanks around the cells, which are trimmed, make a line one that is not plain.
+    for name, lines in (("plain", rows), ("blanks", [r.replace(",", " , ") for r in rows])):
+        path = write(tmp_path, f"{name}.txt", "\n".join(lines) + "\n")
+        numbered = text.numbered_lines(spark, path, False)
+        taken = text.kv_rows(numbered).agg(F.count("__plain"), F.count("entries")).first()
+        assert taken[0] == (len(rows) if name == "plain" else 1)
+        loaded = text.load_key_value(spark, path, text.Layout(header=False, sep=","))
+        found.append((loaded.columns, loaded.orderBy("_row").collect()))
+    assert found[0] == found[1]
+    columns, loaded = found[0]
+    assert columns[:8] == ["id", "timestamp", "a", "b", "k", "", "_corrupt_record", "A"]
+    assert [tuple(r[:4]) for r in loaded[:5]] == [("1", "end", None, "2"), ("2", "end", "4", None), (None,) * 4, ("4", "5", None, None), ("7", "end", None, None)]
+    assert (loaded[4]["k"], loaded[4][""], loaded[5]["_corrupt_record"]) == (":v", "w", "5")
