@@ -20,6 +20,11 @@ NO_DATA = "NO DATA"
 # Control characters that part joined codes, and runs of them; lists that hold one are treated code by code.
 _GAP, _BREAK = "\x01", "\x02"
 
+# Cells of printable ASCII: a JSON array of texts without blanks, quotes and backslashes, and packed codes that are no array.
+_PLAIN_TEXT = r'"[!#-&(-\[\]-~]*"'
+_PLAIN_LIST = rf"^\[{_PLAIN_TEXT}(?:, *{_PLAIN_TEXT})*\]\z"
+_PLAIN_PACKED = r"^[!-Z\\-~][!-~]*\z"
+
 
 def once(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with ``value`` evaluated once however often ``use`` mentions it; NULL for NULL."""
@@ -45,7 +50,12 @@ def parse_codes(c: Column, *, distinct: bool = True, empty_marker: str | None =
             )
         )
 
-    codes = F.coalesce(once(text, parse), F.array().cast("array<string>"))
+    # Most cells are lists of plain texts or packed without blanks, which a pattern tells: nothing to trim or unescape.
+    cell = c.cast("string")
+    listed = F.array_remove(F.split(F.substr(cell, F.lit(3), F.length(cell) - 4), '", *"'), "")
+    chunks = F.regexp_extract_all(cell, F.lit(rf".{{1,{CODE_WIDTH}}}"), F.lit(0))
+    plain = F.when(cell.rlike(_PLAIN_LIST), listed).when(cell.rlike(_PLAIN_PACKED) & (cell != "nan"), chunks)
+    codes = plain.otherwise(F.coalesce(once(text, parse), F.array().cast("array<string>")))
     codes = F.sort_array(F.array_distinct(codes) if distinct else codes)
     if empty_marker is not None:
         codes = F.when(F.size(codes) == 0, F.array(F.lit(empty_marker))).otherwise(codes)
