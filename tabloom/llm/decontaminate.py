@@ -237,9 +237,11 @@ def decontaminate(
     """
     names = ["contaminated", "leaked_item", "leaked_share"]
     kept = [c for c in (keep or docs.columns) if c not in names]
+    # A text that is kept is not sent twice.
+    column, extra = (text, []) if text in kept else ("__text", [F.col(text).alias("__text")])
     found = docs.select(
         *kept,
-        F.col(text).alias("__text"),
+        *extra,
         F.lit(False).alias("contaminated"),
         F.lit(None).cast("long").alias("leaked_item"),
         F.lit(0.0).alias("leaked_share"),
@@ -263,7 +265,7 @@ def decontaminate(
             if searches and searches % _STACKED == 0:
                 found = stage(found, "searched")
             # Each search improves on what those before it found.
-            found = _searched(found, kept, of_part, seen, n, now)
+            found = _searched(found, column, of_part, seen, n, now)
             searches += 1
     return found.select(*kept, *names)
 
@@ -282,7 +284,7 @@ def _space(items: DataFrame, seen: np.ndarray, n: int, settings: Settings) -> tu
     return (idf[used][:, None] * latent_space(items, idf[used], row, settings)).astype(np.float32), row
 
 
-def _searched(rows: DataFrame, kept: list[str], items: DataFrame, seen: np.ndarray, n: int, settings: Settings) -> DataFrame:
+def _searched(rows: DataFrame, column: str, items: DataFrame, seen: np.ndarray, n: int, settings: Settings) -> DataFrame:
     weights, row = _space(items, seen, n, settings)
     numbers, contents, vectors, owners = [], [], [], []
     # One part of the items, of at most about ``item_bytes``.
@@ -305,6 +307,7 @@ def _searched(rows: DataFrame, kept: list[str], items: DataFrame, seen: np.ndarr
     order = order[length[order] > 1e-6]
     owner, length = owner[order], length[order]
     directions = np.ascontiguousarray((targets[order] / length[:, None]).T)
+    carried = rows.columns[:-3]
     sent = rows.sparkSession.sparkContext.broadcast((weights, row, numbers, contents, owner, length, directions))
 
     def resembling(latent: np.ndarray) -> list[tuple[int, int]]:
@@ -326,7 +329,7 @@ def _searched(rows: DataFrame, kept: list[str], items: DataFrame, seen: np.ndarr
             bad = batch.column("contaminated").to_numpy(zero_copy_only=False).copy()
             share = batch.column("leaked_share").to_numpy().copy()
             item = batch.column("leaked_item").to_pylist()
-            for block in blocks(batch.column("__text"), _BLOCK):
+            for block in blocks(batch.column(column), _BLOCK):
                 here = steps(block, settings.step)
                 if not len(here.first) or not numbers:
                     continue
@@ -347,7 +350,7 @@ def _searched(rows: DataFrame, kept: list[str], items: DataFrame, seen: np.ndarr
                     bad[at] |= whole >= settings.alike or (whole >= settings.partly and answer >= settings.answer)
                     if whole > share[at] or (whole == share[at] and item[at] is not None and numbers[i] < item[at]):
                         share[at], item[at] = whole, numbers[i]
-            columns = [*[batch.column(c) for c in kept], batch.column("__text"), pa.array(bad), pa.array(item, pa.int64()), pa.array(share)]
-            yield pa.RecordBatch.from_arrays(columns, names=[*kept, "__text", "contaminated", "leaked_item", "leaked_share"])
+            columns = [*[batch.column(c) for c in carried], pa.array(bad), pa.array(item, pa.int64()), pa.array(share)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*carried, "contaminated", "leaked_item", "leaked_share"])
 
     return rows.mapInArrow(run, rows.schema)

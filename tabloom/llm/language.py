@@ -20,6 +20,8 @@ from pyspark.sql import types as T
 from .common import LOWER, Block, attach, blocks, fitted, held_out, pack, sample_ids, unpack
 
 UNKNOWN = "und"
+#: Texts that learning takes at a time.  A multiple of the rows that products are tiled by, so that sums stay the same.
+_RUN = 240
 
 
 @dataclass(frozen=True)
@@ -71,27 +73,37 @@ def _known(grams: np.ndarray, held: np.ndarray) -> np.ndarray:
     return grams[:, held].sum(axis=1) / np.maximum(grams.sum(axis=1), 1)
 
 
+def _grams(texts: pa.Array, settings: Settings) -> np.ndarray:
+    """Presence rows of a few texts."""
+    return np.concatenate([presence(b, settings) for b in blocks(texts, most=settings.rows_per_block)])
+
+
 def fit(sample: pd.DataFrame, settings: Settings) -> bytes:
-    """Landmarks and one-against-rest coefficients from ``text`` and ``__label``."""
+    """Landmarks and one-against-rest coefficients from ``text`` and ``__label``.
+
+    The n-grams of the landmarks are held, those of all texts only ``_RUN`` texts at a time.
+    """
     labels = sorted(sample["__label"].unique())
-    units = np.concatenate(
-        [_unit(presence(b, settings)) for b in blocks(pa.array(sample["text"], pa.string()), most=settings.rows_per_block)]
-    )
-    which = sample["__label"].to_numpy()
+    texts, which = pa.array(sample["text"], pa.string()), sample["__label"].to_numpy()
     each = -(-settings.landmarks // len(labels))
     chosen = np.concatenate([np.flatnonzero(which == label)[:each] for label in labels])[: settings.landmarks]
-    marks = units[chosen]
+    marks = _unit(_grams(texts.take(pa.array(chosen)), settings))
     # N-grams of an eighth of the landmarks, and how few of them the other texts of the sample have.
     held = (marks > 0).sum(axis=0) >= max(1.0, len(marks) / 8)
-    others = np.delete(units, chosen, axis=0)
-    floor = settings.margin * _known(others > 0, held).min() if len(others) else 0.0
+    kernel, known = np.empty((len(which), len(marks))), np.empty(len(which))
+    for first in range(0, len(which), _RUN):
+        run = slice(first, first + _RUN)
+        grams = _grams(texts[run], settings)
+        kernel[run], known[run] = _unit(grams) @ marks.T, _known(grams, held)
+    others = np.delete(known, chosen)
+    floor = settings.margin * others.min() if len(others) else 0.0
     values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
     root = vectors / np.sqrt(np.maximum(values, 1e-6))
-    features = np.column_stack([(units @ marks.T).astype(np.float64) @ root, np.ones(len(units))])
+    features = np.column_stack([kernel @ root, np.ones(len(which))])
     wanted = np.where(which[:, None] == np.array(labels, object)[None, :], 1.0, -1.0)
     # Every language weighs the same, however many texts it has.
     weight = 1.0 / np.array([(which == w).sum() for w in which])
-    gram = features.T @ (features * weight[:, None]) + settings.ridge * np.eye(features.shape[1]) / len(units)
+    gram = features.T @ (features * weight[:, None]) + settings.ridge * np.eye(features.shape[1]) / len(which)
     answer = np.linalg.solve(gram, features.T @ (wanted * weight[:, None]))
     return pack(
         held=held, floor=np.array(floor), marks=marks > 0, norms=np.sqrt((marks > 0).sum(axis=1)).astype(np.float32), coefficients=root @ answer[:-1], bias=answer[-1], labels=np.array(labels)
@@ -119,9 +131,11 @@ def identify(
     """
     model = learn(docs, text, key, lang, settings)
     kept = [c for c in (keep or docs.columns) if c not in ("lang_pred", "lang_score", "lang_known")]
-    rows = docs.select(*kept, F.col(text).alias("__text"), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("__letters"))
+    # A text that is kept is not sent twice.
+    column, extra = (text, []) if text in kept else ("__text", [F.col(text).alias("__text")])
+    rows = docs.select(*kept, *extra, F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("__letters"))
     found = [T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType()), T.StructField("lang_known", T.DoubleType())]
-    schema = T.StructType([*rows.schema.fields[:-2], *found])
+    schema = T.StructType([*rows.schema.fields[: len(kept)], *found])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = unpack(model) if model else None
@@ -130,7 +144,7 @@ def identify(
             named, sure, known = np.full(n, UNKNOWN, object), np.zeros(n), np.zeros(n)
             if parts:
                 marks = (parts["marks"] / parts["norms"][:, None]).astype(np.float32).T
-                for block in blocks(batch.column("__text"), most=settings.rows_per_block):
+                for block in blocks(batch.column(column), most=settings.rows_per_block):
                     grams = presence(block, settings)
                     known[block.rows] = np.minimum(_known(grams, parts["held"]) / max(float(parts["floor"]), 1e-9), 1.0)
                     margin = (_unit(grams) @ marks) @ parts["coefficients"] + parts["bias"]

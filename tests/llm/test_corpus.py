@@ -2,9 +2,11 @@
 import random
 import re
 import time
+import tracemalloc
 import zlib
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ import corpus_pipeline
 from tabloom.llm import pii, secrets
 from tabloom.llm.common import running_total
 from tabloom.llm.decontaminate import common_run, decontaminate, pieces
-from tabloom.llm.language import identify
+from tabloom.llm.language import Settings, fit, identify
 from tabloom.llm.mixing import mix_sources, targets
 from tabloom.llm.pii import personal_data
 from tabloom.llm.queries import QUERIES
@@ -58,6 +60,35 @@ def test_language(spark, docs, empty):
     assert {(r.lang_pred, r.lang_score) for r in unlabelled} == {("und", 0.0)}
 
 
+def test_learning_languages_holds_a_few_texts_at_a_time():
+    """Before, three rows of 16,384 numbers were held for each text of the sample."""
+
+    def peak(n: int) -> int:
+        sample = pd.DataFrame({"text": [f"{'abcd'[i % 4] * 3} words {i} {i * i}" for i in range(n)], "__label": [f"l{i % 4}" for i in range(n)]})
+        tracemalloc.start()
+        fit(sample, Settings())
+        top = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return top
+
+    small, large = peak(480), peak(1_920)
+    assert large < 64 << 20 and large < small + (8 << 20)
+
+
+def test_a_kept_text_is_sent_once(spark, docs):
+    """Python gets the text among the columns that are kept, or else as a column of its own."""
+    benchmark = spark.read.parquet(f"{SMALL}/benchmark.parquet").limit(2)
+    some = docs.select("doc_id", "text", "lang").limit(20)
+    for run in (identify, lambda d, **more: decontaminate(d, benchmark, **more)):
+        whole, narrow = run(some), run(some, keep=("doc_id",))
+        plan = whole._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInArrow" in plan and "__text" not in plan
+        new = [c for c in narrow.columns if c != "doc_id"]
+        assert narrow.columns == ["doc_id", *new] and whole.columns == ["doc_id", "text", "lang", *new]
+        assert sorted(whole.select("doc_id", *new).collect(), key=str) == sorted(narrow.collect(), key=str)
+        assert sorted(whole.select(*some.columns).collect(), key=str) == sorted(some.collect(), key=str)
+
+
 def test_unlearned_scripts_are_told_from_clean_documents(spark):
     """Greek and Cyrillic, of which nothing is learned, go in the pipeline's stage; no clean document does, held out or not."""
     clean = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", "lang")
