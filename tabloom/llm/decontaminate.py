@@ -98,9 +98,15 @@ def _summed(weights: np.ndarray, row: np.ndarray, found: Steps, settings: Settin
     used = np.flatnonzero(ids >= 0)
     out = np.zeros((len(found.first), weights.shape[1]), weights.dtype)
     if len(used):
-        which = found.number()[used]
-        at = np.flatnonzero(np.concatenate(([True], which[1:] != which[:-1])))
-        out[which[at]] = np.add.reduceat(weights[ids[used]], at, axis=0)
+        ids, count = ids[used], np.bincount(found.number()[used], minlength=len(out))
+        # The first words of all steps, then all second ones, and so on; the steps with most words lead.
+        order = np.argsort(-count, kind="stable")[: np.count_nonzero(count)]
+        at, fewer = (np.cumsum(count) - count)[order], -count[order]
+        total = weights[ids[at]]
+        for k in range(1, -fewer[0]):
+            left = np.searchsorted(fewer, -k)
+            total[:left] += weights[ids[at[:left] + k]]
+        out[order] = total
     return out
 
 
@@ -212,10 +218,13 @@ def common_run(item: list[int], region: list[int]) -> int:
     return len(item) - state.bit_count()
 
 
-def judged(item: list[int], region: list[int], settings: Settings) -> tuple[float, float]:
-    """Shares of the item and of its closing words that the region holds in order."""
+def judged(item: list[int], region: list[int], settings: Settings) -> tuple[float, bool]:
+    """Share of the item that the region holds in order, and whether that or its closing words make a leak."""
+    whole = common_run(item, region) / len(item)
+    if whole >= settings.alike or whole < settings.partly:
+        return whole, whole >= settings.alike
     tail = max(1, int(len(item) * settings.answer_share))
-    return common_run(item, region) / len(item), common_run(item[-tail:], region) / tail
+    return whole, common_run(item[-tail:], region) / tail >= settings.answer
 
 
 def decontaminate(
@@ -344,10 +353,10 @@ def _searched(rows: DataFrame, column: str, items: DataFrame, seen: np.ndarray,
                     # Nothing is left to find in the same words again, or once a document holds all of an item.
                     if (d, i) in seen or (lo, hi, i) in seen:
                         continue
-                    whole, answer = judged(contents[i], here.hashes[lo:hi].tolist(), settings)
+                    whole, leak = judged(contents[i], here.hashes[lo:hi].tolist(), settings)
                     seen.add((d, i) if whole == 1 else (lo, hi, i))
                     at = block.rows.start + d
-                    bad[at] |= whole >= settings.alike or (whole >= settings.partly and answer >= settings.answer)
+                    bad[at] |= leak
                     if whole > share[at] or (whole == share[at] and item[at] is not None and numbers[i] < item[at]):
                         share[at], item[at] = whole, numbers[i]
             columns = [*[batch.column(c) for c in carried], pa.array(bad), pa.array(item, pa.int64()), pa.array(share)]

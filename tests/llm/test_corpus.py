@@ -6,14 +6,17 @@ import tracemalloc
 import zlib
 
 import duckdb
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tabloom.llm import pii, secrets
-from tabloom.llm.common import running_total
-from tabloom.llm.decontaminate import common_run, decontaminate, pieces
+from tabloom.llm.common import blocks, running_total
+from tabloom.llm.decontaminate import Settings as Retrieval
+from tabloom.llm.decontaminate import _bucket, common_run, decontaminate, judged, passages, pieces, steps
 from tabloom.llm.language import Settings, fit, identify
 from tabloom.llm.mixing import mix_sources, targets
 from tabloom.llm.pii import personal_data
@@ -433,6 +436,64 @@ def test_decontaminate_recall_of_items_of_all_lengths(spark):
     assert {x.doc_id: x.leaked_item for x in got if x.contaminated} == {i: i for i in range(5)}
 
 
+def _passages_of(texts, step):
+    """Steps of texts, weights of every other bucket, and the rows of the words that have weights."""
+    now = Retrieval(step=step, buckets=1 << 12)
+    row = np.where(np.arange(1 << 12) % 2, np.arange(1 << 12) // 2, -1).astype(np.int32)
+    weights = np.random.RandomState(3).standard_normal((1 << 11, 192)).astype(np.float32)
+    found = [steps(b, step) for b in blocks(pa.array(texts, pa.string()))]
+    return now, row, weights, found, [row[_bucket(f.hashes, now)] for f in found]
+
+
+@pytest.mark.parametrize("step", [24, 8, 2])
+def test_passages_are_sums_of_their_words(step):
+    """Texts of 0 to 120 words, some of them without weight, against sums step by step."""
+    r = random.Random(21)
+    texts = [" ".join(f"w{r.randrange(3000)}" for _ in range(r.choice((0, 1, 2, 23, 24, 25, 49, 120)))) for _ in range(300)]
+    texts += [None, "", " . ", "same " * 100, None]
+    now, row, weights, found, ids = _passages_of(texts, step)
+    for part, rows in zip(found, ids):
+        ends = [*part.first[1:], len(rows)]
+        one = [weights[[x for x in rows[a:b] if x >= 0]].sum(axis=0) for a, b in zip(part.first, ends)]
+        follows = [i + 1 < len(one) and part.of[i + 1] == part.of[i] for i in range(len(one))]
+        plain = [v + one[i + 1] if follows[i] else v for i, v in enumerate(one)]
+        assert np.allclose(passages(weights, row, part, now), plain, atol=1e-4)
+    nothing = _passages_of(["", None], step)
+    assert all(passages(weights, row, part, now).shape == (0, 192) for part in nothing[3])
+    assert not passages(weights, np.full(1 << 12, -1, np.int32), found[0], now).any()
+
+
+def test_passages_take_little_more_than_fetching_their_weights():
+    """CPU time against that of fetching the weights of all words; the best of five runs each."""
+    r = random.Random(22)
+    now, row, weights, found, ids = _passages_of([" ".join(f"w{r.randrange(3000)}" for _ in range(400)) for _ in range(100)], 24)
+
+    def least(work):
+        times = []
+        for _ in range(5):
+            start = time.process_time()
+            for _ in range(5):
+                work()
+            times.append(time.process_time() - start)
+        return min(times)
+
+    fetched = least(lambda: [weights[x[x >= 0]] for x in ids])
+    summed = least(lambda: [passages(weights, row, part, now) for part in found])
+    print(summed / fetched)
+    assert summed < 5 * fetched
+
+
+def test_judged():
+    item = list(range(20))
+    assert judged(item, item, Retrieval()) == (1.0, True)
+    assert judged(item, item[:16], Retrieval()) == (0.8, True)
+    # Three of the five closing words in 14 of 20, then none, then too few words in all.
+    assert judged(item, item[:11] + item[17:], Retrieval()) == (0.7, True)
+    assert judged(item, item[:14], Retrieval()) == (0.7, False)
+    assert judged(item, item[8:], Retrieval()) == (0.6, False)
+    assert judged(item, item[::-1], Retrieval()) == (0.05, False)
+
+
 def test_pieces():
     assert [pieces(n, 4) for n in (1, 4, 5, 8, 10)] == [[(0, 1)], [(0, 4)], [(0, 4), (1, 5)], [(0, 4), (4, 8)], [(0, 4), (4, 8), (6, 10)]]
 
